@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from peakloom.llm import license_scan, line_dedup, mixing, quality_rules
+from peakloom.llm import license_scan, line_dedup, mixing, near_dedup, quality_rules
 
 _W = r"[^\x20\x09-\x0D]+"
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -82,3 +82,17 @@ c AS (SELECT doc_id, {canonical('text')} AS c FROM documents),
 ln AS (SELECT doc_id, license_id FROM (SELECT doc_id, unnest(string_split(c, chr(10))) AS l FROM c) JOIN known ON sha256(l) = digest),
 n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids, count(*) AS n FROM ln GROUP BY doc_id)
 SELECT c.doc_id, known.license_id, coalesce(ids, '') AS notice_ids, coalesce(n, 0)::BIGINT AS n_notices FROM c LEFT JOIN known ON sha256(replace(c, chr(10), ' ')) = digest LEFT JOIN n USING (doc_id)"""
+
+
+def near_dedup_sql() -> str:
+    n = near_dedup
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({lower}, ''), '{_W}') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= {n.SHINGLE} THEN list_transform(range(1, len(w) - {n.SHINGLE - 2}), lambda i: array_to_string(w[i:i + {n.SHINGLE - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= {n.PERCENT} * (p.n + q.n - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(b, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(b, w.doc_id)) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.a = w.doc_id"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakloom.llm import license_scan, line_dedup, mixing, native_sql, quality_rules
+from peakloom.llm import license_scan, line_dedup, mixing, native_sql, near_dedup, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +25,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.FEATURES[:5], "base_failed", "kept")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(_table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op5_mixing, op7_quality_rules, op10_license_scan)}
+    return {f.__name__: f for f in (op1_line_dedup, op5_mixing, op7_quality_rules, op8_near_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -38,5 +42,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": native_sql.line_dedup_sql(),
         "op5_mixing": native_sql.mixing_sql(),
         "op7_quality_rules": native_sql.quality_sql(),
+        "op8_near_dedup": native_sql.near_dedup_sql(),
         "op10_license_scan": native_sql.license_sql(),
     }

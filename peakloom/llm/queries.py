@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakloom.llm import license_scan, line_dedup, mixing, native_sql, near_dedup, ngram_lm, quality_rules
+from peakloom.llm import license_scan, line_dedup, mixing, native_sql, near_dedup, ngram_lm, packing, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.FEATURES[:5], "base_failed", "kept")
 
@@ -38,7 +42,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_lm_scoring, op5_mixing, op7_quality_rules, op8_near_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_lm_scoring, op5_mixing, op6_best_fit_packing, op7_quality_rules, op8_near_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakloom.llm import license_scan, line_dedup, mixing, native_sql, near_dedup, ngram_lm, packing, quality_rules
+from peakloom.llm import chat_format, license_scan, line_dedup, mixing, mpeg_audio, native_sql, near_dedup, ngram_lm, packing, quality_rules, warc_bundles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean_lines(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_probe(_table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_conversations(rows))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.with_features(mpeg_audio.with_media(_table(spark, sf_dir, "documents"))).drop("offsets")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -37,12 +46,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_lm_scoring, op5_mixing, op6_best_fit_packing, op7_quality_rules, op8_near_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_lm_scoring, op4_mpeg_audio, op5_mixing, op6_best_fit_packing, op7_quality_rules, op8_near_dedup, op9_warc, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -52,8 +52,7 @@ def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), counts
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, end to end, and each text's number of words."""
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct words; the words' places among them, end to end; each text's number of words."""
     distinct, places, counts = coded_words(texts)
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter(map(digest, distinct), np.uint64, len(distinct))[places], counts
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)), places, counts

@@ -9,20 +9,32 @@ import uuid
 import numpy as np
 from pyarrow import fs
 
-_STEPS = (32, 16, 8, 4, 2, 1)
 _U = np.uint64
+_BYTES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+_PAIRS, _FOURS, _EIGHTS = _U(0x5555555555555555), _U(0x3333333333333333), _U(0x0F0F0F0F0F0F0F0F)
+
+
+def _select_in_bytes() -> np.ndarray:
+    """Place of the k-th one of byte b, at b * 8 + k."""
+    out = np.zeros((256, 8), np.uint8)
+    for b in range(256):
+        places = [i for i in range(8) if b >> i & 1]
+        out[b, : len(places)] = places
+    return out.ravel()
+
+
+_IN_BYTE = _select_in_bytes()
 
 
 def _select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th (from 0) one of each word."""
-    x, k, place = x.copy(), k.astype(np.int64), np.zeros(len(x), np.int64)
-    for step in _STEPS:
-        ones = np.bitwise_count(x & _U((1 << step) - 1)).astype(np.int64)
-        on = k >= ones
-        k -= np.where(on, ones, 0)
-        x = np.where(on, x >> _U(step), x)
-        place += on * step
-    return place
+    """Place of the k-th (from 0) one of each word: the byte by running counts of ones, then a table."""
+    k = k.astype(np.uint64)
+    s = x - ((x >> _U(1)) & _PAIRS)
+    s = (s & _FOURS) + ((s >> _U(2)) & _FOURS)
+    s = ((s + (s >> _U(4))) & _EIGHTS) * _BYTES
+    place = np.bitwise_count((((k * _BYTES) | _TOPS) - s) & _TOPS).astype(np.uint64) << _U(3)
+    k -= ((s << _U(8)) >> place) & _U(255)
+    return (place + _IN_BYTE[(((x >> place) & _U(255)) << _U(3) | k).astype(np.int64)]).astype(np.int64)
 
 
 class EliasFano:
@@ -132,7 +144,7 @@ def load(folder: str, name: str) -> tuple[dict, dict[str, np.ndarray]]:
     """Numbers and arrays of a file. On a file system it is memory-mapped; from other stores it is read."""
     system, path = fs.FileSystem.from_uri(folder)
     whole = f"{path}/{name}"
-    data = np.memmap(whole, np.uint8, "r") if isinstance(system, fs.LocalFileSystem) else np.frombuffer(system.open_input_file(whole).read(), np.uint8)
+    data = np.asarray(np.memmap(whole, np.uint8, "r")) if isinstance(system, fs.LocalFileSystem) else np.frombuffer(system.open_input_file(whole).read(), np.uint8)
     size = int.from_bytes(data[:8].tobytes(), "little")
     head, start = json.loads(data[8 : 8 + size].tobytes()), -(-(size + 8) // 64) * 64
     return head["numbers"], {k: data[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in head["arrays"].items()}

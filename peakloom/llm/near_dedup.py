@@ -4,10 +4,11 @@ Documents are sets of word shingles. Equal sets are one class. Class representat
 recursively: a tree's node picks one of the minwise tokens (at times two, so that a pair at the
 threshold stays together once a level in the mean) and its documents go to the child of their
 own value. Small nodes are compared exhaustively. Several independent trees bring the recall of
-pairs at the threshold to 1 - (1 - threshold) ** TREES at the first level. Nodes that branching
-does not split (large groups of near copies) are worked off by leaders: in each round a few
-members are compared with all members of other components, until a node's members are connected
-or each has been compared with all others, so no member is capped or left out. Every candidate
+pairs at the threshold to 1 - (1 - threshold) ** TREES at the first level. Large nodes that
+branching hardly splits (groups of near copies: a share DENSE of the parent's documents agree)
+are worked off by leaders: in each round some members are compared with all members of other
+components, until a node's members are connected or each has been compared with all others, so
+no member is capped or left out. Every candidate
 link is confirmed on full shingle sets, and components are those of confirmed links.
 
 Defined cases: null and blank texts have empty sets and are linked with nothing; texts of fewer
@@ -18,6 +19,7 @@ empty tables give empty results; columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -31,13 +33,16 @@ from peakloom.llm.arrow_words import hashed_words, slices
 from peakloom.operators.components import connected_components
 
 SHINGLE, PERCENT = 5, 85
-#: Minwise tokens a document, trees, levels of branching, and documents in a node that is compared exhaustively.
-TOKENS, TREES, LEVELS, LEAF = 64, 12, 3, 256
+#: Minwise tokens a document, trees, and documents in a node that is compared exhaustively.
+TOKENS, TREES, LEAF = 64, 12, 256
+#: A large node that kept this share of its parent is dense.
+DENSE = 0.85
 #: Chance of a second branch: 1 / 0.85 branches in the mean.
 SECOND = 0.176
 #: A pair is confirmed on full sets if so many of its TOKENS agree; pairs at the threshold fail this once in 100,000.
 AGREE = 42
-LEADERS = 8
+#: Leaders of a dense node in a round.
+LEADERS = 32
 #: Bits of the filter that keeps texts without candidates from being shuffled. Its size is fixed; hits that it lets through by chance are joined away.
 FILTER_BITS = 1 << 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +56,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes (64 bits)."""
-    words, counts = hashed_words(texts)
+    distinct, places, counts = hashed_words(texts)
+    words = distinct[places]
     ends = np.cumsum(counts)
     rolled = np.zeros(max(0, len(words) - shingle + 1), np.uint64)
     for i in range(shingle):
@@ -122,9 +128,12 @@ def _slot(rep: Column) -> Column:
     return F.pmod(F.xxhash64(rep), F.lit(FILTER_BITS)) + 1
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """(rep, set) for every end of ``pairs``, out of the texts; a fixed-size filter goes ahead of the shuffle."""
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+
+
+def _sets_of(docs: DataFrame, ends: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """(rep, set) for every rep of ``ends``, out of the texts; a fixed-size filter goes ahead of the shuffle."""
     p = _slot(F.col("rep"))
     rows = ends.groupBy(F.bitmap_bucket_number(p).alias("g")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bits")).collect()
     seen = docs.sparkSession.sparkContext.broadcast({r["g"]: bytes(r["bits"]) for r in rows})
@@ -191,12 +200,13 @@ def _node_pairs(percent: int):
 
 
 def _branch(nodes: DataFrame, reps: DataFrame, level: int) -> DataFrame:
-    """Children (node, rep) of ``nodes``: all documents of a node branch by the same tokens."""
+    """Children (node, rep, parent) of ``nodes``: all documents of a node branch by the same tokens. parent: its number of documents."""
     pick = lambda salt: F.pmod(F.xxhash64("node", F.lit(level), F.lit(salt)), F.lit(TOKENS)).cast("int")
     child = lambda c: F.xxhash64("node", c, F.get("sig", c))
     twice = F.pmod(F.xxhash64("node", F.lit(level), F.lit("twice")), F.lit(1000)) < int(SECOND * 1000)
     wide = nodes.join(reps.select("rep", "sig"), "rep")
-    return wide.select("rep", F.explode(F.when(twice, F.array(child(pick("one")), child(pick("two")))).otherwise(F.array(child(pick("one"))))).alias("node")).distinct()
+    children = F.when(twice, F.array_distinct(F.array(child(pick("one")), child(pick("two"))))).otherwise(F.array(child(pick("one"))))
+    return wide.select("rep", F.col("c").alias("parent"), F.explode(children).alias("node"))
 
 
 def _leader_pairs(dense: DataFrame, reps: DataFrame, labels: DataFrame, used: DataFrame | None, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -216,6 +226,19 @@ def _leader_pairs(dense: DataFrame, reps: DataFrame, labels: DataFrame, used: Da
     return pairs.where(same >= AGREE).select("a", "b"), leaders.select("node", F.col("leader").alias("rep"))
 
 
+def _worked_off(docs: DataFrame, dense: DataFrame, reps: DataFrame, labels: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``labels`` with all links inside dense nodes."""
+    sets, used, turn = written(_sets_of(docs, dense.select("rep").distinct(), reps, shingle), "dense-sets"), None, 0
+    while True:
+        pairs, leaders = _leader_pairs(dense, reps, labels, used, turn, percent)
+        if leaders.isEmpty():
+            return labels
+        used = written(leaders if used is None else used.union(leaders), "leaders-used")
+        edges = _confirm(pairs, sets, percent).union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = written(connected_components(edges), "labels")
+        turn += 1
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
@@ -225,33 +248,24 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     reps = written(reps.select("rep", "k", "n", "sig"), "representatives")
 
     first = [F.xxhash64(F.lit(t), F.get("sig", F.lit(t * TOKENS // TREES))) for t in range(TREES)]
-    nodes, leaves, dense = reps.select("rep", F.explode(F.array(*first)).alias("node")), [], None
-    for level in range(1, LEVELS + 1):
+    nodes = reps.select("rep", F.lit(None).cast("long").alias("parent"), F.explode(F.array(*first)).alias("node"))
+    leaves, dense, level = [], [], 0
+    while True:
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        sized = written(nodes.join(sizes, "node").select("node", "rep", "c"), f"nodes-{level}")
+        sized = written(nodes.join(sizes, "node").select("node", "rep", "c", "parent"), f"nodes-{level}")
         leaves.append(sized.where(F.col("c") <= LEAF))
-        large = sized.where(F.col("c") > LEAF).select("node", "rep")
+        large = sized.where(F.col("c") > LEAF)
         if large.isEmpty():
             break
-        nodes, dense = _branch(large, reps, level), large if level == LEVELS else None
-    small = leaves[0]
-    for more in leaves[1:]:
-        small = small.union(more)
+        level += 1
+        dense.append(large.where(F.col("c") >= DENSE * F.col("parent")))
+        nodes = _branch(large.where(F.col("parent").isNull() | (F.col("c") < DENSE * F.col("parent"))), reps, level)
+    small = functools.reduce(DataFrame.union, leaves)
     filled = small.select("node", "rep").join(reps.select("rep", "n", "sig"), "rep").repartition("node").sortWithinPartitions("node")
     pairs = written(filled.select("node", "rep", "n", "sig").mapInArrow(_node_pairs(percent), "a long, b long").distinct(), "candidates")
-    edges = written(_confirm(pairs, _sets_of(docs, pairs, reps, shingle), percent), "edges")
-    labels = connected_components(edges)
-    used, turn = None, 0
-    while dense is not None:
-        pairs, leaders = _leader_pairs(dense, reps, labels, used, turn, percent)
-        if leaders.isEmpty():
-            break
-        used = leaders if used is None else used.union(leaders)
-        pairs = written(pairs, "candidates")
-        if not pairs.isEmpty():
-            edges = edges.union(written(_confirm(pairs, _sets_of(docs, pairs, reps, shingle), percent), "edges"))
-            labels = connected_components(edges)
-        turn += 1
+    labels = written(connected_components(_confirm(pairs, _sets_of(docs, _ends(pairs), reps, shingle), percent)), "labels")
+    if dense:
+        labels = _worked_off(docs, functools.reduce(DataFrame.union, dense).select("node", "rep"), reps, labels, shingle, percent)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("k").alias("class"), F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n", "k").join(named, F.col("k") == F.col("class"), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

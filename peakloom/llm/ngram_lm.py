@@ -20,13 +20,13 @@ and text are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,15 +96,15 @@ class Level:
         self.firsts = np.array([s[1] for s in shards], np.int64)
         self.entries = np.array([s[2] for s in shards], np.int64)
 
-    def _parts(self, numbers: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        shard = np.searchsorted(bounds, numbers, "right") - 1
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) > 0]) if len(order) else []
-        for i, at in enumerate(cuts):
-            yield int(shard[order[at]]), order[at : cuts[i + 1] if i + 1 < len(cuts) else len(order)]
+    def _parts(self, numbers: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Shards with the stretch of sorted ``numbers`` that falls into each."""
+        cuts = [*np.searchsorted(numbers, bounds).tolist(), len(numbers)]
+        for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if i < j:
+                yield s, slice(i, j)
 
     def ranges(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each context: first entry, end, last key ahead (for the search) and log10 back-off weight."""
+        """Of each of the sorted contexts: first entry, end, last key ahead (for the search) and log10 back-off weight."""
         begin, end, ahead, back = (np.zeros(len(contexts), k) for k in (np.int64, np.int64, np.uint64, np.float64))
         for s, at in self._parts(contexts, self.firsts):
             name, first, entry, n = self.shards[s]
@@ -112,42 +112,32 @@ class Level:
             pointer, c = stored("pointer", numbers, arrays), contexts[at] - first
             b = pointer.access(c).astype(np.int64)
             begin[at], end[at] = b + entry, pointer.access(c + 1).astype(np.int64) + entry
-            some = at[(b > 0) & (n > 0)]
-            ahead[some] = stored("key", numbers, arrays).access(begin[some] - entry - 1) if len(some) else 0
+            some = np.flatnonzero((b > 0) & (end[at] > begin[at]))
+            ahead[at][some] = stored("key", numbers, arrays).access(b[some] - 1)
             back[at] = arrays["back_book"][arrays["back"][c]]
         return begin, end, ahead, back
 
-    def find(self, contexts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entry numbers (or -1) of (context, key); first entry and back-off weight of the contexts."""
-        distinct, inverse = np.unique(contexts, return_inverse=True)
-        begin, end, ahead, back = (x[inverse] for x in self.ranges(distinct))
-        found = np.full(len(contexts), -1, np.int64)
-        for s, at in self._parts(contexts, self.firsts):
+    def find(self, contexts: np.ndarray, ranges: tuple[np.ndarray, ...], of: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Entries (or -1) of keys in contexts with their ``ranges``; ``of``, sorted, is the context's place among those."""
+        begin, end, ahead, _ = ranges
+        found = np.full(len(of), -1, np.int64)
+        for s, at in self._parts(contexts[of], self.firsts):
             name, _, entry, _ = self.shards[s]
-            some = at[begin[at] < end[at]]
-            hit = stored("key", *load(self.folder, name)).find(ahead[some] + keys[some].astype(np.uint64), begin[some] - entry, end[some] - entry)
-            found[some] = np.where(hit >= 0, hit + entry, -1)
-        return found, begin, back
+            o = of[at]
+            hit = stored("key", *load(self.folder, name)).find(ahead[o] + keys[at].astype(np.uint64), begin[o] - entry, end[o] - entry)
+            found[at] = np.where(hit >= 0, hit + entry, -1)
+        return found
 
     def log_p(self, entries: np.ndarray) -> np.ndarray:
+        """Of sorted entries."""
         out = np.zeros(len(entries))
         for s, at in self._parts(entries, self.entries):
             arrays = load(self.folder, self.shards[s][0])[1]
             out[at] = arrays["book"][arrays["code"][entries[at] - self.shards[s][2]]]
         return out
 
-    def find_in(self, contexts: np.ndarray, begin: np.ndarray, end: np.ndarray, ahead: np.ndarray, of: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Entries of keys in contexts whose ranges are at hand; ``of`` is the place among them."""
-        found = np.full(len(of), -1, np.int64)
-        for s, at in self._parts(contexts[of], self.firsts):
-            name, _, entry, _ = self.shards[s]
-            o = of[at]
-            hit = stored("key", *load(self.folder, name)).find(ahead[o] + keys[at].astype(np.uint64), begin[o] - entry, end[o] - entry)
-            found[at] = np.where(hit >= 0, hit + entry, -1)
-        return found
-
     def begins(self, entries: np.ndarray) -> np.ndarray:
-        """First entry of the range that holds each entry."""
+        """First entry of the range that holds each of the sorted entries."""
         out = np.zeros(len(entries), np.int64)
         for s, at in self._parts(entries, self.entries):
             numbers, arrays = load(self.folder, self.shards[s][0])
@@ -200,18 +190,16 @@ class Tokens:
 
 
 def tokens(texts: pa.Array) -> Tokens:
-    words, counts = hashed_words(texts)
-    n = len(counts)
-    out = np.full(len(words) + 2 * n, END, np.uint64)
+    distinct, places, counts = hashed_words(texts)
+    n, known = len(counts), len(distinct)
+    word = np.full(len(places) + 2 * n, known + 1, np.int64)
     starts = np.concatenate([[0], np.cumsum(counts + 2)])[:-1].astype(np.int64)
-    text = np.repeat(np.arange(n), counts + 2)
-    real = np.ones(len(out), bool)
+    real = np.ones(len(word), bool)
     real[starts] = False
     inner = real.copy()
     inner[starts + counts + 1] = False
-    out[starts], out[inner] = BEGIN, words
-    distinct, word = np.unique(out, return_inverse=True)
-    return Tokens(distinct, word, text, real)
+    word[starts], word[inner] = known, places
+    return Tokens(np.append(distinct, np.array([BEGIN, END], np.uint64)), word, np.repeat(np.arange(n), counts + 2), real)
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,11 +225,11 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray, weights: np.ndarray | None = Non
 def _squeeze(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
     """Sorted pairs with counts: differences of a, then b and counts, by byte planes."""
     planes = [np.diff(a, prepend=0), b, c]
-    return zlib.compress(b"".join(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in planes), 1)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in planes))
 
 
 def _spread(data: bytes) -> list[np.ndarray]:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, 8, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(3, 8, -1)
     a, b, c = (np.ascontiguousarray(p.T).view("<u8")[:, 0].astype(np.int64) for p in planes)
     return [np.cumsum(a), b, c]
 
@@ -287,15 +275,18 @@ class NgramModel:
         """Which tokens have, with the token ahead of them in their text, a pair of known words."""
         return np.flatnonzero(t.real[1:] & (ids[1:] >= 0) & (ids[:-1] >= 0)) + 1
 
-    def nodes(self, t: Tokens, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entry of level 2 of each token after the one ahead (or -1), and the back-off weight of that one."""
-        node, back, at = np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.flatnonzero(t.real[1:] & (ids[:-1] >= 0)) + 1
-        if len(at):
-            span = int(self.words.starts[-1]) + 1  # the last key stands for unknown words, which no context has
-            key, inverse = np.unique(ids[at - 1] * span + np.where(ids[at] >= 0, ids[at], span - 1), return_inverse=True)
-            found, _, weight = self.pairs.find(key // span, key % span)
-            node[at], back[at] = found[inverse], weight[inverse]
-        return node, back
+    def nodes(self, t: Tokens, ids: np.ndarray) -> Nodes:
+        at = np.flatnonzero(t.real[1:] & (ids[:-1] >= 0)) + 1
+        span = int(self.words.starts[-1]) + 1  # the last key stands for unknown words, which no context has
+        pair, inverse = np.unique(ids[at - 1] * span + np.where(ids[at] >= 0, ids[at], span - 1), return_inverse=True)
+        first = pair // span
+        new = np.diff(first, prepend=-1) > 0
+        of, contexts = np.cumsum(new) - 1, first[new]
+        ranges = self.pairs.ranges(contexts)
+        entry = self.pairs.find(contexts, ranges, of, pair % span)
+        which = np.full(len(ids), -1, np.int64)
+        which[at] = inverse
+        return Nodes(which, entry, ranges[0][of], ranges[3][of])
 
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         t = tokens(texts)
@@ -303,29 +294,45 @@ class NgramModel:
         low = self.log_unigram(counts)
         total = low.copy()
         if self.n:
-            node, back = self.nodes(t, ids)
-            seen = node >= 0
-            total[~seen] += back[~seen]
-            total[seen] = self.pairs.log_p(node[seen])
-            at = np.flatnonzero(t.real[1:] & (node[:-1] >= 0)) + 1
-            context, inverse = np.unique(node[at - 1], return_inverse=True)
-            begin, end, ahead, weight = self.triples.ranges(context)
-            total[at] += weight[inverse]
-            both = np.flatnonzero((node[at] >= 0) & (begin < end)[inverse])
+            nodes = self.nodes(t, ids)
+            at = np.flatnonzero(nodes.which >= 0)
+            pair = nodes.which[at]
+            seen = nodes.entry >= 0
+            p = np.zeros(len(seen))
+            p[seen] = self.pairs.log_p(nodes.entry[seen])
+            total[at] = np.where(seen[pair], p[pair], total[at] + nodes.back[pair])
+            # contexts of level 3 are the entries found in level 2, which are sorted
+            context, place = nodes.entry[seen], np.cumsum(seen) - 1
+            ranges = self.triples.ranges(context)
+            at = at[seen[nodes.which[at - 1]] & (nodes.which[at - 1] >= 0)]
+            of = place[nodes.which[at - 1]]
+            total[at] += ranges[3][of]
+            after = nodes.which[at]
+            both = np.flatnonzero(seen[after] & (ranges[0] < ranges[1])[of])
             if len(both):
-                after, of = node[at[both]], inverse[both]
-                middle, place = np.unique(ids[at[both] - 1], return_inverse=True)
-                key = after - self.pairs.ranges(middle)[0][place]
+                key = (nodes.entry - nodes.begin)[after[both]]
                 span = int(key.max()) + 1
-                pair, back_to = np.unique(of * span + key, return_inverse=True)
-                hit = self.triples.find_in(context, begin, end, ahead, pair // span, pair % span)[back_to]
+                triple, inverse = np.unique(of[both] * span + key, return_inverse=True)
+                hit = self.triples.find(context, ranges, triple // span, triple % span)
                 good = hit >= 0
-                total[at[both[good]]] = self.triples.log_p(hit[good])
+                p = np.zeros(len(hit))
+                p[good] = self.triples.log_p(hit[good])
+                total[at[both]] = np.where(good[inverse], p[inverse], total[at[both]])
         n = len(texts)
         add = lambda x: np.bincount(t.text[t.real], weights=x[t.real], minlength=n)
         return {"n_tokens": add(np.ones(len(ids))).astype(np.int64), "n_known": add(counts > 0).astype(np.int64), "base_score": add(low), "score": add(total)}
 
 
+@dataclass
+class Nodes:
+    """Distinct pairs of adjacent tokens, sorted. which: each token's pair with the one ahead (-1 if that is unknown); entry in level 2 (or -1), begin of its context's range, back-off weight of the context."""
+
+    which: np.ndarray
+    entry: np.ndarray
+    begin: np.ndarray
+    back: np.ndarray
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         t = tokens(batch["text"])
@@ -399,7 +406,8 @@ def train(docs: DataFrame) -> NgramModel:
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             t = tokens(batch["text"])
-            node = ready.nodes(t, ready.ids(t)[0])[0]
+            nodes = ready.nodes(t, ready.ids(t)[0])
+            node = np.where(nodes.which >= 0, nodes.entry[nodes.which], -1)
             at = np.flatnonzero(t.real[1:] & (node[:-1] >= 0) & (node[1:] >= 0)) + 1
             yield _blocks(*_unique_pairs(node[at - 1], node[at]), by_pair)
 

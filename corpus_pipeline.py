@@ -1,4 +1,9 @@
-"""Corpus pipeline: documents through quality rules and line dedup."""
+"""Corpus pipeline: documents to packed training sequences.
+
+Each stage takes the rows that its predecessor kept, written as Parquet and read again, and
+returns the columns of documents; the last returns pieces with their places in sequences. Copies
+that mixing makes are rows of their own, with the same doc_id.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.functions.shared import written
-from peakloom.llm import line_dedup, quality_rules
+from peakloom.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the vote model reject go."""
     return quality_rules.keep_good(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go; all documents stay, with n_chars of the text that is left."""
     return line_dedup.clean_lines(docs).select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
 
 
-STAGES = [("quality rules", quality_stage), ("line dedup", line_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dedup.keep_one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, or left out, to the target weights of their sources."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("minhash near-dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+#: Tokenizing and the genetic algorithm are beyond SQL.
 ORACLE_SQL = None
 
 

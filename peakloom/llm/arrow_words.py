@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 #: Bytes of text that are worked on at once (a longer text is worked on alone); bounds memory, not results.
 SLICE_BYTES = 8 << 20
@@ -34,8 +33,35 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             i = j
 
 
-def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words with A-Z in lower case; each word of all texts, end to end, as its place among them; each text's number of words."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (a published finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hash of each stretch of bytes: two multilinear hashes with multipliers by place, mixed into one."""
+    size = np.diff(offsets)
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(offsets[:-1], size)
+    steps = np.arange(1, int(size.max()) + 1, dtype=np.uint64)
+    keys = [mixed(steps * np.uint64(step)) for step in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    value = data.astype(np.uint64) + np.uint64(1)
+    full = size > 0
+    one, two = np.zeros((2, len(size)), np.uint64)
+    for out, key in zip((one, two), keys, strict=True):
+        out[full] = np.add.reduceat(value * key[place], offsets[:-1][full]) if full.any() else np.uint64(0)
+    return mixed(one ^ mixed(two + size.astype(np.uint64)))
+
+
+def hash_of(word: bytes) -> int:
+    return int(hashed(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0])
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct words with A-Z in lower case; the words of all texts, end to end, as places among them; each text's number of words."""
     data, offsets = utf8(texts)
     low = _LOWER[data]
     space = _SPACE[low]
@@ -49,10 +75,6 @@ def coded_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     bounds = np.append(np.flatnonzero(starts[~space]), len(kept)).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
     coded = words.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), counts
-
-
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the distinct words; the words' places among them, end to end; each text's number of words."""
-    distinct, places, counts = coded_words(texts)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)), places, counts
+    _, ends, distinct = coded.dictionary.buffers()
+    ends = np.frombuffer(ends, np.int64)[: len(coded.dictionary) + 1] if len(coded.dictionary) else np.zeros(1, np.int64)
+    return hashed(np.frombuffer(distinct, np.uint8)[: ends[-1]] if len(ends) > 1 else np.zeros(0, np.uint8), ends), coded.indices.to_numpy(), counts

@@ -6,9 +6,10 @@ threshold stays together once a level in the mean) and its documents go to the c
 own value. Small nodes are compared exhaustively. Several independent trees bring the recall of
 pairs at the threshold to 1 - (1 - threshold) ** TREES at the first level. Large nodes that
 branching hardly splits (groups of near copies: a share DENSE of the parent's documents agree)
-are worked off by leaders: in each round some members are compared with all members of other
-components, until a node's members are connected or each has been compared with all others, so
-no member is capped or left out. Every candidate
+are linked with their full sets at hand, only pairs across components being compared; the largest
+of them are worked off by leaders instead: in each round some members, and twice as many in the
+next, are compared with all members of other components, until a node's members are connected or
+each has been compared with all others. So no member is capped or left out. Every candidate
 link is confirmed on full shingle sets, and components are those of confirmed links.
 
 Defined cases: null and blank texts have empty sets and are linked with nothing; texts of fewer
@@ -29,31 +30,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions.shared import written
-from peakloom.llm.arrow_words import hashed_words, slices
+from peakloom.llm.arrow_words import hashed_words, mixed, slices
 from peakloom.operators.components import connected_components
 
 SHINGLE, PERCENT = 5, 85
 #: Minwise tokens a document, trees, and documents in a node that is compared exhaustively.
 TOKENS, TREES, LEAF = 64, 12, 256
-#: A large node that kept this share of its parent is dense.
-DENSE = 0.85
+#: A large node that kept this share of its parent is dense; up to so many documents, one task links it.
+DENSE, DENSE_TASK = 0.85, 4096
 #: Chance of a second branch: 1 / 0.85 branches in the mean.
 SECOND = 0.176
 #: A pair is confirmed on full sets if so many of its TOKENS agree; pairs at the threshold fail this once in 100,000.
 AGREE = 42
-#: Leaders of a dense node in a round.
+#: Leaders of a larger dense node in its first round.
 LEADERS = 32
 #: Bits of the filter that keeps texts without candidates from being shuffled. Its size is fixed; hits that it lets through by chance are joined away.
 FILTER_BITS = 1 << 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes (64 bits)."""
     distinct, places, counts = hashed_words(texts)
@@ -61,7 +56,7 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     ends = np.cumsum(counts)
     rolled = np.zeros(max(0, len(words) - shingle + 1), np.uint64)
     for i in range(shingle):
-        rolled = _mixed(rolled * _MIX + words[i : i + len(rolled)])
+        rolled = mixed(rolled * _MIX + words[i : i + len(rolled)])
     out = []
     for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
         if n >= shingle:
@@ -69,7 +64,7 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
         elif n:
             h = np.array([n], np.uint64)
             for w in words[end - n : end]:
-                h = _mixed(h * _MIX + w)
+                h = mixed(h * _MIX + w)
             out.append(h)
         else:
             out.append(np.zeros(0, np.uint64))
@@ -199,6 +194,32 @@ def _node_pairs(percent: int):
     return compare
 
 
+def _dense_links(percent: int):
+    """Confirmed links that connect all of a dense node's components."""
+
+    def link(key: tuple, table: pa.Table) -> pa.Table:
+        rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
+        sig = np.asarray(table["sig"].combine_chunks().flatten()).reshape(-1, TOKENS)
+        sets = [unpack(x) for x in table["set"].to_pylist()]
+        root, found = list(range(len(rep))), []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i in range(1, len(rep)):
+            close = ((sig[:i] == sig[i]).sum(1) >= AGREE) & (np.minimum(n[:i], n[i]) * 100 >= np.maximum(n[:i], n[i]) * percent)
+            for j in np.flatnonzero(close).tolist():
+                if top(i) != top(j) and similar(sets[i], sets[j], percent):
+                    root[top(i)] = top(j)
+                    found.append((rep[i], rep[j]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return link
+
+
 def _branch(nodes: DataFrame, reps: DataFrame, level: int) -> DataFrame:
     """Children (node, rep, parent) of ``nodes``: all documents of a node branch by the same tokens. parent: its number of documents."""
     pick = lambda salt: F.pmod(F.xxhash64("node", F.lit(level), F.lit(salt)), F.lit(TOKENS)).cast("int")
@@ -217,7 +238,7 @@ def _leader_pairs(dense: DataFrame, reps: DataFrame, labels: DataFrame, used: Da
     named = written(named.join(open_nodes, "node", "left_semi").join(sizes, ["node", "component"]), "dense-nodes")
     free = named if used is None else named.join(used, ["node", "rep"], "left_anti")
     order = F.struct("c", F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "component")
-    leaders = free.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(LEADERS)).alias("slot")).agg(F.min(order).alias("l")).select("node", F.col("l.rep").alias("leader"), F.col("l.component").alias("of"))
+    leaders = free.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(LEADERS << min(turn, 20))).alias("slot")).agg(F.min(order).alias("l")).select("node", F.col("l.rep").alias("leader"), F.col("l.component").alias("of"))
     leaders = written(leaders, "leaders")
     pairs = named.join(leaders, "node").where("component <> of").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     tokens = lambda end: reps.select(F.col("rep").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}"))
@@ -226,16 +247,16 @@ def _leader_pairs(dense: DataFrame, reps: DataFrame, labels: DataFrame, used: Da
     return pairs.where(same >= AGREE).select("a", "b"), leaders.select("node", F.col("leader").alias("rep"))
 
 
-def _worked_off(docs: DataFrame, dense: DataFrame, reps: DataFrame, labels: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _worked_off(dense: DataFrame, sets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """``labels`` with all links inside dense nodes."""
-    sets, used, turn = written(_sets_of(docs, dense.select("rep").distinct(), reps, shingle), "dense-sets"), None, 0
+    used, turn = None, 0
     while True:
         pairs, leaders = _leader_pairs(dense, reps, labels, used, turn, percent)
         if leaders.isEmpty():
             return labels
         used = written(leaders if used is None else used.union(leaders), "leaders-used")
         edges = _confirm(pairs, sets, percent).union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = written(connected_components(edges), "labels")
+        labels = written(connected_components(written(edges, "edges")), "labels")
         turn += 1
 
 
@@ -258,14 +279,25 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         if large.isEmpty():
             break
         level += 1
-        dense.append(large.where(F.col("c") >= DENSE * F.col("parent")))
+        dense.append(large.where(F.col("c") >= DENSE * F.col("parent")).select("node", "rep", "c"))
         nodes = _branch(large.where(F.col("parent").isNull() | (F.col("c") < DENSE * F.col("parent"))), reps, level)
     small = functools.reduce(DataFrame.union, leaves)
     filled = small.select("node", "rep").join(reps.select("rep", "n", "sig"), "rep").repartition("node").sortWithinPartitions("node")
     pairs = written(filled.select("node", "rep", "n", "sig").mapInArrow(_node_pairs(percent), "a long, b long").distinct(), "candidates")
-    labels = written(connected_components(_confirm(pairs, _sets_of(docs, _ends(pairs), reps, shingle), percent)), "labels")
+    ends = _ends(pairs)
+    if dense:
+        dense = written(functools.reduce(DataFrame.union, dense).distinct(), "dense")
+        ends = ends.union(dense.select("rep")).distinct()
+    sets = written(_sets_of(docs, ends, reps, shingle), "sets")
+    edges = _confirm(pairs, sets, percent)
+    if dense:
+        at_hand = dense.where(F.col("c") <= DENSE_TASK).select("node", "rep").join(reps.select("rep", "n", "sig"), "rep").join(sets, "rep")
+        edges = edges.union(at_hand.groupBy("node").applyInArrow(_dense_links(percent), "a long, b long"))
+    labels = written(connected_components(written(edges, "edges")), "labels")
     if dense:
-        labels = _worked_off(docs, functools.reduce(DataFrame.union, dense).select("node", "rep"), reps, labels, shingle, percent)
+        larger = dense.where(F.col("c") > DENSE_TASK).select("node", "rep")
+        if not larger.isEmpty():
+            labels = _worked_off(larger, sets, reps, labels, percent)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("k").alias("class"), F.coalesce("component", "rep").alias("component"))
     out = sketched.select("doc_id", "n", "k").join(named, F.col("k") == F.col("class"), "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

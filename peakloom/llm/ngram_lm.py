@@ -25,20 +25,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions.shared import run_dir, written
-from peakloom.llm.arrow_words import hashed_words, slices
+from peakloom.llm.arrow_words import hash_of, hashed_words, slices
 from peakloom.llm.elias_fano import EliasFano, load, prefixed, save, stored
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of a level-1 shard and training tokens of a shard of the other levels, in the mean; set task memory, not results.
 WORDS_A_SHARD, TOKENS_A_SHARD = 1 << 20, 4 << 20
 #: Hashes of strings that cannot be words, since they hold a space.
-BEGIN, END = (xxhash.xxh3_64_intdigest(x) for x in (b" begin", b" end"))
+BEGIN, END = (hash_of(x) for x in (b" begin", b" end"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -35,7 +35,7 @@ from peakloom.llm.elias_fano import EliasFano, load, prefixed, save, stored
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of a level-1 shard and training tokens of a shard of the other levels, in the mean; set task memory, not results.
-WORDS_A_SHARD, TOKENS_A_SHARD = 1 << 20, 4 << 20
+WORDS_A_SHARD, TOKENS_A_SHARD = 1 << 20, 2 << 20
 #: Hashes of strings that cannot be words, since they hold a space.
 BEGIN, END = (hash_of(x) for x in (b" begin", b" end"))
 

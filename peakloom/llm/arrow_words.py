@@ -23,12 +23,13 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """``batches`` cut so that the texts of each part have SLICE_BYTES or are one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``batches`` cut so that the texts of each part have ``size`` bytes (SLICE_BYTES) at most or are one row."""
+    size = size or SLICE_BYTES
     for batch in batches:
         ends, i = utf8(batch[text])[1], 0
         while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_BYTES, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + size, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
 

@@ -70,9 +70,8 @@ def bright_clusters(points: DataFrame, min_len: int = 4, min_intensity: float =
     return points.join(kept, ["cluster_id", "rt"], "left_semi")
 
 
-def _suppressed(pdf: pd.DataFrame, n: int, scans: int, mz: float, compat: bool) -> list[tuple]:
+def _fold(top: list[tuple[float, int, float]], pdf: pd.DataFrame, n: int, scans: int, mz: float, compat: bool) -> list[tuple[float, int, float]]:
     """An ordered fold over candidates: a stored peak that is near absorbs a candidate, being replaced only by a higher one."""
-    top: list[tuple[float, int, float]] = []
     for scan, m, i in zip(pdf["scan_num"].tolist(), pdf["mz"].tolist(), pdf["intensity"].tolist(), strict=True):
         if len(top) == n and i < top[-1][0]:
             continue
@@ -87,22 +86,36 @@ def _suppressed(pdf: pd.DataFrame, n: int, scans: int, mz: float, compat: bool)
     return top
 
 
-def highest_peaks(peaks: DataFrame, n: int = 10, scans: int = 20, mz: float = 0.05, compat: bool = False) -> DataFrame:
+def _above_threshold(candidates: DataFrame, n: int, scans: int, mz: float) -> DataFrame:
+    """``candidates`` without those that cannot matter to the fold.
+
+    A candidate higher than all others in its own and the adjacent cells (as wide as the reach)
+    cannot be absorbed, and leaves the list only for higher ones. So with n of these the list ends
+    with nothing under the least of them, and lower candidates never change what stays.
+    """
+    cells = candidates.groupBy(F.floor(F.col("scan_num") / scans).alias("u"), F.floor(F.col("mz") / mz).alias("v")).agg(F.max("intensity").alias("top"), F.count(F.lit(1)).alias("k"), F.count_distinct("intensity").alias("d"))
+    around = F.array(*[F.struct((F.col("u") + a).alias("u"), (F.col("v") + b).alias("v")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    rivals = cells.select("top", F.explode(around).alias("q")).groupBy("q.u", "q.v").agg(F.max("top").alias("rival"))
+    alone = cells.where("k = d").join(rivals, ["u", "v"], "left").where("rival is null or top > rival")
+    least = alone.orderBy(F.desc("top")).limit(n).agg(F.min("top").alias("least"), F.count(F.lit(1)).alias("k")).first()
+    return candidates.where(F.col("intensity") >= least["least"]) if least["k"] == n else candidates
+
+
+def highest_peaks(peaks: DataFrame, n: int = 10, scans: int = 20, mz: float = 0.05, compat: bool = False, cut: bool = True) -> DataFrame:
     """The ``n`` highest local maxima, neighbours in scan and mz suppressed, in scan order.
 
-    The rule depends on order, so one task folds over the candidates in the end. Candidates are cut
-    before that, exactly: a block of ``scans`` scans holds at most n results for each mz cell, so
-    only peaks that a stored one could have been replaced by survive... none are dropped here.
-    ``compat`` compares mz by whole numbers.
+    The rule depends on order, so one task folds over candidates in the end, with a list of n as its
+    state; ``cut`` leaves out those that provably cannot matter first. ``compat`` compares mz by
+    whole numbers.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top: list = []
-        frames = [b for b in batches]
-        if frames:
-            top = _suppressed(pd.concat(frames), n, scans, mz, compat)
+        top: list[tuple[float, int, float]] = []
+        for batch in batches:
+            top = _fold(top, batch, n, scans, mz, compat)
         yield pd.DataFrame({"place": range(1, len(top) + 1), "scan_num": [t[1] for t in top], "mz": [t[2] for t in top], "intensity": [t[0] for t in top]})
 
     candidates = local_maxima(peaks).select("scan_num", "mz", "intensity")
-    ordered = candidates.coalesce(1).sortWithinPartitions("scan_num", "mz")
-    return ordered.mapInPandas(fold, "place int, scan_num int, mz double, intensity double")
+    if cut:
+        candidates = _above_threshold(candidates, n, scans, 1.0 if compat else mz)
+    return candidates.repartition(1).sortWithinPartitions("scan_num", "mz").mapInPandas(fold, "place int, scan_num int, mz double, intensity double")

@@ -57,6 +57,15 @@ def test_highest_peaks_suppress_neighbours(spark):
     assert wide == [(1, 100.0)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_cutting_candidates_changes_nothing(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(200), 0.0, round(rng.random() * 2, 3), float(rng.randrange(1, 60 if seed % 2 else 100_000))) for i in range(1500)]
+    for compat in (False, True):
+        cut, whole = ([tuple(r) for r in preprocess.highest_peaks(peaks(spark, rows), n=6, mz=0.05, compat=compat, cut=c).collect()] for c in (True, False))
+        assert cut == whole
+
+
 def test_fullest_scan_takes_the_first_tie(spark):
     rows = [(1, 2, 0.0, 1.0, 1.0), (2, 2, 0.0, 2.0, 1.0), (3, 1, 0.0, 1.0, 1.0), (4, 1, 0.0, 2.0, 1.0)]
     assert preprocess.fullest_scan(peaks(spark, rows)).first().scan_num == 1

@@ -86,6 +86,19 @@ class EliasFano:
         i = i.astype(np.int64)
         return (((self._select(self.ones, i, False) - i).astype(np.uint64)) << _U(self.width)) | self._low(i)
 
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th and the next number. The next one's place is mostly in the same word of the high bits."""
+        i = i.astype(np.int64)
+        place = self._select(self.ones, i, False)
+        word, bit = place >> 6, (place & 63).astype(np.uint64)
+        rest = (self.high[word] >> bit) >> _U(1)
+        gap = np.bitwise_count((rest & (~rest + _U(1))) - _U(1)).astype(np.int64)
+        after = place + 1 + gap
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._select(self.ones, i[far] + 1, False)
+        value = lambda p, k: (((p - k).astype(np.uint64)) << _U(self.width)) | self._low(k)
+        return value(place, i), value(after, i + 1)
+
     def find(self, targets: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | int | None = None) -> np.ndarray:
         """Place of each target in its range [begin, end), or -1."""
         if not self.n or not len(targets):

@@ -110,8 +110,8 @@ class Level:
             name, first, entry, n = self.shards[s]
             numbers, arrays = load(self.folder, name)
             pointer, c = stored("pointer", numbers, arrays), contexts[at] - first
-            b = pointer.access(c).astype(np.int64)
-            begin[at], end[at] = b + entry, pointer.access(c + 1).astype(np.int64) + entry
+            b, e = (x.astype(np.int64) for x in pointer.access_two(c))
+            begin[at], end[at] = b + entry, e + entry
             some = np.flatnonzero((b > 0) & (end[at] > begin[at]))
             ahead[at][some] = stored("key", numbers, arrays).access(b[some] - 1)
             back[at] = arrays["back_book"][arrays["back"][c]]

@@ -64,12 +64,14 @@ def test_slices_cut_by_bytes(monkeypatch):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(0, 2**63), max_size=200), st.lists(st.integers(0, 2**63), max_size=20))
+@given(st.one_of(st.lists(st.integers(0, 2**63), max_size=200), st.lists(st.integers(0, 300), max_size=200), st.lists(st.one_of(st.integers(0, 60), st.just(2**40)), max_size=200)), st.lists(st.integers(0, 2**63), max_size=20))
 def test_elias_fano(values, others):
     v = np.sort(np.array(values, np.uint64))
     numbers, arrays = elias_fano.EliasFano.build(v)
     e = elias_fano.EliasFano(numbers["n"], numbers["width"], arrays["low"], arrays["high"], arrays["ones"], arrays["zeros"])
     assert e.decode().tolist() == v.tolist() and e.access(np.arange(len(v))).tolist() == v.tolist()
+    if len(v) > 1:
+        assert [x.tolist() for x in e.access_two(np.arange(len(v) - 1))] == [v[:-1].tolist(), v[1:].tolist()]
     asked = np.array([*values, *others], np.uint64)
     assert [i >= 0 for i in e.find(asked).tolist()] == [x in set(values) for x in asked.tolist()]
 

@@ -89,3 +89,8 @@ def plot_table(points: DataFrame, by_text: bool = False) -> DataFrame:
     w = Window.partitionBy("cluster_id").orderBy(order, "rt")
     changed = F.coalesce((F.col("mz") != F.lag("mz").over(w)).cast("int"), F.lit(1))
     return points.withColumn("__new", changed).withColumn("line", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
+def write_blocks(peaks: DataFrame, path: str, column: str = "block") -> None:
+    """One folder of Parquet for each value of ``column``."""
+    peaks.write.partitionBy(column).parquet(path)

@@ -128,6 +128,8 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "ab").write_text("C 0 0.98893 12.0\nC 1 0.01107 13.00335\n")
     assert [tuple(r) for r in text.read_abundances(spark, str(tmp_path / "ab")).collect()] == [("C", 1, 0.01107, 13.00335)]
     text.discard(got)
+    text.write_blocks(got.withColumn("block", F.col("scan_ord") % 2), str(tmp_path / "blocks"))
+    assert spark.read.parquet(str(tmp_path / "blocks")).select("block", "cluster_id").first()[:] == (1, 12)
 
 
 def test_plot_lines(spark):

@@ -146,6 +146,12 @@ def cluster_sizes(clustered: DataFrame, k: int = 50) -> DataFrame:
     return sizes.orderBy(F.desc("n_points"), "cluster_id").limit(k)
 
 
+def brightest(clustered: DataFrame, k: int = 50) -> DataFrame:
+    """Points of the ``k`` clusters with the highest peaks (ties by cluster_id)."""
+    top = clustered.groupBy("cluster_id").agg(F.max("intensity").alias("top")).orderBy(F.desc("top"), "cluster_id").limit(k)
+    return clustered.join(top.select("cluster_id"), "cluster_id", "left_semi")
+
+
 def orphans(clustered: DataFrame, scans: int = 3, mz_dist: float = 0.05) -> DataFrame:
     """Points without another point of their cluster within ``scans`` and ``mz_dist``, both inclusive."""
     cell = F.floor(F.col("mz") / mz_dist)

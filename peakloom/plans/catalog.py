@@ -176,18 +176,6 @@ def curvature_objective(spark, d):
     return curvature.objective(curvature.centroids(_by_time(spark, d)))
 
 
-@query()
-def deadtime_search(spark, d):
-    few = _by_time(spark, d).where("cluster_id < 3 and mz < 600")
-    return anneal.search_deadtime(few, restarts=4, max_iter=2, dwell=2)
-
-
-@query()
-def deadtime_grid(spark, d):
-    few = _by_time(spark, d).where("cluster_id < 3 and mz < 600")
-    return anneal.grid_search(few, [3.0, 5.0, 7.0], [0.5, 3.0])
-
-
 # --- clusters -------------------------------------------------------------------------------
 
 
@@ -250,6 +238,26 @@ def cluster_extents(spark, d):
     return k.groupBy("cluster_id").agg(F.round(F.max("rt") - F.min("rt"), 6).alias("rt_span"), F.round(F.max("mz") - F.min("mz"), 6).alias("mz_span"), F.max("intensity").alias("max_intensity"))
 
 
+def _bright(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 brightest clusters that keep four scans: what a deadtime search works on."""
+    return clustering.brightest(preprocess.bright_clusters(_clustered(spark, d), 1, 1.0, 4))
+
+
+@query(f"WITH RECURSIVE {_LABELS}, f AS (SELECT cluster_id FROM k GROUP BY 1 HAVING count(DISTINCT rt) >= 4), t AS (SELECT cluster_id FROM k SEMI JOIN f USING (cluster_id) GROUP BY 1 ORDER BY max(intensity) DESC, cluster_id LIMIT 50) SELECT cluster_id, peak_id, rt, mz, intensity FROM k SEMI JOIN t USING (cluster_id)")
+def brightest_clusters(spark, d):
+    return _bright(spark, d).select("cluster_id", "peak_id", "rt", "mz", "intensity")
+
+
+@query()
+def deadtime_search(spark, d):
+    return anneal.search_deadtime(_bright(spark, d), restarts=10, max_iter=20, dwell=5)
+
+
+@query()
+def deadtime_grid(spark, d):
+    return anneal.grid_search(_bright(spark, d), [3.0, 4.0, 5.0, 6.0, 7.0], [0.5, 1.0, 2.0, 3.0])
+
+
 @query()
 def gaussian_fit(spark, d):
     return shapes.volumes(shapes.fit_gaussians(clustering.cluster(_points(spark, d), 5.0, min_size=10), 5.0))

@@ -9,9 +9,9 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once (a longer text is worked on alone); bounds memory, not results.
 SLICE_BYTES = 8 << 20
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Tables for bytes.translate: A-Z to a-z, and white space to 1, the rest to 0.
+_LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
+_SPACE = bytes(b == 32 or 9 <= b < 14 for b in range(256))
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -23,13 +23,12 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
-    """``batches`` cut so that the texts of each part have ``size`` bytes (SLICE_BYTES) at most or are one row."""
-    size = size or SLICE_BYTES
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """``batches`` cut so that the texts of each part have SLICE_BYTES at most or are one row."""
     for batch in batches:
         ends, i = utf8(batch[text])[1], 0
         while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + size, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_BYTES, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
 
@@ -64,14 +63,13 @@ def hash_of(word: bytes) -> int:
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the distinct words with A-Z in lower case; the words of all texts, end to end, as places among them; each text's number of words."""
     data, offsets = utf8(texts)
-    low = _LOWER[data]
-    space = _SPACE[low]
+    lowered = data.tobytes().translate(_LOWER)
+    low, space = np.frombuffer(lowered, np.uint8), np.frombuffer(lowered.translate(_SPACE), bool)
     starts = ~space
     starts[1:] &= space[:-1]
     firsts = offsets[:-1][offsets[:-1] < len(data)]
     starts[firsts] = ~space[firsts]
-    before = np.concatenate([[0], np.cumsum(starts)])
-    counts = before[offsets[1:]] - before[offsets[:-1]]
+    counts = np.diff(np.searchsorted(np.flatnonzero(starts), offsets))
     kept = low[~space]
     bounds = np.append(np.flatnonzero(starts[~space]), len(kept)).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(kept)])

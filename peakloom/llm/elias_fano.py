@@ -74,6 +74,16 @@ class EliasFano:
         x = self.high[word]
         return word * 64 + _select_in_word(~x if flip else x, i - ahead[word].astype(np.int64))
 
+    def _following(self, ahead: np.ndarray, place: np.ndarray, i: np.ndarray, flip: bool) -> np.ndarray:
+        """Place of the one (or zero) next to the i-th, which is at ``place``."""
+        word, bit = place >> 6, (place & 63).astype(np.uint64)
+        x = self.high[word]
+        rest = ((~x if flip else x) >> bit) >> _U(1)
+        after = place + 1 + np.bitwise_count((rest & (~rest + _U(1))) - _U(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._select(ahead, i[far] + 1, flip)
+        return after
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), np.uint64)
@@ -87,15 +97,10 @@ class EliasFano:
         return (((self._select(self.ones, i, False) - i).astype(np.uint64)) << _U(self.width)) | self._low(i)
 
     def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The i-th and the next number. The next one's place is mostly in the same word of the high bits."""
+        """The i-th and the next number."""
         i = i.astype(np.int64)
         place = self._select(self.ones, i, False)
-        word, bit = place >> 6, (place & 63).astype(np.uint64)
-        rest = (self.high[word] >> bit) >> _U(1)
-        gap = np.bitwise_count((rest & (~rest + _U(1))) - _U(1)).astype(np.int64)
-        after = place + 1 + gap
-        far = np.flatnonzero(rest == 0)
-        after[far] = self._select(self.ones, i[far] + 1, False)
+        after = self._following(self.ones, place, i, False)
         value = lambda p, k: (((p - k).astype(np.uint64)) << _U(self.width)) | self._low(k)
         return value(place, i), value(after, i + 1)
 
@@ -109,9 +114,12 @@ class EliasFano:
         last = int(self.zeros[-1]) - 1
         out_of = (h < 0) | (h > last)
         h = np.where(out_of, 0, h)
-        lo = np.where(h > 0, self._select(self.zeros, np.maximum(h - 1, 0), True) - np.maximum(h - 1, 0), 0)
-        hi = np.minimum(self._select(self.zeros, h, True) - h, self.n if end is None else end)
-        lo = np.maximum(lo, begin)
+        # the ones of numbers with these high bits lie between the zeros h - 1 and h, which mostly share a word
+        before = np.maximum(h - 1, 0)
+        place = self._select(self.zeros, before, True)
+        after = self._following(self.zeros, place, before, True)
+        lo = np.maximum(np.where(h > 0, place - before, 0), begin)
+        hi = np.minimum(np.where(h > 0, after - h, place), self.n if end is None else end)
         stop = hi.copy()
         todo = np.flatnonzero((lo < hi) & ~out_of)
         while len(todo):

@@ -8,7 +8,7 @@ from the last key of the range ahead), so a look-up is a successor search relati
 context. Keys of level 3 are relative to context too: a word is its place among the successors
 of the middle word, whose range is far smaller than the vocabulary. Probabilities are
 interpolated by absolute discounting, with the discount estimated from counts of counts in each
-shard (which holds millions of tokens, or all of them), and stored, like back-off weights, as
+shard (which holds a million tokens, or all of them), and stored, like back-off weights, as
 8-bit codes into the means of 255 equal ranges of their logarithms.
 
 The unigram level is add-one over N training tokens and V distinct ones: (c + 1) / (N + V + 1).
@@ -36,9 +36,7 @@ from peakloom.llm.elias_fano import EliasFano, load, prefixed, save, stored
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of a level-1 shard and training tokens of a shard of the other levels, in the mean; set task memory, not results.
-WORDS_A_SHARD, TOKENS_A_SHARD = 1 << 20, 2 << 20
-#: Bytes of text that are scored at once; arrays of that many tokens stay in the cache.
-SCORED_BYTES = 2 << 20
+WORDS_A_SHARD, TOKENS_A_SHARD = 1 << 20, 1 << 20
 #: Hashes of strings that cannot be words, since they hold a space.
 BEGIN, END = (hash_of(x) for x in (b" begin", b" end"))
 
@@ -425,7 +423,7 @@ def score(docs: DataFrame) -> DataFrame:
     model = train(rows.where("not held_out"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=SCORED_BYTES):
+        for batch in slices(batches):
             s = model.score(batch["text"])
             cols = [batch["doc_id"], batch["held_out"], pa.array(s["n_tokens"]), pa.array(s["n_known"]), pa.array(np.full(batch.num_rows, model.n, np.int64)), pa.array(s["base_score"]), pa.array(s["score"])]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -264,7 +264,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     """One row a document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
     sketched = written(docs.mapInArrow(lambda it: _sketch(it, shingle), "doc_id long, n long, k binary, sig array<int>"), "sketches")
-    classes = sketched.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep"))
+    # aggregates are tables of their own ahead of joins on their key, so that Spark can split the rows of a hot key
+    classes = written(sketched.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketched.where("k is not null and doc_id is not null").join(classes.withColumnRenamed("k", "class"), (F.col("k") == F.col("class")) & (F.col("doc_id") == F.col("rep")))
     reps = written(reps.select("rep", "k", "n", "sig"), "representatives")
 
@@ -272,7 +273,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     nodes = reps.select("rep", F.lit(None).cast("long").alias("parent"), F.explode(F.array(*first)).alias("node"))
     leaves, dense, level = [], [], 0
     while True:
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        sizes = written(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"sizes-{level}")
         sized = written(nodes.join(sizes, "node").select("node", "rep", "c", "parent"), f"nodes-{level}")
         leaves.append(sized.where(F.col("c") <= LEAF))
         large = sized.where(F.col("c") > LEAF)

@@ -40,7 +40,7 @@ TOKENS, TREES, LEAF = 64, 12, 256
 DENSE, DENSE_TASK = 0.85, 4096
 #: Chance of a second branch: 1 / 0.85 branches in the mean.
 SECOND = 0.176
-#: A pair is confirmed on full sets if so many of its TOKENS agree; pairs at the threshold fail this once in 100,000.
+#: A pair is confirmed on full sets if so many of its TOKENS agree; pairs at the threshold fail this once in 30,000.
 AGREE = 42
 #: Leaders of a larger dense node in its first round.
 LEADERS = 32

@@ -8,8 +8,8 @@ hold the same pieces, and best-fits the displaced ones. Between rounds each isla
 migrates to the next island. The best island's packing of each block is the result.
 
 Defined cases: null and empty texts are one end token; repeated rows are packed each; empty
-tables give an empty result; very long texts become many pieces; columns besides doc_id and text
-are not read. The seed of every random choice is the block, island and round, so lost tasks are
+tables give an empty result; very long texts become many pieces; the tokenizer's added tokens
+(<|endoftext|>) are one id each where a text holds them; columns besides doc_id and text are not read. The seed of every random choice is the block, island and round, so lost tasks are
 recomputed alike.
 """
 
@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import random
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -47,7 +49,8 @@ def vocabulary() -> str:
 def encoding(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = json.loads(Path(path).with_suffix(".json").read_text("utf-8"))["added_tokens"]
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
@@ -55,7 +58,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
     path = path or vocabulary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = functools.partial(encoding(path).encode, allowed_special="all", disallowed_special=())
         for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):

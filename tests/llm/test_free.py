@@ -215,6 +215,16 @@ def test_ranks_equal_the_tokenizer():
         assert encode(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_equal_the_tokenizer(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "word <|endoftext|> " * 700]
+    rows = packing.pieces(docs(spark, texts)).collect()
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        got = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
+        assert sum(n for _, n, _ in got) == len(ids) and all(zlib.crc32(ids[at : at + n].tobytes()) == crc for at, n, crc in got)
+
+
 def check_packing(rows, texts):
     encode = packing.encoding(packing.vocabulary()).encode_ordinary
     pieces = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)

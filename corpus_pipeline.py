@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from peakloom.functions.shared import written
 from peakloom.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 
+#: Near duplicates share this of their five-word shingles; op8's own threshold is higher.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the vote model reject go."""
@@ -25,8 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return near_dedup.keep_one_of_each(docs)
+    """One document of each group of near duplicates (similarity NEAR_PERCENT or more) stays."""
+    return near_dedup.keep_one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

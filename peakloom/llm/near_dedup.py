@@ -3,8 +3,9 @@
 Documents are sets of word shingles. Equal sets are one class. Class representatives branch
 recursively: a tree's node picks one of the minwise tokens (at times two, so that a pair at the
 threshold stays together once a level in the mean) and its documents go to the child of their
-own value. Small nodes are compared exhaustively. Several independent trees bring the recall of
-pairs at the threshold to 1 - (1 - threshold) ** TREES at the first level. Large nodes that
+own value. Small nodes are compared exhaustively. There are as many independent trees as pairs at
+the threshold need to miss all of them at most TREE_MISS of the time in nodes down to level
+SHALLOW. Large nodes that
 branching hardly splits (groups of near copies: a share DENSE of the parent's documents agree)
 are linked with their full sets at hand, only pairs across components being compared; the largest
 of them are worked off by leaders instead: in each round some members, and twice as many in the
@@ -20,8 +21,11 @@ empty tables give empty results; columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +38,14 @@ from peakloom.llm.arrow_words import hashed_words, mixed, slices
 from peakloom.operators.components import connected_components
 
 SHINGLE, PERCENT = 5, 85
-#: Minwise tokens a document, trees, and documents in a node that is compared exhaustively.
-TOKENS, TREES, LEAF = 64, 12, 256
+#: Minwise tokens a document, and documents in a node that is compared exhaustively.
+TOKENS, LEAF = 64, 256
 #: A large node that kept this share of its parent is dense; up to so many documents, one task links it.
 DENSE, DENSE_TASK = 0.85, 4096
-#: Chance of a second branch: 1 / 0.85 branches in the mean.
-SECOND = 0.176
-#: A pair is confirmed on full sets if so many of its TOKENS agree; pairs at the threshold fail this once in 30,000.
-AGREE = 42
+#: Pairs at the threshold fail the filter of agreeing tokens at most so often, and all their trees at most so often.
+FILTER_MISS, TREE_MISS = 1 / 30_000, 1 / 1000
+#: All documents get the trees that nodes of this level need.
+SHALLOW = 4
 #: Leaders of a larger dense node in its first round.
 LEADERS = 32
 #: Bits of the filter that keeps texts without candidates from being shuffled. Its size is fixed; hits that it lets through by chance are joined away.
@@ -49,6 +53,44 @@ FILTER_BITS = 1 << 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _agreeing(percent: int) -> list[float]:
+    """Chance of each number of agreeing tokens, for a pair at the threshold."""
+    s = percent / 100
+    return [math.comb(TOKENS, a) * s**a * (1 - s) ** (TOKENS - a) for a in range(TOKENS + 1)]
+
+
+@functools.lru_cache(maxsize=16)
+def agree(percent: int) -> int:
+    """A pair is confirmed on full sets if so many of its TOKENS agree."""
+    below = itertools.accumulate(_agreeing(percent))
+    return next(a for a, p in enumerate(below) if p > FILTER_MISS)
+
+
+def second(percent: int) -> float:
+    """Chance of a second branch: a pair at the threshold has one common child a level in the mean."""
+    return 100 / percent - 1
+
+
+def together(share: float, percent: int, level: int) -> float:
+    """Chance that a pair with ``share`` of its tokens in common is in one node of a tree's ``level``."""
+    gone, two = 0.0, second(percent)
+    for _ in range(level):
+        apart = 1 - share + share * gone
+        gone = (1 - two) * apart + two * apart**2
+    return share * (1 - gone)
+
+
+@functools.lru_cache(maxsize=512)
+def trees(level: int, percent: int) -> int:
+    """The least number of trees of which a pair at the threshold misses all TREE_MISS of the time, if nodes are compared at ``level``."""
+    chances = [(p, together(a / TOKENS, percent, level)) for a, p in enumerate(_agreeing(percent)) if a >= agree(percent)]
+    enough = lambda n: sum(p * (1 - q) ** n for p, q in chances) <= TREE_MISS
+    high = 1
+    while not enough(high):
+        high *= 2
+    return bisect.bisect_left(range(high + 1), True, lo=1, key=enough)
+
+
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Each text's sorted distinct shingle hashes (64 bits)."""
     distinct, places, counts = hashed_words(texts)
@@ -159,6 +201,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _node_pairs(percent: int):
+    least = agree(percent)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by node; a node's rows may be cut by a batch's end."""
         rest = None
@@ -186,7 +230,7 @@ def _node_pairs(percent: int):
                 x, y = (np.add.outer(at[k : k + step], q).ravel() for q in (i, j))
                 ok = (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent) & (rep[x] != rep[y])
                 x, y = x[ok], y[ok]
-                ok = (sig[x] == sig[y]).sum(1) >= AGREE
+                ok = (sig[x] == sig[y]).sum(1) >= least
                 x, y = rep[x[ok]], rep[y[ok]]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -196,6 +240,7 @@ def _node_pairs(percent: int):
 
 def _dense_links(percent: int):
     """Confirmed links that connect all of a dense node's components."""
+    least = agree(percent)
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
         rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
@@ -210,7 +255,7 @@ def _dense_links(percent: int):
             return i
 
         for i in range(1, len(rep)):
-            close = ((sig[:i] == sig[i]).sum(1) >= AGREE) & (np.minimum(n[:i], n[i]) * 100 >= np.maximum(n[:i], n[i]) * percent)
+            close = ((sig[:i] == sig[i]).sum(1) >= least) & (np.minimum(n[:i], n[i]) * 100 >= np.maximum(n[:i], n[i]) * percent)
             for j in np.flatnonzero(close).tolist():
                 if top(i) != top(j) and similar(sets[i], sets[j], percent):
                     root[top(i)] = top(j)
@@ -220,11 +265,11 @@ def _dense_links(percent: int):
     return link
 
 
-def _branch(nodes: DataFrame, reps: DataFrame, level: int) -> DataFrame:
+def _branch(nodes: DataFrame, reps: DataFrame, level: int, percent: int) -> DataFrame:
     """Children (node, rep, parent) of ``nodes``: all documents of a node branch by the same tokens. parent: its number of documents."""
     pick = lambda salt: F.pmod(F.xxhash64("node", F.lit(level), F.lit(salt)), F.lit(TOKENS)).cast("int")
     child = lambda c: F.xxhash64("node", c, F.get("sig", c))
-    twice = F.pmod(F.xxhash64("node", F.lit(level), F.lit("twice")), F.lit(1000)) < int(SECOND * 1000)
+    twice = F.pmod(F.xxhash64("node", F.lit(level), F.lit("twice")), F.lit(1000)) < int(second(percent) * 1000)
     wide = nodes.join(reps.select("rep", "sig"), "rep")
     children = F.when(twice, F.array_distinct(F.array(child(pick("one")), child(pick("two"))))).otherwise(F.array(child(pick("one"))))
     return wide.select("rep", F.col("c").alias("parent"), F.explode(children).alias("node"))
@@ -244,7 +289,7 @@ def _leader_pairs(dense: DataFrame, reps: DataFrame, labels: DataFrame, used: Da
     tokens = lambda end: reps.select(F.col("rep").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}"))
     pairs = pairs.join(tokens("a"), "a").join(tokens("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    return pairs.where(same >= AGREE).select("a", "b"), leaders.select("node", F.col("leader").alias("rep"))
+    return pairs.where(same >= agree(percent)).select("a", "b"), leaders.select("node", F.col("leader").alias("rep"))
 
 
 def _worked_off(dense: DataFrame, sets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -269,7 +314,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     reps = sketched.where("k is not null and doc_id is not null").join(classes.withColumnRenamed("k", "class"), (F.col("k") == F.col("class")) & (F.col("doc_id") == F.col("rep")))
     reps = written(reps.select("rep", "k", "n", "sig"), "representatives")
 
-    first = [F.xxhash64(F.lit(t), F.get("sig", F.lit(t * TOKENS // TREES))) for t in range(TREES)]
+    base = trees(SHALLOW, percent)
+    first = [F.xxhash64(F.lit(t), F.get("sig", F.lit(t * TOKENS // base))) for t in range(base)]
     nodes = reps.select("rep", F.lit(None).cast("long").alias("parent"), F.explode(F.array(*first)).alias("node"))
     leaves, dense, level = [], [], 0
     while True:
@@ -281,7 +327,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
             break
         level += 1
         dense.append(large.where(F.col("c") >= DENSE * F.col("parent")).select("node", "rep", "c"))
-        nodes = _branch(large.where(F.col("parent").isNull() | (F.col("c") < DENSE * F.col("parent"))), reps, level)
+        nodes = _branch(large.where(F.col("parent").isNull() | (F.col("c") < DENSE * F.col("parent"))), reps, level, percent)
     small = functools.reduce(DataFrame.union, leaves)
     filled = small.select("node", "rep").join(reps.select("rep", "n", "sig"), "rep").repartition("node").sortWithinPartitions("node")
     pairs = written(filled.select("node", "rep", "n", "sig").mapInArrow(_node_pairs(percent), "a long, b long").distinct(), "candidates")

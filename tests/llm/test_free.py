@@ -335,6 +335,35 @@ def test_near_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3] and len(kept.columns) == len(docs(spark, []).columns)
 
 
+def pair_of(rng, shingles):
+    """Two texts that differ in one word, so in five shingles each."""
+    a = [f"v{rng.randrange(10**9)}" for _ in range(shingles + 4)]
+    b = list(a)
+    b[len(a) // 2] = "edit"
+    return [" ".join(a), " ".join(b)]
+
+
+def test_pipeline_drops_copies_from_four_fifths_on(spark):
+    rng = random.Random(4)
+    texts = [t for shingles in (45, 50, 40) for _ in range(20) for t in pair_of(rng, shingles)]  # 0.80, 0.82, 0.78
+    kept = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs(spark, texts), "").collect()}
+    assert kept == {*range(0, 80, 2), *range(80, 120)}
+
+
+def test_trees_and_filter_follow_threshold_and_depth():
+    assert near_dedup.agree(85) == 42 and near_dedup.agree(80) < 40 and near_dedup.trees(4, 85) == 12 < near_dedup.trees(4, 80)
+    rng, level = random.Random(8), 9
+    share, second = 0.85, near_dedup.second(85)
+
+    def reached(pairs, k):
+        if not k or not pairs:
+            return pairs > 0
+        return reached(sum(rng.random() < share for _ in range(pairs) for _ in range(1 + (rng.random() < second))), k - 1)
+
+    seen = sum(rng.random() < share and reached(1, level) for _ in range(4000)) / 4000
+    assert seen == pytest.approx(near_dedup.together(share, 85, level), abs=0.04)
+
+
 def test_packed_sets():
     v = np.sort(np.random.RandomState(0).randint(0, 2**62, 500).astype(np.uint64))
     assert (near_dedup.unpack(near_dedup.pack(v)) == v >> np.uint64(24)).all()

@@ -3,9 +3,11 @@
 Documents are sets of word shingles. Equal sets are one class. Class representatives branch
 recursively: a tree's node picks one of the minwise tokens (at times two, so that a pair at the
 threshold stays together once a level in the mean) and its documents go to the child of their
-own value. Small nodes are compared exhaustively. There are as many independent trees as pairs at
-the threshold need to miss all of them at most TREE_MISS of the time in nodes down to level
-SHALLOW. Large nodes that
+own value. Small nodes are compared exhaustively. Trees are independent and repeated: a pair at
+the threshold stays together less often the deeper its nodes are, so documents in nodes below
+level SHALLOW get as many further trees as their deepest level needs for all trees to miss such
+a pair at most TREE_MISS of the time. From there on nodes of up to DENSE_TASK documents are
+linked like dense ones and branch no further. Large nodes that
 branching hardly splits (groups of near copies: a share DENSE of the parent's documents agree)
 are linked with their full sets at hand, only pairs across components being compared; the largest
 of them are worked off by leaders instead: in each round some members, and twice as many in the
@@ -275,6 +277,39 @@ def _branch(nodes: DataFrame, reps: DataFrame, level: int, percent: int) -> Data
     return wide.select("rep", F.col("c").alias("parent"), F.explode(children).alias("node"))
 
 
+def _grown(nodes: DataFrame, reps: DataFrame, percent: int, name: str) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Leaves and dense nodes below the roots ``nodes``, and each level's documents (rep, level) whose nodes branched into it."""
+    leaves, dense, deep, level = [], [], [], 0
+    while True:
+        sizes = written(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"sizes{name}-{level}")
+        sized = written(nodes.join(sizes, "node").select("node", "rep", "c", "parent"), f"nodes{name}-{level}")
+        leaves.append(sized.where(F.col("c") <= LEAF))
+        large = sized.where(F.col("c") > LEAF)
+        if large.isEmpty():
+            return leaves, dense, deep
+        whole = F.coalesce(F.col("c") >= DENSE * F.col("parent"), F.lit(False))
+        if level >= SHALLOW:  # deeper levels would need more trees
+            whole |= F.col("c") <= DENSE_TASK
+        dense.append(large.where(whole).select("node", "rep", "c"))
+        level += 1
+        branching = large.where(~whole)
+        deep.append(branching.select("rep", F.lit(level).alias("level")))
+        nodes = _branch(branching, reps, level, percent)
+
+
+def _more_roots(deep: DataFrame, reps: DataFrame, base: int, percent: int) -> DataFrame | None:
+    """Roots of further trees for documents in deep nodes, as many as a document's deepest level needs."""
+    reached = deep.groupBy("rep").agg(F.max("level").alias("level")).where(F.col("level") > SHALLOW)
+    reached = written(reached, "depths")
+    deepest = reached.agg(F.max("level")).first()[0]
+    if deepest is None:
+        return None
+    wanted = F.array(*[F.lit(trees(d, percent)) for d in range(deepest + 1)])
+    own = reached.withColumn("wanted", F.get(wanted, F.col("level"))).where(F.col("wanted") > base)
+    rows = own.join(reps.select("rep", "sig"), "rep").withColumn("t", F.explode(F.sequence(F.lit(base), F.col("wanted") - 1)))
+    return rows.select("rep", F.lit(None).cast("long").alias("parent"), F.xxhash64("t", F.get("sig", F.pmod(F.col("t") * 37, F.lit(TOKENS)))).alias("node"))
+
+
 def _leader_pairs(dense: DataFrame, reps: DataFrame, labels: DataFrame, used: DataFrame | None, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of a few leaders of every node that is not connected yet with all its members of other components; and the leaders."""
     named = dense.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -316,18 +351,13 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
     base = trees(SHALLOW, percent)
     first = [F.xxhash64(F.lit(t), F.get("sig", F.lit(t * TOKENS // base))) for t in range(base)]
-    nodes = reps.select("rep", F.lit(None).cast("long").alias("parent"), F.explode(F.array(*first)).alias("node"))
-    leaves, dense, level = [], [], 0
-    while True:
-        sizes = written(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"sizes-{level}")
-        sized = written(nodes.join(sizes, "node").select("node", "rep", "c", "parent"), f"nodes-{level}")
-        leaves.append(sized.where(F.col("c") <= LEAF))
-        large = sized.where(F.col("c") > LEAF)
-        if large.isEmpty():
-            break
-        level += 1
-        dense.append(large.where(F.col("c") >= DENSE * F.col("parent")).select("node", "rep", "c"))
-        nodes = _branch(large.where(F.col("parent").isNull() | (F.col("c") < DENSE * F.col("parent"))), reps, level, percent)
+    roots = reps.select("rep", F.lit(None).cast("long").alias("parent"), F.explode(F.array(*first)).alias("node"))
+    leaves, dense, deep = _grown(roots, reps, percent, "")
+    if deep:
+        roots = _more_roots(functools.reduce(DataFrame.union, deep), reps, base, percent)
+        if roots is not None:
+            for found, more in zip((leaves, dense), _grown(roots, reps, percent, "-deep"), strict=False):
+                found.extend(more)
     small = functools.reduce(DataFrame.union, leaves)
     filled = small.select("node", "rep").join(reps.select("rep", "n", "sig"), "rep").repartition("node").sortWithinPartitions("node")
     pairs = written(filled.select("node", "rep", "n", "sig").mapInArrow(_node_pairs(percent), "a long, b long").distinct(), "candidates")

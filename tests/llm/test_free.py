@@ -364,6 +364,15 @@ def test_trees_and_filter_follow_threshold_and_depth():
     assert seen == pytest.approx(near_dedup.together(share, 85, level), abs=0.04)
 
 
+def test_deep_documents_get_more_trees(spark):
+    reps = spark.range(3).select(F.col("id").alias("rep"), F.array(*[F.lit(k) for k in range(64)]).alias("sig"))
+    deep = spark.createDataFrame([(0, 1), (0, 9), (0, 3), (1, 4), (2, 5)], "rep long, level int")
+    roots = near_dedup._more_roots(deep, reps, 12, 85)
+    assert {r["rep"]: r["count"] for r in roots.groupBy("rep").count().collect()} == {0: near_dedup.trees(9, 85) - 12, 2: near_dedup.trees(5, 85) - 12}
+    assert roots.groupBy("node").count().where("count = 2").count() == near_dedup.trees(5, 85) - 12
+    assert near_dedup._more_roots(deep.where("level < 5"), reps, 12, 85) is None
+
+
 def test_packed_sets():
     v = np.sort(np.random.RandomState(0).randint(0, 2**62, 500).astype(np.uint64))
     assert (near_dedup.unpack(near_dedup.pack(v)) == v >> np.uint64(24)).all()

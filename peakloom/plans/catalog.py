@@ -238,9 +238,14 @@ def cluster_extents(spark, d):
     return k.groupBy("cluster_id").agg(F.round(F.max("rt") - F.min("rt"), 6).alias("rt_span"), F.round(F.max("mz") - F.min("mz"), 6).alias("mz_span"), F.max("intensity").alias("max_intensity"))
 
 
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    """All clusters that keep four scans: what the objective of deadtimes sums over."""
+    return preprocess.bright_clusters(_clustered(spark, d), 1, 1.0, 4)
+
+
 def _bright(spark: SparkSession, d: str) -> DataFrame:
-    """The 50 brightest clusters that keep four scans: what a deadtime search works on."""
-    return clustering.brightest(preprocess.bright_clusters(_clustered(spark, d), 1, 1.0, 4))
+    """The 50 brightest of them: what a deadtime search works on."""
+    return clustering.brightest(_long(spark, d))
 
 
 @query(f"WITH RECURSIVE {_LABELS}, f AS (SELECT cluster_id FROM k GROUP BY 1 HAVING count(DISTINCT rt) >= 4), t AS (SELECT cluster_id FROM k SEMI JOIN f USING (cluster_id) GROUP BY 1 ORDER BY max(intensity) DESC, cluster_id LIMIT 50) SELECT cluster_id, peak_id, rt, mz, intensity FROM k SEMI JOIN t USING (cluster_id)")
@@ -255,7 +260,7 @@ def deadtime_search(spark, d):
 
 @query()
 def deadtime_grid(spark, d):
-    return anneal.grid_search(_bright(spark, d), [3.0, 4.0, 5.0, 6.0, 7.0], [0.5, 1.0, 2.0, 3.0])
+    return anneal.grid_search(_long(spark, d), [3.0, 4.0, 5.0, 6.0, 7.0], [0.5, 1.0, 2.0, 3.0])
 
 
 @query()

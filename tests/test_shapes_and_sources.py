@@ -12,7 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from peakloom.operators import anneal, clustering, curvature, isotopes, shapes
+from peakloom.operators import anneal, clustering, curvature, deadtime, isotopes, shapes
+from peakloom.plans import catalog
 from peakloom.sources import mzxml, text
 from peakloom.streaming.clusterer import OpenClusters, cluster_stream
 
@@ -54,6 +55,21 @@ def test_centroid_and_curvature(spark):
     assert m.n == 8 and m.t2 == sum(i * i for i in range(8))
 
 
+def test_deadtime_grid_sums_over_all_clusters(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(c, float(t), 500.0 + 0.01 * k + 0.002 * rng.random(), 20.0 + 100 * rng.random()) for c in range(80) for t in range(6 - c % 4) for k in range(4)]
+    df = spark.createDataFrame(rows, "cluster_id long, rt double, mz double, intensity double")
+    monkeypatch.setattr(catalog, "_clustered", lambda spark, d: df)
+    got = {(r.tau_ne_ns, r.tau_e_ns): r.cost for r in catalog.deadtime_grid(spark, "").collect()}
+    clusters = [g for _, g in df.orderBy("cluster_id", "rt", "mz").toPandas().groupby("cluster_id")]
+    n, a = deadtime.pulses(), deadtime.flight_constant()
+    assert len(got) == 20
+    for x, y in ((3.0, 0.5), (7.0, 3.0)):
+        assert got[x, y] == pytest.approx(anneal.total_curvature(clusters, np.array([x, y, n, a])), rel=1e-9)
+    none = anneal.grid_search(df.where("cluster_id < 0"), [3.0], [0.5, 1.0]).collect()
+    assert sorted(map(tuple, none)) == [(3.0, 0.5, 0.0), (3.0, 1.0, 0.0)]
+
+
 def test_gaussians_are_recovered(spark):
     rt, mz = np.meshgrid(np.linspace(0, 40, 21), np.linspace(500, 500.4, 21))
     z = 90 * np.exp(-(((20 - rt) / 6) ** 2 + ((500.2 - mz) / 0.07) ** 2) / 2)

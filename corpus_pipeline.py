@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; all documents stay, with n_chars of the text that is left."""
-    return line_dedup.clean_lines(docs).select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+    """Boilerplate lines go, but for those that make up most of a text that other sites have too; all documents stay, with n_chars of the text that is left."""
+    return line_dedup.clean_lines(docs, copies_only=True).select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

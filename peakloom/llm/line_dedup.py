@@ -3,8 +3,9 @@
 A HyperLogLog sketch of sites is kept for each line hash and merged by aggregation. Lines whose
 estimate lies clearly over ``min_sites`` are boilerplate; those near it, within three standard
 errors of the sketch, get an exact distinct count first. A document that would lose more than
-``max_share`` of its characters is left whole: it is a copy of shared content, which is for
-document-level deduplication, and not a page with shared furniture.
+``max_share`` of its characters is left whole, whether or not its text has copies; with
+``copies_only`` just those whose whole text recurs on another site are, which are for
+document-level deduplication.
 
 Defined cases: lines are compared after trimming ASCII white space; blank lines are never
 boilerplate; null text stays null and has no lines; a null site counts as one site of its own;
@@ -44,7 +45,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return written(spread.where(F.col("e") > high).select(*keys).union(exact), "boilerplate")
 
 
-def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, copies_only: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of text, plus n_lines, n_boilerplate and n_removed (long)."""
     found = boilerplate(docs, site, min_sites)
     hits = _keyed(docs, site).join(found, ["__l_a", "__l_b"], "left_semi").groupBy(F.col("doc_id").alias("__l_d"), F.col("__l_t").alias("__l_h")).agg(F.collect_set("__l_pos").alias("__l_drop"))
@@ -52,7 +53,14 @@ def clean_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     wide = wide.join(hits, F.col("__l_i").eqNullSafe(F.col("__l_d")) & (F.col("__l_t") == F.col("__l_h")), "left")
     wide = wide.withColumn("__l_lines", F.split("text", "\n")).withColumn("__l_drop", F.coalesce("__l_drop", F.array().cast("array<int>")))
     lost = F.aggregate("__l_drop", F.lit(0), lambda acc, i: acc + F.length(F.get(F.col("__l_lines"), i)))
-    wide = wide.withColumn("__l_cut", lost <= max_share * F.length("text"))
+    cut = lost <= max_share * F.length("text")
+    if copies_only:
+        where = F.coalesce(F.col(site), F.lit(""))
+        copies = docs.where("text is not null").groupBy(F.xxhash64("text").alias("__l_a"), F.xxhash64(F.lit(1), "text").alias("__l_b")).agg(F.min(where).alias("__l_lo"), F.max(where).alias("__l_hi")).where("__l_lo <> __l_hi")
+        copies = written(copies.select("__l_a", "__l_b", F.lit(True).alias("__l_copy")), "text-copies")
+        wide = wide.join(copies, (F.xxhash64("text") == F.col("__l_a")) & (F.xxhash64(F.lit(1), "text") == F.col("__l_b")), "left")
+        cut |= F.col("__l_copy").isNull()
+    wide = wide.withColumn("__l_cut", cut)
     stays = F.array_except(F.sequence(F.lit(0), F.size("__l_lines") - 1), F.col("__l_drop"))
     cleaned = F.array_join(F.transform(stays, lambda i: F.get(F.col("__l_lines"), i)), "\n")
     n = F.size("__l_drop").cast("long")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from peakloom.llm import license_scan, license_texts, line_dedup, mixing, native_sql, quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,6 +62,14 @@ def test_near_lines_are_counted_exactly(spark):
     assert line_dedup.boilerplate(docs(spark, rows), min_sites=40, lg_k=4).count() == 3
 
 
+def test_pipeline_cleans_all_but_copies(spark):
+    mostly = f"{BOILER}\nshort own"
+    rows = spread(24, [(90, mostly, "s1"), (91, f"{BOILER}\ncopied", "s1"), (92, f"{BOILER}\ncopied", "s2"), (93, None, None), (94, BOILER, "s3")])
+    by = {r.doc_id: r for r in corpus_pipeline.line_stage(spark, docs(spark, rows), "").collect()}
+    assert len(by) == len(rows) and by[90].text == "short own" and by[90].n_chars == 9 and by[94].text == "" and by[93].text is None
+    assert by[91].text == by[92].text == f"{BOILER}\ncopied" and BOILER not in by[0].text
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.clean_lines(docs(spark, [])).count() == 0
 

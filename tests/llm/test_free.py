@@ -208,13 +208,22 @@ def test_media_columns(spark):
 # --- packing --------------------------------------------------------------------------------
 
 
-def test_ranks_equal_the_tokenizer():
+def test_ids_equal_the_tokenizer(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode = packing.encoding(packing.vocabulary()).encode_ordinary
-    for text in [x or "" for x in TEXTS] + ["don't  I'll\n\n\n x1y2 ...!!", "漢字 😀 ñandú", "a" * 3000]:
+    encode = packing.encoder(packing.vocabulary())
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    hard = [" " * 4095 + "x" + "\n" * 4095, " " * 4096 + "x", "y\t \u2003\u00a0" * 20_000, "\n" * 1_000_000, " " * 2_000_000, "a" * 1_000_000, "<|endoftext|>" + " " * 5000 + "<|endoftext|>"]
+    for text in [x or "" for x in TEXTS + rows] + ["don't  I'll\n\n\n x1y2 ...!!", "漢字 😀 ñandú", "x <|endoftext|> y", *hard]:
         assert encode(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_long_blank_runs_are_packed(spark):
+    texts = ["\n" * 1_000_000, " " * 2_000_000, "x <|endoftext|> y"]
+    rows = packing.pack(docs(spark, texts)).collect()
+    check_packing(rows, [*enumerate(texts)])
+    assert [r.length for r in rows if r.doc_id == 2] == [5]
+
+
 def test_added_tokens_equal_the_tokenizer(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", "word <|endoftext|> " * 700]
@@ -226,11 +235,11 @@ def test_added_tokens_equal_the_tokenizer(spark):
 
 
 def check_packing(rows, texts):
-    encode = packing.encoding(packing.vocabulary()).encode_ordinary
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
     want = Counter()
     for i, t in texts:
-        ids = np.array([*encode(t or ""), 2], "<u4")
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         start, end, k = 0, len(ids) % 1024 or 1024, 0
         while start < len(ids):
             want[i, k, start, end - start, zlib.crc32(ids[start:end].tobytes())] += 1
@@ -273,6 +282,23 @@ def test_evolution_does_not_lose_pieces_and_beats_its_start():
     assert (packing.evolve(lengths, [start], 1024, "seed") == best).all()
 
 
+def test_islands_beat_best_fit_decreasing(spark):
+    """Lengths of which a few fill a sequence; migration goes on improving what one round finds."""
+    assert packing.ROUNDS > 2
+    rng = random.Random(1)
+    lengths = [rng.randrange(250, 420) for _ in range(600)]
+    start = np.empty(600, np.int64)
+    packing.best_fit(lengths, sorted(range(600), key=lambda i: -lengths[i]), start, [], 1024)
+    elites = [packing.evolve(np.array(lengths), [], 1024, f"0/{i}/0") for i in range(packing.ISLANDS)]
+    first = min(int(e.max()) for e in elites)
+    for turn in range(1, 6):
+        elites = [packing.evolve(np.array(lengths), [elites[i], elites[i - 1]], 1024, f"0/{i}/{turn}") for i in range(packing.ISLANDS)]
+    assert min(int(e.max()) for e in elites) < first < int(start.max())
+    words = docs(spark, [" x" * (n - 1) for n in lengths])  # one token a word, and the end
+    packed = packing.pack(words).collect()
+    assert len({r.sequence_id for r in packed}) < int(start.max()) + 1 - 2
+
+
 # --- near-dedup -----------------------------------------------------------------------------
 
 

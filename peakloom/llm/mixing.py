@@ -11,7 +11,8 @@ rate 0. Sizes are code points of text, at least 1 a document.
 
 Defined cases: null text has size 1; a null source is the source ''; a null doc_id draws as the
 id 'null'; repeated rows of a document draw the same count, each; an empty table gives an empty
-result; other columns pass through unless their names begin with ``__m_``.
+result; other columns pass through, those named like a result (whatever the case) with
+underscores appended, unless their names begin with ``__m_``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions.shared import written
+from peakloom.llm.columns import column, own_columns
 
 ALPHA, SEED = 0.5, 20_240_501
 
@@ -62,11 +64,13 @@ def poisson_count(rate: Column, u: Column) -> Column:
     return F.when(rate > 0, found).otherwise(F.lit(0))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
-    """Copies of ``docs`` in random order, plus copy (int, from 1) and shuffle_key."""
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = ALPHA, epochs: float = 1.0, seed: int = SEED, report: bool = True) -> DataFrame:
+    """Copies of ``docs`` in random order, plus (if ``report``) copy (int, from 1) and shuffle_key."""
     by_source = written(rates(docs, weights, alpha, epochs), "source-rates")
     u = (F.conv(F.substring(_hashed(str(seed), F.col("doc_id")), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
     drawn = docs.withColumn("__m_s", _source()).join(by_source, F.col("__m_s") == F.col("__m_source")).withColumn("__m_n", poisson_count(F.col("__m_rate"), u))
-    copies = drawn.where("__m_n > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__m_n"))).alias("__m_copy"))
+    copies = drawn.where("__m_n > 0").select(*[column(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__m_n"))).alias("__m_copy"))
     keyed = copies.withColumn("__m_key", _hashed(str(seed + 1), F.col("doc_id"), F.col("__m_copy")))
-    return keyed.repartition(F.col("__m_key")).sortWithinPartitions("__m_key").withColumnsRenamed({"__m_copy": "copy", "__m_key": "shuffle_key"})
+    dealt = keyed.repartition(F.col("__m_key")).sortWithinPartitions("__m_key")
+    added = {"copy": "__m_copy", "shuffle_key": "__m_key"} if report else {}
+    return dealt.select(*[column(c).alias(n) for c, n in own_columns(docs, added).items()], *[F.col(c).alias(n) for n, c in added.items()])

@@ -19,9 +19,9 @@ def line_dedup_sql() -> str:
 WITH ln AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
 bad AS (SELECT trim(line, {_TRIM}) AS k FROM ln WHERE trim(line, {_TRIM}) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= {line_dedup.MIN_SITES}),
 marked AS (SELECT ln.*, bad.k IS NOT NULL AS hit FROM ln LEFT JOIN bad ON trim(line, {_TRIM}) = bad.k),
-per AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_boilerplate, coalesce(sum(length(line)) FILTER (hit), 0) AS lost, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit) AS cleaned FROM marked GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN n_boilerplate > 0 AND lost <= {line_dedup.MAX_SHARE} * length(text) THEN coalesce(cleaned, '') ELSE text END AS text, d.lang, d.source, d.n_chars,
-  coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_boilerplate, 0)::BIGINT AS n_boilerplate, (CASE WHEN lost <= {line_dedup.MAX_SHARE} * length(text) THEN n_boilerplate ELSE 0 END)::BIGINT AS n_removed
+per AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_boilerplate, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT hit) AS cleaned FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n_boilerplate > 0 THEN coalesce(cleaned, '') ELSE text END AS text, d.lang, d.source, d.n_chars,
+  coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_boilerplate, 0)::BIGINT AS n_boilerplate, coalesce(n_boilerplate, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN per USING (doc_id)"""
 
 

@@ -10,6 +10,7 @@ import corpus_pipeline
 from peakloom.llm import license_scan, license_texts, line_dedup, mixing, native_sql, quality_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 PROSE = "The cat sat on a mat and it was warm there. Then a dog came in, and they ran off. "
 
 
@@ -40,26 +41,41 @@ def spread(n, extra=()):
 
 
 def test_boilerplate_goes_and_content_stays(spark):
-    rows = spread(24, [(90, None, "s1"), (91, "", "s1"), (92, "only mine\n\n  " + BOILER + "  \nmore of mine, and more, and still more of it", None), (93, BOILER, "s3"), (3, spread(4)[3][1], "s3")])
+    rows = spread(24, [(90, None, "s1"), (91, "", "s1"), (92, "only mine\n\n  " + BOILER + "  \nmore of mine, and more, and still more of it", None), (93, BOILER, "s3"), (94, f"{BOILER}\n own", "s3"), (3, spread(4)[3][1], "s3"), (None, f"{BOILER}\nno id", "s4")])
     got = line_dedup.clean_lines(clash(docs(spark, rows), "line", "pos", "extra")).orderBy("doc_id").collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows) and BOILER not in by[0].text and by[0].n_removed == 1 and by[0].n_lines == 5
-    assert by[90].text is None and by[90].n_lines == 0 and by[91].text == ""
+    assert by[90].text is None and by[90].n_lines == 0 and by[91].text == "" and by[None].text == "no id"
     assert by[92].text == "only mine\n\nmore of mine, and more, and still more of it"
-    assert by[93].text == BOILER and by[93].n_boilerplate == 1 and by[93].n_removed == 0
+    assert by[93].text == "" and by[93].n_boilerplate == by[93].n_removed == 1 and by[94].text == " own"
     assert [r.text for r in got if r.doc_id == 3] == [by[3].text] * 2 and by[0].extra == "x"
+    left = {r.doc_id: r for r in line_dedup.clean_lines(docs(spark, rows), max_share=0.5).collect()}
+    assert left[93].text == BOILER and left[94].text == f"{BOILER}\n own" and left[93].n_removed == 0 and left[93].n_boilerplate == 1 and BOILER not in left[0].text
+
+
+def test_names_of_results_may_clash(spark, tmp_path):
+    df = clash(docs(spark, spread(24)), "N_Lines", "n_lines_", "n_removed", "copy", "Shuffle_Key")
+    line_dedup.clean_lines(df).write.parquet(str(tmp_path / "lines"))
+    got = spark.read.parquet(str(tmp_path / "lines"))
+    assert got.columns == [*DOC_COLUMNS, "N_Lines__", "n_lines_", "n_removed_", "copy", "Shuffle_Key", "n_lines", "n_boilerplate", "n_removed"]
+    assert got.first()["N_Lines__"] == got.first()["n_removed_"] == "x" and got.first()["n_removed"] == 1
+    assert line_dedup.clean_lines(df, report=False).columns == df.columns
+    mixing.mix(df).write.parquet(str(tmp_path / "mix"))
+    got = spark.read.parquet(str(tmp_path / "mix"))
+    assert got.columns == [*DOC_COLUMNS, "N_Lines", "n_lines_", "n_removed", "copy_", "Shuffle_Key_", "copy", "shuffle_key"]
+    assert got.first()["copy_"] == "x" and mixing.mix(df, report=False).columns == df.columns
 
 
 def test_lines_on_few_sites_stay_however_often(spark):
     rows = [(i, f"common\nown {i} and words of it", f"s{i % 9}") for i in range(200)]
-    assert line_dedup.boilerplate(docs(spark, rows)).count() == 0
+    assert line_dedup.boilerplate(line_dedup.keyed_lines(docs(spark, rows))).count() == 0
     rows = [(i, f"common\nown {i} and words of it", f"s{i % 10}") for i in range(200)]
-    assert line_dedup.boilerplate(docs(spark, rows)).count() == 1
+    assert line_dedup.boilerplate(line_dedup.keyed_lines(docs(spark, rows))).count() == 1
 
 
 def test_near_lines_are_counted_exactly(spark):
     rows = [(i * 1000 + s, f"line {i}\nfiller of document {i} {s} which is long enough", f"site{s}") for i, n in enumerate((38, 39, 40, 41, 44)) for s in range(n)]
-    assert line_dedup.boilerplate(docs(spark, rows), min_sites=40, lg_k=4).count() == 3
+    assert line_dedup.boilerplate(line_dedup.keyed_lines(docs(spark, rows)), min_sites=40, lg_k=4).count() == 3
 
 
 def test_pipeline_cleans_all_but_copies(spark):

@@ -15,6 +15,8 @@ from peakloom.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 
 #: Near duplicates share this of their five-word shingles; op8's own threshold is higher.
 NEAR_PERCENT = 80
+#: A copy of another site's text that would lose more than this share of its characters is left to near-dedup.
+COPY_SHARE = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, but for those that make up most of a text that other sites have too; all documents stay, with n_chars of the text that is left."""
-    return line_dedup.clean_lines(docs, copies_only=True).select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+    return line_dedup.clean_lines(docs, max_share=COPY_SHARE, copies_only=True, report=False).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated, or left out, to the target weights of their sources."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, report=False)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,8 @@ from peakloom.functions.shared import run_dir, written
 
 #: Decompressed bytes at which a frame, and at which a bundle, is closed.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 27
+#: Tasks that read bundles back, at most; each then reads several.
+MOST_TASKS = 1 << 16
 # Fixed values of the seekable format: magic numbers of the skippable frame and of the footer, flag for checksums.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 DATE = "2024-01-01T00:00:00Z"
@@ -154,7 +156,9 @@ class BundleReader:
 def referenced(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html and refers_to of all pages."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("d", F.sha1("html"))
-    first = rows.where(F.octet_length("html") >= min_bytes).groupBy("d").agg(F.min("page_id").alias("first")).withColumnRenamed("d", "digest")
+    first = rows.where(F.octet_length("html") >= min_bytes).groupBy("d").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # only digests that repeat are joined; as a table of its own, so that Spark can split the rows of a hot digest
+    first = written(first.where("n > 1 and first is not null").select(F.col("d").alias("digest"), "first"), "first-pages")
     wide = rows.join(first, F.col("d") == F.col("digest"), "left")
     return wide.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("first") != F.col("page_id")), F.col("first")).alias("refers_to"))
 
@@ -206,8 +210,11 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    names = index.select("bundle").distinct().repartition("bundle")
-    return names.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # a bundle is a task: with their number given, small groups of names are not put together
+    names = written(index.select("bundle").distinct(), "bundles")
+    tasks = min(max(1, names.count()), MOST_TASKS)
+    placed = names.repartitionByRange(tasks, "bundle")
+    return placed.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def look_up(index: DataFrame, folder: str, page_ids: DataFrame) -> DataFrame:

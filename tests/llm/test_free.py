@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from peakloom.functions.shared import run_dir
 from peakloom.llm import arrow_words, chat_format, elias_fano, mpeg_audio, near_dedup, ngram_lm, packing, warc_bundles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -428,6 +429,29 @@ def test_warc_round_trip(spark, monkeypatch):
     assert {r.payload_bytes for r in some} == {9}
 
 
+def test_every_bundle_is_a_task_and_hot_digests_are_split(spark, monkeypatch):
+    monkeypatch.setattr(warc_bundles, "BUNDLE_BYTES", 3000)
+    rng = random.Random(6)
+    rows = [(i, rng.randbytes(60).hex(), "the same page" if rng.random() < 0.95 else f"page {i} {rng.random()}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        hot = Counter(r.at for r in warc_bundles.referenced(df).withColumn("at", F.spark_partition_id()).collect() if r.html == "the same page")
+        assert len(hot) > 3 and max(hot.values()) < 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+    folder = run_dir(spark, "warc")
+    index = warc_bundles.write_bundles(df, folder)
+    n = index.select("bundle").distinct().count()
+    back = warc_bundles.read_bundles(index, folder)
+    assert n > 14 and back.groupBy(F.spark_partition_id()).count().count() == n and back.count() == 4000
+    assert back.where("record_type = 'revisit'").select("refers_to").distinct().count() == 1
+
+
 def test_records_are_found_by_the_index(spark, tmp_path):
     df = spark.createDataFrame([(i, f"u{i}", f"page {i % 50}" * 4000) for i in range(200)], "page_id long, url string, html string")
     folder = f"file://{tmp_path}/w"

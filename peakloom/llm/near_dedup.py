@@ -1,24 +1,30 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Documents are sets of word shingles. Equal sets are one class. Class representatives branch
-recursively: a tree's node picks one of the minwise tokens (at times two, so that a pair at the
-threshold stays together once a level in the mean) and its documents go to the child of their
-own value. Small nodes are compared exhaustively. Trees are independent and repeated: a pair at
-the threshold stays together less often the deeper its nodes are, so documents in nodes below
-level SHALLOW get as many further trees as their deepest level needs for all trees to miss such
-a pair at most TREE_MISS of the time. From there on nodes of up to DENSE_TASK documents are
-linked like dense ones and branch no further. Large nodes that
-branching hardly splits (groups of near copies: a share DENSE of the parent's documents agree)
-are linked with their full sets at hand, only pairs across components being compared; the largest
-of them are worked off by leaders instead: in each round some members, and twice as many in the
-next, are compared with all members of other components, until a node's members are connected or
-each has been compared with all others. So no member is capped or left out. Every candidate
-link is confirmed on full shingle sets, and components are those of confirmed links.
+Documents are sets of word shingles. Equal sets are one class. Classes branch recursively: a
+tree's node picks one of the minwise tokens (at times two, so that a pair at the threshold stays
+together once a level in the mean) and its documents go to the child of their own value. Small
+nodes are compared exhaustively. Trees are independent and repeated: a pair at the threshold
+stays together less often the deeper its nodes are, so documents in nodes below level SHALLOW get
+as many further trees as their deepest level needs for all trees to miss such a pair at most
+TREE_MISS of the time. From there on nodes of up to DENSE_TASK documents branch no further. Large
+nodes that branching hardly splits (groups of near copies: a share DENSE of the parent's documents
+agree) are compared whole, too.
+
+Comparing means agreeing minwise tokens first. A node hands on only a forest of its candidate
+pairs, those that agree most; every link is confirmed on full shingle sets, first the best of
+each document, then those between components that are still apart. Where candidates beside a
+node's forest could still connect something, its sets meet in tiles of bounded size. The largest
+nodes are worked off by leaders: in each round some members, and twice as many in the next, are
+compared with all members of other components, until a node's members are connected or each has
+been compared with all others. So no member is capped or left out, and components are those of
+all links.
 
 Defined cases: null and blank texts have empty sets and are linked with nothing; texts of fewer
 words than a shingle have their whole sequence as their one element; rows that repeat a doc_id
 are judged by their own text; a null doc_id gets a null component unless its class has an id;
-empty tables give empty results; columns besides doc_id and text are not read.
+empty tables give empty results; columns besides doc_id and text are not read. Of the rows of a
+component ``keep_one_of_each`` keeps one of the smallest doc_id, repeated rows and null ids (which
+come last) included.
 """
 
 from __future__ import annotations
@@ -42,8 +48,10 @@ from peakloom.operators.components import connected_components
 SHINGLE, PERCENT = 5, 85
 #: Minwise tokens a document, and documents in a node that is compared exhaustively.
 TOKENS, LEAF = 64, 256
-#: A large node that kept this share of its parent is dense; up to so many documents, one task links it.
-DENSE, DENSE_TASK = 0.85, 4096
+#: A large node that kept this share of its parent is dense; up to so many documents, one task finds its forest.
+DENSE, DENSE_TASK = 0.85, 2048
+#: Bytes of sets on a side of a tile.
+TILE_BYTES = 8 << 20
 #: Pairs at the threshold fail the filter of agreeing tokens at most so often, and all their trees at most so often.
 FILTER_MISS, TREE_MISS = 1 / 30_000, 1 / 1000
 #: All documents get the trees that nodes of this level need.
@@ -139,11 +147,12 @@ def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(
             [
                 batch["doc_id"],
+                batch["t"],
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([next(tokens).tolist() if len(s) else None for s in sets], pa.list_(pa.int32())),
             ],
-            ["doc_id", "n", "k", "sig"],
+            ["doc_id", "t", "n", "k", "sig"],
         )
 
 
@@ -172,9 +181,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ends: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """(rep, set) for every rep of ``ends``, out of the texts; a fixed-size filter goes ahead of the shuffle."""
-    p = _slot(F.col("rep"))
-    rows = ends.groupBy(F.bitmap_bucket_number(p).alias("g")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bits")).collect()
+    """(rep, set) for every class of ``ends``, out of the texts; a fixed-size filter of their least ids goes ahead of the shuffle."""
+    wanted = written(reps.select("rep", "k", F.coalesce("least", F.lit(-1)).alias("id")).join(ends, "rep", "left_semi"), "wanted-sets")
+    p = _slot(F.col("id"))
+    rows = wanted.groupBy(F.bitmap_bucket_number(p).alias("g")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("bits")).collect()
     seen = docs.sparkSession.sparkContext.broadcast({r["g"]: bytes(r["bits"]) for r in rows})
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +196,11 @@ def _sets_of(docs: DataFrame, ends: DataFrame, reps: DataFrame, shingle: int) ->
                 continue
             batch = batch.filter(pa.array(hit))
             sets = shingle_sets(batch["text"], shingle)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([pack(s) for s in sets], pa.binary())], ["rep", "k", "set"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([pack(s) for s in sets], pa.binary())], ["id", "k", "set"])
 
-    found = docs.where("doc_id is not null").select("doc_id", "text", _slot(F.col("doc_id")).alias("p")).mapInArrow(fetch, "rep long, k binary, set binary")
-    return found.join(reps.select("rep", "k").join(ends, "rep", "left_semi"), ["rep", "k"]).dropDuplicates(["rep"]).select("rep", "set")
+    own = F.coalesce(F.col("doc_id"), F.lit(-1))
+    found = docs.select(own.alias("id"), "text", _slot(own).alias("p")).mapInArrow(fetch, "id long, k binary, set binary")
+    return found.join(wanted, ["id", "k"]).dropDuplicates(["rep"]).select("rep", "set")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,7 +213,32 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _agreement(sig: np.ndarray, n: np.ndarray, i: int, least: int, percent: int) -> np.ndarray:
+    """Agreeing tokens of each document with the i-th, 0 where they cannot be a candidate pair."""
+    w = (sig == sig[i]).sum(1)
+    w[(w < least) | (np.minimum(n, n[i]) * 100 < np.maximum(n, n[i]) * percent)] = 0
+    w[i] = 0
+    return w
+
+
+def forest(sig: np.ndarray, n: np.ndarray, percent: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """The candidate pairs (with their agreement) that connect a node's candidates with most agreement, and each document's number of candidates."""
+    m, least = len(n), agree(percent)
+    best, via, outside, degree, found, i = np.full(m, -1), np.zeros(m, np.int64), np.ones(m, bool), np.zeros(m, np.int64), [], 0
+    for _ in range(m):
+        outside[i] = False
+        w = _agreement(sig, n, i, least, percent)
+        degree[i] = np.count_nonzero(w)
+        better = outside & (w > 0) & (w > best)
+        best[better], via[better] = w[better], i
+        i = int(np.where(outside, best, -2).argmax())
+        if outside[i] and best[i] > 0:
+            found.append((int(via[i]), i, int(best[i])))
+    return found, degree
+
+
 def _node_pairs(percent: int):
+    """Rows (node, a, b, w): a node's forest, and, without b, its members that have candidates beside the forest."""
     least = agree(percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,40 +251,60 @@ def _node_pairs(percent: int):
             cut = int(np.searchsorted(node, node[-1])) if len(node) else 0
             rest = table.slice(cut)
             if cut:
-                yield from one(table.slice(0, cut))
+                yield one(table.slice(0, cut))
         if rest is not None and rest.num_rows:
-            yield from one(rest)
+            yield one(rest)
 
-    def one(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def one(table: pa.Table) -> pa.RecordBatch:
         node, rep, n = (table[c].to_numpy() for c in ("node", "rep", "n"))
         sig = np.asarray(table["sig"].combine_chunks().flatten()).reshape(-1, TOKENS)
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         sizes = np.diff(np.r_[starts, len(node)])
+        rows: list[tuple[int, int, int | None, int]] = []
         for size in np.unique(sizes[sizes > 1]).tolist():
             at = starts[sizes == size]
-            i, j = np.triu_indices(size, 1)
-            step = max(1, 100_000 // len(i))
-            for k in range(0, len(at), step):
-                x, y = (np.add.outer(at[k : k + step], q).ravel() for q in (i, j))
-                ok = (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent) & (rep[x] != rep[y])
-                x, y = x[ok], y[ok]
-                ok = (sig[x] == sig[y]).sum(1) >= least
-                x, y = rep[x[ok]], rep[y[ok]]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            if size <= LEAF:
+                at = single(rows, node, rep, n, sig, at, size)
+            for k in at.tolist():
+                part = slice(k, k + size)
+                pairs, degree = forest(sig[part], n[part], percent)
+                rows += [(node[k], min(rep[k + x], rep[k + y]), max(rep[k + x], rep[k + y]), w) for x, y, w in pairs]
+                if degree.sum() > 2 * len(pairs):
+                    rows += [(node[k], rep[k + x], None, 0) for x in np.flatnonzero(degree).tolist()]
+        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["node", "a", "b", "w"])
+
+    def single(rows: list, node, rep, n, sig, at: np.ndarray, size: int) -> np.ndarray:
+        """Add the pairs of nodes (of equal size) that have one candidate pair; the starts of those that have more."""
+        i, j = np.triu_indices(size, 1)
+        step, more = max(1, 100_000 // len(i)), []
+        for k in range(0, len(at), step):
+            x, y = (np.add.outer(at[k : k + step], q).ravel() for q in (i, j))
+            ok = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+            x, y = x[ok], y[ok]
+            w = (sig[x] == sig[y]).sum(1)
+            ok = w >= least
+            x, y, w = x[ok], y[ok], w[ok]
+            of, first, count = np.unique(node[x], return_index=True, return_counts=True)
+            alone = first[count == 1]
+            rows += zip(node[x[alone]].tolist(), np.minimum(rep[x[alone]], rep[y[alone]]).tolist(), np.maximum(rep[x[alone]], rep[y[alone]]).tolist(), w[alone].tolist(), strict=True)
+            more.append(at[k : k + step][np.isin(node[at[k : k + step]], of[count > 1])])
+        return np.concatenate(more)
 
     return compare
 
 
-def _dense_links(percent: int):
-    """Confirmed links that connect all of a dense node's components."""
+def _tile_links(percent: int):
+    """Confirmed links that connect a tile's components, between its two sides or inside its one."""
     least = agree(percent)
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
-        rep, n = table["rep"].to_numpy(), table["n"].to_numpy()
+        table = table.sort_by("rep")
+        rep, n, of, side = (table[c].to_numpy() for c in ("rep", "n", "component", "block"))
         sig = np.asarray(table["sig"].combine_chunks().flatten()).reshape(-1, TOKENS)
-        sets = [unpack(x) for x in table["set"].to_pylist()]
-        root, found = list(range(len(rep))), []
+        packed, sets = table["set"].to_pylist(), {}
+        root, place = np.unique(of, return_inverse=True)
+        root, found, two = list(range(len(root))), [], key[1] != key[2]
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -256,17 +312,57 @@ def _dense_links(percent: int):
                 i = root[i]
             return i
 
+        def own(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = unpack(packed[i])
+            return sets[i]
+
         for i in range(1, len(rep)):
-            close = ((sig[:i] == sig[i]).sum(1) >= least) & (np.minimum(n[:i], n[i]) * 100 >= np.maximum(n[:i], n[i]) * percent)
+            close = _agreement(sig[: i + 1], n[: i + 1], i, least, percent) > 0
+            if two:
+                close &= side[: i + 1] != side[i]
             for j in np.flatnonzero(close).tolist():
-                if top(i) != top(j) and similar(sets[i], sets[j], percent):
-                    root[top(i)] = top(j)
+                if top(place[i]) != top(place[j]) and similar(own(i), own(j), percent):
+                    root[top(place[i])] = top(place[j])
                     found.append((rep[i], rep[j]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return link
 
 
+def _tiled(members: DataFrame, sets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """Links inside nodes (node, rep) that still have several components: their sets are dealt to blocks, and every two blocks meet."""
+    named = members.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    apart = written(named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node"), "open-nodes")
+    named = written(named.join(apart, "node", "left_semi").join(sets.select("rep", F.octet_length("set").alias("bytes")), "rep"), "open-members")
+    if named.isEmpty():
+        return None
+    blocks = written(named.groupBy("node").agg(F.ceil(F.sum("bytes") / TILE_BYTES).alias("blocks")), "open-sizes")
+    dealt = named.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = dealt.select("node", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    at_hand = tiles.join(reps.select("rep", "n", "sig"), "rep").join(sets, "rep")
+    return at_hand.groupBy("node", "i", "j").applyInArrow(_tile_links(percent), "a long, b long")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """``labels`` (node, component) with the links among ``pairs`` (a, b, w): the best of each document is confirmed first, then those between components that are still apart."""
+    ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "w").union(pairs.select("b", "a", "w"))
+    order = F.struct("w", F.xxhash64(F.least("rep", "other"), F.greatest("rep", "other")).alias("h"), "other")
+    best = ends.groupBy("rep").agg(F.max(order).alias("x")).select(F.least("rep", "x.other").alias("a"), F.greatest("rep", "x.other").alias("b")).distinct()
+    best = written(best, "best-pairs")
+    as_edges = lambda labels: labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    edges = _confirm(best, sets, percent)
+    labels = written(connected_components(written(edges if labels is None else edges.union(as_edges(labels)), "edges")), "labels")
+    rest = pairs.join(best, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    rest = written(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").distinct(), "rest-pairs")
+    if rest.isEmpty():
+        return labels
+    return written(connected_components(written(_confirm(rest, sets, percent).union(as_edges(labels)), "edges")), "labels")
+
+
 def _branch(nodes: DataFrame, reps: DataFrame, level: int, percent: int) -> DataFrame:
     """Children (node, rep, parent) of ``nodes``: all documents of a node branch by the same tokens. parent: its number of documents."""
     pick = lambda salt: F.pmod(F.xxhash64("node", F.lit(level), F.lit(salt)), F.lit(TOKENS)).cast("int")
@@ -311,7 +407,7 @@ def _more_roots(deep: DataFrame, reps: DataFrame, base: int, percent: int) -> Da
 
 
 def _leader_pairs(dense: DataFrame, reps: DataFrame, labels: DataFrame, used: DataFrame | None, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of a few leaders of every node that is not connected yet with all its members of other components; and the leaders."""
+    """Candidate pairs (a, b, w) of a few leaders of every node that is not connected yet with all its members of other components; and the leaders."""
     named = dense.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
     open_nodes = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
@@ -324,30 +420,28 @@ def _leader_pairs(dense: DataFrame, reps: DataFrame, labels: DataFrame, used: Da
     tokens = lambda end: reps.select(F.col("rep").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}"))
     pairs = pairs.join(tokens("a"), "a").join(tokens("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    return pairs.where(same >= agree(percent)).select("a", "b"), leaders.select("node", F.col("leader").alias("rep"))
+    return pairs.withColumn("w", same).where(F.col("w") >= agree(percent)).select("a", "b", "w"), leaders.select("node", F.col("leader").alias("rep"))
 
 
 def _worked_off(dense: DataFrame, sets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """``labels`` with all links inside dense nodes."""
+    """``labels`` with all links inside large dense nodes."""
     used, turn = None, 0
     while True:
         pairs, leaders = _leader_pairs(dense, reps, labels, used, turn, percent)
         if leaders.isEmpty():
             return labels
         used = written(leaders if used is None else used.union(leaders), "leaders-used")
-        edges = _confirm(pairs, sets, percent).union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = written(connected_components(written(edges, "edges")), "labels")
+        labels = _linked(written(pairs, "leader-pairs"), sets, labels, percent)
         turn += 1
 
 
-def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select("doc_id", "text")
-    sketched = written(docs.mapInArrow(lambda it: _sketch(it, shingle), "doc_id long, n long, k binary, sig array<int>"), "sketches")
+def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """One row a document: doc_id, t (hash of the text), n, class_id (null for empty sets), component_id (the least doc_id of its component)."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    sketched = written(docs.mapInArrow(lambda it: _sketch(it, shingle), "doc_id long, t long, n long, k binary, sig array<int>"), "sketches")
     # aggregates are tables of their own ahead of joins on their key, so that Spark can split the rows of a hot key
-    classes = written(sketched.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sketched.where("k is not null and doc_id is not null").join(classes.withColumnRenamed("k", "class"), (F.col("k") == F.col("class")) & (F.col("doc_id") == F.col("rep")))
-    reps = written(reps.select("rep", "k", "n", "sig"), "representatives")
+    reps = sketched.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
+    reps = written(reps.withColumn("rep", F.xxhash64("k")), "classes")
 
     base = trees(SHALLOW, percent)
     first = [F.xxhash64(F.lit(t), F.get("sig", F.lit(t * TOKENS // base))) for t in range(base)]
@@ -358,30 +452,51 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         if roots is not None:
             for found, more in zip((leaves, dense), _grown(roots, reps, percent, "-deep"), strict=False):
                 found.extend(more)
-    small = functools.reduce(DataFrame.union, leaves)
-    filled = small.select("node", "rep").join(reps.select("rep", "n", "sig"), "rep").repartition("node").sortWithinPartitions("node")
-    pairs = written(filled.select("node", "rep", "n", "sig").mapInArrow(_node_pairs(percent), "a long, b long").distinct(), "candidates")
-    ends = _ends(pairs)
+    small, large = functools.reduce(DataFrame.union, leaves).select("node", "rep"), None
     if dense:
         dense = written(functools.reduce(DataFrame.union, dense).distinct(), "dense")
-        ends = ends.union(dense.select("rep")).distinct()
+        small = small.union(dense.where(F.col("c") <= DENSE_TASK).select("node", "rep"))
+        large = dense.where(F.col("c") > DENSE_TASK).select("node", "rep")
+    filled = small.join(reps.select("rep", "n", "sig"), "rep").repartition("node").sortWithinPartitions("node", "rep")
+    compared = written(filled.select("node", "rep", "n", "sig").mapInArrow(_node_pairs(percent), "node long, a long, b long, w int"), "candidates")
+    pairs = written(compared.where("b is not null").groupBy("a", "b").agg(F.max("w").alias("w")), "forests")
+    ends = _ends(pairs)
+    if large is not None:
+        ends = ends.union(large.select("rep")).distinct()
     sets = written(_sets_of(docs, ends, reps, shingle), "sets")
-    edges = _confirm(pairs, sets, percent)
-    if dense:
-        at_hand = dense.where(F.col("c") <= DENSE_TASK).select("node", "rep").join(reps.select("rep", "n", "sig"), "rep").join(sets, "rep")
-        edges = edges.union(at_hand.groupBy("node").applyInArrow(_dense_links(percent), "a long, b long"))
-    labels = written(connected_components(written(edges, "edges")), "labels")
-    if dense:
-        larger = dense.where(F.col("c") > DENSE_TASK).select("node", "rep")
-        if not larger.isEmpty():
-            labels = _worked_off(larger, sets, reps, labels, percent)
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("k").alias("class"), F.coalesce("component", "rep").alias("component"))
-    out = sketched.select("doc_id", "n", "k").join(named, F.col("k") == F.col("class"), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    labels = _linked(pairs, sets, None, percent)
+    more = _tiled(compared.where("b is null").select("node", F.col("a").alias("rep")), sets, reps, labels, percent)
+    if more is not None:
+        edges = more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = written(connected_components(written(edges, "edges")), "labels")
+    if large is not None and not large.isEmpty():
+        labels = _worked_off(large, sets, reps, labels, percent)
+    named = reps.select("k", "rep", "least").join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = written(named, "named-classes")
+    ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
+    named = written(named.join(ids, "component").select(F.col("k").alias("class"), "component", "component_id"), "classes-of-components")
+    out = sketched.select("doc_id", "t", "n", "k").join(named, F.col("k") == F.col("class"), "left")
+    return out.select("doc_id", "t", "n", F.col("component").alias("class_id"), F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept."""
+    out = _judged(docs, shingle, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that have a near duplicate with a smaller doc_id."""
-    gone = written(components(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("__n_gone")), "near-duplicates")
-    return docs.join(gone, F.col("doc_id") == F.col("__n_gone"), "left_anti")
+    """``docs`` with one row of each component, of its smallest doc_id; rows with empty sets all stay."""
+    judged = written(_judged(docs, shingle, percent).where("class_id is not null"), "near-duplicates")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "t")
+    kept = written(judged.groupBy("class_id").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "kept-rows")
+    rows = judged.join(kept, "class_id").select(order.alias("mine"), "o", F.col("doc_id").alias("__n_id"), F.col("t").alias("__n_t"))
+    gone = written(rows.where("mine <> o").select("__n_id", "__n_t").distinct(), "gone-rows")
+    twice = rows.where("mine = o").groupBy("__n_id", "__n_t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__n_id", "__n_t")
+    twice = written(twice, "repeated-rows")
+    at = lambda keys: F.col("doc_id").eqNullSafe(keys["__n_id"]) & (F.xxhash64("text") == keys["__n_t"])
+    out = docs.join(gone, at(gone), "left_anti")
+    if twice.isEmpty():
+        return out
+    single = docs.join(twice, at(twice), "left_semi").withColumn("__n_t", F.xxhash64("text")).dropDuplicates(["doc_id", "__n_t"]).drop("__n_t")
+    return out.join(twice, at(twice), "left_anti").union(single)

@@ -362,6 +362,16 @@ def test_near_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3] and len(kept.columns) == len(docs(spark, []).columns)
 
 
+def test_one_row_of_each_stays(spark):
+    same, other = "a b c d e f g", "q r s t u v w x"
+    rows = [(7, same), (7, same), (None, same), (3, other), (3, same + " h"), (None, "alone in it"), (None, "alone in it"), (5, None), (5, None), (None, ""), (8, " "), (4, "A B c d e f g")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, __n int")
+    kept = near_dedup.keep_one_of_each(df, percent=60).collect()
+    groups = Counter((r.text or "").lower()[:4] for r in kept if (r.text or "").strip())
+    assert groups == {"a b ": 1, "q r ": 1, "alon": 1} and [r.doc_id for r in kept if (r.text or "").startswith("a b")] == [3]
+    assert sum(not (r.text or "").strip() for r in kept) == 4
+
+
 def pair_of(rng, shingles):
     """Two texts that differ in one word, so in five shingles each."""
     a = [f"v{rng.randrange(10**9)}" for _ in range(shingles + 4)]
@@ -400,6 +410,68 @@ def test_deep_documents_get_more_trees(spark):
     assert near_dedup._more_roots(deep.where("level < 5"), reps, 12, 85) is None
 
 
+def test_copies_are_confirmed_by_few_joins(spark, monkeypatch):
+    """200 near copies: the sets that meet pairs weigh less than twice the texts."""
+    rng, seen = random.Random(12), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+    texts = []
+    for i in range(200):
+        c = list(base)
+        for _ in range(rng.randrange(1, 12)):
+            c[rng.randrange(len(c))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(c))
+    confirm, tiled = near_dedup._confirm, near_dedup._tiled
+
+    def counted(pairs, sets, percent):
+        wide = [pairs.join(sets.withColumnRenamed("rep", end), end) for end in ("a", "b")]
+        seen.append(sum(w.agg(F.sum(F.octet_length("set"))).first()[0] or 0 for w in wide))
+        return confirm(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "_confirm", counted)
+    monkeypatch.setattr(near_dedup, "_tiled", lambda *a: seen.append(tiled(*a)))
+    got = near_dedup.components(docs(spark, texts)).collect()
+    assert {r.component_id for r in got} == {0} and seen[-1] is None
+    assert sum(seen[:-1]) < 2 * sum(len(t) for t in texts)
+
+
+@pytest.mark.parametrize("tile", [8 << 20, 4000])
+def test_tiles_link_what_forests_miss(spark, monkeypatch, tile):
+    """A ladder of texts in steps just under and over the threshold, with forests of the wrong pairs."""
+    monkeypatch.setattr(near_dedup, "TILE_BYTES", tile)
+    monkeypatch.setattr(near_dedup, "_linked", lambda pairs, sets, labels, percent: sets.select(F.col("rep").alias("node"), F.col("rep").alias("component")))
+    texts = near_corpus()
+    got = near_dedup.components(docs(spark, texts)).collect()
+    want = brute_near(texts)
+    groups = Counter(c for _, _, c, _ in want)
+    for i, n, c, _ in want:  # groups of three and more are found by tiles alone
+        if groups[c] > 8:
+            assert next(r for r in got if r.doc_id == i).component_id == c
+
+
+def test_forest_spans_the_candidates():
+    rng = np.random.RandomState(3)
+    base = rng.randint(0, 9, (5, 64)).astype(np.int32)
+    sig = np.repeat(base, 12, 0)
+    for row in sig:
+        row[rng.choice(64, rng.randint(0, 20), False)] = rng.randint(10, 10**6)
+    n = rng.randint(100, 110, len(sig))
+    pairs, degree = near_dedup.forest(sig, n, 85)
+    least = near_dedup.agree(85)
+    close = [[j for j in range(60) if j != i and (sig[i] == sig[j]).sum() >= least and min(n[i], n[j]) * 100 >= 85 * max(n[i], n[j])] for i in range(60)]
+    assert degree.tolist() == [len(c) for c in close] and all(j in close[i] for i, j, _ in pairs)
+    reach = lambda links: len({frozenset(brute_reach(links, i)) for i in range(60)})
+    assert reach({i: set(c) for i, c in enumerate(close)}) == reach({i: {b for a, b, _ in pairs if a == i} | {a for a, b, _ in pairs if b == i} for i in range(60)}) == 60 - len(pairs)
+
+
+def brute_reach(links, start):
+    seen, todo = {start}, [start]
+    while todo:
+        for j in links[todo.pop()] - seen:
+            seen.add(j)
+            todo.append(j)
+    return seen
+
+
 def test_packed_sets():
     v = np.sort(np.random.RandomState(0).randint(0, 2**62, 500).astype(np.uint64))
     assert (near_dedup.unpack(near_dedup.pack(v)) == v >> np.uint64(24)).all()

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from peakloom.functions.shared import written
 
+_PLACE_BITS = 33  # of monotonically_increasing_id: partition above, place inside it below
 
-def ordinals(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
-    """Distinct values of the numeric column ``key`` with their places from 0.
 
-    Keys go to at most BUCKETS equal ranges between the least and the greatest; places are counted
-    inside each range and moved on by the sizes of the ranges ahead (a table of BUCKETS rows at most).
+def ordinals(df: DataFrame, key: str, name: str = "ordinal", kind: str = "int") -> DataFrame:
+    """Distinct values of the column ``key``, whatever its type, with their places from 0, as a written table of one pass over ``df``.
+
+    Keys are dealt to ranges that Spark samples, so that outliers do not fill one, and sorted there;
+    places inside a range are moved on by the sizes of the ranges ahead (a row for each of them).
     """
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    ends = keys.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    lo, width = float(ends["lo"] or 0), float((ends["hi"] or 0) - (ends["lo"] or 0)) or 1.0
-    keys = keys.withColumn("__r", F.least(F.floor((F.col(key) - lo) / width * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
-    sizes = keys.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
+    placed = keys.repartitionByRange(key).sortWithinPartitions(key).withColumn("__m", F.monotonically_increasing_id())
+    placed = written(placed.select(key, F.shiftright("__m", _PLACE_BITS).alias("__r"), F.col("__m").bitwiseAND((1 << _PLACE_BITS) - 1).alias("__i")), "ordinals")
+    sizes = placed.groupBy("__r").agg((F.max("__i") + 1).alias("__n"))
     ahead = sizes.select("__r", (F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).alias("__ahead"))
-    placed = keys.withColumn("__i", F.row_number().over(Window.partitionBy("__r").orderBy(key)) - 1)
-    return placed.join(F.broadcast(ahead), "__r").select(key, (F.col("__ahead") + F.col("__i")).cast("int").alias(name))
+    return placed.join(F.broadcast(ahead), "__r").select(key, (F.col("__ahead") + F.col("__i")).cast(kind).alias(name))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions.ranking import ordinals
+from peakloom.functions.shared import written
 from peakloom.operators.components import connected_components
 
 #: Defaults of real spectra: linking distance in mz, scans looked back, least points of a cluster, intensity floor.
@@ -24,11 +25,13 @@ def with_scan_ordinals(peaks: DataFrame, key: str = "rt") -> DataFrame:
 def band_pairs(points: DataFrame, id_col: str, ord_col: str, mz_dist: float, back: list[int]) -> DataFrame:
     """(a, b): ids of points whose scans differ by one of ``back`` (a later) and whose mz differs by ``mz_dist`` at most.
 
-    An equi-join on scan and mz cell: each later point asks three cells of each earlier scan.
+    An equi-join on scan and mz cell: cells are as wide as the reach to both sides, and a bit, so that
+    each later point asks two cells of each earlier scan.
     """
-    cell = F.floor(F.col("mz") / mz_dist)
+    width = 2 * mz_dist * (1 + 1e-6)
+    cell, lowest = F.floor(F.col("mz") / width), F.floor((F.col("mz") - width / 2) / width)
     early = points.select(F.col(id_col).alias("b"), F.col(ord_col).alias("o"), cell.alias("c"), F.col("mz").alias("mz_b"))
-    asks = F.array(*[F.struct((F.col(ord_col) - k).alias("o"), (cell + d).alias("c")) for k in back for d in (-1, 0, 1)])
+    asks = F.array(*[F.struct((F.col(ord_col) - k).alias("o"), (lowest + d).alias("c")) for k in back for d in (0, 1)])
     late = points.select(F.col(id_col).alias("a"), F.col("mz").alias("mz_a"), F.explode(asks).alias("q")).select("a", "mz_a", "q.o", "q.c")
     return late.join(early, ["o", "c"]).where((F.col("mz_b") - F.col("mz_a")).between(-mz_dist, mz_dist)).select("a", "b", "mz_a", "mz_b")
 
@@ -97,8 +100,11 @@ def cluster(points: DataFrame, mz_dist: float = MZ_DIST, n_prev: int = N_PREV, m
     """Points (peak_id, scan_ord, mz, ...) with cluster_id, the least peak_id of the cluster, in clusters of ``min_size`` points.
 
     Without ``max_merges`` clusters are the connected components of links. With it (1 is the one-pass
-    clusterer's rule) each component is split further by that order-dependent rule, one component after the other.
+    clusterer's rule) each component is split further by that order-dependent rule, one component after the
+    other in a task: dense data, which percolate into one component, need slabs (see the stream clusterer).
+    Points and result are written tables.
     """
+    points = written(points, "points")
     parts = connected_components(link_edges(points, mz_dist, n_prev)).select(F.col("node").alias("peak_id"), F.col("component").alias("cluster_id"))
     if max_merges is not None:
         linked = points.select("peak_id", "scan_ord", "mz").join(parts, "peak_id")
@@ -125,9 +131,9 @@ def cluster(points: DataFrame, mz_dist: float = MZ_DIST, n_prev: int = N_PREV, m
         dealt = linked.select("cluster_id", "peak_id", "scan_ord", "mz").repartition("cluster_id").sortWithinPartitions("cluster_id", "scan_ord", "mz", "peak_id")
         parts = dealt.mapInPandas(batched, "peak_id bigint, cluster_id bigint")
     if min_size <= 1:
-        return points.join(parts, "peak_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "peak_id"))
+        return written(points.join(parts, "peak_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "peak_id")), "clustered")
     large = parts.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("cluster_id")
-    return points.join(parts.join(large, "cluster_id"), "peak_id")
+    return written(points.join(parts.join(large, "cluster_id"), "peak_id"), "clustered")
 
 
 def last_seen(clustered: DataFrame) -> DataFrame:

@@ -30,10 +30,10 @@ def tof_grid(peaks: DataFrame, min_mz: float, gap: float) -> DataFrame:
 
 
 def grid_matches(peaks: DataFrame, min_mz: float, gap: float, tolerance: float, compat: bool = False) -> DataFrame:
-    """Peaks on the grid: nearest bin within ``tolerance``, one peak a bin and scan. ``compat`` compares whole numbers."""
+    """Peaks on the grid: nearest bin within ``tolerance``, one peak a bin and scan, the one of least mz (then peak_id). ``compat`` compares whole numbers."""
     near = F.round((F.sqrt("mz") - math.sqrt(min_mz)) / gap).cast("int")
     binned = peaks.withColumn("bin", near).withColumn("grid_mz", F.pow(F.lit(math.sqrt(min_mz)) + F.col("bin") * gap, F.lit(2.0)))
     off = F.col("grid_mz") - F.col("mz")
     kept = binned.where(F.abs(off.cast("bigint")) < 1 if compat else F.abs(off) < tolerance)
-    w = Window.partitionBy("scan_num", "bin").orderBy("mz")
+    w = Window.partitionBy("scan_num", "bin").orderBy("mz", *(c for c in ("peak_id",) if c in peaks.columns))
     return kept.withColumn("__i", F.row_number().over(w)).where("__i = 1").drop("__i")

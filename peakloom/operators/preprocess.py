@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions.ranking import ordinals
+from peakloom.functions.shared import written
 
 
 def filter_peaks(peaks: DataFrame, min_mz: float = 0.0, max_mz: float | None = None, min_intensity: float = 0.0, floor: float | None = None) -> DataFrame:
@@ -23,7 +24,7 @@ def filter_peaks(peaks: DataFrame, min_mz: float = 0.0, max_mz: float | None = N
 
 def sample_scans(scans: DataFrame, scan_type: str = "Full", take: str = "all", rt: tuple[float, float] | None = None, num: tuple[int, int] | None = None, renumber: bool = True, order: str = "num") -> DataFrame:
     """Scans of one type; every second of them (``even`` keeps the 2nd, 4th, ...) by their order, before the inclusive ranges; numbered anew from 1 as new_num."""
-    kept = scans.where(F.col("scan_type") == scan_type)
+    kept = written(scans.where(F.col("scan_type") == scan_type), "scans")  # a row a scan, which is numbered next
     if take != "all":
         places = ordinals(kept, order, "__place")
         kept = kept.join(places, order).where(F.col("__place") % 2 == (1 if take == "even" else 0)).drop("__place")
@@ -33,6 +34,7 @@ def sample_scans(scans: DataFrame, scan_type: str = "Full", take: str = "all", r
         kept = kept.where(F.col("num").between(*num))
     if not renumber:
         return kept.withColumn("new_num", F.col("num").cast("int"))
+    kept = written(kept, "sampled-scans") if take != "all" else kept
     return kept.join(ordinals(kept, order, "__place"), order).withColumn("new_num", F.col("__place") + 1).drop("__place")
 
 
@@ -56,8 +58,8 @@ def fullest_scan(peaks: DataFrame) -> DataFrame:
 
 
 def local_maxima(peaks: DataFrame) -> DataFrame:
-    """Peaks that no neighbour in their scan, by mz, exceeds; plateaus pass and ends compare one side."""
-    w = Window.partitionBy("scan_num").orderBy("mz")
+    """Peaks that no neighbour in their scan, by mz (then peak_id, where there is one), exceeds; plateaus pass and ends compare one side."""
+    w = Window.partitionBy("scan_num").orderBy("mz", *(c for c in ("peak_id",) if c in peaks.columns))
     sides = peaks.withColumns({"__l": F.lag("intensity").over(w), "__r": F.lead("intensity").over(w)})
     return sides.where("not (coalesce(intensity < __l, false) or coalesce(intensity < __r, false))").drop("__l", "__r")
 

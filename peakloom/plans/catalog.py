@@ -227,7 +227,7 @@ def orphans(spark, d):
     return clustering.orphans(_clustered(spark, d), 1, 1.0).select("peak_id", "cluster_id")
 
 
-@query(f"WITH RECURSIVE {_LABELS}, n AS (SELECT *, coalesce(mz <> lag(mz) OVER w, true)::INT AS c FROM k WINDOW w AS (PARTITION BY cluster_id ORDER BY mz, rt)) SELECT cluster_id, peak_id, sum(c) OVER (PARTITION BY cluster_id ORDER BY mz, rt ROWS UNBOUNDED PRECEDING)::BIGINT AS line FROM n")
+@query(f"WITH RECURSIVE {_LABELS}, n AS (SELECT *, coalesce(mz <> lag(mz) OVER w, true)::INT AS c FROM k WINDOW w AS (PARTITION BY cluster_id ORDER BY mz, rt, peak_id)) SELECT cluster_id, peak_id, sum(c) OVER (PARTITION BY cluster_id ORDER BY mz, rt, peak_id ROWS UNBOUNDED PRECEDING)::BIGINT AS line FROM n")
 def plot_lines(spark, d):
     return text_files.plot_table(_clustered(spark, d)).select("cluster_id", "peak_id", "line")
 
@@ -326,7 +326,7 @@ def tof_grid(spark, d):
     return grid.tof_grid(_peaks(spark, d), GRID_MIN, GRID_GAP)
 
 
-@query(f"WITH {_P}, b AS (SELECT *, round((sqrt(mz) - {math.sqrt(GRID_MIN)!r}) / {GRID_GAP})::INT AS bin FROM p), g AS (SELECT *, row_number() OVER (PARTITION BY scan_num, bin ORDER BY mz) AS i FROM b WHERE abs(pow({math.sqrt(GRID_MIN)!r} + bin * {GRID_GAP}, 2) - mz) < 1) SELECT peak_id, scan_num, bin FROM g WHERE i = 1")
+@query(f"WITH {_P}, b AS (SELECT *, round((sqrt(mz) - {math.sqrt(GRID_MIN)!r}) / {GRID_GAP})::INT AS bin FROM p), g AS (SELECT *, row_number() OVER (PARTITION BY scan_num, bin ORDER BY mz, peak_id) AS i FROM b WHERE abs(pow({math.sqrt(GRID_MIN)!r} + bin * {GRID_GAP}, 2) - mz) < 1) SELECT peak_id, scan_num, bin FROM g WHERE i = 1")
 def grid_matches(spark, d):
     return grid.grid_matches(_peaks(spark, d), GRID_MIN, GRID_GAP, 1.0).select("peak_id", "scan_num", "bin")
 

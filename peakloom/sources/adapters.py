@@ -23,7 +23,8 @@ def lineitem_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("double").alias("intensity"),
     )
     scans = ordinals(rows, "__at", "scan_num")
-    start = rows.agg(F.min("__at")).first()[0] or 0
+    first = scans.where("scan_num = 0").first()
+    start = first["__at"] if first else 0
     return rows.join(scans, "__at").select("peak_id", F.col("scan_num"), (F.col("__at") - start).cast("double").alias("rt"), "mz", "intensity", "scan_type")
 
 

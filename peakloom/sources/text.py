@@ -86,7 +86,7 @@ def read_abundances(spark: SparkSession, path: str) -> DataFrame:
 def plot_table(points: DataFrame, by_text: bool = False) -> DataFrame:
     """Points of each cluster as plot lines: a new line starts where mz changes, in mz order (by its text if ``by_text``)."""
     order = F.format_string("%.3f", "mz") if by_text else F.col("mz")
-    w = Window.partitionBy("cluster_id").orderBy(order, "rt")
+    w = Window.partitionBy("cluster_id").orderBy(order, "rt", "mz", *(c for c in ("peak_id",) if c in points.columns))
     changed = F.coalesce((F.col("mz") != F.lag("mz").over(w)).cast("int"), F.lit(1))
     return points.withColumn("__new", changed).withColumn("line", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 

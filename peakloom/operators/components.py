@@ -1,7 +1,7 @@
 """Connected components of an edge list, by alternating large-star and small-star rounds.
 
-Every partition's edges are contracted to stars where they lie first, so that only links between
-partitions are left to the rounds. Every round rewrites the edges as stars around smaller nodes
+Edges are dealt to partitions of bounded size by their number, and each is contracted to stars first,
+so that only links between partitions are left to the rounds. Every round rewrites the edges as stars around smaller nodes
 (published as the two-phase alternating algorithm); it ends when a round changes nothing. Only
 edges move, pre-aggregated by node, and every round's edges are a table in the shared folder,
 whose size and checksum are taken while it is written.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.shared import written
 
-#: Edges that are contracted at once; bounds memory, not results.
+#: Edges (16 bytes each) of a partition in the mean, and those that are contracted at once; bounds memory, not results.
 CHUNK = 1 << 20
 
 
@@ -74,11 +74,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _recorded(edges: DataFrame, name: str) -> tuple[DataFrame, dict]:
-    """``edges`` as a written table, with their number, checksum and how many partitions had some."""
+    """``edges`` as a written table, with their number and checksum."""
     seen = Observation()
-    part = F.spark_partition_id()
     sums = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), sums.alias("h"), F.min(part).alias("first"), F.max(part).alias("last")), name)
+    table = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), sums.alias("h")), name)
     return table, seen.get
 
 
@@ -88,8 +87,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Self-loops keep a node in the result; null ends are dropped; no edges give no rows.
     """
     given = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
-    now, state = _recorded(given.where("u <> v").mapInArrow(_contract, "u long, v long"), "links")
-    whole = state["first"] == state["last"] and (state["n"] or 0) <= CHUNK // 2  # one partition, one contraction
+    links, state = _recorded(given.where("u <> v"), "links")
+    parts = -(-state["n"] // CHUNK)
+    now, state = _recorded(links.coalesce(max(1, parts)).mapInArrow(_contract, "u long, v long"), "stars")
+    whole = parts <= 1 and state["n"] <= CHUNK // 2  # all in one contraction
     while state["n"] and not whole:
         seen = state["n"], state["h"]
         now, state = _recorded(_small_star(_large_star(now).distinct()).where("u <> v").distinct(), "stars")

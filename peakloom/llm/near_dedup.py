@@ -14,9 +14,9 @@ Comparing means agreeing minwise tokens first. A node hands on only a forest of
 pairs, those that agree most; every link is confirmed on full shingle sets, first the best of
 each document, then those between components that are still apart. Where candidates beside a
 node's forest could still connect something, its sets meet in tiles of bounded size. The largest
-nodes are worked off by leaders: in each round some members, and twice as many in the next, are
-compared with all members of other components, until a node's members are connected or each has
-been compared with all others. So no member is capped or left out, and components are those of
+nodes are dealt to blocks that are compared so, and leaders connect the blocks: in each round some
+members, and twice as many in the next, are compared with all members of other components, until a
+node's members are connected or each has been compared with all others. So no member is capped or left out, and components are those of
 all links.
 
 Defined cases: null and blank texts have empty sets and are linked with nothing; texts of fewer
@@ -57,7 +57,7 @@ FILTER_MISS, TREE_MISS = 1 / 30_000, 1 / 1000
 #: All documents get the trees that nodes of this level need.
 SHALLOW = 4
 #: Leaders of a larger dense node in its first round.
-LEADERS = 32
+LEADERS = 4
 #: Bits of the filter that keeps texts without candidates from being shuffled. Its size is fixed; hits that it lets through by chance are joined away.
 FILTER_BITS = 1 << 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -455,8 +455,11 @@ def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     small, large = functools.reduce(DataFrame.union, leaves).select("node", "rep"), None
     if dense:
         dense = written(functools.reduce(DataFrame.union, dense).distinct(), "dense")
-        small = small.union(dense.where(F.col("c") <= DENSE_TASK).select("node", "rep"))
-        large = dense.where(F.col("c") > DENSE_TASK).select("node", "rep")
+        # larger nodes are dealt to blocks, whose forests come first; leaders connect what is left between blocks
+        blocks = F.ceil(F.col("c") / DENSE_TASK)
+        block = F.when(blocks > 1, F.xxhash64("node", F.pmod(F.xxhash64("rep"), blocks))).otherwise(F.col("node"))
+        small = small.union(dense.select(block.alias("node"), "rep"))
+        large = dense.where(blocks > 1).select("node", "rep")
     filled = small.join(reps.select("rep", "n", "sig"), "rep").repartition("node").sortWithinPartitions("node", "rep")
     compared = written(filled.select("node", "rep", "n", "sig").mapInArrow(_node_pairs(percent), "node long, a long, b long, w int"), "candidates")
     pairs = written(compared.where("b is not null").groupBy("a", "b").agg(F.max("w").alias("w")), "forests")

@@ -134,12 +134,26 @@ def deadtime_nonext(spark, d):
     return _rounded(fixed.select("peak_id", "scan_num", "mz", "intensity", "corrected"), "corrected")
 
 
-@query()
+def _recurrence(groups: str, keys: str) -> str:
+    """CTEs r(keys, ms, xs, outs): corrected intensities of every group's peaks, one after the other; NaN where saturated. ``groups`` has keys, mz and intensity."""
+    i, window = "k + 1", f"ts[k + 1] - ts[j] <= {TAU_NE!r}"
+    total = lambda what, when: f"coalesce(list_sum(list_transform(range(1, {i}), lambda j: CASE WHEN {window} AND {when} THEN {what} ELSE 0 END)), 0)"
+    free = f"({N!r}::DOUBLE - {total('xs[j]', f'ts[k + 1] - ts[j] > {TAU_E!r}')})"
+    x = f"1 - xs[{i}] * exp({total('outs[j]', f'ts[k + 1] - ts[j] <= {TAU_E!r}')} / {N!r}::DOUBLE) / {free}"
+    return f"""s AS MATERIALIZED (SELECT {keys}, list(mz ORDER BY mz, intensity) AS ms, list(intensity ORDER BY mz, intensity) AS xs, list({A!r}::DOUBLE * sqrt(mz) ORDER BY mz, intensity) AS ts FROM {groups} GROUP BY {keys}),
+r AS (SELECT *, 0 AS k, []::DOUBLE[] AS outs FROM s UNION ALL SELECT * EXCLUDE (k, outs, x), k + 1, list_append(outs, CASE WHEN x > 0 AND NOT isnan(x) THEN -{N!r}::DOUBLE * ln(x) ELSE 'nan'::DOUBLE END) FROM (SELECT *, {x} AS x FROM r WHERE k < len(ts)))"""
+
+
+@query(f"""WITH RECURSIVE {_P}, m AS (SELECT scan_num, mz, sum(intensity) AS intensity FROM p GROUP BY scan_num, mz), {_recurrence('m', 'scan_num')},
+u AS (SELECT scan_num, unnest(ms) AS mz, unnest(xs) AS intensity, unnest(outs) AS y FROM r WHERE k = len(ts))
+SELECT scan_num, mz, intensity, CASE WHEN NOT isnan(y) THEN round(y, 6) END AS corrected FROM u""")
 def deadtime_extending(spark, d):
     return _rounded(deadtime.correct(deadtime.merge_duplicates(_peaks(spark, d)), TAU_NE, TAU_E), "corrected")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLUSTERS}, {_recurrence('c', 'cluster_id, rt')},
+u AS (SELECT cluster_id, rt, unnest(ms) AS mz, unnest(xs) AS intensity, unnest(outs) AS y FROM r WHERE k = len(ts))
+SELECT cluster_id::BIGINT AS cluster_id, rt, mz, intensity, round(CASE WHEN bool_or(isnan(y)) OVER (PARTITION BY cluster_id) THEN intensity ELSE y END, 6) AS corrected FROM u""")
 def deadtime_clusters(spark, d):
     return _rounded(deadtime.correct_clusters(_by_time(spark, d), TAU_NE, TAU_E), "corrected")
 
@@ -166,14 +180,33 @@ def curvature_moments(spark, d):
     return _rounded(sums, *[f"t{k}" for k in range(1, 7)]).withColumns({f"m{k}": F.round(f"m{k}", 4) for k in range(4)})
 
 
-@query()
+def _cubic() -> str:
+    """CTE v(cluster_id, n, curvature) by the normal equations of a cubic over centred times, solved by elimination; of traces with four times at least."""
+    unknowns = range(4)
+    steps = [
+        f"{_CLUSTERS}, m AS (SELECT cluster_id::BIGINT AS cluster_id, rt, sum(mz * intensity) / sum(intensity) AS mz FROM c GROUP BY cluster_id, rt)",
+        "z AS (SELECT *, avg(rt) OVER w AS middle, max(rt) OVER w - min(rt) OVER w AS spread, avg(mz) OVER w AS level FROM m WINDOW w AS (PARTITION BY cluster_id))",
+        "y AS MATERIALIZED (SELECT cluster_id, spread, (rt - middle) / spread AS t, mz - level AS h FROM z)",
+        f"e0 AS (SELECT cluster_id, count(*) AS n, any_value(spread) AS spread, {', '.join(f'sum(pow(t, {i + j})) AS a{i}{j}' for i in unknowns for j in unknowns)}, {', '.join(f'sum(pow(t, {i}) * h) AS b{i}' for i in unknowns)} FROM y GROUP BY cluster_id)",
+    ]
+    for k in range(3):
+        low = range(k + 1, 4)
+        new = [f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}" for i in low for j in low] + [f"b{i} - a{i}{k} / a{k}{k} * b{k} AS b{i}" for i in low]
+        steps.append(f"e{k + 1} AS (SELECT * REPLACE ({', '.join(new)}) FROM e{k})")
+    steps += ["f3 AS (SELECT *, b3 / a33 AS c3 FROM e3)", "f2 AS (SELECT *, (b2 - a23 * c3) / a22 AS c2 FROM f3)", "f1 AS (SELECT *, (b1 - a12 * c2 - a13 * c3) / a11 AS c1 FROM f2)"]
+    first, second = "(c1 + 2 * c2 * t + 3 * c3 * t * t) / y.spread", "(2 * c2 + 6 * c3 * t) / (y.spread * y.spread)"
+    steps.append(f"v AS (SELECT cluster_id, any_value(n) AS n, sum({second} / pow(1 + pow({first}, 2), 1.5)) AS curvature FROM y JOIN f1 USING (cluster_id) GROUP BY cluster_id)")
+    return ", ".join(steps)
+
+
+@query(f"WITH {_cubic()} SELECT cluster_id, n, round(curvature, 15) AS curvature FROM v")
 def cubic_curvature(spark, d):
-    return curvature.cluster_curvature(curvature.centroids(_by_time(spark, d)))
+    return curvature.cluster_curvature(curvature.centroids(_by_time(spark, d))).withColumn("curvature", F.round("curvature", 15))
 
 
-@query()
+@query(f"WITH {_cubic()} SELECT round(sum(abs(curvature)), 14) AS total_curvature FROM v")
 def curvature_objective(spark, d):
-    return curvature.objective(curvature.centroids(_by_time(spark, d)))
+    return curvature.objective(curvature.centroids(_by_time(spark, d))).withColumn("total_curvature", F.round("total_curvature", 14))
 
 
 # --- clusters -------------------------------------------------------------------------------
@@ -273,12 +306,16 @@ def meanshift_count(spark, d):
     return shapes.mean_shift_counts(_clustered(spark, d), 2.0)
 
 
-@query()
-def dbscan_count(spark, d):
-    return shapes.density_counts(_clustered(spark, d), 1.5, 3, 86400.0)
+_NEAR = "y.peak_id < x.peak_id AND x.cluster_id = y.cluster_id AND greatest(abs(x.rt / 86400.0 - y.rt / 86400.0), abs(x.mz - y.mz)) <= 1.5"
 
 
-_NEAR = "y.peak_id < x.peak_id AND x.cluster_id = y.cluster_id AND greatest(abs(x.rt / 86400.0 - y.rt / 86400.0), abs(x.mz - y.mz)) <= 1.5"
+@query(f"""WITH RECURSIVE {_LABELS}, near AS MATERIALIZED (SELECT x.peak_id AS a, y.peak_id AS b FROM k x JOIN k y ON {_NEAR}), two AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+core AS MATERIALIZED (SELECT a AS p FROM two GROUP BY 1 HAVING count(*) + 1 >= 3), cl AS MATERIALIZED (SELECT a, b FROM two SEMI JOIN core x ON a = x.p SEMI JOIN core y ON b = y.p),
+cr(a, b) AS (SELECT p, p FROM core UNION SELECT cr.a, cl.b FROM cr JOIN cl ON cr.b = cl.a), part AS (SELECT a AS peak_id, min(b) AS part FROM cr GROUP BY 1),
+inside AS (SELECT p AS peak_id FROM core UNION SELECT a FROM two SEMI JOIN core ON b = p)
+SELECT k.cluster_id, count(DISTINCT part) AS subclusters, count(*) FILTER (inside.peak_id IS NULL) AS noise FROM k LEFT JOIN part USING (peak_id) LEFT JOIN inside USING (peak_id) GROUP BY 1""")
+def dbscan_count(spark, d):
+    return shapes.density_counts(_clustered(spark, d), 1.5, 3, 86400.0)
 
 
 @query(f"WITH RECURSIVE {_LABELS} SELECT x.peak_id AS a, y.peak_id AS b FROM k x JOIN k y ON {_NEAR}")
@@ -349,12 +386,31 @@ def fast_exchange_profile(spark, d):
     return isotopes.fast_exchange(isotopes.composition(adapters.part_sequences(spark, d))).withColumn("pct", F.round(F.col("pct") + 1e-10, 8))  # decimal ties go up on either side
 
 
-@query()
+def _isotopic() -> str:
+    """CTEs of compositions and iso(seq_id, idx, pct): one join a convolution, then the cut behind the mode."""
+    log = "lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)"
+    steps = [f"{_SEQ}, t0 AS (SELECT seq_id, 0 AS idx, 1.0::DOUBLE AS v FROM a)"]
+    for i, (element, offset, p) in enumerate(isotopes.ISOTOPES):
+        steps.append(f"b{i} AS (SELECT seq_id, k, CASE WHEN k = 0 THEN pow({1 - p!r}, n) ELSE exp({log}) * pow({p!r}, k) * pow({1 - p!r}, n - k) END AS q FROM (SELECT seq_id, {element} AS n, unnest(range(least({element}, {isotopes.LONGEST}) + 1)) AS k FROM a))")
+        steps.append(f"t{i + 1} AS MATERIALIZED (SELECT t.seq_id, idx + k * {offset} AS idx, sum(v * q) AS v FROM t{i} t JOIN b{i} b USING (seq_id) WHERE idx + k * {offset} < {isotopes.LONGEST} GROUP BY ALL)")
+    last = len(isotopes.ISOTOPES)
+    steps.append(f"full_ AS (SELECT seq_id, idx, v * 100 AS pct, arg_max(idx, struct_pack(a := v, b := -idx)) OVER (PARTITION BY seq_id) AS mode FROM t{last})")
+    steps.append(f"iso AS MATERIALIZED (SELECT f.seq_id, idx, pct FROM full_ f LEFT JOIN (SELECT seq_id, min(idx) AS stop FROM full_ WHERE idx >= mode AND pct < {isotopes.LEAST_PERCENT} GROUP BY 1) USING (seq_id) WHERE idx <= coalesce(stop, {isotopes.LONGEST}))")
+    return ", ".join(steps)
+
+
+_LADDER = f"round({' + '.join(f'a.{x} * {m}' for x, m in isotopes.MASSES.items())} + idx * {isotopes.SPACING}, 6) AS mz"
+
+
+@query(f"WITH {_isotopic()}, top AS (SELECT seq_id, max(pct) AS top FROM (SELECT *, max(idx) OVER (PARTITION BY seq_id) AS last FROM iso) WHERE idx < last OR last = 0 GROUP BY 1) SELECT seq_id, idx::INT AS idx, {_LADDER}, round(pct, 6) AS pct, round(pct / top * 100, 6) AS pct_norm FROM iso JOIN top USING (seq_id) JOIN a USING (seq_id)")
 def isotope_profile(spark, d):
     return _rounded(isotopes.profiles(adapters.part_sequences(spark, d), mode=1), "mz", "pct", "pct_norm")
 
 
-@query()
+_EXCHANGED = "fast AS (SELECT seq_id, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) * pow(0.05, k) * pow(0.95, n - k) * 100 AS q FROM (SELECT seq_id, deut AS n, unnest(range(deut + 1)) AS k FROM a))"
+
+
+@query(f"WITH {_isotopic()}, {_EXCHANGED}, both_ AS MATERIALIZED (SELECT i.seq_id, idx + k AS idx, sum(pct * q) / 100 AS pct FROM iso i JOIN fast USING (seq_id) GROUP BY ALL), top AS (SELECT seq_id, max(pct) AS top FROM both_ GROUP BY 1) SELECT seq_id, idx::INT AS idx, {_LADDER}, round(pct, 6) AS pct, round(pct / top * 100, 6) AS pct_norm FROM both_ JOIN top USING (seq_id) JOIN a USING (seq_id)")
 def combined_profile(spark, d):
     return _rounded(isotopes.profiles(adapters.part_sequences(spark, d)), "mz", "pct", "pct_norm")
 

@@ -99,6 +99,38 @@ def test_one_neighbour_gives_equal_results_and_two_do_not(spark):
         assert (one >= i).all() and (two >= i).all()
 
 
+def plain_recurrence(mz, intensity, tau_ne, tau_e, n, a):
+    """Both deadtimes by two plain loops."""
+    t, out = [a * math.sqrt(m) for m in mz], []
+    for i in range(len(mz)):
+        free, blocked = n, 0.0
+        for j in range(i):
+            if t[i] - t[j] <= tau_e and t[i] - t[j] <= tau_ne:
+                blocked += out[j]
+            elif t[i] - t[j] <= tau_ne:
+                free -= intensity[j]
+        x = 1 - intensity[i] * math.exp(blocked / n) / free if free > 0 and blocked == blocked else math.nan
+        out.append(-n * math.log(x) if x > 0 else math.nan)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_recurrence_against_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    mz = sorted(400 + rng.random() * 0.05 for _ in range(80))
+    mz[7] = mz[6]
+    raw = [float(rng.randint(1, 50)) for _ in mz]
+    raw[6:8] = sorted(raw[6:8])
+    n, a = (60.0 if seed % 2 else 900.0), deadtime.flight_constant()
+    for tau_ne, tau_e in ((5e-10, 1e-10), (5e-10, 0.0), (3e-10, 3e-10), (2e-10, 9e-10)):
+        got, want = deadtime.recurrence(np.array(mz), np.array(raw), tau_ne, tau_e, n, a), plain_recurrence(mz, raw, tau_ne, tau_e, n, a)
+        assert np.allclose(got, want, rtol=1e-9, equal_nan=True) and (seed % 2 == 0 or np.isnan(want).any())
+    points = spark.createDataFrame([(seed, 1.5, m, i) for m, i in zip(mz, raw, strict=True)], "cluster_id long, rt double, mz double, intensity double")
+    want = plain_recurrence(mz, raw, 5e-10, 1e-10, n, a)
+    fixed = [r.corrected for r in deadtime.correct_clusters(points, 5e-10, 1e-10, n).orderBy("mz", "intensity").collect()]
+    assert np.allclose(sorted(fixed), sorted(raw if np.isnan(want).any() else want), rtol=1e-9)
+
+
 def test_window_form_equals_recurrence(spark):
     rng = random.Random(5)
     rows = [(i, i % 3, 0.0, 400 + rng.random() * 0.05, float(rng.randint(1, 50))) for i in range(120)]

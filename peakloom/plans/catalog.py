@@ -277,7 +277,7 @@ def _long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bright(spark: SparkSession, d: str) -> DataFrame:
-    """The 50 brightest of them: what a deadtime search works on."""
+    """The 50 brightest of them."""
     return clustering.brightest(_long(spark, d))
 
 
@@ -288,12 +288,12 @@ def brightest_clusters(spark, d):
 
 @query()
 def deadtime_search(spark, d):
-    return anneal.search_deadtime(_bright(spark, d), restarts=10, max_iter=20, dwell=5)
+    return anneal.search_deadtime(_long(spark, d))
 
 
 @query()
 def deadtime_grid(spark, d):
-    return anneal.grid_search(_long(spark, d), [3.0, 4.0, 5.0, 6.0, 7.0], [0.5, 1.0, 2.0, 3.0])
+    return anneal.grid_search(_long(spark, d), [i * 2 * deadtime.TAU_NE_NS / 99 for i in range(100)], [i * 3 / 99 for i in range(100)])
 
 
 @query()

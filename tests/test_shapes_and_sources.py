@@ -13,7 +13,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from peakloom.operators import anneal, clustering, curvature, deadtime, isotopes, shapes
-from peakloom.plans import catalog
 from peakloom.sources import mzxml, text
 from peakloom.streaming.clusterer import OpenClusters, cluster_stream
 
@@ -55,19 +54,53 @@ def test_centroid_and_curvature(spark):
     assert m.n == 8 and m.t2 == sum(i * i for i in range(8))
 
 
-def test_deadtime_grid_sums_over_all_clusters(spark, monkeypatch):
+def plain_objective(points, parameters):
+    """The objective cluster by cluster with a polynomial fit each."""
+    tau_ne, tau_e, n, a = parameters
+    total = 0.0
+    for _, cluster in points.groupby("cluster_id"):
+        rts, mzs = [], []
+        for rt, s in cluster.sort_values(["rt", "mz", "intensity"]).groupby("rt"):
+            mz, raw = s["mz"].to_numpy(), s["intensity"].to_numpy()
+            fixed = deadtime.recurrence(mz, raw, tau_ne * 1e-9, tau_e * 1e-9, n, a)
+            rts.append(rt)
+            mzs.append(np.average(mz, weights=raw if np.isnan(fixed).any() else fixed))
+        total += abs(curvature.trace_curvature(np.array(rts), np.array(mzs))) if len(rts) > 3 else 0.0
+    return total
+
+
+def long_clusters(spark):
     rng = random.Random(7)
-    rows = [(c, float(t), 500.0 + 0.01 * k + 0.002 * rng.random(), 20.0 + 100 * rng.random()) for c in range(80) for t in range(6 - c % 4) for k in range(4)]
-    df = spark.createDataFrame(rows, "cluster_id long, rt double, mz double, intensity double")
-    monkeypatch.setattr(catalog, "_clustered", lambda spark, d: df)
-    got = {(r.tau_ne_ns, r.tau_e_ns): r.cost for r in catalog.deadtime_grid(spark, "").collect()}
-    clusters = [g for _, g in df.orderBy("cluster_id", "rt", "mz").toPandas().groupby("cluster_id")]
+    rows = [(c, float(t), 500.0 + 0.01 * k + 0.002 * rng.random(), 20.0 + 100 * rng.random()) for c in range(80) for t in range(6 - c % 4) for k in range(1 + (c + t) % 6)]
+    return spark.createDataFrame(rows, "cluster_id long, rt double, mz double, intensity double")
+
+
+def test_deadtime_grid_sums_over_all_clusters(spark, monkeypatch):
+    df = long_clusters(spark)
+    points = df.toPandas()
     n, a = deadtime.pulses(), deadtime.flight_constant()
-    assert len(got) == 20
-    for x, y in ((3.0, 0.5), (7.0, 3.0)):
-        assert got[x, y] == pytest.approx(anneal.total_curvature(clusters, np.array([x, y, n, a])), rel=1e-9)
+    for few in (n, 200.0):  # saturated spectra too
+        assert anneal.Spectra(points).objective(np.array([5.0, 2.0, few, a])) == pytest.approx(plain_objective(points, (5.0, 2.0, few, a)), rel=1e-6)
+    got = {(r.tau_ne_ns, r.tau_e_ns): r.cost for r in anneal.grid_search(df, [3.0, 7.0], [0.0, 0.5, 3.0]).collect()}
+    assert len(got) == 6
+    for x, y in got:
+        assert got[x, y] == pytest.approx(plain_objective(points, (x, y, n, a)), rel=1e-6)
     none = anneal.grid_search(df.where("cluster_id < 0"), [3.0], [0.5, 1.0]).collect()
-    assert sorted(map(tuple, none)) == [(3.0, 0.5, 0.0), (3.0, 1.0, 0.0)]
+    assert all(r.cost == 0.0 for r in none)
+
+
+def test_deadtime_search_works_on_all_clusters(spark, monkeypatch):
+    df = long_clusters(spark)
+    rows = anneal.search_deadtime(df, restarts=2).collect()
+    points = df.toPandas()
+    for r in rows:
+        assert r.cost == pytest.approx(plain_objective(points, (r.tau_ne_ns, r.tau_e_ns, r.pulses, r.flight_constant)), rel=1e-6)
+        assert r.evaluations > 400 and 3 < r.tau_ne_ns < 7 and 0.5 < r.tau_e_ns < 3
+        n, a = deadtime.pulses(), deadtime.flight_constant()
+        assert r.cost <= min(plain_objective(points, (x, y, n, a)) for x in (4.0, 5.0, 6.0) for y in (1.0, 2.0)) * 1.02
+    monkeypatch.setattr(anneal, "MOST_POINTS", 10)
+    with pytest.raises(ValueError):
+        anneal.search_deadtime(df)
 
 
 def test_gaussians_are_recovered(spark):

@@ -13,11 +13,10 @@ agree) are compared whole, too.
 Comparing means agreeing minwise tokens first. A node hands on only a forest of its candidate
 pairs, those that agree most; every link is confirmed on full shingle sets, first the best of
 each document, then those between components that are still apart. Where candidates beside a
-node's forest could still connect something, its sets meet in tiles of bounded size. The largest
-nodes are dealt to blocks that are compared so, and leaders connect the blocks: in each round some
-members, and twice as many in the next, are compared with all members of other components, until a
-node's members are connected or each has been compared with all others. So no member is capped or left out, and components are those of
-all links.
+node's forest could still connect something, its sets meet in tiles of bounded size, where all
+pairs across components are compared. The largest nodes are dealt to blocks that are compared so;
+a few leaders, compared with all members of other components, connect the blocks ahead of the
+tiles. So no member is capped or left out, and components are those of all links.
 
 Defined cases: null and blank texts have empty sets and are linked with nothing; texts of fewer
 words than a shingle have their whole sequence as their one element; rows that repeat a doc_id
@@ -56,7 +55,7 @@ TILE_BYTES = 8 << 20
 FILTER_MISS, TREE_MISS = 1 / 30_000, 1 / 1000
 #: All documents get the trees that nodes of this level need.
 SHALLOW = 4
-#: Leaders of a larger dense node in its first round.
+#: Leaders of a larger dense node.
 LEADERS = 4
 #: Bits of the filter that keeps texts without candidates from being shuffled. Its size is fixed; hits that it lets through by chance are joined away.
 FILTER_BITS = 1 << 22
@@ -302,28 +301,21 @@ def _tile_links(percent: int):
         table = table.sort_by("rep")
         rep, n, of, side = (table[c].to_numpy() for c in ("rep", "n", "component", "block"))
         sig = np.asarray(table["sig"].combine_chunks().flatten()).reshape(-1, TOKENS)
-        packed, sets = table["set"].to_pylist(), {}
-        root, place = np.unique(of, return_inverse=True)
-        root, found, two = list(range(len(root))), [], key[1] != key[2]
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
+        packed, sets, found, two = table["set"].to_pylist(), {}, [], key[1] != key[2]
 
         def own(i: int) -> np.ndarray:
             if i not in sets:
                 sets[i] = unpack(packed[i])
             return sets[i]
 
-        for i in range(1, len(rep)):
-            close = _agreement(sig[: i + 1], n[: i + 1], i, least, percent) > 0
+        label = np.unique(of, return_inverse=True)[1]
+        for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():  # all pairs but those inside the largest
+            close = (_agreement(sig, n, i, least, percent) > 0) & (label != label[i])
             if two:
-                close &= side[: i + 1] != side[i]
+                close &= side != side[i]
             for j in np.flatnonzero(close).tolist():
-                if top(place[i]) != top(place[j]) and similar(own(i), own(j), percent):
-                    root[top(place[i])] = top(place[j])
+                if label[i] != label[j] and similar(own(i), own(j), percent):
+                    label[label == label[i]] = label[j]
                     found.append((rep[i], rep[j]))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
@@ -406,33 +398,20 @@ def _more_roots(deep: DataFrame, reps: DataFrame, base: int, percent: int) -> Da
     return rows.select("rep", F.lit(None).cast("long").alias("parent"), F.xxhash64("t", F.get("sig", F.pmod(F.col("t") * 37, F.lit(TOKENS)))).alias("node"))
 
 
-def _leader_pairs(dense: DataFrame, reps: DataFrame, labels: DataFrame, used: DataFrame | None, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b, w) of a few leaders of every node that is not connected yet with all its members of other components; and the leaders."""
+def _leader_pairs(dense: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b, w) of a few leaders of every node that is not connected yet, of its smaller components first, with all its members of other components."""
     named = dense.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
-    open_nodes = named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node")
-    named = written(named.join(open_nodes, "node", "left_semi").join(sizes, ["node", "component"]), "dense-nodes")
-    free = named if used is None else named.join(used, ["node", "rep"], "left_anti")
-    order = F.struct("c", F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "component")
-    leaders = free.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(LEADERS << min(turn, 20))).alias("slot")).agg(F.min(order).alias("l")).select("node", F.col("l.rep").alias("leader"), F.col("l.component").alias("of"))
-    leaders = written(leaders, "leaders")
+    sizes = written(named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c")), "dense-sizes")
+    apart = sizes.groupBy("node").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("node")
+    named = written(named.join(apart, "node", "left_semi").join(sizes, ["node", "component"]), "dense-nodes")
+    order = F.struct("c", F.xxhash64("rep").alias("h"), "rep", "component")
+    leaders = named.groupBy("node", F.pmod(F.xxhash64("rep"), F.lit(LEADERS)).alias("slot")).agg(F.min(order).alias("l"))
+    leaders = written(leaders.select("node", F.col("l.rep").alias("leader"), F.col("l.component").alias("of")), "leaders")
     pairs = named.join(leaders, "node").where("component <> of").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     tokens = lambda end: reps.select(F.col("rep").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}"))
     pairs = pairs.join(tokens("a"), "a").join(tokens("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    return pairs.withColumn("w", same).where(F.col("w") >= agree(percent)).select("a", "b", "w"), leaders.select("node", F.col("leader").alias("rep"))
-
-
-def _worked_off(dense: DataFrame, sets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """``labels`` with all links inside large dense nodes."""
-    used, turn = None, 0
-    while True:
-        pairs, leaders = _leader_pairs(dense, reps, labels, used, turn, percent)
-        if leaders.isEmpty():
-            return labels
-        used = written(leaders if used is None else used.union(leaders), "leaders-used")
-        labels = _linked(written(pairs, "leader-pairs"), sets, labels, percent)
-        turn += 1
+    return written(pairs.withColumn("w", same).where(F.col("w") >= agree(percent)).select("a", "b", "w"), "leader-pairs")
 
 
 def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -468,12 +447,15 @@ def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         ends = ends.union(large.select("rep")).distinct()
     sets = written(_sets_of(docs, ends, reps, shingle), "sets")
     labels = _linked(pairs, sets, None, percent)
-    more = _tiled(compared.where("b is null").select("node", F.col("a").alias("rep")), sets, reps, labels, percent)
+    open_members = compared.where("b is null").select("node", F.col("a").alias("rep"))
+    if large is not None and not large.isEmpty():
+        pairs = _leader_pairs(large, reps, labels, percent)
+        labels = labels if pairs.isEmpty() else _linked(pairs, sets, labels, percent)
+        open_members = open_members.union(large)
+    more = _tiled(open_members, sets, reps, labels, percent)
     if more is not None:
         edges = more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = written(connected_components(written(edges, "edges")), "labels")
-    if large is not None and not large.isEmpty():
-        labels = _worked_off(large, sets, reps, labels, percent)
     named = reps.select("k", "rep", "least").join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = written(named, "named-classes")
     ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")

@@ -22,6 +22,22 @@ def with_scan_ordinals(peaks: DataFrame, key: str = "rt") -> DataFrame:
     return peaks.join(ordinals(peaks, key, "scan_ord"), key)
 
 
+def with_run_ordinals(peaks: DataFrame, order: str, key: str = "rt") -> DataFrame:
+    """``peaks`` with scan_ord as a reader of lines numbers scans: by ``order`` (unique), a new one wherever the time changes, so that a time that comes back is a scan of its own."""
+    placed = peaks.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+    placed = written(placed, "ordered-peaks")
+    w = Window.partitionBy("__part").orderBy(order)
+    ends = placed.groupBy("__part").agg(F.min_by(key, order).alias("first"), F.max_by(key, order).alias("last"))
+    new = F.coalesce((F.col(key) != F.lag(key).over(w)).cast("int"), F.lit(0))
+    local = placed.withColumn("__i", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = local.groupBy("__part").agg(F.max("__i").alias("n")).join(ends, "__part")
+    parts = Window.orderBy("__part")  # a row a partition
+    joins = F.coalesce((F.col("first") != F.lag("last").over(parts)).cast("int"), F.lit(0))
+    before = F.coalesce(F.sum("n").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = sizes.withColumn("j", joins).select("__part", (before + F.sum("j").over(parts)).alias("__ahead"))
+    return local.join(F.broadcast(ahead), "__part").withColumn("scan_ord", (F.col("__ahead") + F.col("__i")).cast("int")).drop("__part", "__i", "__ahead")
+
+
 def band_pairs(points: DataFrame, id_col: str, ord_col: str, mz_dist: float, back: list[int]) -> DataFrame:
     """(a, b): ids of points whose scans differ by one of ``back`` (a later) and whose mz differs by ``mz_dist`` at most.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +39,33 @@ def grid_matches(peaks: DataFrame, min_mz: float, gap: float, tolerance: float,
     kept = binned.where(F.abs(off.cast("bigint")) < 1 if compat else F.abs(off) < tolerance)
     w = Window.partitionBy("scan_num", "bin").orderBy("mz", *(c for c in ("peak_id",) if c in peaks.columns))
     return kept.withColumn("__i", F.row_number().over(w)).where("__i = 1").drop("__i")
+
+
+def grid_matches_in_order(peaks: DataFrame, min_mz: float, gap: float, bins: int, tolerance: float, compat: bool = False) -> DataFrame:
+    """Peaks (scan_num, bin and their own columns) on the first ``bins`` bins: each, in mz order, takes the first bin behind those taken that is within ``tolerance``.
+
+    Peaks below the first bin or above the end of the last are passed over. ``compat`` compares whole
+    numbers. The rule depends on order, so a scan is folded whole.
+    """
+    mzs = (math.sqrt(min_mz) + np.arange(bins + 1) * gap) ** 2
+    reach = 1.0 if compat else tolerance
+    order = [c for c in ("mz", "peak_id") if c in peaks.columns]
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        values = pdf["mz"].to_numpy()
+        # differences under the reach: whole numbers of a difference are 0 where it lies strictly between -1 and 1
+        lows = np.searchsorted(mzs, values - reach, "right")
+        taken, free = np.full(len(values), -1), 0
+        for i, (mz, low) in enumerate(zip(values.tolist(), lows.tolist(), strict=True)):
+            if mz < mzs[0] - tolerance or mz > mzs[-1] + tolerance:
+                continue
+            c = max(free, low)
+            if c < bins and mzs[c] - mz < reach:
+                taken[i], free = c, c + 1
+            if free >= bins:
+                break
+        return pdf.assign(bin=taken.astype("int32"))[taken >= 0]
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in peaks.dtypes)
+    return peaks.groupBy("scan_num").applyInPandas(scan, f"{schema}, bin int")

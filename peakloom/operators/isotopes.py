@@ -22,7 +22,7 @@ RESIDUES = {
 ENDS = {"h": 3, "o": 1, "deut": 4}
 ISOTOPES = (("h", 1, 0.00015), ("c", 1, 0.01107), ("n", 1, 0.003663), ("o", 1, 0.000375), ("o", 2, 0.002035), ("s", 1, 0.0076), ("s", 2, 0.0429))
 MASSES = {"c": 12.0, "h": 1.007825, "n": 14.00307, "o": 15.99491, "s": 31.9720707}
-SPACING, LEAST_PERCENT, LONGEST = 1.003355, 0.005, 30
+SPACING, LEAST_PERCENT, LONGEST, MOST_ISOTOPES = 1.003355, 0.005, 30, 100
 ATOMS = ("c", "h", "n", "o", "s", "deut")
 
 
@@ -48,9 +48,20 @@ def composition(sequences: DataFrame) -> DataFrame:
     return joined.groupBy("seq_id", "sequence").agg(*[(F.coalesce(F.sum(F.col("k") * F.col(a)), F.lit(0)) + ENDS.get(a, 0)).cast("bigint").alias(a) for a in ATOMS])
 
 
-def with_mass(atoms: DataFrame) -> DataFrame:
+def abundances(table: DataFrame) -> tuple[tuple, dict[str, float]]:
+    """Isotopes (element, offset, probability) and masses of elements of an abundance table (a few rows: element, mass_offset, p, mass). An element's mass is that of its first row; those without a row keep theirs."""
+    rows = table.limit(MOST_ISOTOPES + 1).collect()
+    if len(rows) > MOST_ISOTOPES:
+        raise ValueError(f"only {MOST_ISOTOPES} isotopes are allowed")
+    rows = [(r.element.lower(), r.mass_offset, r.p, r.mass) for r in rows]
+    masses = {e: m for e, _, _, m in reversed(rows) if m is not None}
+    return tuple((e, k, p) for e, k, p, _ in rows), MASSES | masses
+
+
+def with_mass(atoms: DataFrame, masses: dict[str, float] = MASSES) -> DataFrame:
+    """``atoms`` with their mass; elements that no residue has count nothing."""
     mass = F.lit(0.0)
-    for a, m in MASSES.items():
+    for a, m in ((a, m) for a, m in masses.items() if a in MASSES):
         mass = mass + F.col(a) * m
     return atoms.withColumn("mass", mass)
 
@@ -72,7 +83,7 @@ def isotope_percent(atoms: dict[str, int], isotopes: tuple = ISOTOPES) -> np.nda
     """Percent at each mass offset: the convolution of every isotope's binomial; cut, inclusive, at the first value under LEAST_PERCENT behind the mode."""
     total = np.ones(1)
     for element, offset, p in isotopes:
-        n = atoms[element]
+        n = atoms.get(element, 0)
         k = np.arange(min(n, LONGEST) + 1)
         steps = (n - k[1:] + 1) / k[1:] * p / (1 - p)
         pmf = np.concatenate([[1.0], np.cumprod(steps)]) * (1 - p) ** n
@@ -103,13 +114,14 @@ def combined_profile(isotopic: DataFrame, fast: DataFrame) -> DataFrame:
     return isotopic.join(f, "seq_id").groupBy("seq_id", (F.col("idx") + F.col("j")).alias("idx")).agg((F.sum(F.col("pct") * F.col("q")) / 100).alias("pct"))
 
 
-def profiles(sequences: DataFrame, percent: float = 5.0, mode: int = 0) -> DataFrame:
-    """seq_id, idx, mz, pct, pct_norm of each sequence. mode 1: isotopes, 2: fast exchange, else both combined.
+def profiles(sequences: DataFrame, percent: float = 5.0, mode: int = 0, abundance: DataFrame | None = None) -> DataFrame:
+    """seq_id, idx, mz, pct, pct_norm of each sequence. mode 1: isotopes, 2: fast exchange, else both combined; ``abundance`` replaces the isotopes.
 
     pct_norm is relative to the highest value; for isotopes the last kept entry does not count for it.
     """
-    atoms = with_mass(composition(sequences)).join(sequences.select("seq_id", clamp_charge(F.col("charge")).alias("charge")), "seq_id")
-    isotopic, fast = isotope_profile(atoms), fast_exchange(atoms, percent)
+    isotopes, masses = (ISOTOPES, MASSES) if abundance is None else abundances(abundance)
+    atoms = with_mass(composition(sequences), masses).join(sequences.select("seq_id", clamp_charge(F.col("charge")).alias("charge")), "seq_id")
+    isotopic, fast = isotope_profile(atoms, isotopes), fast_exchange(atoms, percent)
     rows = isotopic if mode == 1 else fast if mode == 2 else combined_profile(isotopic, fast)
     top = rows.groupBy("seq_id").agg(F.max("pct").alias("top"), F.max(F.struct("idx", "pct")).alias("last"), F.max_by("pct", "pct").alias("any"))
     if mode == 1:
@@ -122,3 +134,17 @@ def profiles(sequences: DataFrame, percent: float = 5.0, mode: int = 0) -> DataF
 def profile_text(rows: DataFrame) -> DataFrame:
     """Printed rows of a profile."""
     return rows.select(F.format_string("%d %10.4f %5.2f  %5.2f", "idx", "mz", "pct", "pct_norm").alias("value"))
+
+
+def profile_lines(rows: DataFrame, sequences: DataFrame) -> DataFrame:
+    """seq_id, place and value of the printed profiles: each sequence's header with its charge, its rows in order, and a blank line."""
+    printed = rows.select("seq_id", F.col("idx").alias("place"), F.format_string("%d %10.4f %5.2f  %5.2f", "idx", "mz", "pct", "pct_norm").alias("value"))
+    head = sequences.select("seq_id", F.lit(-1).alias("place"), F.format_string("%s  %d", "sequence", clamp_charge(F.col("charge"))).alias("value"))
+    blank = sequences.select("seq_id", F.lit((1 << 31) - 1).alias("place"), F.lit("").alias("value"))
+    return head.unionByName(printed).unionByName(blank)
+
+
+def write_profiles(rows: DataFrame, sequences: DataFrame, path: str) -> None:
+    """``profile_lines`` as text below ``path``, whose files in their order are the print."""
+    lines = profile_lines(rows, sequences).repartitionByRange("seq_id").sortWithinPartitions("seq_id", "place")
+    lines.select("value").write.text(path)

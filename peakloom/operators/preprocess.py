@@ -22,8 +22,9 @@ def filter_peaks(peaks: DataFrame, min_mz: float = 0.0, max_mz: float | None = N
     return peaks.where(keep)
 
 
-def sample_scans(scans: DataFrame, scan_type: str = "Full", take: str = "all", rt: tuple[float, float] | None = None, num: tuple[int, int] | None = None, renumber: bool = True, order: str = "num") -> DataFrame:
-    """Scans of one type; every second of them (``even`` keeps the 2nd, 4th, ...) by their order, before the inclusive ranges; numbered anew from 1 as new_num."""
+def sample_scans(scans: DataFrame, scan_type: str = "Full", take: str = "all", rt: tuple[float, float] | None = None, num: tuple[int, int] | None = None, renumber: bool = True, order: str | None = None) -> DataFrame:
+    """Scans of one type; every second of them (``even`` keeps the 2nd, 4th, ...) by their order (that of their document, doc_order, where there is one, else num), before the inclusive ranges; numbered anew from 1 as new_num."""
+    order = order or ("doc_order" if "doc_order" in scans.columns else "num")
     kept = written(scans.where(F.col("scan_type") == scan_type), "scans")  # a row a scan, which is numbered next
     if take != "all":
         places = ordinals(kept, order, "__place")

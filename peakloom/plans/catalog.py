@@ -386,14 +386,14 @@ def fast_exchange_profile(spark, d):
     return isotopes.fast_exchange(isotopes.composition(adapters.part_sequences(spark, d))).withColumn("pct", F.round(F.col("pct") + 1e-10, 8))  # decimal ties go up on either side
 
 
-def _isotopic() -> str:
+def _isotopic(kinds: tuple = isotopes.ISOTOPES) -> str:
     """CTEs of compositions and iso(seq_id, idx, pct): one join a convolution, then the cut behind the mode."""
     log = "lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)"
     steps = [f"{_SEQ}, t0 AS (SELECT seq_id, 0 AS idx, 1.0::DOUBLE AS v FROM a)"]
-    for i, (element, offset, p) in enumerate(isotopes.ISOTOPES):
+    for i, (element, offset, p) in enumerate(kinds):
         steps.append(f"b{i} AS (SELECT seq_id, k, CASE WHEN k = 0 THEN pow({1 - p!r}, n) ELSE exp({log}) * pow({p!r}, k) * pow({1 - p!r}, n - k) END AS q FROM (SELECT seq_id, {element} AS n, unnest(range(least({element}, {isotopes.LONGEST}) + 1)) AS k FROM a))")
         steps.append(f"t{i + 1} AS MATERIALIZED (SELECT t.seq_id, idx + k * {offset} AS idx, sum(v * q) AS v FROM t{i} t JOIN b{i} b USING (seq_id) WHERE idx + k * {offset} < {isotopes.LONGEST} GROUP BY ALL)")
-    last = len(isotopes.ISOTOPES)
+    last = len(kinds)
     steps.append(f"full_ AS (SELECT seq_id, idx, v * 100 AS pct, arg_max(idx, struct_pack(a := v, b := -idx)) OVER (PARTITION BY seq_id) AS mode FROM t{last})")
     steps.append(f"iso AS MATERIALIZED (SELECT f.seq_id, idx, pct FROM full_ f LEFT JOIN (SELECT seq_id, min(idx) AS stop FROM full_ WHERE idx >= mode AND pct < {isotopes.LEAST_PERCENT} GROUP BY 1) USING (seq_id) WHERE idx <= coalesce(stop, {isotopes.LONGEST}))")
     return ", ".join(steps)
@@ -420,7 +420,7 @@ def combined_profile(spark, d):
 
 @query(f"WITH {_P} SELECT scan_num, rt, mz, intensity FROM p")
 def codec_round_trip(spark, d):
-    packed = mzxml.encode_scans(_peaks(spark, d), 64, "zlib").select(F.col("_num").alias("num"), duration_seconds(F.col("_retentionTime")).alias("rt"), "peaks")
+    packed = mzxml.encode_scans(_peaks(spark, d), 64, "zlib").withColumn("rt", duration_seconds(F.col("rt_text")))
     return mzxml.explode_peaks(mzxml.decode_scans(packed)).select("scan_num", "rt", "mz", "intensity")
 
 

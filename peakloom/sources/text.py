@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from peakloom.functions.shared import written
+
 _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 _PEAK = rf"^\s*(\S+)\s+({_NUMBER})\s+({_NUMBER})\s+({_NUMBER})"
 _POINT = r"(\d+)\s+(\d+\.\d+)\s+(\d+\.\d+)\s+(\d+\.\d+)"
@@ -56,6 +63,48 @@ def write_clusters(points: DataFrame, path: str) -> None:
     cluster_lines(points).repartition("cluster_id").write.partitionBy("cluster_id").text(path)
 
 
+def write_cluster_files(points: DataFrame, folder: str) -> DataFrame:
+    """A file NNNNNN.clust for each cluster below the URI ``folder``, points by scan and mz; cluster_id, path and points of each. Files appear whole, also when a task runs again."""
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        key, lines = None, []
+
+        def close() -> pd.DataFrame:
+            name = f"{path}/{key:06d}.clust"
+            part = f"{path}/.{key:06d}.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as out:
+                out.write("".join(f"{x}\n" for x in lines).encode())
+            system.move(part, name)
+            return pd.DataFrame({"cluster_id": [key], "path": [name], "n_points": [len(lines)]})
+
+        for frame in frames:
+            for cluster_id, value in zip(frame["cluster_id"].tolist(), frame["value"].tolist(), strict=True):
+                if lines and cluster_id != key:
+                    yield close()
+                    lines = []
+                key = cluster_id
+                lines.append(value)
+        if lines:
+            yield close()
+
+    rows = points.select(F.col("cluster_id").cast("long").alias("cluster_id"), "scan_ord", "rt", "mz", "intensity").repartition("cluster_id").sortWithinPartitions("cluster_id", "scan_ord", "mz", "intensity")
+    return written(cluster_lines(rows).mapInPandas(write, "cluster_id long, path string, n_points long"), "cluster-files")
+
+
+def corrected_lines(points: DataFrame) -> DataFrame:
+    """Lines of corrected clusters (scan_ord, rt, mz, corrected), with their cluster_id and place: by retention time, then mz."""
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("rt", "mz", "corrected"))
+    return points.select("cluster_id", place.alias("place"), F.format_string("%s %.3f %.3f %.3f", F.col("scan_ord").cast("string"), "rt", "mz", "corrected").alias("value"))
+
+
+def write_corrected(points: DataFrame, path: str) -> None:
+    """A folder of text for each corrected cluster, its lines in order."""
+    lines = corrected_lines(points).repartition("cluster_id").sortWithinPartitions("cluster_id", "place")
+    lines.select("cluster_id", "value").write.partitionBy("cluster_id").text(path)
+
+
 def read_file_list(spark: SparkSession, path: str, first_only: bool = True) -> DataFrame:
     """path: the first token of each line, or all space-separated tokens."""
     lines = spark.read.text(path).where("trim(value) <> ''")
@@ -70,10 +119,10 @@ def existing_clusters(paths: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """sequence and charge (1 where absent) of each line."""
+    """seq_id (increasing along a file), sequence and charge (1 where absent) of each line."""
     parts = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where("trim(value) <> ''")
-    return rows.select(parts[0].alias("sequence"), F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(1)).alias("charge"))
+    return rows.select(F.monotonically_increasing_id().alias("seq_id"), parts[0].alias("sequence"), F.coalesce(F.get(parts, F.lit(1)).try_cast("int"), F.lit(1)).alias("charge"))
 
 
 def read_abundances(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 import struct
 from datetime import datetime, timezone
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from peakloom.operators import anneal, clustering, curvature, deadtime, isotopes, shapes
+from peakloom.operators import anneal, clustering, curvature, deadtime, isotopes, preprocess, shapes
 from peakloom.sources import mzxml, text
 from peakloom.streaming.clusterer import OpenClusters, cluster_stream
 
@@ -173,7 +174,7 @@ def test_text_files(spark, tmp_path):
     assert [r.path for r in every.collect()] == ["a.clust", "b.clust", "c.txt"]
     assert [r.path for r in text.existing_clusters(every, spark.createDataFrame([("a.clust",), ("c.txt",)], "path string")).collect()] == ["a.clust"]
     (tmp_path / "seq").write_text("GAK 2\nPEPTIDE\n")
-    assert [tuple(r) for r in text.read_sequences(spark, str(tmp_path / "seq")).collect()] == [("GAK", 2), ("PEPTIDE", 1)]
+    assert [tuple(r) for r in text.read_sequences(spark, str(tmp_path / "seq")).collect()] == [(0, "GAK", 2), (1, "PEPTIDE", 1)]
     (tmp_path / "ab").write_text("C 0 0.98893 12.0\nC 1 0.01107 13.00335\n")
     assert [tuple(r) for r in text.read_abundances(spark, str(tmp_path / "ab")).collect()] == [("C", 1, 0.01107, 13.00335)]
     text.discard(got)
@@ -214,11 +215,52 @@ def test_mzxml(spark, tmp_path):
     assert sorted((r.num, r.scan_type, r.rt) for r in scans.collect()) == [(1, "Full", 1.5), (2, "calibration", 2.0), (3, "Full", 3.0)]
     peaks = mzxml.explode_peaks(mzxml.decode_scans(scans.where("scan_type = 'Full'")))
     assert sorted((r.scan_num, r.mz, r.intensity) for r in peaks.collect()) == [(1, 400.0, 20.0), (3, 1.0, 2.0), (3, 3.0, 4.0)]
-    mzxml.write_scans(mzxml.encode_scans(peaks, 64), str(tmp_path / "out"))
+    mzxml.write_mzxml(mzxml.encode_scans(peaks, 64), str(tmp_path / "out"), renumber=False)
     again = mzxml.explode_peaks(mzxml.decode_scans(mzxml.read_scans(spark, str(tmp_path / "out"))))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, peaks.collect()))
 
 
+def test_mzxml_documents(spark, tmp_path):
+    deep = DOC.replace("</peaks></scan></scan>", '</peaks><scan num="7" scanType="Full" retentionTime="PT2.5S" msLevel="3" filterLine="a &amp; &quot;b&quot;" basePeakMz="4"><peaks precision="32">Q8gAAEGgAAA=</peaks></scan></scan></scan>')
+    (tmp_path / "deep.mzXML").write_text(deep.format(mzxml.pack(np.array([[1.0, 2.0], [3.0, 4.0]]), 64, "zlib")[0]))
+    scans = mzxml.read_scans(spark, str(tmp_path / "deep.mzXML"))
+    assert [r.num for r in scans.orderBy("doc_order").collect()] == [1, 2, 7, 3]
+    even = preprocess.sample_scans(scans, take="even")
+    assert [(r.num, r.new_num) for r in even.collect()] == [(7, 1)]
+    mzxml.write_mzxml(scans.where("scan_type = 'Full'"), str(tmp_path / "one"), one_file=True)
+    (part,) = (tmp_path / "one").glob("part-*")
+    root = ElementTree.fromstring(part.read_text())
+    run = root.find("msRun")
+    assert root.tag == "mzXML" and run.attrib == {"scanCount": "3", "startTime": "PT1.5S", "endTime": "PT0M3S"}
+    assert [s.get("num") for s in run.findall("scan")] == ["1", "2", "3"] and run.findall("scan")[2].get("filterLine") == 'a & "b"'
+    assert run.findall("scan")[2].get("msLevel") == "3" and not run.findall("scan")[2].get("basePeakMz")
+    assert list(root.find("indexOffset").attrib.values()) == ["1"] and root.find("index") is None
+    assert [p.get("compressedLen") for p in run.iter("peaks")] == ["0", "32", None]
+    assert mzxml.read_run(spark, str(tmp_path / "one")).first()[:] == (3, "PT1.5S", "PT0M3S")
+    layers = "".join(f'<scan num="{k}" scanType="Full" retentionTime="PT1S"><peaks precision="32"></peaks>' for k in range(8)) + "</scan>" * 8
+    (tmp_path / "too_deep.mzXML").write_text(f"<mzXML><msRun>{layers}</msRun></mzXML>")
+    with pytest.raises(Exception, match="nested deeper"):
+        mzxml.read_scans(spark, str(tmp_path / "too_deep.mzXML")).collect()
+
+
+def test_profiles_of_abundance_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "GKR", 2), (2, "A", 9)], "seq_id long, sequence string, charge int")
+    table = spark.createDataFrame([("C", 1, 0.5, 13.0), ("Xx", 1, 0.1, 5.0)], "element string, mass_offset int, p double, mass double")
+    got = isotopes.profiles(rows, mode=1, abundance=table).where("seq_id = 2").orderBy("idx").collect()
+    assert [r.pct for r in got][:4] == pytest.approx([12.5, 37.5, 37.5, 12.5]) and got[0].mz == pytest.approx(isotopes.with_mass(isotopes.composition(rows)).where("seq_id = 2").first().mass + 3)
+    isotopes.write_profiles(isotopes.profiles(rows, mode=2), rows, str(tmp_path / "print"))
+    lines = [x for f in sorted((tmp_path / "print").glob("part-*")) for x in f.read_text().split("\n")[:-1]]
+    assert lines[0] == "GKR  2" and "A  1" in lines and lines[-1] == "" and lines.count("") == 2
+    assert lines[1].split()[0] == "0" and len(lines) == 4 + sum(r.n for r in isotopes.fast_exchange(isotopes.composition(rows)).groupBy("seq_id").agg(F.count("*").alias("n")).collect())
+
+
+def test_corrected_clusters_are_written_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(4, 2, 1.5, 20.0, 3.0), (4, 2, 1.5, 9.0, 4.0), (4, 1, 0.5, 30.0, 5.0)], "cluster_id long, scan_ord int, rt double, mz double, corrected double")
+    text.write_corrected(df, str(tmp_path / "c"))
+    (part,) = (tmp_path / "c" / "cluster_id=4").glob("part-*")
+    assert part.read_text().split("\n") == ["1 0.500 30.000 5.000", "2 1.500 9.000 4.000", "2 1.500 20.000 3.000", ""]
+
+
 def test_open_clusters_equal_the_batch_rule():
     rng = random.Random(4)
     points = sorted((rng.randrange(15), round(rng.random() * 3, 2), i) for i in range(200))

@@ -161,11 +161,24 @@ def save(folder: str, name: str, numbers: dict, arrays: dict[str, np.ndarray]) -
 
 
 @functools.lru_cache(maxsize=4096)
+def _mapped(path: str) -> np.ndarray:
+    return np.asarray(np.memmap(path, np.uint8, "r"))
+
+
+@functools.lru_cache(maxsize=32)
+def _fetched(folder: str, name: str) -> np.ndarray:
+    system, path = fs.FileSystem.from_uri(folder)
+    with system.open_input_file(f"{path}/{name}") as source:
+        return np.frombuffer(source.read(), np.uint8)
+
+
 def load(folder: str, name: str) -> tuple[dict, dict[str, np.ndarray]]:
-    """Numbers and arrays of a file. On a file system it is memory-mapped; from other stores it is read."""
+    """Numbers and arrays of a file. On a file system it is memory-mapped; from other stores it is read, and the last few are kept."""
     system, path = fs.FileSystem.from_uri(folder)
-    whole = f"{path}/{name}"
-    data = np.asarray(np.memmap(whole, np.uint8, "r")) if isinstance(system, fs.LocalFileSystem) else np.frombuffer(system.open_input_file(whole).read(), np.uint8)
+    return parsed(_mapped(f"{path}/{name}") if isinstance(system, fs.LocalFileSystem) else _fetched(folder, name))
+
+
+def parsed(data: np.ndarray) -> tuple[dict, dict[str, np.ndarray]]:
     size = int.from_bytes(data[:8].tobytes(), "little")
     head, start = json.loads(data[8 : 8 + size].tobytes()), -(-(size + 8) // 64) * 64
     return head["numbers"], {k: data[start + at : start + at + n * np.dtype(kind).itemsize].view(kind) for k, (kind, n, at) in head["arrays"].items()}

@@ -7,9 +7,10 @@ monotone pointer sequence and its successors from a monotone key sequence (each
 from the last key of the range ahead), so a look-up is a successor search relative to its
 context. Keys of level 3 are relative to context too: a word is its place among the successors
 of the middle word, whose range is far smaller than the vocabulary. Probabilities are
-interpolated by absolute discounting, with the discount estimated from counts of counts in each
-shard (which holds a million tokens, or all of them), and stored, like back-off weights, as
-8-bit codes into the means of 255 equal ranges of their logarithms.
+interpolated by absolute discounting, with one discount a level, estimated from the counts of
+counts of all its shards, and stored, like back-off weights, as 8-bit codes of 255 equal ranges
+of their logarithms, between bounds that follow from the number of tokens. So scores do not
+depend on how the model is cut into shards.
 
 The unigram level is add-one over N training tokens and V distinct ones: (c + 1) / (N + V + 1).
 
@@ -48,37 +49,48 @@ def held_out(doc_id: Column) -> Column:
 # --- levels ---------------------------------------------------------------------------------
 
 
-def _quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes 1..255 and the code book (code 0 is 0.0)."""
-    book = np.zeros(256, np.float32)
-    if not len(values):
-        return np.zeros(0, np.uint8), book
-    low, span = values.min(), max(float(np.ptp(values)), 1e-9)
-    codes = (1 + np.minimum((values - low) / span * 255, 254)).astype(np.uint8)
-    n = np.bincount(codes, minlength=256)
-    book[:] = np.bincount(codes, weights=values, minlength=256) / np.maximum(n, 1)
-    return codes, book
+def _codes(values: np.ndarray, low: float) -> np.ndarray:
+    """Codes 1..255 of logarithms in [low, 0]."""
+    return (1 + np.clip((values / low - 1) * -255, 0, 254)).astype(np.uint8) if low < 0 else np.full(len(values), 255, np.uint8)
 
 
-def build_level(contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, lower: np.ndarray, first: int, end: int) -> tuple[dict, dict[str, np.ndarray]]:
+def _book(low: float) -> np.ndarray:
+    """The middle of each code's range; code 0 is 0.0."""
+    book = (low * (255.5 - np.arange(256)) / 255).astype(np.float32)
+    book[0] = 0.0
+    return book
+
+
+@dataclass(frozen=True)
+class Discount:
+    """A level's discount, and the least logarithms of its probabilities and back-off weights."""
+
+    value: float
+    low: float
+    low_back: float
+
+    @staticmethod
+    def estimated(once: int, twice: int, n: int) -> Discount:
+        d = min(0.98, max(0.1, once / (once + 2 * twice))) if once else 0.1
+        return Discount(d, float(np.log10((1 - d) / max(n, 1))), float(np.log10(d / max(n, 1))))
+
+
+def build_level(contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, lower: np.ndarray, first: int, end: int, discount: Discount) -> tuple[dict, dict[str, np.ndarray]]:
     """A shard of the contexts [first, end) from sorted distinct (context, key) with counts and the lower order's probabilities."""
     starts = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]]) if len(contexts) else np.zeros(0, np.int64)
     group = np.cumsum(np.isin(np.arange(len(contexts)), starts)) - 1
     kinds = np.diff(np.r_[starts, len(contexts)])
     totals = np.add.reduceat(counts, starts) if len(starts) else np.zeros(0, np.int64)
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    discount = min(0.98, max(0.1, once / (once + 2 * twice))) if once else 0.1
-    left = discount * kinds / totals if len(starts) else np.zeros(0)
-    p = (counts - discount) / totals[group] + left[group] * lower
-    codes, book = _quantise(np.log10(p))
+    left = discount.value * kinds / totals if len(starts) else np.zeros(0)
+    p = (counts - discount.value) / totals[group] + left[group] * lower
+    codes = _codes(np.log10(p), discount.low)
     back = np.zeros(end - first, np.uint8)
-    back_codes, back_book = _quantise(np.log10(left))
-    back[contexts[starts] - first] = back_codes
+    back[contexts[starts] - first] = _codes(np.log10(left), discount.low_back)
     last = np.r_[keys[starts[1:] - 1], keys[-1:]].astype(np.uint64)
     ahead = np.concatenate([[0], np.cumsum(last)])[:-1].astype(np.uint64) if len(starts) else np.zeros(0, np.uint64)
     monotone = keys.astype(np.uint64) + (ahead[group] if len(keys) else np.zeros(0, np.uint64))
     pointers = np.concatenate([[0], np.cumsum(np.bincount(contexts - first, minlength=end - first))])
-    numbers, arrays = {"first": first, "end": end}, {"code": codes, "book": book, "back": back, "back_book": back_book}
+    numbers, arrays = {"first": first, "end": end}, {"code": codes, "book": _book(discount.low), "back": back, "back_book": _book(discount.low_back)}
     for name, values in (("key", monotone), ("pointer", pointers)):
         more = prefixed(name, EliasFano.build(values))
         numbers, arrays = numbers | more[0], arrays | more[1]
@@ -220,6 +232,19 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray, weights: np.ndarray | None = Non
     return a, b, np.diff(np.r_[new, len(key)]) if weights is None else np.add.reduceat(weights[order], new)
 
 
+def _distinct_pairs(a: np.ndarray, b: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (a, b), all below ``span``, and the place of each pair among them."""
+    if span * span < 1 << 63:
+        key, inverse = np.unique(a * span + b, return_inverse=True)
+        return key // span, key % span, inverse
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    inverse = np.empty(len(a), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return a[new], b[new], inverse
+
+
 def _squeeze(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
     """Sorted pairs with counts: differences of a, then b and counts, by byte planes."""
     planes = [np.diff(a, prepend=0), b, c]
@@ -244,6 +269,9 @@ def _merged(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _unique_pairs(*[np.concatenate([p[i] for p in parts]) for i in range(3)])
 
 
+_MERGED = pa.schema([("shard", pa.int64()), ("block", pa.binary()), ("once", pa.int64()), ("twice", pa.int64())])
+
+
 def _bounds(total: int, shards: int) -> np.ndarray:
     return np.arange(shards + 1, dtype=np.int64) * total // shards
 
@@ -276,12 +304,11 @@ class NgramModel:
     def nodes(self, t: Tokens, ids: np.ndarray) -> Nodes:
         at = np.flatnonzero(t.real[1:] & (ids[:-1] >= 0)) + 1
         span = int(self.words.starts[-1]) + 1  # the last key stands for unknown words, which no context has
-        pair, inverse = np.unique(ids[at - 1] * span + np.where(ids[at] >= 0, ids[at], span - 1), return_inverse=True)
-        first = pair // span
+        first, second, inverse = _distinct_pairs(ids[at - 1], np.where(ids[at] >= 0, ids[at], span - 1), span)
         new = np.diff(first, prepend=-1) > 0
         of, contexts = np.cumsum(new) - 1, first[new]
         ranges = self.pairs.ranges(contexts)
-        entry = self.pairs.find(contexts, ranges, of, pair % span)
+        entry = self.pairs.find(contexts, ranges, of, second)
         which = np.full(len(ids), -1, np.int64)
         which[at] = inverse
         return Nodes(which, entry, ranges[0][of], ranges[3][of])
@@ -374,15 +401,25 @@ def train(docs: DataFrame) -> NgramModel:
     n_words = int(model.words.starts[-1])
 
     def level(name: str, count, lower, bounds: np.ndarray) -> list[tuple[str, int, int, int]]:
-        def build(key: tuple, blocks: pa.Table) -> pa.Table:
-            shard = key[0].as_py()
+        """Merge each shard's blocks, estimate the discount over all of them, then build each shard where its merged block lies."""
+
+        def merge(key: tuple, blocks: pa.Table) -> pa.Table:
             a, b, c = _merged(blocks)
-            below, keys = lower(a, b)
-            save(folder, f"{name}-{shard}", *build_level(a, keys, c, below, int(bounds[shard]), int(bounds[shard + 1])))
-            return pa.table({"shard": [shard], "n": [len(a)]}, schema=pa.schema([("shard", pa.int64()), ("n", pa.int64())]))
+            return pa.table({"shard": [key[0].as_py()], "block": [_squeeze(a, b, c)], "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]}, schema=_MERGED)
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, block in zip(batch["shard"].to_pylist(), batch["block"], strict=True):
+                    a, b, c = _spread(block.as_py())
+                    below, keys = lower(a, b)
+                    save(folder, f"{name}-{shard}", *build_level(a, keys, c, below, int(bounds[shard]), int(bounds[shard + 1]), discount))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(a)])], ["shard", "n"])
 
         counted = docs.mapInArrow(count, "shard long, block binary").repartition(shards, "shard")
-        return _shards_of(counted.groupBy("shard").applyInArrow(build, "shard long, n long").collect(), bounds, name)
+        merged = written(counted.groupBy("shard").applyInArrow(merge, "shard long, block binary, once long, twice long"), f"{name}-merged")
+        sums = merged.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
+        discount = Discount.estimated(int(sums[0]), int(sums[1]), n)
+        return _shards_of(merged.select("shard", "block").mapInArrow(build, "shard long, n long").collect(), bounds, name)
 
     by_word = _bounds(n_words, shards)
 

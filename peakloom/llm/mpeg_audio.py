@@ -2,9 +2,11 @@
 
 ``encode`` stores payloads as the ancillary data of silent MPEG-1 layer III frames, with an ID3v2
 tag, a Xing header with seek table, CRC-protected frames and an ID3v1 tag. ``parse`` reads any
-MPEG audio stream: it skips tags, finds frame headers again after damage (a header counts if the
-one after it agrees, or the stream ends there), reads the variable-bitrate table, verifies frame
-checksums, and stores exact durations (in samples) and the seek offset of every frame.
+MPEG audio stream of stated bitrates (free format is skipped): it reads the text fields of ID3v2.3
+and 2.4 tags and notes other tags, finds frame headers again after damage (a header counts if the
+one after it agrees, or the stream ends there), reads the variable-bitrate table (Xing, Info or
+VBRI), verifies the checksums of all three layers, and stores exact durations (in samples) and the
+seek offset of every frame.
 
 Defined cases: null payload text is empty and gives one frame of padding; texts of any length are
 stored whole; streams without any frame parse to zero frames, a null rate and an empty payload;
@@ -44,13 +46,12 @@ XING_FRAMES, XING_BYTES, XING_TOC = 1, 2, 4
 HEADER, FRAME, SIDE, RATE, SAMPLES = bytes([0xFF, 0xFA, 0xB0, 0xC0]), 626, 17, 44100, 1152
 
 
-def crc16(data: bytes) -> int:
-    """CRC-16 of MPEG audio: polynomial 0x8005, start 0xFFFF, no reflection."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """CRC-16 of MPEG audio over the first ``bits`` (all): polynomial 0x8005, start 0xFFFF, no reflection."""
     crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+    for i in range(8 * len(data) if bits is None else bits):
+        crc ^= (data[i >> 3] >> (7 - (i & 7)) & 1) << 15
+        crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
     return crc
 
 
@@ -64,6 +65,8 @@ class Header:
     size: int
     samples: int
     side: int
+    channels: int
+    bound: int
 
     @property
     def kind(self) -> tuple:
@@ -82,20 +85,22 @@ def _header(word: bytes, known: dict[bytes, Header | None]) -> Header | None:
             kbps, rate = BITRATES[1 if version == 1 else 2, layer][index], RATES[version][rate_index]
             samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
             size = (12 * kbps * 1000 // rate + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // rate + pad
-            mono = word[3] >> 6 == 3
+            mode, extension = word[3] >> 6, word[3] >> 4 & 3
+            mono = mode == 3
             side = 0 if layer != 3 else (17 if mono else 32) if version == 1 else (9 if mono else 17)
-            found = Header(version, layer, not word[1] & 1, kbps, rate, size, samples, side)
+            found = Header(version, layer, not word[1] & 1, kbps, rate, size, samples, side, 1 if mono else 2, 4 * (extension + 1) if mode == 1 else 32)
     known[word] = found
     return found
 
 
 @dataclass
 class Stream:
-    """What ``parse`` found. Offsets are those of frames, from the stream's first byte; a Xing frame is not among them."""
+    """What ``parse`` found. Offsets are those of frames, from the stream's first byte; the frame of a bitrate table is not among them."""
 
     offsets: list[int] = field(default_factory=list)
     headers: list[Header] = field(default_factory=list)
     tags: list[str] = field(default_factory=list)
+    fields: dict[str, str] = field(default_factory=dict)
     table: dict | None = None
     skipped: int = 0
     bad_checksums: int = 0
@@ -118,6 +123,7 @@ def parse(data: bytes) -> Stream:
         end -= 128
     while data[at : at + 3] == b"ID3" and end - at >= 10:
         out.tags.insert(0, f"ID3v2.{data[at + 3]}")
+        out.fields |= _text_fields(data[at : at + 10 + _synchsafe(data[at + 6 : at + 10])])
         at += 10 + _synchsafe(data[at + 6 : at + 10]) + (10 if data[at + 5] & 16 else 0)
     synced = False
     while at + 4 <= end:
@@ -135,15 +141,18 @@ def parse(data: bytes) -> Stream:
             at = following if following >= 0 else end
             continue
         body = at + 4 + 2 * h.protected
-        if h.protected and h.layer == 3:
-            guarded = data[at + 2 : at + 4] + data[body : body + h.side]
+        if h.protected:
+            bits = _guarded_bits(h, data, body)
+            guarded = data[at + 2 : at + 4] + data[body : body + -(-bits // 8)], bits
             if guarded not in sums:
-                sums[guarded] = crc16(guarded)
+                sums[guarded] = crc16(guarded[0], 16 + bits)
             out.checked += 1
             out.bad_checksums += sums[guarded] != int.from_bytes(data[at + 4 : at + 6])
         mark = data[body + h.side : body + h.side + 4]
         if not out.headers and out.table is None and mark in (b"Xing", b"Info"):
             out.table = _xing(data, body + h.side, at)
+        elif not out.headers and out.table is None and data[at + 36 : at + 40] == b"VBRI":
+            out.table = _vbri(data, at + 36, at)
         else:
             out.offsets.append(at)
             out.headers.append(h)
@@ -164,6 +173,61 @@ def _xing(data: bytes, at: int, frame: int) -> dict:
     return table
 
 
+def _vbri(data: bytes, at: int, frame: int) -> dict:
+    """Bytes and frames of the stream, and the bytes of each of its equal stretches."""
+    number = lambda i, n: int.from_bytes(data[at + i : at + i + n])
+    entries, scale, width = number(18, 2), number(20, 2), number(22, 2)
+    toc = [number(26 + width * i, width) * scale for i in range(entries)]
+    return {"mark": "VBRI", "frame": frame, "bytes": number(10, 4), "frames": number(14, 4), "frames_an_entry": number(24, 2), "toc": toc}
+
+
+def _text_fields(tag: bytes) -> dict[str, str]:
+    """Text frames of an ID3v2.3 or 2.4 tag by their names."""
+    out, at = {}, 10
+    if tag[3] not in (3, 4) or tag[5] & 0xC0:  # other versions, unsynchronised or extended tags
+        return out
+    codecs = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
+    while at + 10 < len(tag) and tag[at] == ord("T"):
+        size = _synchsafe(tag[at + 4 : at + 8]) if tag[3] == 4 else int.from_bytes(tag[at + 4 : at + 8])
+        body = tag[at + 10 : at + 10 + size]
+        if body and body[0] in codecs:
+            out[tag[at : at + 4].decode("latin-1")] = body[1:].decode(codecs[body[0]], "replace").rstrip("\0")
+        at += 10 + size
+    return out
+
+
+# Fixed values of layer II: bits of a subband's allocation, for the subbands from 0, by table.
+ALLOCATION_BITS = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "low": [4] * 4 + [3] * 7 + [2] * 19}
+
+
+def _allocation_bits(h: Header) -> list[int]:
+    a_channel = h.kbps // h.channels
+    if h.version != 1:
+        return ALLOCATION_BITS["low"]
+    if a_channel >= 56 and (h.rate == 48000 or a_channel <= 80):
+        return ALLOCATION_BITS["a"]
+    if a_channel >= 96:
+        return ALLOCATION_BITS["b"]
+    return ALLOCATION_BITS["d" if h.rate == 32000 else "c"]
+
+
+def _guarded_bits(h: Header, data: bytes, at: int) -> int:
+    """Bits from ``at`` on that a frame's checksum covers: side information in layer III, allocations in I, also of scale-factor choices in II."""
+    if h.layer == 3:
+        return 8 * h.side
+    shared = lambda band: h.channels == 2 and band >= h.bound
+    if h.layer == 1:
+        return sum(4 * (1 if shared(band) else h.channels) for band in range(32))
+    bits, place, chosen = _allocation_bits(h), 0, 0
+    value = int.from_bytes(data[at : at + 64].ljust(64, b"\0"))
+    for band, width in enumerate(bits):
+        for _ in range(1 if shared(band) else h.channels):
+            if value >> (512 - place - width) & ((1 << width) - 1):
+                chosen += h.channels if shared(band) else 1
+            place += width
+    return place + 2 * chosen
+
+
 def seek(stream: Stream, sample: int) -> int:
     """Offset of the frame that holds ``sample``; the last frame's for later ones."""
     ends = np.cumsum([h.samples for h in stream.headers])

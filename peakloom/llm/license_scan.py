@@ -2,8 +2,9 @@
 
 Texts are brought to a canonical form (copyright lines out, lower case, punctuation to spaces,
 equivalent spellings made one) and their SHA-256 digests are joined to those of known licences.
-Both the whole text and each of its lines count as an entire text here, so that a document that
-is a licence and a document that carries a notice line are both found.
+``whole_texts`` does so for documents; ``scan`` takes each line for an entire text, too, so that a
+document that is a licence and a document that carries a notice line are both found. Known are the
+texts of ``license_texts`` (seven whole licences and short notices) or those of a folder.
 
 Defined cases: null and empty texts, and texts of punctuation or copyright lines alone, match
 nothing; repeated rows are each returned; lines are ended by \\n; columns other than doc_id and
@@ -14,11 +15,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm.license_texts import LICENSES
 
+#: Most texts that a folder may hold: they become literals of the query.
+MOST_TEXTS = 500
 #: Regular expressions with their replacements, in the order in which they are applied. \1 is a group.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©(]*(?:copyright|©|\(c\)|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
@@ -48,14 +51,28 @@ def _digest(text: Column) -> Column:
     return F.sha2(F.regexp_replace(text, "\n", " "), 256)
 
 
+def read_texts(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Texts of licences, one a file below ``path``, by the file's name, for ``known``; more than MOST_TEXTS are an error."""
+    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("k"), "value").limit(MOST_TEXTS + 1).collect()
+    if len(rows) > MOST_TEXTS:
+        raise ValueError(f"at most {MOST_TEXTS} texts")
+    return sorted((r.k.removesuffix(".txt"), r.value) for r in rows)
+
+
 def catalogue(docs: DataFrame, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
     """Distinct digests of the known texts; as many rows as texts were given, at most."""
     rows = docs.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("t")) for k, t in known])))
     return rows.select("license_id", _digest(canonical(F.col("t"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+def whole_texts(docs: DataFrame, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
+    """One row a document: doc_id and license_id of the whole text, or null. Nothing is shuffled."""
+    digests = docs.select("doc_id", _digest(canonical(F.col("text"))).alias("digest"))
+    return digests.join(F.broadcast(catalogue(docs, known)), "digest", "left").select("doc_id", "license_id")
+
+
 def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
-    """One row a document: doc_id, license_id (of the whole text, or null), notice_ids (sorted, joined by commas), n_notices."""
+    """``whole_texts`` with the notices that lines of a document make: doc_id, license_id, notice_ids (sorted, joined by commas), n_notices."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), canonical(F.col("text")).alias("c"))
     unit = lambda whole, t: F.struct(F.lit(whole).alias("whole"), t.alias("t"))
     units = texts.select("doc_id", "h", F.explode(F.concat(F.array(unit(True, F.col("c"))), F.transform(F.split("c", "\n"), lambda x: unit(False, x)))).alias("u"))

@@ -94,6 +94,13 @@ class VoteModel:
     good: tuple[float, ...]
     bad: tuple[float, ...]
 
+    def probability(self, votes: tuple[int, ...]) -> float:
+        """Chance that a document with these votes is good."""
+        z = math.log(self.prior / (1 - self.prior))
+        for v, g, b in zip(votes, self.good, self.bad, strict=True):
+            z += math.log(g / (1 - b)) if v == 1 else math.log((1 - g) / b) if v == -1 else 0.0
+        return _sigmoid(z)
+
     def posterior(self, votes: list[Column]) -> Column:
         z = F.lit(math.log(self.prior / (1 - self.prior)))
         for v, g, b in zip(votes, self.good, self.bad, strict=True):
@@ -101,23 +108,24 @@ class VoteModel:
         return 1 / (1 + F.exp(-z))
 
 
+def _sigmoid(z: float) -> float:
+    return 1 / (1 + math.exp(-z)) if z >= 0 else 1 - 1 / (1 + math.exp(z))
+
+
 def fit(featured: DataFrame, iterations: int = ITERATIONS) -> VoteModel:
-    """Expectation-maximisation over all documents that pass the base rules, as aggregates over their vote patterns."""
+    """Expectation-maximisation over all documents that pass the base rules: one aggregate to the counts of their vote patterns, which are 3**len(RULES) rows at most whatever the input."""
     names = [f"v{i}" for i in range(len(RULES))]
-    patterns = written(featured.where(~base_failed()).select(*[v.alias(n) for v, n in zip(votes(), names, strict=True)]).groupBy(*names).agg(F.count(F.lit(1)).alias("c")).coalesce(1), "vote-patterns")
+    rows = featured.where(~base_failed()).select(*[v.alias(n) for v, n in zip(votes(), names, strict=True)]).groupBy(*names).agg(F.count(F.lit(1)).alias("c")).collect()
+    patterns = sorted((tuple(r[n] for n in names), r["c"]) for r in rows)
     model = VoteModel(START_PRIOR, (START_GOOD,) * len(RULES), (START_BAD,) * len(RULES))
     for _ in range(iterations):
-        weighed = patterns.withColumn("p", model.posterior([F.col(n) for n in names])).withColumn("gc", F.col("p") * F.col("c")).withColumn("bc", (1 - F.col("p")) * F.col("c"))
-        zero = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
-        sums = [zero("gc").alias("g"), zero("bc").alias("b")]
-        for n in names:
-            v = F.col(n)
-            sums += [zero(F.when(v == 1, F.col("gc"))).alias(f"{n}_gr"), zero(F.when(v != 0, F.col("gc"))).alias(f"{n}_gn"), zero(F.when(v == -1, F.col("bc"))).alias(f"{n}_br"), zero(F.when(v != 0, F.col("bc"))).alias(f"{n}_bn")]
-        s = weighed.agg(*sums).first()
+        good = [(v, c * p, c * (1 - p)) for v, c in patterns for p in (model.probability(v),)]
+        right = lambda i, vote, k: sum(row[k] for row in good if row[0][i] == vote)
+        voted = lambda i, k: sum(row[k] for row in good if row[0][i])
         model = VoteModel(
-            (s["g"] + PSEUDO * START_PRIOR) / (s["g"] + s["b"] + PSEUDO),
-            tuple((s[f"{n}_gr"] + PSEUDO * START_GOOD) / (s[f"{n}_gn"] + PSEUDO) for n in names),
-            tuple((s[f"{n}_br"] + PSEUDO * START_BAD) / (s[f"{n}_bn"] + PSEUDO) for n in names),
+            (sum(row[1] for row in good) + PSEUDO * START_PRIOR) / (sum(c for _, c in patterns) + PSEUDO),
+            tuple((right(i, 1, 1) + PSEUDO * START_GOOD) / (voted(i, 1) + PSEUDO) for i in range(len(RULES))),
+            tuple((right(i, -1, 2) + PSEUDO * START_BAD) / (voted(i, 2) + PSEUDO) for i in range(len(RULES))),
         )
     return model
 
@@ -134,6 +142,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the base rules and the vote model keep, with their own columns. Texts are not shuffled."""
-    model = fit(features(docs.select("doc_id", "text")))
-    return features(docs).where(~base_failed() & (model.posterior(votes()) >= 0.5)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the base rules and the vote model keep, with their own columns. Texts are not shuffled; they are written once with their features."""
+    featured = written(features(docs), "featured-texts")
+    model = fit(featured)
+    return featured.where(~base_failed() & (model.posterior(votes()) >= 0.5)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,9 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import pytest
@@ -18,7 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from peakloom.functions.shared import run_dir
-from peakloom.llm import arrow_words, chat_format, elias_fano, mpeg_audio, near_dedup, ngram_lm, packing, warc_bundles
+from peakloom.llm import arrow_words, chat_format, elias_fano, mpeg_audio, native_sql, near_dedup, ngram_lm, packing, warc_bundles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -116,11 +118,35 @@ def brute_model(texts, train):
     return out
 
 
+def lm_texts():
+    rng = random.Random(1)
+    return [" ".join(rng.choice("the cat sat on a mat and Dog ran off".split()) for _ in range(rng.randrange(60))) for _ in range(60)] + TEXTS + ["only held out words here"]
+
+
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    texts, scores = lm_texts(), []
+    for tokens, words_ in ((1 << 20, 1 << 20), (400, 4), (90, 3)):
+        monkeypatch.setattr(ngram_lm, "TOKENS_A_SHARD", tokens)
+        monkeypatch.setattr(ngram_lm, "WORDS_A_SHARD", words_)
+        scores.append([(r.base_score, r.score) for r in ngram_lm.score(docs(spark, texts)).orderBy("doc_id").collect()])
+    assert np.allclose(scores[0], scores[1], rtol=0, atol=1e-9) and np.allclose(scores[0], scores[2], rtol=0, atol=1e-9)
+
+
+def test_pairs_of_large_vocabularies():
+    rng = np.random.RandomState(1)
+    a, b = (rng.randint(0, 1 << 40, 500)[rng.randint(0, 20, 3000)] for _ in range(2))
+    got = ngram_lm._distinct_pairs(a, b, 1 << 41)
+    pairs = sorted(set(zip(a.tolist(), b.tolist(), strict=True)))
+    assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == pairs
+    assert (got[0][got[2]] == a).all() and (got[1][got[2]] == b).all()
+    few = ngram_lm._distinct_pairs(a % 7, b % 7, 7)
+    assert (few[0][few[2]] == a % 7).all() and len(few[0]) == len(set(zip((a % 7).tolist(), (b % 7).tolist(), strict=True)))
+
+
 @pytest.mark.parametrize("cut", [False, True])
 def test_model_against_dictionaries(spark, monkeypatch, cut):
-    rng = random.Random(1)
-    texts = [" ".join(rng.choice("the cat sat on a mat and Dog ran off".split()) for _ in range(rng.randrange(60))) for _ in range(60)] + TEXTS + ["only held out words here"]
-    if cut:  # many shards; each estimates its own discount, from few counts here
+    texts = lm_texts()
+    if cut:  # many shards
         monkeypatch.setattr(ngram_lm, "TOKENS_A_SHARD", 400)
         monkeypatch.setattr(ngram_lm, "WORDS_A_SHARD", 4)
     got = {r.doc_id: r for r in ngram_lm.score(docs(spark, texts)).collect()}
@@ -129,7 +155,7 @@ def test_model_against_dictionaries(spark, monkeypatch, cut):
     for i, (tokens, known, n, base, score) in enumerate(want):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], tokens, known, n)
-        assert r.base_score == pytest.approx(base) and abs(r.score - score) <= (0.35 if cut else 0.03) * tokens + 0.05
+        assert r.base_score == pytest.approx(base) and abs(r.score - score) <= 0.03 * tokens + 0.05
     held_out = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held_out) > sum(r.base_score for r in held_out)
 
@@ -195,6 +221,42 @@ def test_damaged_streams():
     assert mpeg_audio.crc16(b"123456789") == 0xAEE7
 
 
+def frame_of(word, body, bits):
+    """A protected frame of a header word, with the checksum of ``bits`` of its body."""
+    h = mpeg_audio._header(word, {})
+    crc = mpeg_audio.crc16(word[2:] + body, 16 + bits)
+    return (word + crc.to_bytes(2) + body).ljust(h.size, b"\x55")[: h.size]
+
+
+def test_layers_one_and_two_and_other_tables():
+    one = bytes([0xFF, 0xFE, 0x90, 0xC0])  # MPEG-1 layer I, protected, mono: 32 allocations of 4 bits
+    joint = bytes([0xFF, 0xFE, 0x90, 0x50])  # joint stereo from subband 8 on: 8 * 2 + 24 allocations
+    two = bytes([0xFF, 0xFC, 0x80, 0xC0])  # layer II, mono, 128 kbit/s at 44.1 kHz: 30 subbands
+    allocated = bytes([0x12] * 12)  # 94 bits of allocations
+    values = int.from_bytes(allocated) >> 2
+    places, chosen = 0, 0
+    for width in [4] * 11 + [3] * 12 + [2] * 7:
+        places += width
+        chosen += bool(values >> (94 - places) & ((1 << width) - 1))
+    assert places == 94
+    for word, body, bits in ((one, bytes(range(16)), 128), (joint, bytes(range(20)), 160), (two, allocated + b"\xa5" * 12, 94 + 2 * chosen)):
+        good = frame_of(word, body, bits) * 3
+        s = mpeg_audio.parse(good)
+        assert (len(s.offsets), s.checked, s.bad_checksums, s.skipped) == (3, 3, 0, 0)
+        broken = bytearray(good)
+        broken[6 + (bits - 1) // 8] ^= 1 << (7 - (bits - 1) % 8)
+        assert mpeg_audio.parse(bytes(broken)).bad_checksums == 1
+        broken = bytearray(good)
+        broken[6 + bits // 8 + 1] ^= 1
+        assert mpeg_audio.parse(bytes(broken)).bad_checksums == 0
+    plain = bytes([0xFF, 0xFB, 0xB0, 0xC0])
+    size = mpeg_audio._header(plain, {}).size
+    vbri = b"VBRI" + bytes([0, 1, 0, 0, 0, 75]) + (5000).to_bytes(4) + (7).to_bytes(4) + (2).to_bytes(2) + (3).to_bytes(2) + (2).to_bytes(2) + (4).to_bytes(2) + (100).to_bytes(2) + (200).to_bytes(2)
+    s = mpeg_audio.parse((plain + bytes(32) + vbri).ljust(size, b"\0") + (plain + b"\0").ljust(size, b"\x33") * 2)
+    assert s.table == {"mark": "VBRI", "frame": 0, "bytes": 5000, "frames": 7, "frames_an_entry": 4, "toc": [300, 600]} and len(s.offsets) == 2 and s.samples == 2304
+    assert mpeg_audio.parse(mpeg_audio.encode(mpeg_audio.padded(b"x"))).fields == {"TIT2": "payload"}
+
+
 def test_media_columns(spark):
     got = {r.doc_id: r for r in mpeg_audio.with_features(mpeg_audio.with_media(docs(spark, [*TEXTS, TEXTS[4]]))).collect()}
     for i, t in enumerate(TEXTS):
@@ -303,7 +365,7 @@ def test_islands_beat_best_fit_decreasing(spark):
 # --- near-dedup -----------------------------------------------------------------------------
 
 
-def brute_near(texts):
+def brute_near(texts, percent=85):
     sets = []
     for t in texts:
         w = words(t)
@@ -318,7 +380,7 @@ def brute_near(texts):
     for a in range(len(texts)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = top(a), top(b)
                 root[max(x, y)] = min(x, y)
     return [(i, len(sets[i]), top(i), top(i) == i) for i in range(len(texts))]
@@ -573,3 +635,81 @@ def test_pipeline(spark, tmp_path):
     n, _ = check_packing(frames[4].collect(), [(r.doc_id, r.text) for r in frames[3].collect()])
     assert n > 0
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(str, frames[4].select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def brute_lines(rows):
+    """(doc_id, text, source) with boilerplate of ten sites taken out of all but copies of other sites' texts that are mostly boilerplate."""
+    strip = " \t\n\x0b\x0c\r"
+    sites, texts = {}, {}
+    for _, text, source in rows:
+        texts.setdefault(text, set()).add(source or "")
+        for line in (text or "").split("\n"):
+            sites.setdefault(line.strip(strip), set()).add(source or "")
+    bad = {line for line, s in sites.items() if line and len(s) >= 10}
+    out = []
+    for doc_id, text, source in rows:
+        lines = [] if text is None else text.split("\n")
+        hit = [x for x in lines if x.strip(strip) in bad]
+        if hit and (len(texts[text]) < 2 or sum(map(len, hit)) <= 0.5 * len(text)):
+            text = "\n".join(x for x in lines if x.strip(strip) not in bad)
+        out.append((doc_id, text, source))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage's rows against SQL or plain loops that start from the same documents."""
+    rng = random.Random(22)
+    vocabulary = [f"w{k}" for k in range(2500)]
+
+    def prose(lines=8):
+        return [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(9, 14))) + "." for _ in range(lines)]
+
+    texts = []
+    for i in range(140):
+        lines = prose(rng.randrange(6, 14))
+        if i % 3:
+            lines.insert(rng.randrange(len(lines)), "  This line is everywhere, on all sites.  ")
+        texts.append(lines)
+    for i in range(0, 60, 2):  # near copies: a line or some words differ
+        lines = list(texts[i])
+        for _ in range(1 + i % 3):
+            k = rng.randrange(len(lines))
+            lines[k] = " ".join(rng.choice(vocabulary) if rng.random() < 0.05 * (1 + i % 4) else x for x in lines[k].split())
+        texts.append(lines)
+    texts = ["\n".join(x) for x in texts]
+    shared = "This line is everywhere, on all sites.\n" * 3 + "and a little of its own, " + " ".join(vocabulary[:60]).replace(" ", ". ", 3)
+    texts += [shared, shared, texts[0].upper(), None, "", "short", "&%$ " * 90, "again and " * 80, " ".join(prose(5)) + " !!" * 80]
+    rows = [(i, t, "en", None if i % 17 == 5 else f"s{i % 13}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).withColumns({"n_lines": F.lit("own"), "copy": F.lit("own"), "rep": F.lit(1)}).write.parquet(str(tmp_path / "documents.parquet"))
+    stage, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        f(spark, stage, str(tmp_path)).write.parquet(str(tmp_path / f"out{k}"))
+        stage = spark.read.parquet(str(tmp_path / f"out{k}"))
+        assert k == 4 or stage.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "n_lines", "copy", "rep"]
+        seen.append(stage)
+
+    def table(rows):
+        db = duckdb.connect()
+        db.register("documents", pd.DataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], columns=["doc_id", "text", "lang", "source", "n_chars"]))
+        return db
+
+    start = [(i, t, s) for i, t, _, s, _ in rows]
+    good = {i for i, kept in table(start).sql(f"SELECT doc_id, kept FROM ({native_sql.quality_sql()})").fetchall() if kept}
+    want = [r for r in start if r[0] in good]
+    got = lambda k: sorted((r.doc_id, r.text, r.source) for r in seen[k].collect())
+    assert 100 < len(want) < len(start) - 4 and got(0) == want
+    want = brute_lines(want)
+    assert got(1) == want and sum(a != b for a, b in zip(got(0), want, strict=True)) > 50
+    assert all(r.n_chars == len(r.text) and r.n_lines == "own" for r in seen[1].collect())
+    near = brute_near([t for _, t, _ in want], 80)
+    want = [r for r, (_, _, _, kept) in zip(want, near, strict=True) if kept]
+    assert got(2) == want and len(want) < len(got(1)) - 5
+    copies = table(want).sql(f"SELECT doc_id, text, source FROM ({native_sql.mixing_sql()})").fetchall()
+    assert got(3) == sorted(copies)
+    n, tokens = check_packing(seen[4].collect(), [(i, t) for i, t, _ in copies])
+    assert math.ceil(tokens / 1024) <= n <= math.ceil(tokens / 1024) * 1.02 + 2
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

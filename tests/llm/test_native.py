@@ -1,6 +1,7 @@
 """Line dedup, mixing, quality rules and licence scan: defined cases and SQL on small tables."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -212,6 +213,22 @@ def test_every_known_text_finds_itself(spark):
     assert [got[i] for i in range(len(rows))] == [k for k, _ in license_texts.LICENSES]
 
 
+def test_licences_of_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Own Licence\n\nDo as you like, with this text kept.\nCopyright 1999 somebody\n")
+    (tmp_path / "Other-2.0.txt").write_text("Do not do as you like.\n" * 3)
+    known = license_scan.read_texts(spark, str(tmp_path))
+    assert [k for k, _ in known] == ["Other-2.0", "Own-1.0"]
+    rows = [(1, "OWN LICENSE -- do as you like; with this text kept", "s"), (2, "Do not do as you like." * 3, "s"), (3, None, "s"), (4, "do as you like", "s"), (1, "x", "s")]
+    got = license_scan.whole_texts(clash(docs(spark, rows), "license_id", "digest"), known)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "Own-1.0"), (2, "Other-2.0"), (3, None), (4, None), (1, None)]))
+    assert license_scan.whole_texts(docs(spark, []), known).count() == 0
+    if Path("/usr/share/common-licenses").is_dir():
+        own = license_scan.read_texts(spark, "/usr/share/common-licenses")
+        got = {r.doc_id: r.license_id for r in license_scan.whole_texts(docs(spark, [(i, t.upper(), "s") for i, (_, t) in enumerate(own)]), own).collect()}
+        texts = [t for _, t in own]
+        assert all(got[i] == min(k for k, u in own if u == texts[i]) for i in got)
+
+
 def test_line_dedup_sql(spark):
     df = docs(spark, spread(24, [(90, None, "s1"), (91, "", "s1"), (93, BOILER, "s3")]))
     want, _ = oracle(spark, df, f"SELECT doc_id, text, n_lines, n_boilerplate, n_removed FROM ({native_sql.line_dedup_sql()})")

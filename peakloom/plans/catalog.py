@@ -332,14 +332,7 @@ _HOURS = "ev AS (SELECT event_id AS peak_id, value AS mz, floor(epoch_us(ts) / 3
 def asof_scan(spark, d):
     rows = adapters.event_points(spark, d)
     marks = rows.select((F.col("scan_num") * 3600.0 + 1800).alias("rt"), F.col("scan_num").alias("grid")).distinct()
-    # the last mark of an hour is within the hour or the ones ahead, so events are split by day with the marks of a day and the last one ahead
-    day = F.floor(F.col("rt") / 86400).cast("bigint")
-    by_day = marks.withColumn("day", day)
-    ahead = by_day.groupBy("day").agg(F.max("rt").alias("rt"), F.max("grid").alias("grid"))
-    days = rows.select(day.alias("day")).distinct()
-    last = days.join(ahead.withColumnRenamed("day", "of"), F.col("of") < F.col("day")).groupBy("day").agg(F.max("rt").alias("rt"), F.max("grid").alias("grid"))
-    keys = by_day.select("day", "rt", "grid").union(last.select("day", "rt", "grid"))
-    return asof.asof(rows.withColumn("day", day), keys, "rt", "grid", "<=", "day", "found").select(F.col("peak_id"), F.col("found").alias("grid"))
+    return asof.asof(rows.select("peak_id", "rt"), marks, "rt", "grid", "<=").select("peak_id", F.col("found").alias("grid"))
 
 
 @query(f"WITH {_P}, s AS (SELECT scan_num, min(rt) AS rt FROM p GROUP BY 1) SELECT scan_num, rt, first(scan_num) OVER w AS lo_scan, last(scan_num) OVER w AS hi_scan FROM s WINDOW w AS (ORDER BY rt RANGE BETWEEN 250000 PRECEDING AND 250000 FOLLOWING)")

@@ -246,6 +246,25 @@ def test_asof_modes(spark, mode, want):
     assert [r.found for r in asof.asof(left, right, "k", "v", mode).orderBy("i").collect()] == want
 
 
+@pytest.mark.parametrize("mode", ["<=", "<", ">=", ">"])
+def test_asof_over_ranges(spark, mode):
+    rng = random.Random(len(mode) + ord(mode[0]))
+    left = [(i, float(rng.randrange(-50, 900))) for i in range(400)]
+    right = [(float(k), k) for k in rng.sample(range(100, 800, 5), 30)]
+    got = {r.i: r.found for r in asof.asof(spark.createDataFrame(left, "i int, k double"), spark.createDataFrame(right, "k double, v int"), "k", "v", mode).collect()}
+    for i, k in left:
+        near = [v for q, v in right if (q <= k if mode == "<=" else q < k if mode == "<" else q >= k if mode == ">=" else q > k)]
+        assert got[i] == ((max if mode[0] == "<" else min)(near) if near else None)
+    assert asof.asof(spark.createDataFrame(left, "i int, k double"), spark.createDataFrame([], "k double, v int"), "k", "v", mode).where("found is not null").count() == 0
+
+
+def test_neighbours_across_cells(spark):
+    rng = random.Random(3)
+    rows = [(i, t) for i, t in enumerate(sorted(rng.random() * 500 for _ in range(300)))]
+    got = {r.scan_num: (r.lo_scan, r.hi_scan) for r in asof.neighbour_range(spark.createDataFrame(rows, "scan_num int, rt double"), 7.5).collect()}
+    assert got == {i: (min(j for j, u in rows if abs(u - t) <= 7.5), max(j for j, u in rows if abs(u - t) <= 7.5)) for i, t in rows}
+
+
 def test_block_edges_fall_out(spark):
     df = peaks(spark, [(i, 1, 0.0, float(m), 1.0) for i, m in enumerate([1, 2, 4, 6, 9])])
     assert [(r.mz, r.block) for r in grid.mz_blocks(df, 1.0, 9.0, 2).orderBy("mz").collect()] == [(2.0, 1), (6.0, 2)]

@@ -5,7 +5,8 @@ and memory-mapped by the workers: words (their 64-bit hashes, monotone, and coun
 of words, and successors of pairs. In levels 2 and 3 a context's pointer range comes from a
 monotone pointer sequence and its successors from a monotone key sequence (each range counted on
 from the last key of the range ahead), so a look-up is a successor search relative to its
-context. Keys of level 3 are relative to context too: a word is its place among the successors
+context. A context with more tokens than half a shard has shards of its own, over ranges of its
+successors, and its totals are summed over them before they are built. Keys of level 3 are relative to context too: a word is its place among the successors
 of the middle word, whose range is far smaller than the vocabulary. Probabilities are
 interpolated by absolute discounting, with one discount a level, estimated from the counts of
 counts of all its shards, and stored, like back-off weights, as 8-bit codes of 255 equal ranges
@@ -75,12 +76,14 @@ class Discount:
         return Discount(d, float(np.log10((1 - d) / max(n, 1))), float(np.log10(d / max(n, 1))))
 
 
-def build_level(contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, lower: np.ndarray, first: int, end: int, discount: Discount) -> tuple[dict, dict[str, np.ndarray]]:
-    """A shard of the contexts [first, end) from sorted distinct (context, key) with counts and the lower order's probabilities."""
+def build_level(contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, lower: np.ndarray, first: int, end: int, discount: Discount, whole: tuple[int, int] | None = None) -> tuple[dict, dict[str, np.ndarray]]:
+    """A shard of the contexts [first, end) from sorted distinct (context, key) with counts and the lower order's probabilities. ``whole``: kinds and total of a context of several shards."""
     starts = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]]) if len(contexts) else np.zeros(0, np.int64)
     group = np.cumsum(np.isin(np.arange(len(contexts)), starts)) - 1
     kinds = np.diff(np.r_[starts, len(contexts)])
     totals = np.add.reduceat(counts, starts) if len(starts) else np.zeros(0, np.int64)
+    if whole is not None:
+        kinds, totals = np.full(1, whole[0]), np.full(1, whole[1])
     left = discount.value * kinds / totals if len(starts) else np.zeros(0)
     p = (counts - discount.value) / totals[group] + left[group] * lower
     codes = _codes(np.log10(p), discount.low)
@@ -97,66 +100,96 @@ def build_level(contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray, lowe
     return numbers, arrays
 
 
+@dataclass(frozen=True)
+class Shard:
+    """A file of a level: its first context and (of a context of several shards) first key, first entry, entries, and the first entry of a context of several shards (or -1)."""
+
+    name: str
+    context: int
+    key: int
+    entry: int
+    n: int
+    hot: int
+
+
 class Level:
     """All shards of level 2 or 3. Contexts and entries have global numbers."""
 
-    def __init__(self, folder: str, shards: list[tuple[str, int, int, int]]) -> None:
-        """shards: file, first context, first entry, entries."""
+    def __init__(self, folder: str, shards: list[Shard]) -> None:
         self.folder, self.shards = folder, shards
-        self.firsts = np.array([s[1] for s in shards], np.int64)
-        self.entries = np.array([s[2] for s in shards], np.int64)
+        self.firsts = np.array([s.context for s in shards], np.int64)
+        self.keys = np.array([s.key for s in shards], np.int64)
+        self.entries = np.array([s.entry for s in shards], np.int64)
 
-    def _parts(self, numbers: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """Shards with the stretch of sorted ``numbers`` that falls into each."""
-        cuts = [*np.searchsorted(numbers, bounds).tolist(), len(numbers)]
-        for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+    @property
+    def size(self) -> int:
+        return sum(s.n for s in self.shards)
+
+    def _parts(self, cuts: np.ndarray, end: int) -> Iterator[tuple[Shard, slice]]:
+        """Shards with the stretches between ``cuts``, where not empty."""
+        for shard, i, j in zip(self.shards, cuts.tolist(), [*cuts[1:].tolist(), end], strict=True):
             if i < j:
-                yield s, slice(i, j)
+                yield shard, slice(i, j)
 
     def ranges(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each of the sorted contexts: first entry, end, last key ahead (for the search) and log10 back-off weight."""
         begin, end, ahead, back = (np.zeros(len(contexts), k) for k in (np.int64, np.int64, np.uint64, np.float64))
-        for s, at in self._parts(contexts, self.firsts):
-            name, first, entry, n = self.shards[s]
-            numbers, arrays = load(self.folder, name)
-            pointer, c = stored("pointer", numbers, arrays), contexts[at] - first
+        for shard, at in self._parts(np.searchsorted(contexts, self.firsts), len(contexts)):  # of several shards, the last
+            numbers, arrays = load(self.folder, shard.name)
+            pointer, c = stored("pointer", numbers, arrays), contexts[at] - shard.context
+            inside = c < len(arrays["back"])
+            c = np.where(inside, c, 0)
             b, e = (x.astype(np.int64) for x in pointer.access_two(c))
-            begin[at], end[at] = b + entry, e + entry
+            b, e = np.where(inside, b, 0), np.where(inside, e, 0)
+            begin[at], end[at] = b + shard.entry, e + shard.entry
             some = np.flatnonzero((b > 0) & (end[at] > begin[at]))
             ahead[at][some] = stored("key", numbers, arrays).access(b[some] - 1)
-            back[at] = arrays["back_book"][arrays["back"][c]]
+            back[at] = np.where(inside, arrays["back_book"][arrays["back"][c]], 0.0)
+            if shard.hot >= 0:
+                begin[at] = np.where(inside, shard.hot, begin[at])
         return begin, end, ahead, back
 
     def find(self, contexts: np.ndarray, ranges: tuple[np.ndarray, ...], of: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Entries (or -1) of keys in contexts with their ``ranges``; ``of``, sorted, is the context's place among those."""
+        """Entries (or -1) of keys in contexts with their ``ranges``; ``of``, sorted, is the context's place among those, and keys are sorted in each."""
         begin, end, ahead, _ = ranges
         found = np.full(len(of), -1, np.int64)
-        for s, at in self._parts(contexts[of], self.firsts):
-            name, _, entry, _ = self.shards[s]
+        for shard, at in self._parts(cut_places(contexts[of], keys, self.firsts, self.keys), len(of)):
             o = of[at]
-            hit = stored("key", *load(self.folder, name)).find(ahead[o] + keys[at].astype(np.uint64), begin[o] - entry, end[o] - entry)
-            found[at] = np.where(hit >= 0, hit + entry, -1)
+            hit = stored("key", *load(self.folder, shard.name)).find(ahead[o] + keys[at].astype(np.uint64), begin[o] - shard.entry, end[o] - shard.entry)
+            found[at] = np.where(hit >= 0, hit + shard.entry, -1)
         return found
 
     def log_p(self, entries: np.ndarray) -> np.ndarray:
         """Of sorted entries."""
         out = np.zeros(len(entries))
-        for s, at in self._parts(entries, self.entries):
-            arrays = load(self.folder, self.shards[s][0])[1]
-            out[at] = arrays["book"][arrays["code"][entries[at] - self.shards[s][2]]]
+        for shard, at in self._parts(np.searchsorted(entries, self.entries), len(entries)):
+            arrays = load(self.folder, shard.name)[1]
+            out[at] = arrays["book"][arrays["code"][entries[at] - shard.entry]]
         return out
 
     def begins(self, entries: np.ndarray) -> np.ndarray:
         """First entry of the range that holds each of the sorted entries."""
         out = np.zeros(len(entries), np.int64)
-        for s, at in self._parts(entries, self.entries):
-            numbers, arrays = load(self.folder, self.shards[s][0])
+        for shard, at in self._parts(np.searchsorted(entries, self.entries), len(entries)):
+            if shard.hot >= 0:
+                out[at] = shard.hot
+                continue
+            numbers, arrays = load(self.folder, shard.name)
             pointers = stored("pointer", numbers, arrays).decode().astype(np.int64)
-            local = entries[at] - self.shards[s][2]
-            out[at] = pointers[np.searchsorted(pointers, local, "right") - 1] + self.shards[s][2]
+            local = entries[at] - shard.entry
+            out[at] = pointers[np.searchsorted(pointers, local, "right") - 1] + shard.entry
         return out
 
 
+def cut_places(a: np.ndarray, b: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where the sorted bounds (first, second) cut the sorted pairs (a, b)."""
+    cuts = np.searchsorted(a, first)
+    for i in np.flatnonzero(second > 0).tolist():
+        end = int(np.searchsorted(a, first[i], "right"))
+        cuts[i] += np.searchsorted(b[cuts[i] : end], second[i])
+    return cuts
+
+
 class Words:
     """Level 1: shards by the high bits of the hash."""
 
@@ -257,10 +290,40 @@ def _spread(data: bytes) -> list[np.ndarray]:
     return [np.cumsum(a), b, c]
 
 
-def _blocks(a: np.ndarray, b: np.ndarray, c: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+@dataclass(frozen=True)
+class Bounds:
+    """Where each shard begins, in order: context, successor, and that as a key; which have a hot context of their own."""
+
+    context: np.ndarray
+    successor: np.ndarray
+    key: np.ndarray
+    hot: np.ndarray
+    end: int
+
+    @staticmethod
+    def of(total: int, shards: int, hot: list[tuple[int, int, int, int]]) -> Bounds:
+        """Equal ranges of ``total`` contexts; hot contexts (context, parts, first successor, successors) are cut out of them and into parts."""
+        rows = {(x, 0): (0, False) for x in (np.arange(shards, dtype=np.int64) * total // shards).tolist()}
+        for context, parts, first, kinds in hot:
+            rows.setdefault((context + 1, 0), (0, False))
+        for context, parts, first, kinds in hot:
+            rows[context, 0] = (0, True)
+            rows.update({(context, first + j * kinds // parts): (j * kinds // parts, True) for j in range(1, parts) if j * kinds // parts})
+        rows = {k: v for k, v in sorted(rows.items()) if k[0] < total}
+        context, successor = (np.array([k[i] for k in rows], np.int64) for i in (0, 1))
+        return Bounds(context, successor, np.array([v[0] for v in rows.values()], np.int64), np.array([v[1] for v in rows.values()], bool), total)
+
+    def ends(self, shard: int) -> int:
+        """The context behind a shard's last one."""
+        if self.hot[shard]:
+            return int(self.context[shard]) + 1
+        return int(self.context[shard + 1]) if shard + 1 < len(self.context) else self.end
+
+
+def _blocks(a: np.ndarray, b: np.ndarray, c: np.ndarray, bounds: Bounds) -> pa.RecordBatch:
     """A row for each shard that has some of the sorted pairs."""
-    cuts = np.searchsorted(a, bounds)
-    rows = [(s, _squeeze(a[i:j], b[i:j], c[i:j])) for s, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
+    cuts = [*cut_places(a, b, bounds.context, bounds.successor).tolist(), len(a)]
+    rows = [(s, _squeeze(a[i:j], b[i:j], c[i:j])) for s, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["shard", "block"])
 
 
@@ -269,11 +332,7 @@ def _merged(blocks: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _unique_pairs(*[np.concatenate([p[i] for p in parts]) for i in range(3)])
 
 
-_MERGED = pa.schema([("shard", pa.int64()), ("block", pa.binary()), ("once", pa.int64()), ("twice", pa.int64())])
-
-
-def _bounds(total: int, shards: int) -> np.ndarray:
-    return np.arange(shards + 1, dtype=np.int64) * total // shards
+_MERGED = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("once", pa.int64()), ("twice", pa.int64()), ("hot", pa.binary()), ("block", pa.binary())])
 
 
 # --- the model ------------------------------------------------------------------------------
@@ -365,16 +424,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(t.hashes.view(np.int64)), pa.array(counts)], ["h", "c"])
 
 
-def _shards_of(rows: list, firsts: np.ndarray, name: str) -> list[tuple[str, int, int, int]]:
-    sizes = {r["shard"]: r["n"] for r in rows}
-    out, at = [], 0
-    for s in range(len(firsts) - 1):
-        if s in sizes:
-            out.append((f"{name}-{s}", int(firsts[s]), at, sizes[s]))
-            at += sizes[s]
-    return out
-
-
 def train(docs: DataFrame) -> NgramModel:
     """Model of all rows of ``docs`` (text). Files stay in the shared folder."""
     folder = run_dir(docs.sparkSession, "ngram-trie")
@@ -398,30 +447,52 @@ def train(docs: DataFrame) -> NgramModel:
     if not n:
         return model
     shards = max(1, -(-n // TOKENS_A_SHARD))
-    n_words = int(model.words.starts[-1])
+    heavy, n_words = TOKENS_A_SHARD // 2, int(model.words.starts[-1])
+    parts = lambda c: -(-2 * c // TOKENS_A_SHARD)
 
-    def level(name: str, count, lower, bounds: np.ndarray) -> list[tuple[str, int, int, int]]:
-        """Merge each shard's blocks, estimate the discount over all of them, then build each shard where its merged block lies."""
+    def level(name: str, count, lower, bounds: Bounds) -> tuple[Level, list[tuple[int, int, int]]]:
+        """Merge each shard's blocks, sum over all of them what is not of one shard, then build each where its merged block lies. Also the heavy entries: entry, successor, count."""
 
         def merge(key: tuple, blocks: pa.Table) -> pa.Table:
             a, b, c = _merged(blocks)
-            return pa.table({"shard": [key[0].as_py()], "block": [_squeeze(a, b, c)], "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())]}, schema=_MERGED)
+            at = np.flatnonzero(c > heavy)
+            hot = np.stack([at, b[at], c[at]]).astype("<i8").tobytes()
+            return pa.table({"shard": [key[0].as_py()], "n": [len(a)], "total": [int(c.sum())], "once": [int((c == 1).sum())], "twice": [int((c == 2).sum())], "hot": [hot], "block": [_squeeze(a, b, c)]}, schema=_MERGED)
+
+        counted = docs.mapInArrow(count, "shard long, block binary").repartition(len(bounds.context), "shard")
+        merged = written(counted.groupBy("shard").applyInArrow(merge, "shard long, n long, total long, once long, twice long, hot binary, block binary"), f"{name}-merged")
+        rows = sorted(merged.drop("block").collect(), key=lambda r: r["shard"])
+        discount = Discount.estimated(sum(r["once"] for r in rows), sum(r["twice"] for r in rows), n)
+        files, whole, found, at = [], {}, [], 0
+        for r in rows:
+            s, context = r["shard"], int(bounds.context[r["shard"]])
+            if bounds.hot[s]:
+                begin, kinds, total = whole.get(context, (at, 0, 0))
+                whole[context] = begin, kinds + r["n"], total + r["total"]
+            files.append(Shard(f"{name}-{s}", context, int(bounds.key[s]), at, r["n"], whole[context][0] if bounds.hot[s] else -1))
+            found += [(at + i, b, c) for i, b, c in np.frombuffer(r["hot"], "<i8").reshape(3, -1).T.tolist()]
+            at += r["n"]
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for shard, block in zip(batch["shard"].to_pylist(), batch["block"], strict=True):
                     a, b, c = _spread(block.as_py())
                     below, keys = lower(a, b)
-                    save(folder, f"{name}-{shard}", *build_level(a, keys, c, below, int(bounds[shard]), int(bounds[shard + 1]), discount))
-                    yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(a)])], ["shard", "n"])
-
-        counted = docs.mapInArrow(count, "shard long, block binary").repartition(shards, "shard")
-        merged = written(counted.groupBy("shard").applyInArrow(merge, "shard long, block binary, once long, twice long"), f"{name}-merged")
-        sums = merged.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
-        discount = Discount.estimated(int(sums[0]), int(sums[1]), n)
-        return _shards_of(merged.select("shard", "block").mapInArrow(build, "shard long, n long").collect(), bounds, name)
-
-    by_word = _bounds(n_words, shards)
+                    first = int(bounds.context[shard])
+                    save(folder, f"{name}-{shard}", *build_level(a, keys, c, below, first, bounds.ends(shard), discount, whole[first][1:] if bounds.hot[shard] else None))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard])], ["shard"])
+
+        merged.select("shard", "block").mapInArrow(build, "shard long").write.format("noop").mode("overwrite").save()
+        return Level(folder, files), found
+
+    # heavy words as contexts; the begin mark stands ahead of as many tokens as there are end marks
+    often = words.where(F.col("c") > heavy).select("h", "c").collect()
+    followed = {r["h"] & (1 << 64) - 1: r["c"] for r in often}
+    if END in followed:
+        followed[BEGIN] = followed.pop(END)
+    hashes = np.array(sorted(followed), np.uint64)
+    hot = [(i, parts(followed[h]), 0, n_words) for i, h in zip(model.words.look_up(hashes)[0].tolist(), hashes.tolist(), strict=True)]
+    by_word = Bounds.of(n_words, shards, hot)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -434,9 +505,12 @@ def train(docs: DataFrame) -> NgramModel:
         distinct, inverse = np.unique(b, return_inverse=True)
         return ((model.words.counts(distinct) + 1) / (n + v + 1))[inverse], b
 
-    pairs = Level(folder, level("pairs", count_pairs, unigram, by_word))
+    pairs, heavy_pairs = level("pairs", count_pairs, unigram, by_word)
     ready = NgramModel(folder, n, v, model.words, pairs, Level(folder, []))
-    by_pair = _bounds(sum(s[3] for s in pairs.shards), shards)
+    middle = np.array(sorted({b for _, b, _ in heavy_pairs}), np.int64)
+    begin, end = (x.tolist() for x in pairs.ranges(middle)[:2])
+    follow = {m: (i, j - i) for m, i, j in zip(middle.tolist(), begin, end, strict=True)}
+    by_pair = Bounds.of(pairs.size, shards, [(entry, parts(c), *follow[b]) for entry, b, c in heavy_pairs if follow[b][1]])
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -450,7 +524,7 @@ def train(docs: DataFrame) -> NgramModel:
         distinct, inverse = np.unique(b, return_inverse=True)
         return (10 ** pairs.log_p(distinct))[inverse], b - pairs.begins(distinct)[inverse]
 
-    ready.triples = Level(folder, level("triples", count_triples, bigram, by_pair))
+    ready.triples = level("triples", count_triples, bigram, by_pair)[0]
     return ready
 
 

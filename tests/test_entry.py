@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__
 
 ROOT = Path(__spark_entry__.__file__).parent
@@ -14,9 +16,12 @@ def test_sql_belongs_to_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_everything_else_works_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("left", [False, True])
+def test_everything_else_works_without_the_subpackage(tmp_path, left):
     shutil.copytree(ROOT / "peakloom", tmp_path / "peakloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if left and (ROOT / "corpus_pipeline.py").exists():
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n.startswith('op')] and 'pipeline' not in q and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
 

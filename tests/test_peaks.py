@@ -2,11 +2,14 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from peakloom.functions import shared
 from peakloom.functions.ranking import ordinals
 from peakloom.functions.scalars import binomial, combinations, duration_seconds, int_abs, lenient_double, lenient_int
 from peakloom.operators import asof, clustering, components, deadtime, grid, preprocess
@@ -191,6 +194,63 @@ def test_components_against_union_find(spark, monkeypatch):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_contraction_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(350)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges[i : i + 25]], pa.int64()) for k in (0, 1)], ["u", "v"]) for i in range(0, 350, 25)]
+    for chunk in (1 << 20, 100, 40):
+        monkeypatch.setattr(components, "CHUNK", chunk)
+        stars = [e for b in components._contract(iter(batches)) for e in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+        want, got = brute_components(edges), brute_components(stars)
+        assert all(got.get(x, x) == c for x, c in want.items()) and all(u > v for u, v in stars)
+        assert len(stars) == len(want) - len(set(want.values())) or chunk < 400
+
+
+def test_run_folders_are_removed(spark):
+    with shared.run_folder(spark) as path:
+        table = shared.written(spark.range(5), "x")
+        assert table.count() == 5
+        assert Path(path.removeprefix("file://")).is_dir()
+    assert not Path(path.removeprefix("file://")).exists()
+    assert shared.written(spark.range(3), "y").count() == 3
+
+
+def test_ordinals_of_any_type_and_outliers(spark):
+    values = [0, *(1_700_000_000 + i for i in range(500)), (1 << 60) + 1, (1 << 60) + 2]
+    got = {r.k: r.ordinal for r in ordinals(spark.createDataFrame([(v,) for v in values], "k long"), "k", kind="bigint").collect()}
+    assert got == {v: i for i, v in enumerate(sorted(values))}
+    got = {tuple(r.k): r.ordinal for r in ordinals(spark.createDataFrame([([2, 1],), ([2],), ([1, 9],)], "k array<long>"), "k").collect()}
+    assert got == {(1, 9): 0, (2,): 1, (2, 1): 2}
+
+
+def test_run_ordinals_follow_lines(spark):
+    rng = random.Random(2)
+    rts = []
+    for _ in range(120):
+        rts += [float(rng.randrange(4))] * rng.randrange(1, 5)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rts)], "line int, rt double").repartition(6)
+    want, n = [], 0
+    for i, t in enumerate(rts):
+        n += bool(i) and t != rts[i - 1]
+        want.append(n)
+    assert [r.scan_ord for r in clustering.with_run_ordinals(df, "line").orderBy("line").collect()] == want
+
+
+def test_ordered_grid_takes_each_bin_once(spark):
+    rng = random.Random(5)
+    rows = [(s, k, round(rng.random() * 30, 3)) for s in range(3) for k in range(40)]
+    got = {(r.scan_num, r.peak_id): r.bin for r in grid.grid_matches_in_order(spark.createDataFrame(rows, "scan_num int, peak_id int, mz double"), 1.0, 0.25, 15, 0.4).collect()}
+    mzs, want = [(1 + i * 0.25) ** 2 for i in range(16)], {}
+    for s in range(3):
+        free = 0
+        for _, k, mz in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1])):
+            if mzs[0] - 0.4 <= mz <= mzs[15] + 0.4:
+                c = next((c for c in range(free, 15) if abs(mzs[c] - mz) < 0.4), None)
+                if c is not None:
+                    want[s, k], free = c, c + 1
+    assert got == want
+
+
 def global_rule(points, d, n_prev, max_merges):
     """The one-pass rule over all points, with plain lists."""
     colour, out = {}, []

@@ -14,33 +14,29 @@ columns besides conv_id, turn, role and text are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import AddedToken, Tokenizer
+from tokenizers import Tokenizer
+
+from peakloom.llm.byte_bpe import encoder, vocabulary
 
 START, BETWEEN, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _FORGED, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(BETWEEN) + "(.*?)" + re.escape(END), re.DOTALL)
 
 
-def vocabulary() -> str:
-    return public_tokenizers.path("byte_bpe_50k.json")
+MARKS = (START, BETWEEN, END)
 
 
-@functools.lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
     """The public tokenizer with the template's marks as special tokens beyond its ids."""
-    t = Tokenizer.from_file(path)
-    t.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in (START, BETWEEN, END)])
-    return t
+    return encoder(path, MARKS).tokenizer
 
 
 def escape(text: str) -> str:
@@ -101,13 +97,12 @@ def format_conversations(rows: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
+        encode = encoder(path, MARKS).ids_and_offsets
         for conv_id, turns in _conversations(batches):
             formatted, spans = render(turns)
-            encoded = encode(formatted, add_special_tokens=False)
-            offsets = np.array(encoded.offsets, np.int64).reshape(-1, 2)
+            ids, offsets = encode(formatted)
             mask = loss_mask(offsets, spans)
-            arrays = [pa.array([conv_id], pa.int64()), pa.array([formatted]), pa.array([encoded.ids], pa.list_(pa.int32()))]
+            arrays = [pa.array([conv_id], pa.int64()), pa.array([formatted]), pa.array([ids], pa.list_(pa.int32()))]
             arrays += [pa.array([offsets[:, i]], pa.list_(pa.int32())) for i in (0, 1)] + [pa.array([mask], pa.list_(pa.bool_()))]
             yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "formatted", "ids", "starts", "ends", "loss_mask"])
 

@@ -16,25 +16,19 @@ lost tasks are recomputed alike.
 
 from __future__ import annotations
 
-import base64
-import functools
-import json
 import math
 import random
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from peakloom.functions.shared import written
 from peakloom.llm.arrow_words import slices
+from peakloom.llm.byte_bpe import encoder, vocabulary
 
 LENGTH, END_ID = 1024, 2
 #: Pieces in a block in the mean, islands a block, rounds between migrations, individuals an island, children a round.
@@ -43,43 +37,12 @@ BLOCK, ISLANDS, ROUNDS, POPULATION, CHILDREN = 8192, 3, 3, 4, 12
 INJECT, WELL_FILLED = 0.15, 0.99
 
 
-#: Runs of white space from this length on are beyond the fast encoder, whose pattern recurses on them.
-LONG_BLANKS = 4096
-_BLANK_RUN = re.compile(rf"\s{{{LONG_BLANKS}}}")
-
-
-def vocabulary() -> str:
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-@functools.lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text by the tokenizer at ``path``, without tokens that it adds by itself.
-
-    Its vocabulary and merges as ranks give the same ids in a fifth of the time; texts with runs of
-    LONG_BLANKS go to the tokenizer itself.
-    """
-    tokenizer = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-    with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-
-    def encode(text: str) -> list[int]:
-        if len(text) >= LONG_BLANKS and _BLANK_RUN.search(text):
-            return tokenizer.encode(text, add_special_tokens=False).ids
-        return fast.encode(text, allowed_special="all", disallowed_special=())
-
-    return encode
-
-
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32 of all documents."""
     path = path or vocabulary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path).ids
         for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):

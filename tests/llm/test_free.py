@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from peakloom.functions.shared import run_dir
-from peakloom.llm import arrow_words, chat_format, elias_fano, mpeg_audio, native_sql, near_dedup, ngram_lm, packing, warc_bundles
+from peakloom.llm import arrow_words, byte_bpe, chat_format, elias_fano, mpeg_audio, native_sql, near_dedup, ngram_lm, packing, warc_bundles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -183,6 +183,15 @@ def test_rendering_reads_back(turns):
     assert sum(i >= 50257 for i in encoded.ids) == 3 * len(turns)
 
 
+@settings(max_examples=80, deadline=None)
+@given(TURNS, st.text(max_size=40))
+def test_offsets_equal_the_tokenizer(turns, more):
+    formatted, _ = chat_format.render([*turns, ("assistant", more + "漢\u0301😀 \u00a0" + " " * 5000 if len(more) == 7 else more)])
+    ids, offsets = byte_bpe.encoder(chat_format.vocabulary(), chat_format.MARKS).ids_and_offsets(formatted)
+    want = chat_format.tokenizer(chat_format.vocabulary()).encode(formatted, add_special_tokens=False)
+    assert ids.tolist() == want.ids and offsets.tolist() == [list(x) for x in want.offsets]
+
+
 def test_chat_cases(spark):
     rows = [(1, 1, "assistant", "two"), (1, 0, "user", None), (2, 0, None, "x"), (None, 0, "assistant", "n"), (3, 0, "assistant", "long " * 30_000), (1, 1, "assistant", "two")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"ids": F.lit(1), "formatted": F.lit("q")})
@@ -273,7 +282,7 @@ def test_media_columns(spark):
 
 def test_ids_equal_the_tokenizer(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode = packing.encoder(packing.vocabulary())
+    encode = packing.encoder(packing.vocabulary()).ids
     rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     hard = [" " * 4095 + "x" + "\n" * 4095, " " * 4096 + "x", "y\t \u2003\u00a0" * 20_000, "\n" * 1_000_000, " " * 2_000_000, "a" * 1_000_000, "<|endoftext|>" + " " * 5000 + "<|endoftext|>"]
     for text in [x or "" for x in TEXTS + rows] + ["don't  I'll\n\n\n x1y2 ...!!", "漢字 😀 ñandú", "x <|endoftext|> y", *hard]:

@@ -57,45 +57,62 @@ def link_edges(points: DataFrame, mz_dist: float = MZ_DIST, n_prev: int = N_PREV
     return band_pairs(points, "peak_id", "scan_ord", mz_dist, list(range(1, n_prev + 1)))
 
 
-def sequential_labels(ords: list[int], mzs: list[float], mz_dist: float, n_prev: int, max_merges: int | None) -> list[int]:
-    """Colours of points in scan and mz order by the one-pass rule: adopt the first hit's colour (latest scan, least mz first), then merge up to ``max_merges`` others."""
-    root: list[int] = []
-    scans: dict[int, tuple[list[float], list[int]]] = {}
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+class OnePass:
+    """Colours of points that come in scan order, by the one-pass rule: adopt the first hit's colour (latest scan, least mz first), then merge up to ``max_merges`` others into it."""
+
+    def __init__(self, mz_dist: float, n_prev: int, max_merges: int | None) -> None:
+        self.mz_dist, self.n_prev, self.max_merges = mz_dist, n_prev, max_merges
+        self.root: dict[int, int] = {}
+        self.scans: dict[int, tuple[list[float], list[int]]] = {}
+
+    def colour(self, point: int) -> int:
+        x = point
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
         return x
 
-    for i, (o, m) in enumerate(zip(ords, mzs, strict=True)):
-        root.append(i)
-        mine, merges, full = None, 0, False
-        for k in range(1, n_prev + 1):
-            if full or o - k not in scans:
-                continue
-            values, ids = scans[o - k]
-            j = bisect.bisect_left(values, m - mz_dist)
-            while j < len(values) and values[j] - m <= mz_dist:
-                if values[j] - m >= -mz_dist:
-                    other = top(ids[j])
-                    if mine is None:
-                        mine = other
-                    elif other != mine:
-                        root[other] = mine
-                        merges += 1
-                        if max_merges is not None and merges >= max_merges:
-                            full = True
-                            break
+    def _hits(self, scan: int, mz: float) -> Iterator[int]:
+        for k in range(1, self.n_prev + 1):
+            values, points = self.scans.get(scan - k, ((), ()))
+            j = bisect.bisect_left(values, mz - self.mz_dist)
+            while j < len(values) and values[j] - mz <= self.mz_dist:
+                if values[j] - mz >= -self.mz_dist:
+                    yield points[j]
                 j += 1
-        if mine is not None:
-            root[i] = mine
-        values, ids = scans.setdefault(o, ([], []))
-        values.append(m)
-        ids.append(i)
-        for old in [s for s in scans if s < o - n_prev]:
-            del scans[old]
-    return [top(i) for i in range(len(root))]
+
+    def add(self, point: int, scan: int, mz: float) -> tuple[int, list[int]]:
+        """The colour of a new point (a point of its own if nothing is near), and the colours that it merged into this one."""
+        mine, merged = None, []
+        for hit in self._hits(scan, mz):
+            other = self.colour(hit)
+            if mine is None:
+                mine = other
+            elif other != mine:
+                self.root[other] = mine
+                merged.append(other)
+                if self.max_merges is not None and len(merged) >= self.max_merges:
+                    break
+        self.root[point] = point if mine is None else mine
+        values, points = self.scans.setdefault(scan, ([], []))
+        at = bisect.bisect_right(values, mz)
+        values.insert(at, mz)
+        points.insert(at, point)
+        return self.root[point], merged
+
+    def forget(self, before: int) -> None:
+        """Drop the scans ahead of ``before``, which no later point reaches."""
+        for scan in [s for s in self.scans if s < before]:
+            del self.scans[scan]
+
+
+def sequential_labels(ords: list[int], mzs: list[float], mz_dist: float, n_prev: int, max_merges: int | None) -> list[int]:
+    """Colours (places of points) of points in scan and mz order by the one-pass rule."""
+    rule = OnePass(mz_dist, n_prev, max_merges)
+    for i, (o, m) in enumerate(zip(ords, mzs, strict=True)):
+        rule.add(i, o, m)
+        rule.forget(o - n_prev)
+    return [rule.colour(i) for i in range(len(ords))]
 
 
 def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple]]]:

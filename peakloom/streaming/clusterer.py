@@ -1,8 +1,7 @@
-"""Clustering of an unbounded stream of peaks in retention-time order, with bounded state."""
+"""Clustering of an unbounded stream of peaks in retention-time order; the state holds what is still open."""
 
 from __future__ import annotations
 
-import bisect
 import pickle
 from collections.abc import Iterator
 
@@ -10,57 +9,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from peakloom.operators.clustering import OnePass
+
 OUTPUT = "cluster_id bigint, peak_id bigint, scan_ord bigint, mz double"
 
 
 class OpenClusters:
-    """Clusters that later points can still reach."""
+    """Clusters that later points can still reach, with their points."""
 
     def __init__(self, mz_dist: float, n_prev: int, max_merges: int | None) -> None:
-        self.mz_dist, self.n_prev, self.max_merges = mz_dist, n_prev, max_merges
+        self.rule = OnePass(mz_dist, n_prev, max_merges)
         self.members: dict[int, list[tuple[int, int, float]]] = {}
         self.last: dict[int, int] = {}
-        self.scans: dict[int, tuple[list[float], list[int]]] = {}
-        self.colour: dict[int, int] = {}
         self.now = -1
 
     def add(self, peak_id: int, scan_ord: int, mz: float) -> None:
         self.now = max(self.now, scan_ord)
-        mine, merges, full = None, 0, False
-        for k in range(1, self.n_prev + 1):
-            values, ids = self.scans.get(scan_ord - k, ((), ()))
-            j = bisect.bisect_left(values, mz - self.mz_dist)
-            while not full and j < len(values) and values[j] - mz <= self.mz_dist:
-                other = self.colour[ids[j]]
-                if mine is None:
-                    mine = other
-                elif other != mine:
-                    moved = self.members.pop(other)
-                    self.members[mine] += moved
-                    self.last[mine] = max(self.last[mine], self.last.pop(other))
-                    self.colour.update((p, mine) for p, _, _ in moved)
-                    merges += 1
-                    full = self.max_merges is not None and merges >= self.max_merges
-                j += 1
-        if mine is None:
-            mine = peak_id
-            self.members[mine] = []
-        self.members[mine].append((peak_id, scan_ord, mz))
-        self.last[mine], self.colour[peak_id] = scan_ord, mine
-        values, ids = self.scans.setdefault(scan_ord, ([], []))
-        at = bisect.bisect_right(values, mz)
-        values.insert(at, mz)
-        ids.insert(at, peak_id)
+        mine, merged = self.rule.add(peak_id, scan_ord, mz)
+        for other in merged:
+            self.members[mine] += self.members.pop(other)
+            del self.last[other]
+        self.members.setdefault(mine, []).append((peak_id, scan_ord, mz))
+        self.last[mine] = scan_ord
 
     def close(self, everything: bool = False) -> Iterator[list[tuple[int, int, float]]]:
         """Clusters that no point of a later scan can reach, taken out of the state."""
-        for s in [s for s in self.scans if everything or s < self.now - self.n_prev]:
-            del self.scans[s]
-        for c in [c for c, seen in self.last.items() if everything or seen < self.now - self.n_prev]:
+        reach = self.now + 1 if everything else self.now - self.rule.n_prev
+        self.rule.forget(reach)
+        for c in [c for c, seen in self.last.items() if seen < reach]:
             points = self.members.pop(c)
             del self.last[c]
             for p, _, _ in points:
-                del self.colour[p]
+                del self.rule.root[p]
             yield points
 
 
@@ -69,7 +49,8 @@ def cluster_stream(points: DataFrame, mz_dist: float, n_prev: int = 2, min_size:
 
     No link may cross slabs: take one slab for dense data, or ranges of mz with gaps over ``mz_dist``
     between them. Clusters close when their scans have passed, and all of them when the watermark
-    passes the last point of their slab. The size limit holds for whole clusters.
+    passes the last point of their slab. The size limit holds for whole clusters. The state of a slab
+    is its last scans and the points of its open clusters, so it grows with what stays open.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -277,7 +277,7 @@ def test_open_clusters_equal_the_batch_rule():
         for c, p in zip(colours, points, strict=True):
             least[c] = min(p[2], least.get(c, p[2]))
         assert got == {p[2]: least[c] for c, p in zip(colours, points, strict=True)}
-        assert not o.members and not o.colour and not o.scans
+        assert not o.members and not o.rule.root and not o.rule.scans
 
 
 def test_stream_equals_batch(spark, tmp_path):

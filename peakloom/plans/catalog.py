@@ -105,7 +105,16 @@ def local_maxima_embeddings(spark, d):
     return preprocess.local_maxima(adapters.embedding_peaks(spark, d))
 
 
-@query()
+_SORTED = "list_transform(list_sort(list_transform({}, lambda x, p: struct_pack(k := -x.i, p := p, v := x))), lambda y: y.v)"
+
+
+@query(f"""WITH RECURSIVE {_P}, x AS (SELECT *, {_SIDES} FROM p WINDOW w AS (PARTITION BY scan_num ORDER BY mz, peak_id)),
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY scan_num, mz, peak_id) AS pos, struct_pack(i := intensity, s := scan_num, m := mz) AS cand FROM x WHERE NOT (coalesce(intensity < l, false) OR coalesce(intensity < r, false))),
+r AS (SELECT 0::BIGINT AS pos, []::STRUCT(i DOUBLE, s INTEGER, m DOUBLE)[] AS best UNION ALL
+  SELECT pos, CASE WHEN len(best) = 10 AND cand.i < best[10].i THEN best WHEN hit IS NULL THEN {_SORTED.format('list_append(best[1:9], cand)')} WHEN best[hit].i < cand.i THEN {_SORTED.format('list_transform(best, lambda z, q: CASE WHEN q = hit THEN cand ELSE z END)')} ELSE best END
+  FROM (SELECT c.pos, cand, best, nullif(list_position(list_transform(best, lambda z: abs(z.s - cand.s) < 20 AND abs(z.m - cand.m) < 0.05), true), 0) AS hit FROM r JOIN c ON c.pos = r.pos + 1)),
+f AS (SELECT best FROM r ORDER BY pos DESC LIMIT 1)
+SELECT place::INT AS place, best[place].s AS scan_num, best[place].m AS mz, best[place].i AS intensity FROM (SELECT best, unnest(range(1, len(best) + 1)) AS place FROM f)""")
 def top_n_suppressed(spark, d):
     return preprocess.highest_peaks(_peaks(spark, d), n=10, scans=20, mz=0.05)
 

@@ -53,5 +53,5 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, with no lineage before it."""
     spark, path = df.sparkSession, run_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -114,6 +114,52 @@ def test_gaussians_are_recovered(spark):
     assert abs(f.rt_width) == pytest.approx(6, rel=1e-3) and f.height == pytest.approx(90, rel=1e-3) and f.volume == pytest.approx(z.sum(), rel=1e-3)
 
 
+def test_fits_are_least_squares():
+    """Two overlapping Gaussians and noise: no nearby parameters give a smaller sum of squares."""
+    rng = np.random.default_rng(4)
+    x, y = (g.ravel() for g in np.meshgrid(np.linspace(0, 40, 17), np.linspace(500, 500.6, 15)))
+    z = shapes.gaussians(np.array([12, 500.2, 5, 0.06, 80, 28, 500.4, 6, 0.08, 50.0]), x, y).sum(0) + rng.normal(0, 0.5, len(x))
+    p, ok = shapes.levenberg(np.array([10, 500.15, 4, 0.05, 60, 30, 500.45, 4, 0.05, 60.0]), x, y, z)
+    cost = lambda q: float(((z - shapes.gaussians(q, x, y).sum(0)) ** 2).sum())
+    assert ok and np.allclose(p, [12, 500.2, 5, 0.06, 80, 28, 500.4, 6, 0.08, 50], rtol=0.05)
+    scale = np.array([5, 0.06, 5, 0.06, 80, 6, 0.08, 6, 0.08, 50])
+    assert all(cost(p + scale * step) >= cost(p) * (1 - 1e-9) for size in (1e-2, 1e-3, 1e-4) for step in rng.normal(0, size, (60, 10)))
+
+
+def plain_mean_shift(points, bandwidth):
+    """Flat-kernel mean shift from rounded seeds with plain loops."""
+    near = lambda c: [p for p in points if math.dist(p, c) <= bandwidth]
+    found = {}
+    for seed in sorted({tuple(round(v / bandwidth) for v in p) for p in points}):
+        c = tuple(v * bandwidth for v in seed)
+        for _ in range(300):
+            inside = near(c)
+            if not inside:
+                break
+            new = tuple(sum(v) / len(inside) for v in zip(*inside, strict=True))
+            moved, c = math.dist(new, c), new
+            if moved <= 1e-3 * bandwidth:
+                break
+        if near(c):
+            found[tuple(round(v, 9) for v in c)] = len(near(c))
+    centres = []
+    for c, _ in sorted(found.items(), key=lambda kv: (-kv[1], kv[0])):
+        if all(math.dist(c, o) > bandwidth for o in centres):
+            centres.append(c)
+    return [min(range(len(centres)), key=lambda k: math.dist(p, centres[k])) for p in points]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mean_shift_against_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    points = [(round(c[0] + rng.gauss(0, 0.03), 4), round(c[1] + rng.gauss(0, 0.03), 4)) for c in ((0.0, 0.0), (0.3, 0.1), (0.9, 0.9)) for _ in range(15)]
+    want = plain_mean_shift(points, 0.08)
+    got = shapes.mean_shift(np.array(points), 0.08)
+    assert len(set(got.tolist())) == len(set(want)) and len(set(zip(got.tolist(), want, strict=True))) == len(set(want))
+    df = spark.createDataFrame([(7, x * shapes.RT_SCALE, y) for x, y in points], "cluster_id long, rt double, mz double")
+    assert shapes.mean_shift_counts(df, 0.08).first().subclusters == len(set(want))
+
+
 def test_counts_of_subclusters(spark):
     rng = random.Random(2)
     rows = [(i, 1, c * 75.0 + rng.random() * 0.2, 500 + c + rng.random() * 0.004, 1.0) for c in range(3) for i in range(c * 20, c * 20 + 20)] + [(900, 1, 5000.0, 800.0, 1.0)]

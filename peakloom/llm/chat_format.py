@@ -116,12 +116,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row in batch.to_pylist():
-                turns = parse(row["formatted"])
+            values = lambda name, i: batch[name][i].values.to_numpy(zero_copy_only=False)
+            for i, (conv_id, formatted) in enumerate(zip(batch["conv_id"].to_pylist(), batch["formatted"].to_pylist(), strict=True)):
+                turns, mask = parse(formatted), values("loss_mask", i)
                 whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-                loss = masked_texts(row["formatted"], np.array([row["starts"], row["ends"]], np.int64).T.reshape(-1, 2), np.array(row["loss_mask"], bool))
+                loss = masked_texts(formatted, np.stack([values("starts", i), values("ends", i)], 1), mask)
                 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-                rows.append({"conv_id": row["conv_id"], "n_turns": len(turns), "turns_sha256": sha(whole), "loss_chars": len(loss), "loss_sha256": sha(loss), "formatted_chars": len(row["formatted"]), "n_tokens": len(row["ids"]), "loss_tokens": sum(row["loss_mask"])})
+                rows.append({"conv_id": conv_id, "n_turns": len(turns), "turns_sha256": sha(whole), "loss_chars": len(loss), "loss_sha256": sha(loss), "formatted_chars": len(formatted), "n_tokens": len(mask), "loss_tokens": int(mask.sum())})
             yield pa.RecordBatch.from_pylist(rows, schema=_DIGESTS)
 
     return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")

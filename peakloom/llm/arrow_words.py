@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once (a longer text is worked on alone); bounds memory, not results.
 SLICE_BYTES = 8 << 20
@@ -24,9 +25,9 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """``batches`` cut so that the texts of each part have SLICE_BYTES at most or are one row."""
+    """``batches`` cut so that the texts (or bytes) of each part have SLICE_BYTES at most or are one row."""
     for batch in batches:
-        ends, i = utf8(batch[text])[1], 0
+        ends, i = np.concatenate([[0], np.cumsum(pc.binary_length(batch[text]).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)]), 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE_BYTES, "right")) - 1)
             yield batch.slice(i, j - i)
@@ -60,20 +61,26 @@ def hash_of(word: bytes) -> int:
     return int(hashed(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0])
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the distinct words with A-Z in lower case; the words of all texts, end to end, as places among them; each text's number of words."""
-    data, offsets = utf8(texts)
-    lowered = data.tobytes().translate(_LOWER)
-    low, space = np.frombuffer(lowered, np.uint8), np.frombuffer(lowered.translate(_SPACE), bool)
+def coded_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray | None = None) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """The distinct words of texts (``data`` between ``offsets``); the words of all texts, end to end, as places among them; each text's number of words."""
+    space = np.frombuffer(data.tobytes().translate(_SPACE), bool) if space is None else space
     starts = ~space
     starts[1:] &= space[:-1]
     firsts = offsets[:-1][offsets[:-1] < len(data)]
     starts[firsts] = ~space[firsts]
     counts = np.diff(np.searchsorted(np.flatnonzero(starts), offsets))
-    kept = low[~space]
+    kept = data[~space]
     bounds = np.append(np.flatnonzero(starts[~space]), len(kept)).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(kept)])
     coded = words.dictionary_encode()
-    _, ends, distinct = coded.dictionary.buffers()
-    ends = np.frombuffer(ends, np.int64)[: len(coded.dictionary) + 1] if len(coded.dictionary) else np.zeros(1, np.int64)
-    return hashed(np.frombuffer(distinct, np.uint8)[: ends[-1]] if len(ends) > 1 else np.zeros(0, np.uint8), ends), coded.indices.to_numpy(), counts
+    return coded.dictionary, coded.indices.to_numpy(), counts
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct words with A-Z in lower case; the words of all texts, end to end, as places among them; each text's number of words."""
+    data, offsets = utf8(texts)
+    lowered = data.tobytes().translate(_LOWER)
+    words, places, counts = coded_words(np.frombuffer(lowered, np.uint8), offsets, np.frombuffer(lowered.translate(_SPACE), bool))
+    _, ends, distinct = words.buffers()
+    ends = np.frombuffer(ends, np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    return hashed(np.frombuffer(distinct, np.uint8)[: ends[-1]] if len(ends) > 1 else np.zeros(0, np.uint8), ends), places, counts

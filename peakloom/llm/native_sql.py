@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from peakloom.llm import license_scan, line_dedup, mixing, near_dedup, quality_rules
+from peakloom.llm import filter_audit, license_scan, line_dedup, mixing, near_dedup, quality_rules, spelling
 
 _W = r"[^\x20\x09-\x0D]+"
 _TRIM = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -96,3 +96,42 @@ links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(b, w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(b, w.doc_id)) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.a = w.doc_id"""
+
+
+def spelling_sql() -> str:
+    s = spelling
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    data = "list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)"
+    return f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all({lower}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || run)) AS h FROM (SELECT doc_id, run, count(*) AS c FROM r WHERE length(run) >= {s.MIN_LENGTH} GROUP BY ALL)),
+k AS MATERIALIZED (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda x, b: xor(x >> 8, t.t[(xor(x, b) % 256 + 1)::INT]))) AS h FROM d, t),
+w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % {s.SLIP} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM k) WHERE length(word) >= {s.MIN_LENGTH} GROUP BY word HAVING sum(c) >= {s.MIN_COUNT}),
+e AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS form, b.n FROM e a JOIN e b ON a.k = b.k AND a.i = b.i AND a.word <> b.word UNION SELECT e.word, w.word, w.n FROM e JOIN w ON e.k = w.word UNION SELECT w.word, e.word, e.n FROM e JOIN w ON e.k = w.word),
+best AS (SELECT word, count(*) AS n_near, min((-n, form)) AS b FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b[1] >= {s.RATIO} * w.n THEN b[2] END AS form, CASE WHEN -b[1] >= {s.RATIO} * w.n THEN -b[1] END AS form_n FROM w LEFT JOIN best USING (word)),
+walk(word, last, next) AS (SELECT word, word, form FROM f UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.next)
+SELECT f.word, f.form, walk.last AS root, f.n, f.n_near, f.form_n::BIGINT AS form_n FROM f JOIN walk ON walk.word = f.word AND walk.next IS NULL"""
+
+
+def audit_sql() -> str:
+    a = filter_audit
+    letters = ", ".join(f"(SELECT unnest(string_split('{','.join(a.FILTERS)}', ',')) AS f) {x}" for x in a.FILTERS.lower())
+    before = " OR ".join(f"(fails_{x} AND strpos(o, '{x}') < step)" for x in a.FILTERS)
+    own = "CASE f " + " ".join(f"WHEN '{x}' THEN fails_{x}" for x in a.FILTERS) + " END"
+    total = " + ".join(f"fails_{x}::INT" for x in a.FILTERS)
+    return f"""
+WITH x AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_W}') AS w FROM documents),
+c AS (SELECT t, min(doc_id) AS least FROM x GROUP BY t),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, len(w) < {a.MIN_WORDS} AS fails_A, 100 * len(list_distinct(w)) < {a.DISTINCT_PERCENT} * len(w) AS fails_B, 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > {a.CAPITAL_PERCENT} * length(t) AS fails_C,
+  regexp_matches(t, '[{a.SYMBOLS}]') AS fails_D, coalesce(x.doc_id > least, false) AS fails_E, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM x JOIN c USING (t) LEFT JOIN l ON l.doc_id = x.doc_id),
+g AS MATERIALIZED (SELECT *, {total} AS fails, count(*) AS n FROM (SELECT * FROM m) GROUP BY ALL),
+o AS (SELECT {' || '.join(f'{x}.f' for x in a.FILTERS.lower())} AS o FROM {letters} WHERE len(list_distinct([{', '.join(f'{x}.f' for x in a.FILTERS.lower())}])) = {len(a.FILTERS)}),
+s AS (SELECT o, step::INT AS step, o[step::INT] AS f FROM o, range(1, {len(a.FILTERS) + 1}) r(step)),
+q AS (SELECT part, o, step, f, fails, n, good, toxic, {own} AS own, ({before}) AS before FROM g, s),
+r AS (SELECT part, o, step, f, sum(CASE WHEN NOT own AND NOT before THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN own AND NOT before THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN own AND before THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN own AND fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN own AND NOT before AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN own AND NOT before AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM q GROUP BY ALL)
+SELECT part, o AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""

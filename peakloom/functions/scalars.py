@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,15 @@ def duration_seconds(text: Column, lose_first_date_part: bool = False) -> Column
     return F.when(text.isNotNull(), total)
 
 
+def seconds_of(text: str | None) -> float | None:
+    """``duration_seconds`` of one text."""
+    if text is None:
+        return None
+    date, _, time = text.partition("P")[2].partition("T")
+    parts = [(part, unit, seconds) for part, units in ((date, DATE_UNITS), (time, TIME_UNITS)) for unit, seconds in units]
+    return sum((float(m[1]) * seconds for part, unit, seconds in parts if (m := re.search(rf"([0-9]+\.?[0-9]*){unit}", part))), 0.0)
+
+
 def int_abs(x: Column) -> Column:
     """Absolute value of ``x`` cut to an integer."""
     return F.abs(x.cast("bigint")).cast("double")

@@ -11,7 +11,7 @@ from peakloom.functions.scalars import duration_seconds
 from peakloom.functions.shared import run_dir
 from peakloom.operators import asof, clustering, deadtime, grid, isotopes, preprocess
 from peakloom.plans.catalog import _CLUSTERS, _HOURS, _LABELS, _P, _SEQ, GRID_GAP, GRID_MIN, MIN_SIZE, MZ_DIST, TAU_NE, A, N, _by_time, _clustered, _isotopic, _peaks, _points, _rounded, query
-from peakloom.sources import adapters, mzxml
+from peakloom.sources import adapters, mzxml, mzxml_rewrite
 from peakloom.sources import text as text_files
 from peakloom.streaming.clusterer import cluster_stream
 
@@ -42,6 +42,35 @@ def mzxml_filtered(spark, d):
     return preprocess.filter_peaks(peaks, 300.0, 400.0).select("scan_num", "rt", "mz", "intensity")
 
 
+@query(f"WITH {_P} SELECT scan_num + 1 AS scan_num, rt, mz, intensity FROM p WHERE rt BETWEEN 1e7 AND 5e7 AND scan_num < 2000")
+def mzxml_source_filtered(spark, d):
+    scans = mzxml_rewrite.read(spark, _document(spark, d)).where("scan_type = 'Full' AND rt BETWEEN 1e7 AND 5e7 AND num <= 2000")
+    return mzxml.explode_peaks(mzxml.decode_scans(scans)).select("scan_num", "rt", "mz", "intensity")
+
+
+_REWRITTEN = f"WITH {_P}, o AS (SELECT *, dense_rank() OVER (ORDER BY scan_num) AS place FROM p), k AS (SELECT *, dense_rank() OVER (ORDER BY scan_num) AS num FROM o WHERE place % 2 = 0 AND rt BETWEEN 1e7 AND 5e7) "
+
+
+def _rewritten(spark: SparkSession, d: str) -> str:
+    path = run_dir(spark, "mzxml-rewritten")
+    mzxml_rewrite.rewrite(spark, _document(spark, d), path, take="even", rt=(1e7, 5e7), mz=(200.0, 700.0), min_intensity=10.0)
+    return path
+
+
+@query(_REWRITTEN + "SELECT num::INT AS scan_num, rt, mz, intensity FROM k WHERE mz > 200 AND mz < 700 AND intensity > 10")
+def mzxml_rewritten(spark, d):
+    scans = mzxml_rewrite.read(spark, _rewritten(spark, d))
+    return mzxml.explode_peaks(mzxml.decode_scans(scans)).select("scan_num", "rt", "mz", "intensity")
+
+
+@query(_REWRITTEN + ", s AS (SELECT num, rt, min(mz) AS low_mz, count(*) FILTER (WHERE mz > 200 AND mz < 700 AND intensity > 10) AS n FROM k GROUP BY 1, 2) SELECT num::INT AS num, rt, low_mz, n::INT AS peaks_count FROM s WHERE num IN (2, 30, 31, 100, 400)")
+def mzxml_looked_up(spark, d):
+    path = _rewritten(spark, d)
+    mzxml_rewrite.add_index(spark, path)
+    scans = mzxml_rewrite.read(spark, path).where(F.col("num").isin(2, 30, 31, 100, 400))
+    return scans.select("num", "rt", F.col("attributes")["lowMz"].cast("double").alias("low_mz"), "peaks_count")
+
+
 @query(f"WITH {_P}, s AS (SELECT scan_num, count(*) AS n FROM p GROUP BY 1), o AS (SELECT scan_num, n, row_number() OVER (ORDER BY scan_num) AS place FROM s) SELECT scan_num + 1 AS num, n::INT AS peaks_count, (row_number() OVER (ORDER BY scan_num))::INT AS new_num FROM o WHERE place % 2 = 0")
 def mzxml_even_scans(spark, d):
     return preprocess.sample_scans(mzxml.read_scans(spark, _document(spark, d)), "Full", "even").select("num", "peaks_count", "new_num")

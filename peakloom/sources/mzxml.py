@@ -61,9 +61,9 @@ def read_scans(spark: SparkSession, path: str) -> DataFrame:
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     """scan_count, start_time and end_time of the runs at ``path``, as their headers say."""
-    lines = spark.read.text(path).where(F.col("value").contains("<msRun"))
-    said = lambda name: F.regexp_extract("value", rf'<msRun[^>]*\b{name}="([^"]*)"', 1)
-    return lines.select(said("scanCount").cast("long").alias("scan_count"), said("startTime").alias("start_time"), said("endTime").alias("end_time"))
+    tags = spark.read.option("lineSep", ">").text(path).where(F.col("value").contains("<msRun"))  # a tag may go over several lines
+    said = lambda name: F.regexp_extract("value", rf"""<msRun\b[^<]*\s{name}\s*=\s*["']([^"']*)""", 1)
+    return tags.select(said("scanCount").cast("long").alias("scan_count"), said("startTime").alias("start_time"), said("endTime").alias("end_time"))
 
 
 def unpack(text: str | None, precision: int, compression: str | None) -> np.ndarray:

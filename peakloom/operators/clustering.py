@@ -5,12 +5,12 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions.ranking import ordinals
 from peakloom.functions.shared import written
+from peakloom.operators import one_merge
 from peakloom.operators.components import connected_components
 
 #: Defaults of real spectra: linking distance in mz, scans looked back, least points of a cluster, intensity floor.
@@ -93,12 +93,16 @@ class OnePass:
                 merged.append(other)
                 if self.max_merges is not None and len(merged) >= self.max_merges:
                     break
-        self.root[point] = point if mine is None else mine
+        self.place(point, scan, mz, mine)
+        return self.root[point], merged
+
+    def place(self, point: int, scan: int, mz: float, colour: int | None = None) -> None:
+        """Put a point where later ones hit it, of a colour of its own if none is given."""
+        self.root[point] = point if colour is None else colour
         values, points = self.scans.setdefault(scan, ([], []))
         at = bisect.bisect_right(values, mz)
         values.insert(at, mz)
         points.insert(at, point)
-        return self.root[point], merged
 
     def forget(self, before: int) -> None:
         """Drop the scans ahead of ``before``, which no later point reaches."""
@@ -115,54 +119,19 @@ def sequential_labels(ords: list[int], mzs: list[float], mz_dist: float, n_prev:
     return [rule.colour(i) for i in range(len(ords))]
 
 
-def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of each cluster out of frames sorted by their first column."""
-    key, rows = None, []
-    for f in frames:
-        for row in f.itertuples(index=False, name=None):
-            if rows and row[0] != key:
-                yield key, rows
-                rows = []
-            key = row[0]
-            rows.append(row)
-    if rows:
-        yield key, rows
-
-
-def cluster(points: DataFrame, mz_dist: float = MZ_DIST, n_prev: int = N_PREV, min_size: int = MIN_SIZE, max_merges: int | None = None) -> DataFrame:
+def cluster(points: DataFrame, mz_dist: float = MZ_DIST, n_prev: int = N_PREV, min_size: int = MIN_SIZE, max_merges: int | None = None, slab_points: int = one_merge.SLAB_POINTS) -> DataFrame:
     """Points (peak_id, scan_ord, mz, ...) with cluster_id, the least peak_id of the cluster, in clusters of ``min_size`` points.
 
     Without ``max_merges`` clusters are the connected components of links. With it (1 is the one-pass
-    clusterer's rule) each component is split further by that order-dependent rule, one component after the
-    other in a task: dense data, which percolate into one component, need slabs (see the stream clusterer).
+    clusterer's rule) links follow that order-dependent rule, in slabs of about ``slab_points`` points (see
+    ``one_merge``).
     Points and result are written tables.
     """
     points = written(points, "points")
-    parts = connected_components(link_edges(points, mz_dist, n_prev)).select(F.col("node").alias("peak_id"), F.col("component").alias("cluster_id"))
-    if max_merges is not None:
-        linked = points.select("peak_id", "scan_ord", "mz").join(parts, "peak_id")
-
-        def split(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[int]]]:
-            for _, rows in _runs(frames):
-                colours = sequential_labels([r[2] for r in rows], [r[3] for r in rows], mz_dist, n_prev, max_merges)
-                least: dict[int, int] = {}
-                for colour, r in zip(colours, rows, strict=True):
-                    least[colour] = min(r[1], least.get(colour, r[1]))
-                yield [r[1] for r in rows], [least[colour] for colour in colours]
-
-        def batched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids: list[int] = []
-            labels: list[int] = []
-            for more_ids, more_labels in split(frames):
-                ids += more_ids
-                labels += more_labels
-                if len(ids) >= 50_000:
-                    yield pd.DataFrame({"peak_id": ids, "cluster_id": labels})
-                    ids, labels = [], []
-            yield pd.DataFrame({"peak_id": ids, "cluster_id": labels}, dtype="int64")
-
-        dealt = linked.select("cluster_id", "peak_id", "scan_ord", "mz").repartition("cluster_id").sortWithinPartitions("cluster_id", "scan_ord", "mz", "peak_id")
-        parts = dealt.mapInPandas(batched, "peak_id bigint, cluster_id bigint")
+    if max_merges is None:
+        parts = connected_components(link_edges(points, mz_dist, n_prev)).select(F.col("node").alias("peak_id"), F.col("component").alias("cluster_id"))
+    else:
+        parts = one_merge.labels(points, mz_dist, n_prev, max_merges, slab_points)
     if min_size <= 1:
         return written(points.join(parts, "peak_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "peak_id")), "clustered")
     large = parts.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("cluster_id")

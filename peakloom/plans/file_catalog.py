@@ -13,7 +13,10 @@ from peakloom.operators import asof, clustering, deadtime, grid, isotopes, prepr
 from peakloom.plans.catalog import _CLUSTERS, _HOURS, _LABELS, _P, _SEQ, GRID_GAP, GRID_MIN, MIN_SIZE, MZ_DIST, TAU_NE, A, N, _by_time, _clustered, _isotopic, _peaks, _points, _rounded, query
 from peakloom.sources import adapters, mzxml, mzxml_rewrite
 from peakloom.sources import text as text_files
-from peakloom.streaming.clusterer import cluster_stream
+from peakloom.streaming.clusterer import link_stream, resolved
+
+#: Slabs of the stream's mz.
+STREAM_SLABS = 12
 
 # --- mzXML ----------------------------------------------------------------------------------
 
@@ -269,16 +272,15 @@ def clamped_parameters(spark, d):
 
 @query(f"WITH RECURSIVE {_LABELS} SELECT cluster_id, peak_id, scan_ord::BIGINT AS scan_ord, mz FROM k")
 def stream_clusters(spark, d):
-    """Points as files of a stream in retention-time order; two marks far behind close what is open."""
-    folder = run_dir(spark, "stream")
-    points = _points(spark, d).select("peak_id", F.col("scan_ord").cast("long").alias("scan_ord"), "mz", F.lit(0).alias("slab"), F.timestamp_seconds(F.col("scan_ord") + 1_000_000_000).alias("at"))
-    third = points.agg(F.max("scan_ord")).first()[0] // 3 + 1
-    parts = [points.where(F.floor(F.col("scan_ord") / third) == k) for k in range(3)]
-    marks = [spark.range(1).select(F.lit(-1 - k).cast("long").alias("peak_id"), F.lit(10_000_000 * (k + 1)).cast("long").alias("scan_ord"), F.lit(0.0).alias("mz"), F.lit(1).alias("slab"), F.timestamp_seconds(F.lit(2_000_000_000 + k * 1000)).alias("at")) for k in range(2)]
-    for k, part in enumerate(parts + marks):
-        part.coalesce(1).write.parquet(f"{folder}/in/{k}")
-    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
-    closed = cluster_stream(stream, MZ_DIST, min_size=MIN_SIZE)
-    run = closed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(closed.schema).parquet(f"{folder}/out").where("peak_id >= 0 or cluster_id >= 0").select("cluster_id", "peak_id", "scan_ord", "mz")
+    """Points as files of a stream in retention-time order, in slabs of mz; members and merges go out early and are resolved at the end."""
+    folder, files = run_dir(spark, "stream"), 4
+    points = _points(spark, d).select("peak_id", F.col("scan_ord").cast("long").alias("scan_ord"), "mz", F.timestamp_seconds(F.col("scan_ord") + 1_000_000_000).alias("at"))
+    ends = points.agg(F.max("scan_ord"), F.min("mz"), F.max("mz")).first()
+    third = (ends[0] or 0) // 3 + 1
+    for k in range(3):
+        points.where(F.floor(F.col("scan_ord") / third) == k).repartition(files).write.parquet(f"{folder}/in/{k}")
+    width = max(4 * MZ_DIST, ((ends[2] or 0.0) - (ends[1] or 0.0)) / STREAM_SLABS)
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    links = link_stream(stream, MZ_DIST, width=width)
+    links.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return resolved(spark.read.schema(links.schema).parquet(f"{folder}/out"), MIN_SIZE)

@@ -7,9 +7,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from peakloom.functions.shared import written
 from peakloom.operators.clustering import OnePass
+from peakloom.operators.components import connected_components
 
 OUTPUT = "cluster_id bigint, peak_id bigint, scan_ord bigint, mz double"
 
@@ -70,3 +74,92 @@ def cluster_stream(points: DataFrame, mz_dist: float, n_prev: int = 2, min_size:
 
     keyed = points.withWatermark("at", watermark).groupBy(slab)
     return keyed.applyInPandasWithState(run, OUTPUT, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+LINKS = "slab bigint, peak_id bigint, colour bigint, scan_ord bigint, mz double"
+_RECENT = "scan_ord bigint, mz double, peak_id bigint, colour bigint, own boolean"
+#: Seconds of event time after which a slab without new points is forgotten.
+IDLE_SECONDS = 3600
+
+
+class _SlabLinks(StatefulProcessor):
+    """Links of a slab's points with those of its last scans; the state is those scans' points with their colours."""
+
+    def __init__(self, mz_dist: float, n_prev: int, idle: float) -> None:
+        self.mz_dist, self.n_prev, self.idle = mz_dist, n_prev, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.recent = handle, handle.getListState("recent", _RECENT)
+
+    def _start(self) -> tuple[OnePass, dict[int, tuple[int, float, bool]]]:
+        rule, points = OnePass(self.mz_dist, self.n_prev, None), {}
+        for scan, mz, point, colour, own in self.recent.get():
+            rule.root.setdefault(colour, colour)
+            rule.root[point] = colour if point != colour else point
+            values, ids = rule.scans.setdefault(scan, ([], []))
+            values.append(mz)
+            ids.append(point)
+            points[point] = (scan, mz, own)
+        return rule, points
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+        rule, points = self._start()
+        new, out = pd.concat(rows).sort_values(["scan_ord", "mz", "peak_id"]), []
+        last = 0
+        for point, scan, mz, own in new[["peak_id", "scan_ord", "mz", "own"]].itertuples(index=False, name=None):
+            rule.forget(scan - self.n_prev)
+            if own:
+                colour, merged = rule.add(point, scan, mz)
+                out.append((point, colour, scan, mz))
+                out += [(other, colour, None, None) for other in merged]
+            else:  # another slab's point, of a colour of its own until a point of this one meets it
+                rule.place(point, scan, mz)
+            points[point] = (scan, mz, own)
+            last = max(last, scan)
+        rule.forget(last - self.n_prev)
+        kept = [(scan, mz, p, rule.colour(p), points[p][2]) for scan, (values, ids) in sorted(rule.scans.items()) for mz, p in zip(values, ids, strict=True)]
+        self.recent.put(kept)
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(int(new["at"].max().timestamp() * 1000) + int(self.idle * 1000))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=["slab", "peak_id", "colour", "scan_ord", "mz"]).astype({"scan_ord": "Int64"})
+
+    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.recent.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def link_stream(points: DataFrame, mz_dist: float, n_prev: int = 2, width: float | None = None, watermark: str = "0 seconds", idle: float = IDLE_SECONDS) -> DataFrame:
+    """Members and merges of a stream of points (peak_id, scan_ord, mz, at timestamp) in scan order, as soon as they are known.
+
+    Slabs of mz (``width``; one slab without it) keep the points of their last ``n_prev`` scans and the
+    neighbours' points within reach, so state follows the density of scans, not the length of the stream or of
+    clusters. A row with scan_ord is a point with its slab's colour at that moment; one without says that
+    the colour ``peak_id`` (or another slab's point of that id) is the same cluster as ``colour``. Rows are
+    edges between peak_ids: ``resolved`` makes clusters of what has come so far. A slab without points
+    for ``idle`` seconds is forgotten by a timer; points that come behind later scans link with nothing.
+    Needs the state store on RocksDB, which this sets for the session.
+    """
+    if width is not None and width <= 2 * mz_dist:
+        raise ValueError("slabs must be wider than two reaches")
+    points.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    of = lambda mz: F.floor(mz / width).cast("bigint") if width else F.lit(0).cast("bigint")
+    reach = mz_dist * (1 + 1e-9)
+    slab = of(F.col("mz"))
+    near = F.array_distinct(F.array(slab, of(F.col("mz") - reach), of(F.col("mz") + reach)))
+    dealt = points.select("peak_id", F.col("scan_ord").cast("bigint").alias("scan_ord"), "mz", "at", slab.alias("home"), F.explode(near).alias("slab"))
+    keyed = dealt.withColumn("own", F.col("slab") == F.col("home")).withWatermark("at", watermark).groupBy("slab")
+    return keyed.transformWithStateInPandas(_SlabLinks(mz_dist, n_prev, idle), LINKS, "append", "eventtime")
+
+
+def resolved(links: DataFrame, min_size: int = 20) -> DataFrame:
+    """Clusters (cluster_id, peak_id, scan_ord, mz) of ``min_size`` points, of the rows of ``link_stream`` that have been written."""
+    links = written(links, "stream-links")
+    labels = connected_components(links.where("peak_id <> colour").select(F.col("peak_id").alias("a"), F.col("colour").alias("b")))
+    members = links.where("scan_ord is not null").join(labels.withColumnRenamed("node", "peak_id"), "peak_id", "left")
+    members = written(members.select(F.coalesce("component", "peak_id").alias("cluster_id"), "peak_id", "scan_ord", "mz"), "stream-members")
+    large = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("cluster_id")
+    return members.join(written(large, "stream-sizes"), "cluster_id")

@@ -14,7 +14,8 @@ from tokenizers import AddedToken, Tokenizer
 
 #: Runs of white space from this length on are beyond the fast encoder, whose pattern recurses on them.
 LONG_BLANKS = 4096
-_BLANK_RUN = re.compile(rf"\s{{{LONG_BLANKS}}}")
+#: Runs of some length, each found once, so that the search is linear.
+_BLANK_RUN = re.compile(r"\s{64}\s*")
 
 
 def vocabulary() -> str:
@@ -42,7 +43,7 @@ class Encoder:
             self.bytes[i] = len(token)
 
     def ids(self, text: str) -> list[int]:
-        if len(text) >= LONG_BLANKS and _BLANK_RUN.search(text):
+        if len(text) >= LONG_BLANKS and any(m.end() - m.start() >= LONG_BLANKS for m in _BLANK_RUN.finditer(text)):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode(text, allowed_special="all", disallowed_special=())
 

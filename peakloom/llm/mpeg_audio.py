@@ -9,7 +9,8 @@ VBRI), verifies the checksums of all three layers, and stores exact durations (i
 seek offset of every frame.
 
 Defined cases: null payload text is empty and gives one frame of padding; texts of any length are
-stored whole; streams without any frame parse to zero frames, a null rate and an empty payload;
+stored whole; streams without any frame parse to zero frames, a null rate and an empty payload; of
+streams that ``encode`` did not write the payload is the frames' main data, up to UNIT bytes a frame;
 equal payloads give equal bytes; repeated rows are each returned; columns besides doc_id and text
 are not read.
 """
@@ -46,12 +47,22 @@ XING_FRAMES, XING_BYTES, XING_TOC = 1, 2, 4
 HEADER, FRAME, SIDE, RATE, SAMPLES = bytes([0xFF, 0xFA, 0xB0, 0xC0]), 626, 17, 44100, 1152
 
 
+def _shifted(crc: int, bits: int) -> int:
+    for _ in range(bits):
+        crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+    return crc
+
+
+_CRC = [_shifted(byte << 8, 8) for byte in range(256)]
+
+
 def crc16(data: bytes, bits: int | None = None) -> int:
     """CRC-16 of MPEG audio over the first ``bits`` (all): polynomial 0x8005, start 0xFFFF, no reflection."""
-    crc = 0xFFFF
-    for i in range(8 * len(data) if bits is None else bits):
-        crc ^= (data[i >> 3] >> (7 - (i & 7)) & 1) << 15
-        crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+    crc, bits = 0xFFFF, 8 * len(data) if bits is None else bits
+    for byte in data[: bits >> 3]:
+        crc = (crc << 8 & 0xFFFF) ^ _CRC[crc >> 8 ^ byte]
+    if bits & 7:
+        crc = _shifted(crc ^ (data[bits >> 3] >> (8 - (bits & 7)) << (16 - (bits & 7))), bits & 7)
     return crc
 
 
@@ -254,11 +265,12 @@ def encode(payload: bytes) -> bytes:
 
 
 def decode(data: bytes, stream: Stream) -> bytes:
-    """The payload that ``encode`` stored: UNIT bytes behind the side information of each frame."""
-    if not stream.offsets:
-        return b""
-    starts = np.array([o + 4 + 2 * h.protected + h.side for o, h in zip(stream.offsets, stream.headers, strict=True)])
-    return np.frombuffer(data, np.uint8)[starts[:, None] + np.arange(UNIT)].tobytes()
+    """What frames hold behind header, checksum and side information, UNIT bytes each at most: the payload that ``encode`` stored; of other streams the frames' main data, cut at each frame's end."""
+    starts = [o + 4 + 2 * h.protected + h.side for o, h in zip(stream.offsets, stream.headers, strict=True)]
+    ends = [min(s + UNIT, o + h.size) for s, o, h in zip(starts, stream.offsets, stream.headers, strict=True)]
+    if starts and all(e - s == UNIT for s, e in zip(starts, ends, strict=True)):
+        return np.frombuffer(data, np.uint8)[np.array(starts)[:, None] + np.arange(UNIT)].tobytes()
+    return b"".join(data[s:e] for s, e in zip(starts, ends, strict=True))
 
 
 def padded(raw: bytes) -> bytes:

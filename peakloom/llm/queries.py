@@ -28,7 +28,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg_audio.with_features(mpeg_audio.with_media(_table(spark, sf_dir, "documents"))).drop("offsets")
+    return mpeg_audio.with_features(mpeg_audio.with_media(_table(spark, sf_dir, "documents")))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,6 +266,39 @@ def test_layers_one_and_two_and_other_tables():
     assert mpeg_audio.parse(mpeg_audio.encode(mpeg_audio.padded(b"x"))).fields == {"TIT2": "payload"}
 
 
+def test_crc_by_table_equals_the_bitwise_rule():
+    rng = np.random.default_rng(2)
+    for n in range(0, 40):
+        data = rng.integers(0, 256, n, np.uint8).tobytes()
+        for bits in {8 * n, max(0, 8 * n - 3), 4 * n}:
+            crc = 0xFFFF
+            for i in range(bits):
+                top = (crc >> 15) ^ (data[i >> 3] >> (7 - (i & 7)) & 1)
+                crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+            assert mpeg_audio.crc16(data, bits) == crc
+
+
+def test_streams_of_other_encoders(spark):
+    """Frames of every version, layer and bitrate, shorter and longer than a unit, protected or not, and streams that are cut or no audio."""
+    streams, want = [], []
+    for version in (0b00, 0b10, 0b11):
+        for layer in (1, 2, 3):
+            for bits in (0, 1):
+                for index in (1, 2, 7, 14):
+                    word = bytes([0xFF, 0xE0 | version << 3 | layer << 1 | bits, index << 4, 0xC0])
+                    h = mpeg_audio._header(word, {})
+                    body = bytes((k * 7 + index) % 251 for k in range(h.size - 4))
+                    data = (word + body) * 5
+                    start = 4 + 2 * h.protected + h.side
+                    streams.append(data)
+                    want.append((5 * h.samples, 5, ((word + body)[start : start + 576] if start < h.size else b"") * 5))
+    rows = [(i, 0, x) for i, x in enumerate(streams)] + [(900, 0, streams[0][: len(streams[0]) // 2 + 3]), (901, 0, b"no audio"), (902, 0, None), (903, 0, b""), (904, 0, b"ID3\x04"), (905, 0, b"\xff\xfb\x10\xc0")]
+    got = {r.doc_id: r for r in mpeg_audio.with_features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    for i, (samples, frames, payload) in enumerate(want):
+        assert (got[i].samples, len(got[i].offsets), got[i].payload_bytes, got[i].payload_sha256) == (samples, frames, len(payload), hashlib.sha256(payload).hexdigest())
+    assert len(got[900].offsets) == 2 and got[901].payload_bytes == got[902].payload_bytes == got[904].payload_bytes == got[905].payload_bytes == 0
+
+
 def test_media_columns(spark):
     got = {r.doc_id: r for r in mpeg_audio.with_features(mpeg_audio.with_media(docs(spark, [*TEXTS, TEXTS[4]]))).collect()}
     for i, t in enumerate(TEXTS):

@@ -13,8 +13,9 @@ agree) are compared whole, too.
 Comparing means agreeing minwise tokens first. A node hands on only a forest of its candidate
 pairs, those that agree most; every link is confirmed on full shingle sets, first the best of
 each document, then those between components that are still apart. Where candidates beside a
-node's forest could still connect something, its sets meet in tiles of bounded size, where all
-pairs across components are compared. The largest nodes are dealt to blocks that are compared so;
+node's forest could still connect something, its sets meet in tiles of bounded size, where the
+intersections of all pairs across components are counted at once by products of matrices, each pair
+in the first node that it shares. The largest nodes are dealt to blocks that are compared so;
 a few leaders, compared with all members of other components, connect the blocks ahead of the
 tiles. So no member is capped or left out, and components are those of all links.
 
@@ -55,6 +56,8 @@ TILE_BYTES = 8 << 20
 FILTER_MISS, TREE_MISS = 1 / 30_000, 1 / 1000
 #: All documents get the trees that nodes of this level need.
 SHALLOW = 4
+#: Rows and columns of the products by which sets meet in a tile; bound memory.
+ROWS, COLUMNS = 256, 4096
 #: Leaders of a larger dense node.
 LEADERS = 4
 #: Bits of the filter that keeps texts without candidates from being shuffled. Its size is fixed; hits that it lets through by chance are joined away.
@@ -156,14 +159,11 @@ def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
 
 
 def pack(values: np.ndarray) -> bytes:
-    """The high 40 bits of each hash."""
-    return (values >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return values.astype("<u8").tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8")[:, 0]
+    return np.frombuffer(data, "<u8")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -293,47 +293,108 @@ def _node_pairs(percent: int):
     return compare
 
 
+class Overlaps:
+    """Sizes of the intersections of many sets.
+
+    An element that only one set has counts for none. Elements of many sets are columns of a dense
+    matrix, whose products give their part of all intersections; those of few are walked by their sets.
+    """
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.n = len(sets)
+        flat, owner = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(self.n), [len(s) for s in sets])
+        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+        many = count > max(8, self.n // 32)
+        few = (count > 1) & ~many
+        dense = many[column]
+        place = np.cumsum(many) - 1
+        self.dense = np.zeros((self.n, int(many.sum())), np.bool_)
+        self.dense[owner[dense], place[column[dense]]] = True
+        # the other shared elements, by their sets and the other way round
+        light = few[column]
+        place = np.cumsum(few) - 1
+        of, owner = place[column[light]], owner[light]
+        by = np.argsort(of, kind="stable")
+        self.members, self.starts = owner[by], np.concatenate([[0], np.cumsum(count[few])])
+        self.own, self.first = of, np.searchsorted(owner, np.arange(self.n + 1))
+
+    def rows(self, some: np.ndarray) -> np.ndarray:
+        """The intersections of the sets ``some`` with all others."""
+        both = np.zeros((len(some), self.n), np.float32)
+        for c in range(0, self.dense.shape[1], COLUMNS):
+            part = self.dense[:, c : c + COLUMNS].astype(np.float32)
+            both += part[some] @ part.T
+        out = both.astype(np.int64)
+        for row, i in zip(out, some.tolist(), strict=True):
+            own = self.own[self.first[i] : self.first[i + 1]]
+            if len(own):
+                size = self.starts[own + 1] - self.starts[own]
+                at = np.arange(size.sum()) + np.repeat(self.starts[own] - np.cumsum(size) + size, size)
+                row += np.bincount(self.members[at], minlength=self.n)
+        return out
+
+
+def linked_in(sets: list[np.ndarray], label: np.ndarray, percent: int, side: np.ndarray | None = None, earlier: list[list[int]] | None = None) -> tuple[list[tuple[int, int]], int]:
+    """Links that connect the components ``label`` of ``sets`` (all pairs between them, those between two sides if ``side`` is given), and the number of pairs judged. Pairs that share an ``earlier`` node are judged there."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    places: dict[int, int] = {}
+    at = [(i, places.setdefault(x, len(places))) for i, nodes in enumerate(earlier or []) for x in nodes]
+    inside = np.zeros((n, len(places)), np.float32)
+    if at:
+        inside[tuple(np.array(at).T)] = 1
+
+    def open_to(some: np.ndarray) -> np.ndarray:
+        ok = label[None, :] != label[some, None]
+        if side is not None:
+            ok &= side[None, :] != side[some, None]
+        return ok & (inside[some] @ inside.T == 0) if at else ok
+
+    some = np.flatnonzero(label != np.bincount(label).argmax()) if n else np.zeros(0, np.int64)
+    wanted = np.concatenate([np.zeros(0, np.int64), *(part[open_to(part).any(1)] for part in (some[k : k + ROWS] for k in range(0, len(some), ROWS)))])
+    found, judged, done = [], 0, np.zeros(n, bool)
+    overlaps = Overlaps(sets) if len(wanted) else None
+    for k in range(0, len(wanted), ROWS):
+        part = wanted[k : k + ROWS]
+        ok, both = open_to(part), overlaps.rows(part)
+        close = 100 * both >= percent * (sizes[None, :] + sizes[part, None] - both)
+        for i, own, linked in zip(part.tolist(), ok, close, strict=True):
+            own &= ~done
+            done[i] = True
+            judged += int(np.count_nonzero(own))
+            for j in np.flatnonzero(own & linked).tolist():
+                if label[i] != label[j]:
+                    label[label == label[i]] = label[j]
+                    found.append((i, j))
+    return found, judged
+
+
 def _tile_links(percent: int):
-    """Confirmed links that connect a tile's components, between its two sides or inside its one."""
-    least = agree(percent)
+    """Links that connect a tile's components, between its two sides or inside its one."""
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
-        rep, n, of, side = (table[c].to_numpy() for c in ("rep", "n", "component", "block"))
-        sig = np.asarray(table["sig"].combine_chunks().flatten()).reshape(-1, TOKENS)
-        packed, sets, found, two = table["set"].to_pylist(), {}, [], key[1] != key[2]
-
-        def own(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = unpack(packed[i])
-            return sets[i]
-
+        node, rep, of, block = (table[c].to_numpy() for c in ("node", "rep", "component", "block"))
+        earlier = [[x for x in nodes if x < here] for nodes, here in zip(table["nodes"].to_pylist(), node.tolist(), strict=True)]
         label = np.unique(of, return_inverse=True)[1]
-        for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():  # all pairs but those inside the largest
-            close = (_agreement(sig, n, i, least, percent) > 0) & (label != label[i])
-            if two:
-                close &= side != side[i]
-            for j in np.flatnonzero(close).tolist():
-                if label[i] != label[j] and similar(own(i), own(j), percent):
-                    label[label == label[i]] = label[j]
-                    found.append((rep[i], rep[j]))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        found, _ = linked_in([unpack(s) for s in table["set"].to_pylist()], label, percent, block if key[1] != key[2] else None, earlier)
+        return pa.table({"a": pa.array([rep[i] for i, _ in found], pa.int64()), "b": pa.array([rep[j] for _, j in found], pa.int64())})
 
     return link
 
 
-def _tiled(members: DataFrame, sets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
-    """Links inside nodes (node, rep) that still have several components: their sets are dealt to blocks, and every two blocks meet."""
+def _tiled(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """Links inside nodes (node, rep) that still have several components: their sets are dealt to blocks, and every two blocks meet. Two documents that are in several nodes are judged in the first of them."""
     named = members.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     apart = written(named.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("node"), "open-nodes")
-    named = written(named.join(apart, "node", "left_semi").join(sets.select("rep", F.octet_length("set").alias("bytes")), "rep"), "open-members")
+    named = written(named.join(apart, "node", "left_semi").distinct().join(sets.select("rep", F.octet_length("set").alias("bytes")), "rep"), "open-members")
     if named.isEmpty():
         return None
+    nodes = written(named.groupBy("rep").agg(F.collect_list("node").alias("nodes")), "nodes-of-members")  # as many as trees reach
     blocks = written(named.groupBy("node").agg(F.ceil(F.sum("bytes") / TILE_BYTES).alias("blocks")), "open-sizes")
     dealt = named.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = dealt.select("node", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    at_hand = tiles.join(reps.select("rep", "n", "sig"), "rep").join(sets, "rep")
+    at_hand = tiles.join(nodes, "rep").join(sets, "rep")
     return at_hand.groupBy("node", "i", "j").applyInArrow(_tile_links(percent), "a long, b long")
 
 
@@ -439,6 +500,7 @@ def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         block = F.when(blocks > 1, F.xxhash64("node", F.pmod(F.xxhash64("rep"), blocks))).otherwise(F.col("node"))
         small = small.union(dense.select(block.alias("node"), "rep"))
         large = dense.where(blocks > 1).select("node", "rep")
+        parts = written(dense.where(blocks > 1).select(block.alias("node")).distinct(), "blocks")
     filled = small.join(reps.select("rep", "n", "sig"), "rep").repartition("node").sortWithinPartitions("node", "rep")
     compared = written(filled.select("node", "rep", "n", "sig").mapInArrow(_node_pairs(percent), "node long, a long, b long, w int"), "candidates")
     pairs = written(compared.where("b is not null").groupBy("a", "b").agg(F.max("w").alias("w")), "forests")
@@ -449,10 +511,11 @@ def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     labels = _linked(pairs, sets, None, percent)
     open_members = compared.where("b is null").select("node", F.col("a").alias("rep"))
     if large is not None and not large.isEmpty():
+        open_members = open_members.join(parts, "node", "left_anti")  # their nodes are open as a whole
         pairs = _leader_pairs(large, reps, labels, percent)
         labels = labels if pairs.isEmpty() else _linked(pairs, sets, labels, percent)
         open_members = open_members.union(large)
-    more = _tiled(open_members, sets, reps, labels, percent)
+    more = _tiled(open_members, sets, labels, percent)
     if more is not None:
         edges = more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = written(connected_components(written(edges, "edges")), "labels")

@@ -1,6 +1,7 @@
 """Chat formatting, language model, audio, packing, near-dedup, WARC and the pipeline against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -755,3 +756,64 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 def test_pipeline_of_nothing(spark, tmp_path):
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# --- near-dedup below the threshold ---------------------------------------------------------
+
+
+def test_overlaps_and_links_of_a_tile():
+    rng = np.random.default_rng(6)
+    for n, pool, size in ((40, 60, 30), (300, 4000, 40), (90, 300, 100), (5, 10, 0)):
+        sets = [np.unique(rng.integers(0, pool, rng.integers(0, size + 1)).astype(np.uint64)) for _ in range(n)]
+        sets = [*sets, *(np.union1d(s, np.array([pool + 1], np.uint64)) for s in sets[: n // 3])]
+        want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+        others = ~np.eye(len(sets), dtype=bool)
+        assert (near_dedup.Overlaps(sets).rows(np.arange(len(sets))) == want)[others].all()
+        near = lambda i, j: near_dedup.similar(sets[i], sets[j], 80)  # noqa: B023, E731
+        label = np.arange(len(sets))
+        found, judged = near_dedup.linked_in(sets, label.copy(), 80)
+        roots = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if near(i, j) and roots[i] != roots[j]:
+                    roots = [roots[j] if r == roots[i] else r for r in roots]
+        merged = list(range(len(sets)))
+        for i, j in found:
+            assert near(i, j)
+            merged = [merged[j] if r == merged[i] else r for r in merged]
+        assert len({(a, b) for a, b in zip(roots, merged, strict=True)}) == len(set(roots)) == len(set(merged))
+        assert judged <= len(sets) * (len(sets) - 1) // 2
+
+
+def test_each_pair_is_judged_once_in_its_first_node(monkeypatch):
+    """Documents in many overlapping nodes: all pairs that share a node are judged, none twice, with sides or without."""
+    monkeypatch.setattr(near_dedup, "ROWS", 7)
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 10_000, 20).astype(np.uint64)) for _ in range(60)]  # no links
+    members = {node: np.flatnonzero(rng.random(60) < 0.5) for node in range(6)}
+    nodes = [[x for x, m in members.items() if i in m] for i in range(60)]
+    pairs = {(i, j) for m in members.values() for i in m for j in m if i < j}
+    total = 0
+    for node, m in members.items():
+        earlier = [[x for x in nodes[i] if x < node] for i in m]
+        own = [sets[i] for i in m]
+        whole = near_dedup.linked_in(own, np.arange(len(m)), 85, None, earlier)[1]
+        block = np.arange(len(m)) % 2
+        crossed = near_dedup.linked_in(own, np.arange(len(m)), 85, block, earlier)[1]
+        halves = sum(near_dedup.linked_in([own[k] for k in np.flatnonzero(block == b)], np.arange(int((block == b).sum())), 85, None, [earlier[k] for k in np.flatnonzero(block == b)])[1] for b in (0, 1))
+        assert whole == crossed + halves
+        total += whole
+    assert total == len(pairs)
+
+
+def test_template_pages_below_the_threshold_and_a_chain_at_it(spark):
+    """Pages with most of their text in common stay apart; a chain of links at 0.85 among them is one component."""
+    rng = random.Random(3)
+    template = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(i, " ".join(template + [f"x{rng.randrange(10**7)}" for _ in range(22)])) for i in range(700)]
+    sets = [near_dedup.shingle_sets(pa.array([t]))[0] for _, t in rows[:30]]
+    assert not any(near_dedup.similar(x, y) for x, y in itertools.combinations(sets, 2)) and any(near_dedup.similar(x, y, 75) for x, y in itertools.combinations(sets, 2))
+    words = [f"c{i}" for i in range(54 + 4 * 300)]
+    chain = [(1000 + k, " ".join(words[4 * k : 4 * k + 54])) for k in range(300)]  # neighbours share 46 of 54 shingles
+    got = {r.doc_id: r.component_id for r in near_dedup.components(spark.createDataFrame(rows + chain, "doc_id long, text string")).collect()}
+    assert all(got[i] == i for i in range(700)) and {got[1000 + k] for k in range(300)} == {1000}

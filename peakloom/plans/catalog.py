@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from peakloom.functions import sql
 from peakloom.functions.scalars import duration_seconds, int_abs, lenient_double, lenient_int
 from peakloom.operators import anneal, asof, clustering, curvature, deadtime, grid, isotopes, preprocess, shapes
 from peakloom.sources import adapters, mzxml
@@ -24,9 +25,9 @@ _P = """p AS (SELECT ('0x' || substr(md5(concat_ws('|', l_orderkey::BIGINT, l_li
   (epoch(l_shipdate::TIMESTAMP) - min(epoch(l_shipdate::TIMESTAMP)) OVER ())::DOUBLE AS rt, l_extendedprice::DOUBLE / 100 AS mz, l_quantity::DOUBLE AS intensity, l_returnflag AS scan_type FROM lineitem)"""
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(text: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        _REGISTRY[f.__name__] = (f, sql)
+        _REGISTRY[f.__name__] = (f, text)
         return f
 
     return add
@@ -449,9 +450,28 @@ def lenient_numbers(spark, d):
     return rows.select("c_custkey", lenient_int(tail).alias("number"), lenient_int(F.col("c_name")).alias("prefix"), lenient_double(F.col("c_name")).alias("prefix_double"), int_abs(F.col("c_acctbal")).alias("whole"))
 
 
+_ISOTOPES = _REGISTRY["isotope_profile"][1]
+
+
+@query(_ISOTOPES)
+def sql_isotope_profile(spark, d):
+    sql.register(spark)
+    rows = adapters.part_sequences(spark, d)
+    return spark.sql("SELECT s.seq_id, p.idx, round(p.mz, 6) AS mz, round(p.pct, 6) AS pct, round(p.pct_norm, 6) AS pct_norm FROM {rows} s, LATERAL isotope_profile(s.sequence, s.charge) p", rows=rows)
+
+
+@query(f"SELECT o_orderkey, (da * 86400 + h * 3600 + mi * 60 + se)::DOUBLE AS seconds, round(coalesce(exp(lgamma(h + 1) - lgamma(mi % 8 + 1) - lgamma(h - mi % 8 + 1)), 0) * (h >= mi % 8)::INT, 3) AS ways, abs(trunc(o_totalprice))::DOUBLE AS whole FROM (SELECT o_orderkey, o_totalprice, {_DURATION.replace('SELECT o_orderkey,', 'SELECT o_orderkey, o_totalprice,')})")
+def sql_scalars(spark, d):
+    sql.register(spark)
+    s = F.col("o_orderkey") * 37
+    text = F.format_string("P%dDT%dH%dM%dS", F.floor(s / 86400), F.floor(s % 86400 / 3600), F.floor(s % 3600 / 60), s % 60)
+    rows = adapters.table(spark, d, "orders").select("o_orderkey", "o_totalprice", text.alias("t"), F.floor(s % 86400 / 3600).alias("h"), F.floor(s % 3600 / 60).alias("mi"))
+    return spark.sql("SELECT o_orderkey, xs_seconds(t) AS seconds, round(choose(h, mi % 8), 3) AS ways, int_abs(CAST(o_totalprice AS DOUBLE)) AS whole FROM {rows}", rows=rows)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql}
+    return {name: text for name, (_, text) in _REGISTRY.items() if text}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.scalars import duration_seconds
 from peakloom.functions.shared import run_dir
-from peakloom.operators import asof, clustering, deadtime, grid, isotopes, preprocess
+from peakloom.operators import asof, clustering, deadtime, grid, growing, isotopes, preprocess
 from peakloom.plans.catalog import _CLUSTERS, _HOURS, _LABELS, _P, _SEQ, GRID_GAP, GRID_MIN, MIN_SIZE, MZ_DIST, TAU_NE, A, N, _by_time, _clustered, _isotopic, _peaks, _points, _rounded, query
 from peakloom.sources import adapters, mzxml, mzxml_rewrite
 from peakloom.sources import text as text_files
@@ -270,6 +270,17 @@ def clamped_parameters(spark, d):
 # --- the stream -----------------------------------------------------------------------------
 
 
+@query(f"WITH RECURSIVE {_LABELS} SELECT peak_id, scan_ord, mz, cluster_id FROM k")
+def clusters_grown(spark, d):
+    """Clusters of three growths, each of a third of the scans."""
+    points = _points(spark, d).select("peak_id", "scan_ord", "mz")
+    third = (points.agg(F.max("scan_ord")).first()[0] or 0) // 3 + 1
+    table = growing.Clusters(spark, run_dir(spark, "growing"), MZ_DIST)
+    for k in range(3):
+        table.grow(points.where(F.floor(F.col("scan_ord") / third) == k))
+    return table.clusters(MIN_SIZE).select("peak_id", "scan_ord", "mz", "cluster_id")
+
+
 @query(f"WITH RECURSIVE {_LABELS} SELECT cluster_id, peak_id, scan_ord::BIGINT AS scan_ord, mz FROM k")
 def stream_clusters(spark, d):
     """Points as files of a stream in retention-time order, in slabs of mz; members and merges go out early and are resolved at the end."""

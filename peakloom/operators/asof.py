@@ -15,12 +15,13 @@ def asof(left: DataFrame, right: DataFrame, key: str, value: str, mode: str = "<
 
     Rows of both sides are dealt to ranges of keys, which Spark samples, and looked through in order
     inside each; what a range lacks comes from the nearest range beside it that has a key (a row a
-    range). ``by`` names a column that both have and that splits the keys instead. Keys of the right
-    side are unique.
+    range). ``by`` names a column that both have and that splits the keys instead. Of right rows with
+    equal keys the least value counts.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     part = [by] if by else []
+    right, value = right.groupBy(*part, key).agg(F.min(value).alias("__value")), "__value"
     if mode == "=":
         return left.join(right.select(*part, key, F.col(value).alias(out)), [*part, key], "left")
     first = mode in ("<=", ">")  # on equal keys, right rows come ahead of left ones

@@ -131,11 +131,6 @@ def profiles(sequences: DataFrame, percent: float = 5.0, mode: int = 0, abundanc
     return joined.select("seq_id", "idx", ladder_mz(F.col("mass"), F.col("idx"), F.col("charge")).alias("mz"), "pct", (F.col("pct") / F.col("top") * 100).alias("pct_norm"))
 
 
-def profile_text(rows: DataFrame) -> DataFrame:
-    """Printed rows of a profile."""
-    return rows.select(F.format_string("%d %10.4f %5.2f  %5.2f", "idx", "mz", "pct", "pct_norm").alias("value"))
-
-
 def profile_lines(rows: DataFrame, sequences: DataFrame) -> DataFrame:
     """seq_id, place and value of the printed profiles: each sequence's header with its charge, its rows in order, and a blank line."""
     printed = rows.select("seq_id", F.col("idx").alias("place"), F.format_string("%d %10.4f %5.2f  %5.2f", "idx", "mz", "pct", "pct_norm").alias("value"))

@@ -299,6 +299,14 @@ def test_orphans_are_found_and_duplicates_are_partners(spark):
     assert sorted(r.peak_id for r in clustering.orphans(df).collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("mode", asof.MODES)
+def test_asof_of_repeated_keys_takes_the_least_value(spark, mode):
+    left = spark.createDataFrame([(1, 5.0), (2, 6.0)], "i int, k double")
+    right = spark.createDataFrame([(5.0, 9), (5.0, 3), (5.0, 7), (7.0, 8), (7.0, 2), (5.0, None)], "k double, v int").repartition(3)
+    want = {">": [2, 2], ">=": [3, 2], "=": [3, None], "<=": [3, 3], "<": [None, 3]}[mode]
+    assert [r.found for r in asof.asof(left, right, "k", "v", mode).orderBy("i").collect()] == want
+
+
 @pytest.mark.parametrize("mode, want", [("<=", [None, 10, 10, 20]), ("<", [None, None, 10, 10]), ("=", [None, 10, None, 20]), (">=", [10, 10, 20, 20]), (">", [10, 20, 20, None])])
 def test_asof_modes(spark, mode, want):
     left = spark.createDataFrame([(1, 0.5), (2, 1.0), (3, 1.5), (4, 2.0)], "i int, k double")

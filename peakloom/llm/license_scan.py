@@ -4,7 +4,8 @@ Texts are brought to a canonical form (copyright lines out, lower case, punctuat
 equivalent spellings made one) and their SHA-256 digests are joined to those of known licences.
 ``whole_texts`` does so for documents; ``scan`` takes each line for an entire text, too, so that a
 document that is a licence and a document that carries a notice line are both found. Known are the
-texts of ``license_texts`` (seven whole licences and short notices) or those of a folder.
+texts of ``license_texts`` (seven whole licences and short notices) or those of a folder, and the digests
+of longer licences as their publishers distribute them (Apache, GPL, LGPL, MPL and others).
 
 Defined cases: null and empty texts, and texts of punctuation or copyright lines alone, match
 nothing; repeated rows are each returned; lines are ended by \\n; columns other than doc_id and
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm.license_texts import LICENSES
+from peakloom.llm.license_texts import DIGESTS, LICENSES
 
 #: Most texts that a folder may hold: they become literals of the query.
 MOST_TEXTS = 500
@@ -59,10 +60,14 @@ def read_texts(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return sorted((r.k.removesuffix(".txt"), r.value) for r in rows)
 
 
-def catalogue(docs: DataFrame, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:
-    """Distinct digests of the known texts; as many rows as texts were given, at most."""
+def catalogue(docs: DataFrame, known: Sequence[tuple[str, str]] = LICENSES, digests: Sequence[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """Distinct digests of the known texts, and those that are known as such; as many rows as were given, at most."""
+    longer = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(d).alias("digest")) for k, d in digests])
     rows = docs.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("t")) for k, t in known])))
-    return rows.select("license_id", _digest(canonical(F.col("t"))).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    rows = rows.select("license_id", _digest(canonical(F.col("t"))).alias("digest"))
+    if digests:
+        rows = rows.union(docs.sparkSession.range(1).select(F.inline(longer)))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def whole_texts(docs: DataFrame, known: Sequence[tuple[str, str]] = LICENSES) -> DataFrame:

@@ -61,3 +61,20 @@ For more information, please refer to <https://unlicense.org>
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
+
+# SHA-256 of the canonical form (see license_scan) of whole texts that are too long to be here, as their publishers distribute them.
+DIGESTS = (
+    ("Apache-2.0", "babaf372bdba94fe7754237112a160ee384a8a5b9e42c7624ec566bed7a6da54"),
+    ("Artistic-1.0", "d397409846a7661a252bdab7aca93c4612ba2cb1e772c1998944845269fe83f9"),
+    ("CC0-1.0", "657a3d6f0aa604ea579e4db7326bc8ab4b3efd50c78123e21702a38dc6ffdaf1"),
+    ("GFDL-1.2", "50516456b02d21f3eddc795284661170883e70f6d17ae784f9179cae739d38b7"),
+    ("GFDL-1.3", "5088e9395e3dcb3233d7f0bb02cbbb2fbe4a5065ec192be935776131bb442272"),
+    ("GPL-1.0", "8dfda1e5f2a3e5e0e93a78112afd56a01b79e2b3328862848c873c528af0cd70"),
+    ("GPL-2.0", "28275dd192e4e55f2fcae452e90ec3ebe58eed4ee36b3c38a62a89920f0ec3be"),
+    ("GPL-3.0", "48c12cca0697747a4d45382ea8156796c36360bbe409e89dc81c47a655881d87"),
+    ("LGPL-2.0", "af6f38a04d9a50941f6c6e4e978bcedcff3967ad15551117f75c6b3ad9de850d"),
+    ("LGPL-2.1", "e839d240ae07555512618b26a474d079fc24a56f9bc6294b66ea8a2d4ca4ba44"),
+    ("LGPL-3.0", "9111884d93a72b30a3d024876dab3d755949ac2cfab230268a4169a93b86560c"),
+    ("MPL-1.1", "de1bdf3142d68fa205c314d389361f56aa1551a6709375bdee5917c35ddd8218"),
+    ("MPL-2.0", "5950e25bd2d54357a5b2bd322bb4fe86d7de55c5b997aa3385725af62cd09641"),
+)

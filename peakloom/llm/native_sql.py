@@ -76,8 +76,9 @@ def license_sql() -> str:
         return f"trim({out}, ' ' || chr(10))"
 
     known = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in s.LICENSES)
+    longer = ", ".join(f"({_quoted(k)}, {_quoted(d)})" for k, d in s.DIGESTS)
     return f"""
-WITH known AS (SELECT min(k) AS license_id, digest FROM (SELECT k, sha256(replace({canonical('t')}, chr(10), ' ')) AS digest FROM (VALUES {known}) x(k, t)) GROUP BY digest),
+WITH known AS (SELECT min(k) AS license_id, digest FROM (SELECT k, sha256(replace({canonical('t')}, chr(10), ' ')) AS digest FROM (VALUES {known}) x(k, t) UNION ALL SELECT * FROM (VALUES {longer}) y(k, digest)) GROUP BY digest),
 c AS (SELECT doc_id, {canonical('text')} AS c FROM documents),
 ln AS (SELECT doc_id, license_id FROM (SELECT doc_id, unnest(string_split(c, chr(10))) AS l FROM c) JOIN known ON sha256(l) = digest),
 n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids, count(*) AS n FROM ln GROUP BY doc_id)

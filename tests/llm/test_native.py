@@ -229,6 +229,18 @@ def test_licences_of_a_folder(spark, tmp_path):
         assert all(got[i] == min(k for k, u in own if u == texts[i]) for i in got)
 
 
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").is_file(), reason="no texts of long licences here")
+def test_long_licences_are_known_by_their_digests(spark):
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    texts = [Path("/usr/share/common-licenses", k).read_text() for k in names]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(100 + i, "Copyright 2020 Somebody\n\n" + t.upper().replace(",", " ;"), "s") for i, t in enumerate(texts)] + [(200, texts[0][:-400], "s")]
+    df = docs(spark, rows)
+    got = {r.doc_id: r.license_id for r in license_scan.scan(df).collect()}
+    assert got == {i: k for i, k in enumerate(names.values())} | {100 + i: k for i, k in enumerate(names.values())} | {200: None}
+    want, _ = oracle(spark, df, f"SELECT doc_id, license_id FROM ({native_sql.license_sql()})")
+    assert dict(want) == got
+
+
 def test_line_dedup_sql(spark):
     df = docs(spark, spread(24, [(90, None, "s1"), (91, "", "s1"), (93, BOILER, "s3")]))
     want, _ = oracle(spark, df, f"SELECT doc_id, text, n_lines, n_boilerplate, n_removed FROM ({native_sql.line_dedup_sql()})")

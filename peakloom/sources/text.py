@@ -133,11 +133,26 @@ def read_abundances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def plot_table(points: DataFrame, by_text: bool = False) -> DataFrame:
-    """Points of each cluster as plot lines: a new line starts where mz changes, in mz order (by its text if ``by_text``)."""
-    order = F.format_string("%.3f", "mz") if by_text else F.col("mz")
-    w = Window.partitionBy("cluster_id").orderBy(order, "rt", "mz", *(c for c in ("peak_id",) if c in points.columns))
-    changed = F.coalesce((F.col("mz") != F.lag("mz").over(w)).cast("int"), F.lit(1))
-    return points.withColumn("__new", changed).withColumn("line", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    """Points of each cluster as plot lines: a new line starts where mz changes, in mz order (by its text if ``by_text``).
+
+    Points are sorted in ranges over all clusters, so that a large one is dealt to several tasks; what
+    a range adds to a cluster's lines goes on to the next ranges (a row a range and cluster).
+    """
+    order = ["cluster_id", "__t", "rt", "mz", *(c for c in ("peak_id",) if c in points.columns)]
+    keyed = points.withColumn("__t", F.format_string("%.3f", "mz") if by_text else F.col("mz"))
+    placed = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "plot-points")
+    w = Window.partitionBy("__part", "cluster_id").orderBy(*order[1:])
+    changed = F.coalesce((F.col("mz") != F.lag("mz").over(w)).cast("int"), F.lit(0))
+    local = placed.withColumn("__new", changed).withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    key = F.struct(*order[1:])
+    ends = placed.groupBy("__part", "cluster_id").agg(F.min_by("mz", key).alias("first"), F.max_by("mz", key).alias("last"))
+    ends = local.groupBy("__part", "cluster_id").agg(F.max("__i").alias("n")).join(ends, ["__part", "cluster_id"])
+    over = Window.partitionBy("cluster_id").orderBy("__part")
+    joins = F.coalesce((F.col("first") != F.lag("last").over(over)).cast("int"), F.lit(1))
+    before = F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = ends.withColumn("j", joins).select("__part", "cluster_id", (before + F.sum("j").over(over)).alias("__ahead"))
+    numbered = local.join(ahead, ["__part", "cluster_id"])
+    return numbered.select(*points.columns, (F.col("__ahead") + F.col("__i")).alias("line"))
 
 
 def write_blocks(peaks: DataFrame, path: str, column: str = "block") -> None:

@@ -41,8 +41,11 @@ PAIRS = T.ArrayType(T.StructType([T.StructField("mz", T.DoubleType()), T.StructF
 def read_scans(spark: SparkSession, path: str) -> DataFrame:
     """num, scan_type, rt, rt_text, peaks_count, attributes, doc_order and peaks (still text) of all scans, those inside other scans included.
 
-    doc_order (an array) sorts scans as they stand in a document.
+    doc_order (an array) sorts scans as they stand in a document. A document of parts is read by the
+    data source, at any depth: its files are no XML one by one.
     """
+    if any(f.rsplit("/", 1)[-1].startswith("part-") for f in spark.read.text(path).inputFiles()):
+        return _of_parts(spark, path)
     level = spark.read.format("xml").option("rowTag", "scan").schema(SCHEMA).load(path)
     level = level.select(F.array(F.monotonically_increasing_id()).alias("doc_order"), F.struct(*level.columns).alias("s"))
     levels = []
@@ -59,6 +62,15 @@ def read_scans(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _of_parts(spark: SparkSession, path: str) -> DataFrame:
+    from peakloom.sources import mzxml_source
+
+    mzxml_source.register(spark)
+    attributes = F.struct(*[F.col("attributes")[a].alias(a) for a in CARRIED])
+    rows = spark.read.format("mzxml").load(path).withColumn("doc_order", F.array(F.monotonically_increasing_id()))
+    return rows.select("num", "scan_type", "rt", "rt_text", "peaks_count", attributes.alias("attributes"), "doc_order", "peaks")
+
+
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     """scan_count, start_time and end_time of the runs at ``path``, as their headers say."""
     tags = spark.read.option("lineSep", ">").text(path).where(F.col("value").contains("<msRun"))  # a tag may go over several lines

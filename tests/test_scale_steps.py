@@ -1,0 +1,52 @@
+"""Steps that once grew with the square of a group, or lost rows of documents of several files."""
+
+import time
+
+from pyspark.sql import functions as F
+
+from peakloom.operators import asof, deadtime, isotopes
+from peakloom.sources import mzxml
+
+
+def test_scans_of_a_document_of_several_parts(spark, tmp_path):
+    peaks = spark.range(400).select((F.col("id") % 40).cast("int").alias("scan_num"), (F.col("id") % 40 * 1.0).alias("rt"), (F.col("id") + 100.0).alias("mz"), F.lit(7.0).alias("intensity"))
+    scans = mzxml.encode_scans(peaks, 64, "zlib").withColumn("attributes", F.struct(*[F.lit("3.5" if a == "lowMz" else None).cast("string").alias(a) for a in mzxml.CARRIED]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mzxml.write_mzxml(scans, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "out").glob("part-*"))) > 1
+    read = mzxml.read_scans(spark, str(tmp_path / "out"))
+    assert [(r.num, r.attributes.lowMz) for r in read.orderBy("doc_order").collect()] == [(k, "3.5") for k in range(1, 41)]
+    assert mzxml.explode_peaks(mzxml.decode_scans(read)).agg(F.count("mz"), F.sum("mz")).first()[:] == (400, float(sum(range(100, 500))))
+
+
+def test_keys_above_are_found_in_one_pass(spark):
+    """60,000 rows in one range: a frame that ends with the last row takes minutes."""
+    rows = spark.range(0, 60_000, 1, 1).select("id", (F.col("id") % 7 + 0.5).alias("k"))
+    marks = spark.range(8).select(F.col("id").cast("double").alias("k"), F.col("id").alias("v"))
+    start = time.monotonic()
+    assert asof.asof(rows, marks, "k", "v", ">=").where("found <> ceil(k)").count() == 0
+    assert time.monotonic() - start < 40
+
+
+def test_deadtime_of_a_crowded_scan(spark):
+    """60,000 peaks of one scan, all within the deadtime: a sliding window adds 1.8 billion times."""
+    rows = spark.range(60_000).select(F.lit(1).alias("scan_num"), (400 + F.col("id") / 1e6).alias("mz"), F.lit(0.01).alias("intensity"))
+    rows = rows.union(spark.createDataFrame([(2, 400.0, None), (2, None, 5.0), (2, 400.0, 5.0)], "scan_num int, mz double, intensity double"))
+    start = time.monotonic()
+    fixed = deadtime.correct_nonextending(rows, 1.0, 1e4)
+    x = 1 - F.lit(0.01) / (1e4 - 0.01 * F.round((F.col("mz") - 400) * 1e6))
+    assert fixed.where("scan_num = 1").where(F.abs(F.col("corrected") + 1e4 * F.ln(x)) > 1e-6).count() == 0
+    assert time.monotonic() - start < 40
+    one = [r.corrected for r in fixed.where("scan_num = 2").orderBy("mz", "intensity").collect()]
+    assert one[1] is None and one[0] == one[2] and abs(one[0] - 5.001251) < 1e-5
+
+
+def test_composition_counts_letters_in_the_row(spark):
+    df = spark.createDataFrame([(1, "GGA"), (1, "GGA"), (2, ""), (3, None), (4, "gX")], "seq_id long, sequence string")
+    got = isotopes.composition(df)
+    want = {1: (14, 25, 6, 7, 0, 4), 2: (0, 3, 0, 1, 0, 4), 4: (0, 3, 0, 1, 0, 4)}
+    assert {r.seq_id: tuple(r)[2:] for r in got.collect()} == want
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()

@@ -31,12 +31,11 @@ def asof(left: DataFrame, right: DataFrame, key: str, value: str, mode: str = "<
     if not by:
         both = written(both.repartitionByRange("__k").sortWithinPartitions("__k", "__side").withColumn("__part", F.spark_partition_id()), "asof-ranges")
         part = ["__part"]
-    order = [F.col("__k"), F.col("__side")]
-    w = Window.partitionBy(*part).orderBy(*order)
     below = mode in ("<=", "<")
-    frame = w.rowsBetween(Window.unboundedPreceding, 0) if below else w.rowsBetween(0, Window.unboundedFollowing)
-    near = (F.last if below else F.first)("__v", ignorenulls=True)
-    found = both.withColumn(out, near.over(frame)).where("__row is not null")
+    # keys above are looked through from behind: frames that end with the last row are computed anew for each row
+    order = [F.col("__k"), F.col("__side")] if below else [F.desc("__k"), F.desc("__side")]
+    frame = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(out, F.last("__v", ignorenulls=True).over(frame)).where("__row is not null")
     if not by:
         found = found.join(F.broadcast(_beside(both, below)), "__part", "left").withColumn(out, F.coalesce(out, "__beside"))
     return found.select("__row.*", out)

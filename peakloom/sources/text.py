@@ -10,6 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from peakloom.functions.ranking import places
 from peakloom.functions.shared import written
 
 _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
@@ -95,8 +96,8 @@ def write_cluster_files(points: DataFrame, folder: str) -> DataFrame:
 
 def corrected_lines(points: DataFrame) -> DataFrame:
     """Lines of corrected clusters (scan_ord, rt, mz, corrected), with their cluster_id and place: by retention time, then mz."""
-    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("rt", "mz", "corrected"))
-    return points.select("cluster_id", place.alias("place"), F.format_string("%s %.3f %.3f %.3f", F.col("scan_ord").cast("string"), "rt", "mz", "corrected").alias("value"))
+    points = places(points, "cluster_id", ["rt", "mz", "corrected"])
+    return points.select("cluster_id", "place", F.format_string("%s %.3f %.3f %.3f", F.col("scan_ord").cast("string"), "rt", "mz", "corrected").alias("value"))
 
 
 def write_corrected(points: DataFrame, path: str) -> None:

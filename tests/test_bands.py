@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from peakloom.functions.ranking import places
 from peakloom.operators import bands, clustering
 from peakloom.sources import text
 
@@ -81,3 +82,13 @@ def test_orphans_against_all_pairs(spark):
     df = spark.createDataFrame(rows, "peak_id long, cluster_id long, scan_ord int, mz double")
     want = {p for p, k, o, m in rows if not any(p != q and k == c and abs(o - s) <= 1 and abs(m - z) <= 0.1 for q, c, s, z in rows)}
     assert {r.peak_id for r in clustering.orphans(df, 1, 0.1).collect()} == want and 0 < len(want) < 500
+
+
+def test_places_of_one_value_over_ranges(spark):
+    df = spark.createDataFrame([(k, float(x * 37 % 101)) for k in (1, 2) for x in range(101)], "k long, x double").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = places(df, "k", ["x"]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == 202 and all(r.place == r.x + 1 for r in got)

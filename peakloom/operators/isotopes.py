@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,11 +42,15 @@ def clamp_charge(charge: Column) -> Column:
 
 
 def composition(sequences: DataFrame) -> DataFrame:
-    """Atoms of each sequence (seq_id, sequence), ends included; unknown letters count nothing."""
-    letters = sequences.select("seq_id", "sequence", F.explode(F.split("sequence", "")).alias("residue"))
-    counted = letters.groupBy("seq_id", "sequence", "residue").agg(F.count(F.lit(1)).alias("k"))
-    joined = counted.join(F.broadcast(residue_table(sequences.sparkSession)), "residue", "left")
-    return joined.groupBy("seq_id", "sequence").agg(*[(F.coalesce(F.sum(F.col("k") * F.col(a)), F.lit(0)) + ENDS.get(a, 0)).cast("bigint").alias(a) for a in ATOMS])
+    """Atoms of each sequence (seq_id, sequence), ends included; unknown letters count nothing, nulls are left out.
+
+    Letters are counted in the row, and rows are dealt by seq_id ahead of grouping, so that a task
+    holds a row a sequence of its own partition alone.
+    """
+    letters = {r: F.length("sequence") - F.length(F.replace("sequence", F.lit(r), F.lit(""))) for r in RESIDUES}
+    counted = sequences.where("sequence is not null").select("seq_id", "sequence", *[k.alias(f"__{r}") for r, k in letters.items()]).repartition("seq_id")
+    held = [(a, [F.col(f"__{r}") * atoms[i] for r, atoms in RESIDUES.items() if atoms[i]]) for i, a in enumerate(ATOMS)]
+    return counted.groupBy("seq_id", "sequence").agg(*[(F.sum(reduce(Column.__add__, parts)) + ENDS.get(a, 0)).cast("bigint").alias(a) for a, parts in held])
 
 
 def abundances(table: DataFrame) -> tuple[tuple, dict[str, float]]:

@@ -8,6 +8,7 @@ joins).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +38,18 @@ SCALARS = {
 }
 
 
+@functools.lru_cache(1 << 14)
+def _percent(*counts: int) -> np.ndarray:
+    """``isotope_percent`` of numbers of C, H, N, O and S, which sequences of the same letters share."""
+    return isotope_percent(dict(zip("chnos", counts, strict=True)), ISOTOPES)
+
+
 def _profile(sequence: str | None, charge: int | None) -> list[tuple[int, float, float, float]]:
     """idx, mz, percent and percent of the highest of a sequence's isotopes."""
     atoms = {a: ENDS.get(a, 0) + sum(RESIDUES[r][i] for r in sequence or "" if r in RESIDUES) for i, a in enumerate(ATOMS)}
     mass = sum(atoms[a] * m for a, m in MASSES.items())
     charge = 1 if charge is None or not 1 <= charge <= 7 else charge
-    percent = isotope_percent(atoms, ISOTOPES)
+    percent = _percent(*[atoms[a] for a in "chnos"])
     top = percent[:-1].max() if len(percent) > 1 else percent.max()
     m = mass + np.arange(len(percent)) * SPACING
     mz = m if charge == 1 else (m + charge - 1) / charge

@@ -2,7 +2,7 @@
 
 ``register(spark)`` makes them known to the session. Scalar functions are expanded into the plan by the
 analyser, so they are optimised and compiled like what is written out. The table function is called
-laterally for each row; rows travel in Arrow batches (functions of whole batches may not stand in lateral
+laterally for each row; rows travel pickled, since an Arrow batch for each call costs more than its rows (functions of whole batches may not stand in lateral
 joins).
 """
 
@@ -56,7 +56,7 @@ def _profile(sequence: str | None, charge: int | None) -> list[tuple[int, float,
     return list(zip(range(len(percent)), mz.tolist(), percent.tolist(), (percent / top * 100).tolist(), strict=True))
 
 
-@udtf(returnType="idx int, mz double, pct double, pct_norm double", useArrow=True)
+@udtf(returnType="idx int, mz double, pct double, pct_norm double", useArrow=False)
 class IsotopeProfile:
     """The isotope series of a peptide sequence; null sequences are empty ones, charges outside 1 to 7 and null are 1, unknown letters count nothing."""
 

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from peakloom.operators import asof, deadtime, isotopes
+from peakloom.operators import asof, deadtime, isotopes, shapes
 from peakloom.sources import mzxml
 
 
@@ -50,3 +50,12 @@ def test_composition_counts_letters_in_the_row(spark):
     want = {1: (14, 25, 6, 7, 0, 4), 2: (0, 3, 0, 1, 0, 4), 4: (0, 3, 0, 1, 0, 4)}
     assert {r.seq_id: tuple(r)[2:] for r in got.collect()} == want
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_points_ask_each_pair_of_cells_once(spark):
+    """The pairs are those of all against all."""
+    rows = [(i * 37 % 101, i % 2, (i * 13 % 29) / 4, (i * 7 % 31) / 4) for i in range(101)]
+    df = spark.createDataFrame(rows, "peak_id long, cluster_id long, rt double, mz double")
+    near = shapes.near_points(df, 0.5, 1.0)
+    want = sorted((p, q) for p, k, x, y in rows for q, c, u, v in rows if p > q and k == c and max(abs(x - u), abs(y - v)) <= 0.5)
+    assert sorted(map(tuple, near.collect())) == want and want

@@ -76,3 +76,18 @@ def test_empty_table_and_single_points(spark):
     assert clustering.cluster(table(spark, []), 0.1, 2, 1, 1).count() == 0
     got = clustering.cluster(table(spark, [(5, 1, 2.0), (6, 9, 2.0)]).withColumn("intensity", F.lit(1.0)), 0.1, 2, 1, 1)
     assert {r.peak_id: r.cluster_id for r in got.collect()} == {5: 5, 6: 6}
+
+
+def test_runs_of_one_colour_are_asked_once(monkeypatch):
+    """300 points a scan, all within reach of one another: three finds a point and not one for each of 600 hits."""
+    asked = []
+    find = one_merge.Colours.find
+    monkeypatch.setattr(one_merge.Colours, "find", lambda self, p: asked.append(p) or find(self, p))
+    slab = one_merge.Slab(0, 1.0, 2, 1, -np.inf, np.inf)
+    points = [(s * 300 + i, s, 5 + i / 1000) for s in range(12) for i in range(300)]
+    for point, scan, mz in points:
+        slab.take(one_merge.OWN, scan, mz, point, None, None)
+    assert len(asked) < 60 * len(points)
+    colours = dict(zip((p[0] for p in points), sequential_labels([p[1] for p in points], [p[2] for p in points], 1.0, 2, 1), strict=True))
+    late = [p[0] for p in points if p[1] > 9]
+    assert len({slab.all.find(p) for p in late}) == len({colours[p] for p in late})

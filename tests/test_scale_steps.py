@@ -1,5 +1,6 @@
 """Steps that once grew with the square of a group, or lost rows of documents of several files."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -59,3 +60,32 @@ def test_near_points_ask_each_pair_of_cells_once(spark):
     near = shapes.near_points(df, 0.5, 1.0)
     want = sorted((p, q) for p, k, x, y in rows for q, c, u, v in rows if p > q and k == c and max(abs(x - u), abs(y - v)) <= 0.5)
     assert sorted(map(tuple, near.collect())) == want and want
+
+
+def test_dense_points_are_counted_without_pairs(spark, monkeypatch):
+    """40,000 points of one cluster within reach of one another, which are 800 million pairs; tiles of few points give what one tile gives."""
+    crowd = spark.range(40_000).select(F.col("id").alias("peak_id"), F.lit(1).cast("long").alias("cluster_id"), (F.col("id") % 4 * 1.0).alias("rt"), (F.col("id") / 1e6).alias("mz"))
+    lone = spark.createDataFrame([(50_000, 1, 0.0, 9.0), (50_001, 1, 2.0, 9.5), (50_002, 1, 90.0, 0.0), (50_003, 2, 1.0, 0.0)], crowd.schema)
+    start = time.monotonic()
+    got = shapes.density_counts(crowd.union(lone), 3.5, 3, 1.0)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 3), (2, 0, 1)]
+    assert time.monotonic() - start < 60
+    rng = random.Random(3)
+    rows = [(i, i % 3, rng.randrange(160) / 4, rng.randrange(160) / 4) for i in range(2000)]
+    df = spark.createDataFrame(rows, crowd.schema)
+    whole = sorted(map(tuple, shapes.density_counts(df, 1.0, 4, 1.0).collect()))
+    tiled = shapes.bands.tiled
+    monkeypatch.setattr(shapes.bands, "tiled", lambda *a: tiled(*a, 150))
+    assert sorted(map(tuple, shapes.density_counts(df, 1.0, 4, 1.0).collect())) == whole and whole[0][1] > 1 and whole[0][2] > 0
+    near = {p: {q for q, c, u, v in rows if c == k and max(abs(x - u), abs(y - v)) <= 1.0} for p, k, x, y in rows}
+    core = {p for p, n in near.items() if len(n) >= 4}
+    assert sum(r[2] for r in whole) == sum(not near[p] & core for p in near)
+    seen, parts = set(), 0
+    for p in core:
+        parts, todo = parts + (p not in seen), [p]
+        while todo:
+            q = todo.pop()
+            if q not in seen:
+                seen.add(q)
+                todo += near[q] & core
+    assert sum(r[1] for r in whole) == parts

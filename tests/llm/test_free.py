@@ -515,6 +515,19 @@ def test_deep_documents_get_more_trees(spark):
     assert near_dedup._more_roots(deep.where("level < 5"), reps, 12, 85) is None
 
 
+def test_lm_works_on_small_slices(spark, monkeypatch):
+    """No step of the language model takes more than TEXT_BYTES of text at once, and scores do not depend on them."""
+    rng = random.Random(4)
+    df = docs(spark, [" ".join(f"w{rng.randrange(200)}" for _ in range(300)) for _ in range(60)]).coalesce(1)
+    whole = sorted(map(tuple, ngram_lm.score(df).collect()))
+    monkeypatch.setattr(ngram_lm, "TEXT_BYTES", 5000)
+    few = sorted(map(tuple, ngram_lm.score(df).collect()))
+    assert [r[:5] for r in few] == [r[:5] for r in whole] and all(abs(a[6] - b[6]) < 1e-6 for a, b in zip(few, whole, strict=True))
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 900] * 40})
+    parts = list(ngram_lm.slices(iter([batch]), most=ngram_lm.TEXT_BYTES))
+    assert sum(b.num_rows for b in parts) == 40 and max(b.num_rows for b in parts) == 5
+
+
 def test_copies_are_confirmed_by_few_joins(spark, monkeypatch):
     """200 near copies: the sets that meet pairs weigh less than twice the texts."""
     rng, seen = random.Random(12), []

@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from peakloom.operators import asof, deadtime, isotopes, shapes
@@ -89,3 +90,18 @@ def test_dense_points_are_counted_without_pairs(spark, monkeypatch):
                 seen.add(q)
                 todo += near[q] & core
     assert sum(r[1] for r in whole) == parts
+
+
+def test_shapes_of_a_cluster_over_many_islands(spark, monkeypatch):
+    """Stretches of rt are shifted by themselves, with the result of whole clusters; none has more than its own points."""
+    rng = random.Random(8)
+    rows = [(c, 1000.0 * rng.randrange(30) + rng.choice([0, 0, 60]), 500 + rng.random() * 12, 1 + rng.random()) for c in (1, 2) for _ in range(600)]
+    rows += [(3, float(t), 500 + 0.1 * t + rng.random(), 5.0) for t in range(40)]
+    df = spark.createDataFrame(rows, "cluster_id long, rt double, mz double, intensity double")
+    of = {c: np.array([(r[1], r[2]) for r in rows if r[0] == c]) for c in (1, 2, 3)}
+    want = {c: len(np.unique(shapes.mean_shift(p / [shapes.RT_SCALE, 1], 1.0))) for c, p in of.items()}
+    islands = shapes._islands(df, 1.0)
+    assert islands.groupBy("cluster_id", "island").count().where("cluster_id < 3").agg(F.max("count")).first()[0] < 60
+    assert {r.cluster_id: r.subclusters for r in shapes.mean_shift_counts(df, 1.0).collect()} == want
+    got = shapes.fit_gaussians(df, 1.0)
+    assert {r.cluster_id: r.n for r in got.groupBy("cluster_id").agg(F.count_distinct("part").alias("n")).collect()} == want

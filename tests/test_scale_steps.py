@@ -4,9 +4,10 @@ import random
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from peakloom.operators import asof, deadtime, isotopes, shapes
+from peakloom.operators import anneal, asof, curvature, deadtime, isotopes, shapes
 from peakloom.sources import mzxml
 
 
@@ -105,3 +106,44 @@ def test_shapes_of_a_cluster_over_many_islands(spark, monkeypatch):
     assert {r.cluster_id: r.subclusters for r in shapes.mean_shift_counts(df, 1.0).collect()} == want
     got = shapes.fit_gaussians(df, 1.0)
     assert {r.cluster_id: r.n for r in got.groupBy("cluster_id").agg(F.count_distinct("part").alias("n")).collect()} == want
+
+
+def wide_spectra(spark, clusters, scans, points):
+    rng = random.Random(31)
+    rows = [(c, float(t), 450 + rng.random() * points / 15, 5.0 + rng.randrange(46)) for c in range(clusters) for t in range(scans) for _ in range(points)]
+    return spark.createDataFrame(rows, "cluster_id long, rt double, mz double, intensity double")
+
+
+def plain_cost(points, tau_ne, tau_e):
+    n, a = deadtime.pulses(), deadtime.flight_constant()
+    total = 0.0
+    for _, cluster in points.groupby("cluster_id"):
+        trace = []
+        for rt, s in cluster.sort_values(["rt", "mz", "intensity"]).groupby("rt"):
+            mz = s["mz"].to_numpy()
+            trace.append((rt, np.average(mz, weights=deadtime.recurrence(mz, s["intensity"].to_numpy(), tau_ne * 1e-9, tau_e * 1e-9, n, a))))
+        total += abs(curvature.trace_curvature(*map(np.array, zip(*trace, strict=True))))
+    return total
+
+
+def test_deadtime_grid_follows_the_points(spark, monkeypatch):
+    """Spectra of 3,000 points in one cluster, cut into pieces: work that grows with their square takes minutes for 900 pairs."""
+    monkeypatch.setattr(anneal, "PIECE", 4000)
+    df = wide_spectra(spark, 1, 6, 3000)
+    points, start = df.toPandas(), time.monotonic()
+    got = {(r.tau_ne_ns, r.tau_e_ns): r.cost for r in anneal.grid_search(df, [k / 3 for k in range(30)], [k / 10 for k in range(30)]).collect()}
+    assert len(got) == 900 and time.monotonic() - start < 60
+    for x, y in ((0.0, 0.0), (5.0, 0.0), (5.0, 1.5), (1.0, 2.9), (29 / 3, 2.9)):
+        assert got[x, y] == pytest.approx(plain_cost(points, x, y), rel=1e-6)
+
+
+def test_deadtime_search_takes_any_number_of_points(spark, monkeypatch):
+    df = wide_spectra(spark, 3, 5, 40)
+    few = {"restarts": 2, "max_iter": 3, "dwell": 4}
+    plain = anneal.search_deadtime(df, **few).orderBy("seed").collect()
+    monkeypatch.setattr(anneal, "MOST_POINTS", 10)
+    monkeypatch.setattr(anneal, "PIECE", 60)
+    dealt = anneal.search_dealt(df, **few).orderBy("seed").collect()
+    assert [(r.seed, r.evaluations, r.code) for r in dealt] == [(r.seed, r.evaluations, r.code) for r in plain]
+    for r, p in zip(dealt, plain, strict=True):
+        assert list(r)[1:6] == pytest.approx(list(p)[1:6], rel=1e-6)

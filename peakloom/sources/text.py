@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ _NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 _PEAK = rf"^\s*(\S+)\s+({_NUMBER})\s+({_NUMBER})\s+({_NUMBER})"
 _POINT = r"(\d+)\s+(\d+\.\d+)\s+(\d+\.\d+)\s+(\d+\.\d+)"
 CLUSTER_FILE = r"^(\d{6})\.clust$"
+#: Lines that a task holds as Python strings.
+LINES = 4096
 
 
 def _double(pattern: str, group: int) -> Column:
@@ -64,34 +67,41 @@ def write_clusters(points: DataFrame, path: str) -> None:
     cluster_lines(points).repartition("cluster_id").write.partitionBy("cluster_id").text(path)
 
 
-def write_cluster_files(points: DataFrame, folder: str) -> DataFrame:
-    """A file NNNNNN.clust for each cluster below the URI ``folder``, points by scan and mz; cluster_id, path and points of each. Files appear whole, also when a task runs again."""
-
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, path = fs.FileSystem.from_uri(folder)
-        system.create_dir(path, recursive=True)
-        key, lines = None, []
-
-        def close() -> pd.DataFrame:
-            name = f"{path}/{key:06d}.clust"
-            part = f"{path}/.{key:06d}.{uuid.uuid4().hex}"
-            with system.open_output_stream(part) as out:
-                out.write("".join(f"{x}\n" for x in lines).encode())
-            system.move(part, name)
-            return pd.DataFrame({"cluster_id": [key], "path": [name], "n_points": [len(lines)]})
-
-        for frame in frames:
-            for cluster_id, value in zip(frame["cluster_id"].tolist(), frame["value"].tolist(), strict=True):
-                if lines and cluster_id != key:
+def cluster_parts(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes the files of lines (cluster_id, value) that come cluster after cluster; a row a file."""
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    key, out, part, n = None, None, "", 0
+
+    def close() -> pa.RecordBatch:
+        out.close()
+        name = f"{path}/{key:06d}.clust"
+        system.move(part, name)
+        return pa.RecordBatch.from_pydict({"cluster_id": [key], "path": [name], "n_points": [n]})
+
+    for whole in batches:
+        for batch in (whole.slice(at, LINES) for at in range(0, whole.num_rows, LINES)):
+            ids, values = batch["cluster_id"].to_numpy(), batch["value"]
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            for i, j in zip(starts.tolist(), np.append(starts[1:], len(ids)).tolist(), strict=True):
+                if out is not None and ids[i] != key:
                     yield close()
-                    lines = []
-                key = cluster_id
-                lines.append(value)
-        if lines:
-            yield close()
+                    out = None
+                if out is None:
+                    key, n = int(ids[i]), 0
+                    part = f"{path}/.{key:06d}.{uuid.uuid4().hex}"
+                    out = system.open_output_stream(part)
+                out.write("".join(f"{x}\n" for x in values.slice(i, j - i).to_pylist()).encode())
+                n += j - i
+    if out is not None:
+        yield close()
+
+
+def write_cluster_files(points: DataFrame, folder: str) -> DataFrame:
+    """A file NNNNNN.clust for each cluster below the URI ``folder``, points by scan and mz; cluster_id, path and points of each. Files appear whole, also when a task runs again; lines are written as they come, so a task holds some of them."""
 
     rows = points.select(F.col("cluster_id").cast("long").alias("cluster_id"), "scan_ord", "rt", "mz", "intensity").repartition("cluster_id").sortWithinPartitions("cluster_id", "scan_ord", "mz", "intensity")
-    return written(cluster_lines(rows).mapInPandas(write, "cluster_id long, path string, n_points long"), "cluster-files")
+    return written(cluster_lines(rows).mapInArrow(lambda batches: cluster_parts(batches, folder), "cluster_id long, path string, n_points long"), "cluster-files")
 
 
 def corrected_lines(points: DataFrame) -> DataFrame:

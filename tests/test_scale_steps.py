@@ -4,11 +4,12 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from peakloom.operators import anneal, asof, curvature, deadtime, isotopes, shapes
-from peakloom.sources import mzxml
+from peakloom.sources import mzxml, text
 
 
 def test_scans_of_a_document_of_several_parts(spark, tmp_path):
@@ -147,3 +148,18 @@ def test_deadtime_search_takes_any_number_of_points(spark, monkeypatch):
     assert [(r.seed, r.evaluations, r.code) for r in dealt] == [(r.seed, r.evaluations, r.code) for r in plain]
     for r, p in zip(dealt, plain, strict=True):
         assert list(r)[1:6] == pytest.approx(list(p)[1:6], rel=1e-6)
+
+
+def test_lines_of_a_cluster_are_written_as_they_come(tmp_path):
+    """When the last batch of a cluster is asked for, the ones before are in the file."""
+
+    def batches():
+        for k in range(6):
+            if k == 5:
+                (part,) = tmp_path.glob(".000007.*")
+                assert part.stat().st_size > 0
+            yield pa.RecordBatch.from_pydict({"cluster_id": [7] * 9000 + [8] * (k == 5), "value": [f"{k} {i}" for i in range(9000 + (k == 5))]})
+
+    done = [b.to_pylist()[0] for b in text.cluster_parts(batches(), f"file://{tmp_path}")]
+    assert [(r["cluster_id"], r["n_points"]) for r in done] == [(7, 54_000), (8, 1)]
+    assert (tmp_path / "000007.clust").read_text().splitlines() == [f"{k} {i}" for k in range(6) for i in range(9000)]

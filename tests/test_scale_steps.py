@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.operators import anneal, asof, curvature, deadtime, isotopes, shapes
+from peakloom.operators import anneal, asof, clustering, curvature, deadtime, isotopes, shapes
 from peakloom.sources import mzxml, text
 
 
@@ -163,3 +163,19 @@ def test_lines_of_a_cluster_are_written_as_they_come(tmp_path):
     done = [b.to_pylist()[0] for b in text.cluster_parts(batches(), f"file://{tmp_path}")]
     assert [(r["cluster_id"], r["n_points"]) for r in done] == [(7, 54_000), (8, 1)]
     assert (tmp_path / "000007.clust").read_text().splitlines() == [f"{k} {i}" for k in range(6) for i in range(9000)]
+
+
+def test_links_move_each_point_once(spark, monkeypatch):
+    """Many tiles: the links are those of all pairs, and no point goes out for each scan and cell that it asks."""
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(120), rng.random() * 60) for i in range(6000)]
+    df = spark.createDataFrame(rows, "peak_id long, scan_ord int, mz double").repartition(3)
+    for tile in (500, 1 << 17):
+        links = clustering.link_edges(df, 0.7, 2, tile)
+        assert "Generate explode" not in links._jdf.queryExecution().toString()
+        got = [tuple(r) for r in links.select("a", "b").collect()]
+        by = {}
+        for i, s, m in rows:
+            by.setdefault(s, []).append((i, m))
+        want = {(i, j) for i, s, m in rows for k in (1, 2) for j, o in by.get(s - k, []) if -0.7 <= o - m <= 0.7}
+        assert len(got) == len(want) > 10_000 and set(got) == want

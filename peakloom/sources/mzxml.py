@@ -35,6 +35,9 @@ def _schema(depth: int) -> T.StructType:
 
 
 SCHEMA = _schema(DEPTH)
+_LISTS = pa.list_(pa.struct([("mz", pa.float64()), ("intensity", pa.float64())]))
+#: Bytes of a batch of scans that goes to Python.
+BATCH_BYTES = 4 << 20
 PAIRS = T.ArrayType(T.StructType([T.StructField("mz", T.DoubleType()), T.StructField("intensity", T.DoubleType())]))
 
 
@@ -78,6 +81,12 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     return tags.select(said("scanCount").cast("long").alias("scan_count"), said("startTime").alias("start_time"), said("endTime").alias("end_time"))
 
 
+def small_batches(df: DataFrame) -> None:
+    """Peak lists are long rows: the session's batches to and from Python hold BATCH_BYTES at most, or a row."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def unpack(text: str | None, precision: int, compression: str | None) -> np.ndarray:
     """(n, 2) of mz and intensity. Characters outside the alphabet are skipped, and the stated compressed length is not needed."""
     data = base64.b64decode(re.sub(r"[^A-Za-z0-9+/=]", "", text or ""))
@@ -96,15 +105,18 @@ def pack(pairs: np.ndarray, precision: int, compression: str | None) -> tuple[st
 
 @F.arrow_udf(PAIRS)
 def decode(text: pa.Array, precision: pa.Array, compression: pa.Array) -> pa.Array:
-    lists = [unpack(t, p, c) for t, p, c in zip(text.to_pylist(), precision.to_pylist(), compression.to_pylist(), strict=True)]
-    ends = np.cumsum([0] + [len(x) for x in lists]).astype(np.int32)
-    both = np.concatenate([np.zeros((0, 2)), *lists])
-    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], ["mz", "intensity"])
-    return pa.ListArray.from_arrays(pa.array(ends), points)
+    done = [_listed(unpack(t.as_py(), p.as_py(), c.as_py())) for t, p, c in zip(text, precision, compression, strict=True)]  # a text at a time
+    return pa.concat_arrays(done) if done else pa.array([], _LISTS)
+
+
+def _listed(pairs: np.ndarray) -> pa.Array:
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["mz", "intensity"])
+    return pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), points)
 
 
 def decode_scans(scans: DataFrame) -> DataFrame:
     """``scans`` with peaks as an array of (mz, intensity). Filter scans first: this is the one step in Python."""
+    small_batches(scans)
     lists = F.coalesce("peaks._VALUE", F.lit("")), F.coalesce("peaks._precision", F.lit(32)), F.coalesce("peaks._compressionType", F.lit("none"))
     return scans.withColumn("peaks", decode(*lists))
 
@@ -120,8 +132,8 @@ def encode(pairs: Column, precision: int = 32, compression: str = "zlib") -> Col
     @F.arrow_udf("text string, size int")
     def packed(lists: pa.Array) -> pa.Array:
         points, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-        both = np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
-        done = [pack(both[i:j], precision, compression) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        mz, intensity = (points.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        done = [pack(np.stack([mz[i:j], intensity[i:j]], 1), precision, compression) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         return pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], ["text", "size"])
 
     x = packed(pairs)
@@ -130,6 +142,7 @@ def encode(pairs: Column, precision: int = 32, compression: str = "zlib") -> Col
 
 def encode_scans(peaks: DataFrame, precision: int = 32, compression: str = "zlib", scan_type: str = "Full") -> DataFrame:
     """Rows like those of ``read_scans`` (attributes and doc_order left out), of peaks (scan_num, rt, mz, intensity), in mz order inside a scan."""
+    small_batches(peaks)
     lists = peaks.groupBy("scan_num", "rt").agg(F.sort_array(F.collect_list(F.struct("mz", "intensity"))).alias("pairs"))
     time = F.concat(F.lit("PT"), F.col("rt").cast("decimal(20,6)").cast("string"), F.lit("S"))
     return lists.select(F.col("scan_num").cast("int").alias("num"), F.lit(scan_type).alias("scan_type"), "rt", time.alias("rt_text"), F.size("pairs").alias("peaks_count"), encode(F.col("pairs"), precision, compression).alias("peaks"))

@@ -45,7 +45,7 @@ _ARROW = pa.schema([
     ("attributes", pa.map_(pa.string(), pa.string())), ("before", pa.string()), ("peaks", _PEAKS), ("peaks_attributes", pa.map_(pa.string(), pa.string())), ("after", pa.string()), ("closing", pa.string()),
 ])
 #: Bytes of a partition and of a read; rows and bytes of a batch that goes to Spark.
-SPLIT_BYTES, CHUNK_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 1 << 20, 4096, 16 << 20
+SPLIT_BYTES, CHUNK_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 1 << 20, 4096, 4 << 20
 #: Bytes from the end in which the place of the index must be said.
 TAIL_BYTES = 4096
 #: Bytes of a read where single scans are looked up.

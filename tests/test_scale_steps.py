@@ -179,3 +179,12 @@ def test_links_move_each_point_once(spark, monkeypatch):
             by.setdefault(s, []).append((i, m))
         want = {(i, j) for i, s, m in rows for k in (1, 2) for j, o in by.get(s - k, []) if -0.7 <= o - m <= 0.7}
         assert len(got) == len(want) > 10_000 and set(got) == want
+
+
+def test_peak_lists_go_to_python_in_small_batches(spark):
+    """Long lists: no batch takes more than some MB, and lists come back whole."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    peaks = spark.range(0, 60_000, 1, 2).select((F.col("id") % 3).cast("int").alias("scan_num"), F.lit(1.0).alias("rt"), (F.col("id") * 1.0).alias("mz"), F.lit(2.0).alias("intensity"))
+    scans = mzxml.decode_scans(mzxml.encode_scans(peaks, 64))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+    assert mzxml.explode_peaks(scans).agg(F.count("mz"), F.sum("mz")).first()[:] == (60_000, float(sum(range(60_000))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.functions.scalars import duration_seconds
-from peakloom.functions.shared import run_dir
+from peakloom.functions.shared import run_dir, written
 from peakloom.operators import asof, clustering, deadtime, grid, growing, isotopes, preprocess
 from peakloom.plans.catalog import _CLUSTERS, _HOURS, _LABELS, _P, _SEQ, GRID_GAP, GRID_MIN, MIN_SIZE, MZ_DIST, TAU_NE, A, N, _by_time, _clustered, _isotopic, _peaks, _points, _rounded, query
 from peakloom.sources import adapters, mzxml, mzxml_rewrite
@@ -17,6 +17,8 @@ from peakloom.streaming.clusterer import link_stream, resolved
 
 #: Slabs of the stream's mz.
 STREAM_SLABS = 12
+#: Points of a stretch of the stream in the mean, which is one micro-batch; there are three at least.
+STRETCH_POINTS = 4_000_000
 
 # --- mzXML ----------------------------------------------------------------------------------
 
@@ -286,10 +288,12 @@ def stream_clusters(spark, d):
     """Points as files of a stream in retention-time order, in slabs of mz; members and merges go out early and are resolved at the end."""
     folder, files = run_dir(spark, "stream"), 4
     points = _points(spark, d).select("peak_id", F.col("scan_ord").cast("long").alias("scan_ord"), "mz", F.timestamp_seconds(F.col("scan_ord") + 1_000_000_000).alias("at"))
-    ends = points.agg(F.max("scan_ord"), F.min("mz"), F.max("mz")).first()
-    third = (ends[0] or 0) // 3 + 1
-    for k in range(3):
-        points.where(F.floor(F.col("scan_ord") / third) == k).repartition(files).write.parquet(f"{folder}/in/{k}")
+    points = written(points.repartitionByRange("scan_ord"), "stream-points")
+    ends = points.agg(F.max("scan_ord"), F.min("mz"), F.max("mz"), F.count(F.lit(1))).first()
+    stretches = max(3, -(-ends[3] // STRETCH_POINTS))
+    step = (ends[0] or 0) // stretches + 1
+    for k in range(stretches):
+        points.where(F.col("scan_ord").between(k * step, (k + 1) * step - 1)).repartition(files).write.parquet(f"{folder}/in/{k:06d}")
     width = max(4 * MZ_DIST, ((ends[2] or 0.0) - (ends[1] or 0.0)) / STREAM_SLABS)
     stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
     links = link_stream(stream, MZ_DIST, width=width)

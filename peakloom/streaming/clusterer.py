@@ -78,6 +78,8 @@ def cluster_stream(points: DataFrame, mz_dist: float, n_prev: int = 2, min_size:
 
 LINKS = "slab bigint, peak_id bigint, colour bigint, scan_ord bigint, mz double"
 _RECENT = "scan_ord bigint, mz double, peak_id bigint, colour bigint, own boolean"
+#: Points of a slab whose links go out at once.
+SLICE = 1 << 14
 #: Seconds of event time after which a slab without new points is forgotten.
 IDLE_SECONDS = 3600
 
@@ -102,27 +104,39 @@ class _SlabLinks(StatefulProcessor):
             points[point] = (scan, mz, own)
         return rule, points
 
+    @staticmethod
+    def _trimmed(rule: OnePass, points: dict[int, tuple[int, float, bool]]) -> dict[int, tuple[int, float, bool]]:
+        """``points`` of the scans that ``rule`` still holds; it forgets the others' colours too."""
+        kept = {p: rule.colour(p) for _, ids in rule.scans.values() for p in ids}
+        rule.root.clear()
+        rule.root.update({c: c for c in kept.values()} | kept)
+        return {p: points[p] for p in kept}
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
         rule, points = self._start()
         new, out = pd.concat(rows).sort_values(["scan_ord", "mz", "peak_id"]), []
-        last = 0
-        for point, scan, mz, own in new[["peak_id", "scan_ord", "mz", "own"]].itertuples(index=False, name=None):
-            rule.forget(scan - self.n_prev)
-            if own:
-                colour, merged = rule.add(point, scan, mz)
-                out.append((point, colour, scan, mz))
-                out += [(other, colour, None, None) for other in merged]
-            else:  # another slab's point, of a colour of its own until a point of this one meets it
-                rule.place(point, scan, mz)
-            points[point] = (scan, mz, own)
-            last = max(last, scan)
+        newest, last = int(new["at"].max().timestamp() * 1000), 0
+        columns = [new[c].to_numpy() for c in ("peak_id", "scan_ord", "mz", "own")]
+        for at in range(0, len(new), SLICE):
+            for point, scan, mz, own in zip(*(c[at : at + SLICE].tolist() for c in columns), strict=True):
+                rule.forget(scan - self.n_prev)
+                if own:
+                    colour, merged = rule.add(point, scan, mz)
+                    out.append((point, colour, scan, mz))
+                    out += [(other, colour, None, None) for other in merged]
+                else:  # another slab's point, of a colour of its own until a point of this one meets it
+                    rule.place(point, scan, mz)
+                points[point] = (scan, mz, own)
+                last = max(last, scan)
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=["slab", "peak_id", "colour", "scan_ord", "mz"]).astype({"scan_ord": "Int64"})
+            out.clear()
+            points = self._trimmed(rule, points)
         rule.forget(last - self.n_prev)
         kept = [(scan, mz, p, rule.colour(p), points[p][2]) for scan, (values, ids) in sorted(rule.scans.items()) for mz, p in zip(values, ids, strict=True)]
         self.recent.put(kept)
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
-        self.handle.registerTimer(int(new["at"].max().timestamp() * 1000) + int(self.idle * 1000))
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=["slab", "peak_id", "colour", "scan_ord", "mz"]).astype({"scan_ord": "Int64"})
+        self.handle.registerTimer(newest + int(self.idle * 1000))
 
     def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:  # noqa: N802
         self.recent.clear()

@@ -65,3 +65,42 @@ def test_slabs_must_be_wider_than_two_reaches(spark):
     df = spark.readStream.format("rate").load().selectExpr("value as peak_id", "value as scan_ord", "1.0d as mz", "timestamp as at")
     with pytest.raises(ValueError, match="wider"):
         link_stream(df, 0.5, width=1.0)
+
+
+def test_a_batch_goes_out_in_slices(monkeypatch):
+    """A batch of many slices: its links go out as they are found, colours of past scans are forgotten, and the links are those of one slice."""
+    import pandas as pd
+
+    from peakloom.streaming import clusterer
+
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    class Handle:
+        def getListState(self, *_):  # noqa: N802
+            return Held()
+
+        def listTimers(self):  # noqa: N802
+            return []
+
+        def registerTimer(self, _):  # noqa: N802
+            pass
+
+    new = pd.DataFrame(points_of(3000, 100, 12.0, 6), columns=["peak_id", "scan_ord", "mz", "at"]).assign(own=True)
+    outs, states, frames = [], [], []
+    for size in (10**6, 150):
+        monkeypatch.setattr(clusterer, "SLICE", size, raising=False)
+        slab = clusterer._SlabLinks(0.15, 2, 3600)
+        slab.init(Handle())
+        frames.append(list(slab.handleInputRows((0,), iter([new]), None)))
+        outs.append(pd.concat(frames[-1]).reset_index(drop=True))
+        states.append(slab.recent.rows)
+    assert len(frames[1]) == 20 and max(map(len, frames[1])) < 600
+    assert outs[0].equals(outs[1]) and states[0] == states[1]

@@ -1,5 +1,6 @@
 """Steps that once grew with the square of a group, or lost rows of documents of several files."""
 
+import pickle
 import random
 import time
 
@@ -188,3 +189,31 @@ def test_peak_lists_go_to_python_in_small_batches(spark):
     scans = mzxml.decode_scans(mzxml.encode_scans(peaks, 64))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
     assert mzxml.explode_peaks(scans).agg(F.count("mz"), F.sum("mz")).first()[:] == (60_000, float(sum(range(60_000))))
+
+
+def test_copies_of_points_are_merged_before_a_search(spark):
+    """Six copies of each point, as a larger table has them: what is laid out grows with the distinct points, and the cost is that of all points."""
+    few = wide_spectra(spark, 2, 5, 40).toPandas()
+    df = spark.createDataFrame(few).crossJoin(spark.range(6)).drop("id")
+    laid = anneal.laid(df, 0.0, 4000.0, 6000.0)[0].collect()
+    assert sum(len(pickle.loads(r.spectra).mz) for r in laid) <= len(few)
+    for sets in ([5.0, 0.0], [5.0, 1.5], [9.0, 2.5]):
+        (got,) = anneal.grid_search(df, sets[:1], sets[1:]).collect()
+        assert got.cost == pytest.approx(plain_cost(df.toPandas(), *sets), rel=1e-6)
+
+
+def test_points_that_stand_alone_are_known_for_all_parameters():
+    """Most points are farther apart than a deadtime: they are taken out, and no cost changes."""
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    points = pd.DataFrame([(c, float(t), mz, float(rng.integers(5, 300))) for c in range(4) for t in range(6) for mz in rng.uniform(100, 900, 60)], columns=["cluster_id", "rt", "mz", "intensity"])
+    n, a = deadtime.pulses(), deadtime.flight_constant()
+    whole, rest = anneal.Spectra(points), pickle.loads(pickle.dumps(anneal.Spectra(points).settle(anneal._reach(7, 0.9 * a), 0.8 * n, 1.1 * n)))
+    assert len(rest.mz) < len(whole.mz) / 2
+    for _ in range(40):
+        x = rng.uniform([3, 0.5, 0.8 * n, 0.9 * a], [7, 3, 1.1 * n, 1.1 * a])
+        assert rest.objective(x) == pytest.approx(whole.objective(x), rel=1e-10)
+    none = anneal.Spectra(points[points["mz"].diff().fillna(9).abs() > 5].groupby(["cluster_id", "rt"]).head(1)).settle(1e-3, 0.8 * n, 1.1 * n)
+    assert len(none.mz) == 0 and np.isfinite(none.objective(np.array([5, 1, n, a])))
+    assert len(list(none.surface([1.0, 5.0], [0.0, 1.0], n, a))) == 2

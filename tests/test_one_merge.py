@@ -91,3 +91,41 @@ def test_runs_of_one_colour_are_asked_once(monkeypatch):
     colours = dict(zip((p[0] for p in points), sequential_labels([p[1] for p in points], [p[2] for p in points], 1.0, 2, 1), strict=True))
     late = [p[0] for p in points if p[1] > 9]
     assert len({slab.all.find(p) for p in late}) == len({colours[p] for p in late})
+
+
+def copied(seed, copies, scans=40, n=250):
+    """Points of which most have copies of the same scan and mz."""
+    rng = random.Random(seed)
+    places = [(rng.randrange(scans), round(rng.random() * 12, 2)) for _ in range(n)]
+    rows = [p for p in places for _ in range(rng.choice([1, copies, copies + 3]))]
+    return [(i, *p) for i, p in zip(rng.sample(range(100_000), len(rows)), rows, strict=True)]
+
+
+@pytest.mark.parametrize(("seed", "max_merges", "n_prev", "slab"), [(1, 1, 2, 30), (2, 2, 1, 60), (3, 1, 3, 1000), (4, None, 2, 40), (5, 1, 2, 30)])
+def test_copies_give_the_sequential_result(spark, seed, max_merges, n_prev, slab):
+    points = copied(seed, 4)
+    got = {r.peak_id: r.cluster_id for r in clustering.cluster(table(spark, points), 0.3, n_prev, 1, max_merges, slab).collect()}
+    assert got == by_loop(points, 0.3, n_prev, max_merges)
+
+
+def test_copies_ask_once(spark, monkeypatch):
+    """Forty copies of each point: as many rows of points go to slabs as there are places, hits are asked once for each of them, and links are those of the rule."""
+    points = copied(7, 40)
+    places = len({p[1:] for p in points})
+    groups = one_merge._grouped(table(spark, points))
+    assert groups.count() == places and len(one_merge.cuts(groups, 0.3, places)) == 0
+    asked, hits = [], one_merge.Slab._hits
+    monkeypatch.setattr(one_merge.Slab, "_hits", lambda self, scan, mz: asked.append(mz) or hits(self, scan, mz))
+    slab = one_merge.Slab(0, 0.3, 2, 1, -np.inf, np.inf)
+    for r in sorted(groups.collect(), key=lambda r: r[:3]):
+        slab.take(one_merge.OWN, r.scan_ord, r.mz, r.peak_id, None, None, r.more)
+    assert len(asked) == places
+    rule, want = clustering.OnePass(0.3, 2, 1), set()
+    for i, scan, mz in in_order(points):
+        first = next(rule._hits(scan, mz), None)
+        if first is not None:
+            want.add((i, first))
+        rule.add(i, scan, mz)
+        rule.forget(scan - 2)
+    got = [tuple(r) for r in one_merge.links(table(spark, points), 0.3, 2, 1, 50)[0].collect()]
+    assert len(got) == len(set(got)) and want <= set(got)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from peakloom.functions.shared import written
+from peakloom.operators import bands
 from peakloom.operators.clustering import OnePass
-from peakloom.operators.components import connected_components
+from peakloom.operators.components import connected_components, stars
 
 OUTPUT = "cluster_id bigint, peak_id bigint, scan_ord bigint, mz double"
 
@@ -78,12 +80,40 @@ def cluster_stream(points: DataFrame, mz_dist: float, n_prev: int = 2, min_size:
 
 LINKS = "slab bigint, peak_id bigint, colour bigint, scan_ord bigint, mz double"
 _RECENT = "scan_ord bigint, mz double, peak_id bigint, colour bigint, own boolean"
-#: Points of a slab whose links go out at once.
+#: Rows of a slab that go out at once.
 SLICE = 1 << 14
 #: Seconds of event time after which a slab without new points is forgotten.
 IDLE_SECONDS = 3600
 
 
+def colours(scan: np.ndarray, mz: np.ndarray, ids: np.ndarray, before: np.ndarray, asks: np.ndarray, mz_dist: float, n_prev: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Colours of points after those that ``asks`` names have met all points within reach of the ``n_prev`` scans before; and old colours with the ones that they became.
+
+    ``before`` are the colours of the last points (the first ones). What a point hits at a scan is a range, so
+    the work follows the points and not their hits (see ``bands``). A colour is the least old one, or the least id.
+    """
+    points, n = bands.Ordered(scan - scan.min(), mz, mz_dist), len(ids)
+    links = []
+    for k in range(1, n_prev + 1):
+        at = np.flatnonzero(asks[points.order] & (points.place >= k))
+        lo, hi = points.ranges(points.place[at] - k, at)
+        hit = hi > lo
+        links.append((at[hit], lo[hit], hi[hit]))
+    part = np.empty(n, np.int64)
+    part[points.order] = bands.joined(n, links)
+    old, of = np.unique(before, return_inverse=True)
+    root = np.arange(n + len(old))
+    far, least = stars(part[: len(before)], of + n)
+    root[far] = least
+    part, were = root[part], root[n:]
+    most = np.iinfo(np.int64).max
+    name, known = np.full(len(root), most), np.full(len(root), most)
+    np.minimum.at(name, part, ids)
+    np.minimum.at(known, were, old)
+    name = np.where(known < most, known, name)
+    return name[part], old, name[were]
+
+
 class _SlabLinks(StatefulProcessor):
     """Links of a slab's points with those of its last scans; the state is those scans' points with their colours."""
 
@@ -93,47 +123,26 @@ class _SlabLinks(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.recent = handle, handle.getListState("recent", _RECENT)
 
-    def _start(self) -> tuple[OnePass, dict[int, tuple[int, float, bool]]]:
-        rule, points = OnePass(self.mz_dist, self.n_prev, None), {}
-        for scan, mz, point, colour, own in self.recent.get():
-            rule.root.setdefault(colour, colour)
-            rule.root[point] = colour if point != colour else point
-            values, ids = rule.scans.setdefault(scan, ([], []))
-            values.append(mz)
-            ids.append(point)
-            points[point] = (scan, mz, own)
-        return rule, points
-
-    @staticmethod
-    def _trimmed(rule: OnePass, points: dict[int, tuple[int, float, bool]]) -> dict[int, tuple[int, float, bool]]:
-        """``points`` of the scans that ``rule`` still holds; it forgets the others' colours too."""
-        kept = {p: rule.colour(p) for _, ids in rule.scans.values() for p in ids}
-        rule.root.clear()
-        rule.root.update({c: c for c in kept.values()} | kept)
-        return {p: points[p] for p in kept}
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        rule, points = self._start()
-        new, out = pd.concat(rows).sort_values(["scan_ord", "mz", "peak_id"]), []
-        newest, last = int(new["at"].max().timestamp() * 1000), 0
-        columns = [new[c].to_numpy() for c in ("peak_id", "scan_ord", "mz", "own")]
-        for at in range(0, len(new), SLICE):
-            for point, scan, mz, own in zip(*(c[at : at + SLICE].tolist() for c in columns), strict=True):
-                rule.forget(scan - self.n_prev)
-                if own:
-                    colour, merged = rule.add(point, scan, mz)
-                    out.append((point, colour, scan, mz))
-                    out += [(other, colour, None, None) for other in merged]
-                else:  # another slab's point, of a colour of its own until a point of this one meets it
-                    rule.place(point, scan, mz)
-                points[point] = (scan, mz, own)
-                last = max(last, scan)
-            yield pd.DataFrame([(key[0], *r) for r in out], columns=["slab", "peak_id", "colour", "scan_ord", "mz"]).astype({"scan_ord": "Int64"})
-            out.clear()
-            points = self._trimmed(rule, points)
-        rule.forget(last - self.n_prev)
-        kept = [(scan, mz, p, rule.colour(p), points[p][2]) for scan, (values, ids) in sorted(rule.scans.items()) for mz, p in zip(values, ids, strict=True)]
-        self.recent.put(kept)
+        names = ["scan_ord", "mz", "peak_id", "own"]
+        held = [tuple(r) for r in self.recent.get()]
+        new = pd.concat(rows).sort_values(["scan_ord", "mz", "peak_id"])
+        newest, last, late = int(new["at"].max().timestamp() * 1000), max(int(new["scan_ord"].max()), 0), len(held)
+        types = {"scan_ord": "int64", "mz": "float64", "peak_id": "int64", "own": "bool"}
+        frames = [pd.DataFrame([(s, m, p, o) for s, m, p, _, o in held], columns=names).astype(types), new[names].astype(types)]
+        scan, mz, ids, own = (np.concatenate([f[c].to_numpy() for f in frames]) for c in names)
+        fresh = np.arange(len(ids)) >= late
+        colour, old, became = colours(scan, mz, ids, np.array([r[3] for r in held], np.int64), own & fresh, self.mz_dist, self.n_prev)
+        # another slab's point has a colour of its own until a point of this one meets it
+        met, changed, mine = fresh & ~own & (colour != ids), old != became, fresh & own
+        merges = pd.DataFrame({"peak_id": np.concatenate([ids[met], old[changed]]), "colour": np.concatenate([colour[met], became[changed]])})
+        out = pd.concat([pd.DataFrame({"peak_id": ids[mine], "colour": colour[mine], "scan_ord": pd.array(scan[mine], "Int64"), "mz": mz[mine]}), merges.assign(scan_ord=pd.array([pd.NA] * len(merges), "Int64"), mz=np.nan)])
+        for at in range(0, len(out), SLICE):
+            part = out[at : at + SLICE]
+            yield pd.DataFrame({"slab": np.full(len(part), key[0], np.int64)} | {c: part[c].array for c in ("peak_id", "colour", "scan_ord", "mz")})
+        kept = np.flatnonzero(scan >= last - self.n_prev)
+        kept = kept[np.lexsort((ids[kept], mz[kept], scan[kept]))]
+        self.recent.put(list(zip(*(c[kept].tolist() for c in (scan, mz, ids, colour, own)), strict=True)))
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         self.handle.registerTimer(newest + int(self.idle * 1000))

@@ -104,3 +104,22 @@ def test_a_batch_goes_out_in_slices(monkeypatch):
         states.append(slab.recent.rows)
     assert len(frames[1]) == 20 and max(map(len, frames[1])) < 600
     assert outs[0].equals(outs[1]) and states[0] == states[1]
+
+
+def test_a_crowded_batch_follows_its_points():
+    """Scans of 4,000 points within reach of one another, which are 32 million hits a scan: the batch takes seconds, and old colours that meet are told once."""
+    import time
+
+    import numpy as np
+
+    from peakloom.streaming.clusterer import colours
+
+    n, start = 4000, time.monotonic()
+    scan, mz = np.repeat(np.arange(30), n), np.tile(np.linspace(5.0, 5.1, n), 30)
+    ids = np.random.default_rng(2).permutation(len(scan)) + 10
+    before = np.where(np.arange(2 * n) % 2, 7, 3)
+    colour, old, became = colours(scan, mz, ids, before, np.arange(len(ids)) >= 2 * n, 0.15, 2)
+    assert (colour == 3).all() and old.tolist() == [3, 7] and became.tolist() == [3, 3]
+    assert time.monotonic() - start < 20
+    apart, _, _ = colours(np.array([0, 1, 2, 2]), np.array([1.0, 9.0, 1.1, 1.2]), np.array([4, 8, 6, 2]), np.array([], np.int64), np.array([False, True, True, False]), 0.15, 2)
+    assert apart.tolist() == [4, 8, 4, 2]

@@ -181,8 +181,12 @@ def link_stream(points: DataFrame, mz_dist: float, n_prev: int = 2, width: float
 def resolved(links: DataFrame, min_size: int = 20) -> DataFrame:
     """Clusters (cluster_id, peak_id, scan_ord, mz) of ``min_size`` points, of the rows of ``link_stream`` that have been written."""
     links = written(links, "stream-links")
-    labels = connected_components(links.where("peak_id <> colour").select(F.col("peak_id").alias("a"), F.col("colour").alias("b")))
-    members = links.where("scan_ord is not null").join(labels.withColumnRenamed("node", "peak_id"), "peak_id", "left")
-    members = written(members.select(F.coalesce("component", "peak_id").alias("cluster_id"), "peak_id", "scan_ord", "mz"), "stream-members")
-    large = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("cluster_id")
-    return members.join(written(large, "stream-sizes"), "cluster_id")
+    # a point's id is a node only where it names a colour or is met by another slab; all others hang on their colour
+    apart, merges = links.where("peak_id <> colour"), links.where("scan_ord is null").select("peak_id", "colour")
+    names = written(apart.select("colour").union(merges.select("peak_id")).distinct(), "stream-names")
+    edges = merges.union(apart.where("scan_ord is not null").select("peak_id", "colour").join(names.select(F.col("colour").alias("peak_id")), "peak_id", "left_semi"))
+    labels = connected_components(edges, "peak_id", "colour").withColumnRenamed("node", "colour")
+    members = links.where("scan_ord is not null").join(labels, "colour", "left")
+    members = written(members.select(F.coalesce("component", "colour").alias("part"), "peak_id", "scan_ord", "mz"), "stream-members")
+    large = members.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("peak_id").alias("cluster_id")).where(F.col("n") >= min_size).select("part", "cluster_id")
+    return members.join(written(large, "stream-sizes"), "part").select("cluster_id", "peak_id", "scan_ord", "mz")

@@ -217,3 +217,19 @@ def test_points_that_stand_alone_are_known_for_all_parameters():
     none = anneal.Spectra(points[points["mz"].diff().fillna(9).abs() > 5].groupby(["cluster_id", "rt"]).head(1)).settle(1e-3, 0.8 * n, 1.1 * n)
     assert len(none.mz) == 0 and np.isfinite(none.objective(np.array([5, 1, n, a])))
     assert len(list(none.surface([1.0, 5.0], [0.0, 1.0], n, a))) == 2
+
+
+def test_links_of_copies_leave_python_as_lists(spark, monkeypatch):
+    """Fifty copies of each point are 2,500 links for each of two places: few list elements, and all links in small batches."""
+    rng = random.Random(6)
+    places = [(rng.randrange(12), rng.random() * 8) for _ in range(40)]
+    rows = [(50 * p + i, s, m) for p, (s, m) in enumerate(places) for i in range(50)]
+    seen, by = [], clustering.links_of
+    monkeypatch.setattr(clustering, "LINKS", 300)
+    df = spark.createDataFrame(rows, "peak_id long, scan_ord long, mz double")
+    got = [tuple(r) for r in clustering.link_edges(df, 0.7).collect()]
+    want = {(50 * p + i, 50 * q + j): (m, o) for p, (s, m) in enumerate(places) for q, (t, o) in enumerate(places) if s - t in (1, 2) and abs(o - m) <= 0.7 for i in range(50) for j in range(50)}
+    assert {r[:2]: r[2:] for r in got} == want and len(got) == len(want) > 20_000
+    tiles = clustering.bands.tiled(df, "scan_ord", "mz", 2, 0.7, False)[0].orderBy("scan_ord").toArrow().to_batches()
+    seen = list(by(iter(tiles), 0.7, 2))
+    assert sum(len(b["a"].flatten()) + len(b["b"].flatten()) for b in seen) < len(want) / 10

@@ -233,3 +233,17 @@ def test_links_of_copies_leave_python_as_lists(spark, monkeypatch):
     tiles = clustering.bands.tiled(df, "scan_ord", "mz", 2, 0.7, False)[0].orderBy("scan_ord").toArrow().to_batches()
     seen = list(by(iter(tiles), 0.7, 2))
     assert sum(len(b["a"].flatten()) + len(b["b"].flatten()) for b in seen) < len(want) / 10
+
+
+def test_near_points_move_once(spark):
+    """Copies and many tiles: the pairs are those of all against all, and no point goes out for each cell that it asks."""
+    rng = random.Random(14)
+    places = [(k % 3, rng.randrange(80) / 4, rng.randrange(80) / 4) for k in range(500)]
+    rows = [(i, *p) for i, p in zip(rng.sample(range(10**6), 1500), places + places + places[:300] + places[:200], strict=True)]
+    df = spark.createDataFrame(rows, "peak_id long, cluster_id long, rt double, mz double")
+    want = sorted((p, q) for p, k, x, y in rows for q, c, u, v in rows if p > q and k == c and max(abs(x - u), abs(y - v)) <= 1.5)
+    for tile in (100, 1 << 17):
+        near = shapes.near_points(df, 1.5, 1.0, tile)
+        plan = near._jdf.queryExecution().toString()
+        assert "Generate explode" not in plan and "SortMergeJoin" not in plan and "HashJoin" not in plan
+        assert sorted(map(tuple, near.collect())) == want and want

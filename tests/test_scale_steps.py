@@ -247,3 +247,16 @@ def test_near_points_move_once(spark):
         plan = near._jdf.queryExecution().toString()
         assert "Generate explode" not in plan and "SortMergeJoin" not in plan and "HashJoin" not in plan
         assert sorted(map(tuple, near.collect())) == want and want
+
+
+def test_deadtime_grid_of_saturated_copies(spark):
+    """300 copies of each point saturate the detector: as few points are evaluated as are distinct, with the costs of all of them."""
+    few = wide_spectra(spark, 2, 5, 12).toPandas()
+    df = spark.createDataFrame(few).crossJoin(spark.range(300)).drop("id")
+    ne, e = [0.0, 4.0, 9.0], [0.0, 1.0, 3.0]
+    got = {(r.tau_ne_ns, r.tau_e_ns): r.cost for r in anneal.grid_search(df, ne, e).collect()}
+    whole = anneal.Spectra(df.toPandas())
+    want = {(ne[u], e[v]): whole.bent(c).sum(-1)[u] for v, c in whole.surface(ne, e, deadtime.pulses(), deadtime.flight_constant()) for u in range(3)}
+    assert got == pytest.approx(want, rel=1e-9)
+    parts = anneal.laid(df, anneal._reach(9, deadtime.flight_constant()), deadtime.pulses(), deadtime.pulses())[0].collect()
+    assert sum(len(pickle.loads(r.spectra).mz) for r in parts) <= len(few)
